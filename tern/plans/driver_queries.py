@@ -46,3 +46,74 @@ ORDER BY l_returnflag, l_linestatus
 )
 def tpch_q1(spark: SparkSession, sf_dir: str):
     return tpch.q1(table(spark, sf_dir, "lineitem"))
+
+
+# --------------------------------------------------------------------------
+# W3  sales tables from JSON orders
+# --------------------------------------------------------------------------
+
+from tern.functions import variant  # noqa: E402
+from tern.operators import sales  # noqa: E402
+from tern.plans import derived  # noqa: E402
+from tern.plans import oracle as O  # noqa: E402
+
+
+def _customer_orders(spark, sf_dir):
+    return sales.customer_orders(derived.sales_customers(spark, sf_dir), derived.sales_orders_json(spark, sf_dir))
+
+
+def _sales_report(spark, sf_dir, with_days=True):
+    return sales.sales_report(_customer_orders(spark, sf_dir), derived.sales_products(spark, sf_dir), with_days)
+
+
+def _cumulative(spark, sf_dir):
+    return sales.cumulative_purchases(_sales_report(spark, sf_dir, False), derived.AS_OF)
+
+
+def _alert(spark, sf_dir):
+    return sales.product_inventory_alert(
+        _sales_report(spark, sf_dir, False), derived.sales_products(spark, sf_dir), with_creation_time=False
+    )
+
+
+@register("variant_extract", oracle=O.VARIANT_EXTRACT)
+def variant_extract(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    v = variant.parse("props")
+    return ev.select(
+        "event_id",
+        "event_type",
+        variant.get(v, "$.k", "int").alias("k"),
+        variant.get(v, "$.missing", "int").alias("k_missing"),
+        variant.get(v, "$.k", "string").alias("k_text"),
+    )
+
+
+@register("customer_orders", oracle=O.CUSTOMER_ORDERS)
+def customer_orders(spark, sf_dir):
+    return _customer_orders(spark, sf_dir)
+
+
+@register("sales_report", oracle=O.SALES_REPORT)
+def sales_report(spark, sf_dir):
+    return _sales_report(spark, sf_dir)
+
+
+@register("cumulative_purchases", oracle=O.CUMULATIVE_PURCHASES)
+def cumulative_purchases(spark, sf_dir):
+    return _cumulative(spark, sf_dir)
+
+
+@register("top_customers", oracle=O.TOP_CUSTOMERS)
+def top_customers(spark, sf_dir):
+    return sales.top_customers(_cumulative(spark, sf_dir), 15)
+
+
+@register("inventory_alert", oracle=O.INVENTORY_ALERT)
+def inventory_alert(spark, sf_dir):
+    return _alert(spark, sf_dir)
+
+
+@register("low_stock", oracle=O.LOW_STOCK)
+def low_stock(spark, sf_dir):
+    return sales.low_stock(_alert(spark, sf_dir), 10)

@@ -57,6 +57,7 @@ def build_session(
         "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
         "spark.driver.memory": driver_memory,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.ansi.enabled": "true",
     }
     conf.update(extra or {})
