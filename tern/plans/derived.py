@@ -61,3 +61,115 @@ def sales_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(500) + F.col("p_partkey") % 501).cast("decimal(10,2)").alias("stock"),
         F.date_sub(F.lit("2001-08-01").cast("date"), (F.col("p_partkey") % 90).cast("int")).alias("stockdate"),
     )
+
+
+# --------------------------------------------------------------------------
+# Highways (from customer) and hourly weather (from events)
+#
+# Fixed values of the derivation, repeated in the DuckDB oracles:
+#   city of user u:      lat = 25.0 + (u % 40) * 0.6 + ((u * 37) % 100) / 1000.0
+#                        lon = -125.0 + ((u div 40) % 500) * 0.6 + ((u * 53) % 100) / 1000.0
+#   city name:           'city_' || (u - 1 if u % 50 = 49 else u)   (two places, one name)
+#   highway of customer c, anchored at city u = c div 10:
+#     start:             the city point when c % 10 in (0, 5), else
+#                        lat + ((c * 7919) % 401 - 200) / 1000.0,
+#                        lon + ((c * 104729) % 401 - 200) / 1000.0
+#     points:            2 + c % 39
+#     vertex k:          lat0 + k * ((c * 31) % 21 - 10) / 2000.0 + ((k * c) % 7) / 10000.0
+#                        lon0 + k * ((c * 17) % 21 - 10) / 2000.0 + ((k * c * 3) % 5) / 10000.0
+#     geometry:          NULL when c % 101 = 100; MultiLineString when c % 7 = 3, second
+#                        part [(lon0 + 0.01, lat0 - 0.01), (lon0 + 0.02, lat0 + 0.005)];
+#                        else LineString
+#     document:          no feature when c % 23 = 0
+#     properties:        OBJECTID c, FILE_NAME 'nhs_' || c_nationkey || '.geojson',
+#                        MILES (c % 500) / 100, AADT (c * 97) % 200000,
+#                        SPEED_LIMI 0 when c % 13 = 0 else 25 + (c % 9) * 5,
+#                        YEAR NULL when c % 17 = 0 else 2010 + c % 12, SIGN1 'I' || (c % 99 + 1)
+#   weather row of event e (user u):
+#     datetime ts; precipitation_type 1 for 'purchase', 2 for 'error', else 0
+#     precipitation_lwe round(value) / 100; rain_lwe the same when type 1 else 0
+#     minutes_of_precipitation e % 61; minutes_of_rain the same when type 1 else 0
+#     temperature 30 + e % 70; humidity_relative (e * 7) % 101
+#     wind_speed e % 30; wind_gust e % 30 + e % 11
+# --------------------------------------------------------------------------
+
+
+def _city_lat(u):
+    return F.lit(25.0) + (u % 40) * F.lit(0.6) + ((u * 37) % 100) / F.lit(1000.0)
+
+
+def _city_lon(u):
+    return F.lit(-125.0) + ((F.floor(u / 40)) % 500) * F.lit(0.6) + ((u * 53) % 100) / F.lit(1000.0)
+
+
+def _city_name(u):
+    return F.concat(F.lit("city_"), F.when(u % 50 == 49, u - 1).otherwise(u).cast("string"))
+
+
+def highway_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One GeoJSON FeatureCollection text per customer (the staged files)."""
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    c = F.col("c_custkey")
+    u = F.floor(c / 10)
+    near = (c % 10 == 0) | (c % 10 == 5)
+    lat0 = F.when(near, _city_lat(u)).otherwise(_city_lat(u) + ((c * 7919) % 401 - 200) / F.lit(1000.0))
+    lon0 = F.when(near, _city_lon(u)).otherwise(_city_lon(u) + ((c * 104729) % 401 - 200) / F.lit(1000.0))
+    npts = (F.lit(2) + c % 39).cast("int")
+    dlat = ((c * 31) % 21 - 10) / F.lit(2000.0)
+    dlon = ((c * 17) % 21 - 10) / F.lit(2000.0)
+    coords = F.transform(
+        F.sequence(F.lit(0), npts - 1),
+        lambda k: F.array(
+            lon0 + k * dlon + ((k * c * 3) % 5) / F.lit(10000.0),
+            lat0 + k * dlat + ((k * c) % 7) / F.lit(10000.0),
+        ),
+    )
+    second = F.array(
+        F.array(lon0 + F.lit(0.01), lat0 - F.lit(0.01)),
+        F.array(lon0 + F.lit(0.02), lat0 + F.lit(0.005)),
+    )
+    geom = (
+        F.when(c % 101 == 100, F.lit("null"))
+        .when(c % 7 == 3, F.to_json(F.struct(F.lit("MultiLineString").alias("type"), F.array(coords, second).alias("coordinates"))))
+        .otherwise(F.to_json(F.struct(F.lit("LineString").alias("type"), coords.alias("coordinates"))))
+    )
+    props = F.to_json(
+        F.struct(
+            c.alias("OBJECTID"),
+            F.concat(F.lit("nhs_"), F.col("c_nationkey").cast("string"), F.lit(".geojson")).alias("FILE_NAME"),
+            ((c % 500).cast("decimal(10,2)") / 100).cast("decimal(10,2)").alias("MILES"),
+            ((c * 97) % 200000).alias("AADT"),
+            F.when(c % 13 == 0, F.lit(0)).otherwise(25 + (c % 9) * 5).alias("SPEED_LIMI"),
+            F.when(c % 17 == 0, F.lit(None)).otherwise(2010 + c % 12).alias("YEAR"),
+            F.concat(F.lit("I"), (c % 99 + 1).cast("string")).alias("SIGN1"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+    feature = F.concat(F.lit('{"type":"Feature","geometry":'), geom, F.lit(',"properties":'), props, F.lit("}"))
+    features = F.when(c % 23 == 0, F.lit("")).otherwise(feature)
+    doc = F.concat(F.lit('{"type":"FeatureCollection","features":['), features, F.lit("]}"))
+    return cust.select(c.alias("doc_id"), doc.alias("raw_text"))
+
+
+def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly weather rows (the shared weather table) derived from events."""
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e, u = F.col("event_id"), F.col("user_id")
+    ptype = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", 2).otherwise(0)
+    precip = F.round(F.col("value")) / F.lit(100.0)
+    minutes = (e % 61).cast("double")
+    return ev.select(
+        _city_name(u).alias("city_name"),
+        _city_lat(u).alias("latitude"),
+        _city_lon(u).alias("longitude"),
+        F.col("ts").alias("datetime"),
+        ((e * 7) % 101).cast("double").alias("humidity_relative"),
+        minutes.alias("minutes_of_precipitation"),
+        F.when(ptype == 1, minutes).otherwise(F.lit(0.0)).alias("minutes_of_rain"),
+        precip.alias("precipitation_lwe"),
+        ptype.alias("precipitation_type"),
+        F.when(ptype == 1, precip).otherwise(F.lit(0.0)).alias("rain_lwe"),
+        (F.lit(30) + e % 70).cast("double").alias("temperature"),
+        ((e % 30) + (e % 11)).cast("double").alias("wind_gust"),
+        (e % 30).cast("double").alias("wind_speed"),
+    )

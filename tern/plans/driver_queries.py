@@ -117,3 +117,150 @@ def inventory_alert(spark, sf_dir):
 @register("low_stock", oracle=O.LOW_STOCK)
 def low_stock(spark, sf_dir):
     return sales.low_stock(_alert(spark, sf_dir), 10)
+
+
+# --------------------------------------------------------------------------
+# W4/W5  highways, spatial joins, weather and report
+# --------------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from tern.functions import geo  # noqa: E402
+from tern.operators import highways, report, spatial_join, weather  # noqa: E402
+
+
+def _highways(spark, sf_dir):
+    docs = derived.highway_documents(spark, sf_dir)
+    staging = docs.select("doc_id", variant.parse("raw_text").alias("raw_data"))
+    return highways.national_highway_system(staging)
+
+
+def _weather(spark, sf_dir):
+    return derived.weather(spark, sf_dir)
+
+
+def _cities(spark, sf_dir):
+    return highways.distinct_cities(_weather(spark, sf_dir))
+
+
+def _subset(spark, sf_dir, meters=highways.TEN_MILES_M):
+    return highways.highway_subset(_cities(spark, sf_dir), _highways(spark, sf_dir), meters)
+
+
+@register("flatten_features", oracle=O.FLATTEN_FEATURES)
+def flatten_features(spark, sf_dir):
+    hw = _highways(spark, sf_dir)
+    return hw.select(
+        F.shiftright("fid", 20).alias("doc_id"),
+        (F.col("fid") % (1 << 20)).cast("int").alias("pos"),
+        "object_id",
+        "file_name",
+        "miles",
+        "average_annual_daily_traffic",
+        "speed_limit",
+        "year",
+        "sign1",
+        F.col("geography_linestring.type").alias("geom_type"),
+    )
+
+
+@register("geojson_roundtrip", oracle=O.GEOJSON_ROUNDTRIP)
+def geojson_roundtrip(spark, sf_dir):
+    hw = _highways(spark, sf_dir).where(F.col("geography_linestring").isNotNull())
+    g = F.col("geography_linestring")
+    back = geo.to_geography(variant.parse("geojson"))
+    return hw.select(
+        "fid",
+        g["type"].alias("geom_type"),
+        F.size(g["parts"]).alias("n_parts"),
+        F.aggregate(g["parts"], F.lit(0), lambda acc, p: acc + F.size(p)).alias("n_vertices"),
+        (back == g).alias("roundtrip_equal"),
+    )
+
+
+@register("path_thinning", oracle=O.PATH_THINNING)
+def path_thinning(spark, sf_dir):
+    hw = report.with_paths(_highways(spark, sf_dir))
+    p = F.col("path")
+    return hw.select(
+        "fid",
+        F.size(F.col("geography_linestring.parts")[0]).alias("n_points"),
+        F.size(p).alias("n_path"),
+        p[0][0].alias("first_lon"),
+        p[0][1].alias("first_lat"),
+        F.element_at(p, -1)[0].alias("last_lon"),
+        F.element_at(p, -1)[1].alias("last_lat"),
+    )
+
+
+_SUB_COLS = ["city_name", "latitude", "longitude", "fid", "object_id", "miles", "speed_limit"]
+
+
+@register("geo_dwithin", oracle=O.GEO_DWITHIN)
+def geo_dwithin(spark, sf_dir):
+    return _subset(spark, sf_dir).select(*_SUB_COLS)
+
+
+@register("geo_dwithin_20mi", oracle=O.GEO_DWITHIN_20MI)
+def geo_dwithin_20mi(spark, sf_dir):
+    return _subset(spark, sf_dir, highways.TWENTY_MILES_M).select(*_SUB_COLS)
+
+
+@register("geo_intersects", oracle=O.GEO_INTERSECTS)
+def geo_intersects(spark, sf_dir):
+    hw = _highways(spark, sf_dir).select("fid", "object_id", "geography_linestring")
+    return spatial_join.intersects_pairs(hw, "fid", "object_id")
+
+
+@register("city_intersections", oracle=O.CITY_INTERSECTIONS)
+def city_intersections(spark, sf_dir):
+    return highways.city_intersections(_highways(spark, sf_dir), _cities(spark, sf_dir))
+
+
+@register("rain_by_city_hour", oracle=O.RAIN_BY_CITY_HOUR)
+def rain_by_city_hour(spark, sf_dir):
+    return weather.rain_by_city_hour(_weather(spark, sf_dir), _highways(spark, sf_dir))
+
+
+@register("weather_summary_left_join", oracle=O.WEATHER_SUMMARY_LEFT_JOIN)
+def weather_summary_left_join(spark, sf_dir):
+    out = weather.highways_with_weather(_subset(spark, sf_dir), _weather(spark, sf_dir), *O._HOURS)
+    return out.select(
+        "city_name", "fid", "object_id", "miles", "speed_limit", "average_annual_daily_traffic", "aadt_value",
+        "latest_date", "avg_humidity", "total_precipitation", "total_precip_minutes", "avg_temperature", "avg_wind_speed",
+    )
+
+
+@register("hourly_trends", oracle=O.HOURLY_TRENDS)
+def hourly_trends(spark, sf_dir):
+    return weather.hourly_trends(_weather(spark, sf_dir)).withColumn("hour_of_day", F.col("hour_of_day").cast("int"))
+
+
+@register("trend_summary", oracle=O.TREND_SUMMARY)
+def trend_summary(spark, sf_dir):
+    return weather.trend_summary(weather.hourly_trends(_weather(spark, sf_dir)))
+
+
+@register("segment_kpis", oracle=O.SEGMENT_KPIS)
+def segment_kpis(spark, sf_dir):
+    return report.segment_kpis(_subset(spark, sf_dir))
+
+
+@register("speed_stats", oracle=O.SPEED_STATS)
+def speed_stats(spark, sf_dir):
+    return report.speed_stats(_subset(spark, sf_dir))
+
+
+@register("miles_histogram", oracle=O.MILES_HISTOGRAM)
+def miles_histogram(spark, sf_dir):
+    return report.histogram(_subset(spark, sf_dir), "miles", 0.05, scale=2)
+
+
+@register("speed_histogram", oracle=O.SPEED_HISTOGRAM)
+def speed_histogram(spark, sf_dir):
+    return report.histogram(_subset(spark, sf_dir), "speed_limit", 5)
+
+
+@register("payload_estimate", oracle=O.PAYLOAD_ESTIMATE)
+def payload_estimate(spark, sf_dir):
+    return report.payload_estimate(report.with_paths(_subset(spark, sf_dir)))
