@@ -72,8 +72,13 @@ def with_paths(subset: DataFrame, geojson: str = "geojson") -> DataFrame:
     # Staged projections: each step is computed once per row.
     out = subset.withColumn("_gj", F.try_parse_json(F.col(geojson)))
     out = out.withColumn("_path", geo.geojson_path_of_variant("_gj"))
-    out = out.withColumn("path", geo.thin_path("_path")).drop("_gj", "_path")
-    return out.where(F.size("path") > 0)
+    out = out.withColumn("_thin", geo.thin_path("_path"))
+    # Keep rows with a non-empty path.  Written as a 0-or-1 element explode:
+    # a Filter here would be pushed below the projections above and inline
+    # the whole GeoJSON chain into its condition, once per reference.
+    keep = F.when(F.size("_thin") > 0, F.array(F.col("_thin"))).otherwise(F.array().cast("array<array<array<double>>>"))
+    cols = [c for c in out.columns if c not in ("_gj", "_path", "_thin")]
+    return out.select(*cols, F.explode(keep).alias("path"))
 
 
 def payload_estimate(paths: DataFrame, by: list[str] = ["city_name"]) -> DataFrame:
