@@ -49,7 +49,8 @@ def months_before(as_of, months: int) -> Column:
     ``as_of`` is a ``datetime``/``str`` literal or a timestamp Column.
     """
     if isinstance(as_of, (str, _dt.datetime, _dt.date)):
-        ts = F.lit(str(as_of)).cast("timestamp_ntz") if isinstance(as_of, str) else F.lit(as_of).cast("timestamp_ntz")
+        text = as_of if isinstance(as_of, str) else as_of.isoformat(sep=" ") if isinstance(as_of, _dt.datetime) else as_of.isoformat()
+        ts = F.lit(text).cast("timestamp_ntz")
     else:
         ts = as_of
     return ts - F.expr(f"INTERVAL {int(months)} MONTH")

@@ -28,6 +28,11 @@ def sales_orders_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x orders packed as one JSON VARIANT per line (``sales_data``)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return sales_orders_from(li, o)
+
+
+def sales_orders_from(li: DataFrame, o: DataFrame) -> DataFrame:
+    """The JSON orders of the given lineitem and orders rows."""
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     # Built straight into a VARIANT object (no JSON text round trip); the
     # value is the same as parse_json of the reference's JSON text.

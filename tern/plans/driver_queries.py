@@ -264,3 +264,91 @@ def speed_histogram(spark, sf_dir):
 @register("payload_estimate", oracle=O.PAYLOAD_ESTIMATE)
 def payload_estimate(spark, sf_dir):
     return report.payload_estimate(report.with_paths(_subset(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------
+# W2  copy / update / promote
+# --------------------------------------------------------------------------
+
+from tern.sources import catalog  # noqa: E402
+
+
+@register(
+    "identity_rows",
+    oracle="""
+SELECT row_number() OVER (ORDER BY c_custkey) AS customer_id, c_custkey, c_name, c_mktsegment
+FROM customer
+""",
+)
+def identity_rows(spark, sf_dir):
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return catalog.with_identity(cust, "customer_id", start=1, order_by=["c_custkey"])
+
+
+@register(
+    "unique_check",
+    oracle="""
+SELECT l_orderkey, l_linenumber, count(*) AS occurrences
+FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+""",
+)
+def unique_check(spark, sf_dir):
+    return catalog.check_unique(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@register(
+    "update_promote",
+    oracle="""
+SELECT c_custkey, c_name, c_mktsegment, c_acctbal * 12 AS c_acctbal FROM customer
+""",
+)
+def update_promote(spark, sf_dir):
+    """Clone -> update (x 12) -> promote, as the promoted table's rows: the
+    clone is a copy of the scan, the update a projection (catalog side of the
+    workload: ``tern.sources.catalog``)."""
+    dev = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    return catalog.updated(dev, {"c_acctbal": F.col("c_acctbal") * 12})
+
+
+# --------------------------------------------------------------------------
+# W3  incremental refresh = full recompute
+# --------------------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from tern.session import checkpoint_dir  # noqa: E402
+from tern.sources import datagen  # noqa: E402
+from tern.streaming.refresh import SalesRefresh  # noqa: E402
+
+# The three arrival batches split the orders by order date.
+_BATCH_BOUNDS = ("1997-01-01", "2000-01-01")
+
+
+def refreshed_sales_report(spark, sf_dir, root=None):
+    """Land the JSON orders in three batches (by order date), run the
+    refresh stream after each landing, return the maintained sales_report."""
+    root = root or f"{checkpoint_dir(spark)}/refresh-{uuid.uuid4().hex}"
+    landing = f"{root}/landing"
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    a, b = (F.lit(x).cast("timestamp_ntz") for x in _BATCH_BOUNDS)
+    batches = [F.col("o_orderdate") < a, (F.col("o_orderdate") >= a) & (F.col("o_orderdate") < b), F.col("o_orderdate") >= b]
+    job = SalesRefresh(
+        spark,
+        f"{root}/tables",
+        landing,
+        derived.sales_customers(spark, sf_dir),
+        derived.sales_products(spark, sf_dir),
+        buckets=16,
+        as_of=derived.AS_OF,
+    )
+    for i, cond in enumerate(batches):
+        part = derived.sales_orders_from(li, o.where(cond))
+        datagen.write_json_batch(part, f"{landing}/batch={i}")
+        job.start({"availableNow": True}).awaitTermination()
+    return job.read("sales_report")
+
+
+@register("refresh_incremental_equals_full", oracle=O.SALES_REPORT)
+def refresh_incremental_equals_full(spark, sf_dir):
+    return refreshed_sales_report(spark, sf_dir)
