@@ -213,7 +213,12 @@ class SalesRefresh:
         raise KeyError(name)
 
     def landed_orders(self) -> DataFrame:
-        return self.spark.read.option("singleVariantColumn", "sales_data").schema("sales_data variant").json(self.landing)
+        return (
+            self.spark.read.option("recursiveFileLookup", "true")
+            .option("singleVariantColumn", "sales_data")
+            .schema("sales_data variant")
+            .json(self.landing)
+        )
 
     # --------------------------------------------------------- refresh
 
@@ -339,7 +344,8 @@ class SalesRefresh:
         ``{"availableNow": True}`` for refresh on request.
         """
         src = (
-            self.spark.readStream.option("singleVariantColumn", "sales_data")
+            self.spark.readStream.option("recursiveFileLookup", "true")
+            .option("singleVariantColumn", "sales_data")
             .schema("sales_data variant")
             .json(self.landing)
         )
