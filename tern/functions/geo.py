@@ -38,6 +38,19 @@ def unit_vector(lon, lat) -> Column:
     )
 
 
+def vec_cols(name: str) -> list[str]:
+    """A 3-vector ``name`` is stored as three double columns name_x/_y/_z
+    (plain columns keep the generated code small; struct field access is
+    much larger per use)."""
+    return [f"{name}_{c}" for c in "xyz"]
+
+
+def unit_vector_cols(lon, lat, name: str) -> list[Column]:
+    """``ST_POINT(lon, lat)`` as the three columns of a unit vector."""
+    u = unit_vector(lon, lat)
+    return [u[c].alias(f"{name}_{c}") for c in "xyz"]
+
+
 class V:
     """Tiny helper for 3-vector arithmetic over (x, y, z) Column triples."""
 
@@ -45,9 +58,12 @@ class V:
         self.x, self.y, self.z = x, y, z
 
     @classmethod
-    def of(cls, s) -> "V":
-        s = _c(s)
-        return cls(s["x"], s["y"], s["z"])
+    def of(cls, name: str, alias: str | None = None) -> "V":
+        q = f"{alias}." if alias else ""
+        return cls(*[F.col(f"{q}{c}") for c in vec_cols(name)])
+
+    def cols(self, name: str) -> list[Column]:
+        return [self.x.alias(f"{name}_x"), self.y.alias(f"{name}_y"), self.z.alias(f"{name}_z")]
 
     def dot(self, o: "V") -> Column:
         return self.x * o.x + self.y * o.y + self.z * o.z
@@ -81,17 +97,15 @@ def with_arc_frame(df, a: str = "a", b: str = "b", prefix: str = "") -> "DataFra
     after a join stay small (no shared subtree is copied into them).
     """
     A, B = V.of(a), V.of(b)
-    n = A.cross(B)
-    df = df.withColumn(f"{prefix}_n", n.struct())
+    df = df.select("*", *A.cross(B).cols(f"{prefix}_n"))
     N = V.of(f"{prefix}_n")
     df = df.withColumn(f"{prefix}_nn", N.norm())
     nn = F.col(f"{prefix}_nn")
-    ok = nn > 1e-15
-    scale = F.when(ok, F.lit(1.0) / nn).otherwise(F.lit(0.0))
-    df = df.withColumn(f"{prefix}nh", V(N.x * scale, N.y * scale, N.z * scale).struct())
+    scale = F.when(nn > 1e-15, F.lit(1.0) / nn).otherwise(F.lit(0.0))
+    df = df.select("*", *V(N.x * scale, N.y * scale, N.z * scale).cols(f"{prefix}nh"))
     NH = V.of(f"{prefix}nh")
-    df = df.withColumn(f"{prefix}ta", NH.cross(A).struct()).withColumn(f"{prefix}tb", B.cross(NH).struct())
-    return df.drop(f"{prefix}_n", f"{prefix}_nn")
+    df = df.select("*", *NH.cross(A).cols(f"{prefix}ta"), *B.cross(NH).cols(f"{prefix}tb"))
+    return df.drop(*vec_cols(f"{prefix}_n"), f"{prefix}_nn")
 
 
 def point_arc_distance(p: V, a: V, b: V, nh: V, ta: V, tb: V) -> Column:
@@ -108,6 +122,22 @@ def point_arc_distance(p: V, a: V, b: V, nh: V, ta: V, tb: V) -> Column:
     return F.when(inside, perp).otherwise(to_end) * EARTH_RADIUS_M
 
 
+def point_arc_within(p: V, a: V, b: V, nh: V, ta: V, tb: V, meters: float) -> Column:
+    """``point_arc_distance(...) <= meters`` without inverse trigonometry.
+
+    The same predicate, compared in the forward domain: the distance to the
+    great circle is asin|n.p| <= d/R  <=>  |n.p| <= sin(d/R), and the
+    endpoint distance 2 asin(|p-a|/2) <= d/R  <=>  |p-a|^2 <= (2 sin(d/2R))^2.
+    Cheaper per candidate pair and much less generated code.
+    """
+    delta = meters / EARTH_RADIUS_M
+    sin_d = math.sin(delta)
+    chord2 = (2 * math.sin(delta / 2)) ** 2
+    pa, pb = p.sub(a), p.sub(b)
+    inside = (ta.dot(p) >= 0) & (tb.dot(p) >= 0) & ((nh.x != 0) | (nh.y != 0) | (nh.z != 0))
+    return (inside & (F.abs(nh.dot(p)) <= sin_d)) | (pa.dot(pa) <= chord2) | (pb.dot(pb) <= chord2)
+
+
 def arcs_cross(n1: V, a: V, b: V, n2: V, c: V, d: V) -> Column:
     """Proper crossing of arcs ab and cd (each shorter than a half circle),
     from their plane normals n1 (of ab) and n2 (of cd)."""

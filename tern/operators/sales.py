@@ -68,30 +68,29 @@ def _days_since_last(rows: DataFrame) -> DataFrame:
        combines map-side, so a hot customer or date does not land in one task);
     2. previous distinct date: a window over the *distinct dates* of a
        customer, bounded by the calendar, not by the number of orders;
-    3. rows join back on (customer, date); AQE broadcasts the date table
-       when its measured size allows, else skew-join splits hot keys;
-    4. only rows equal to the group minimum are ranked, and those are
-       identical on every ordering column, so any one of them may be first.
+    3. rows join back on (customer, date), NULL-safe so NULL keys group as
+       the window groups them; AQE broadcasts the date table when its
+       measured size allows, else skew-join splits hot keys;
+    4. rows equal to the group minimum are identical on every ordering
+       column; one of them (row_number within exact duplicates) is first.
     NULL dates follow the window semantics: LAG over them is NULL.
     """
     key = F.struct(*[F.col(c) for c in TIE_BREAK])
     groups = rows.groupBy("customer_id", "purchase_date").agg(F.min(key).alias("_kmin"))
     by_cust = Window.partitionBy("customer_id").orderBy(F.col("purchase_date").asc_nulls_first())
-    groups = groups.withColumn("_prev", F.lag("purchase_date").over(by_cust))
-    joined = rows.join(groups, ["customer_id", "purchase_date"], "inner").withColumn("_is_min", key.eqNullSafe(F.col("_kmin")))
-    # The inner join drops NULL customer/date keys; those rows are added back
-    # below with a NULL gap, as LAG gives them.
-    rest = joined.where(~F.col("_is_min")).withColumn("days_since_last_purchase", F.lit(0))
-    firsts = joined.where(F.col("_is_min"))
-    dup_rank = F.row_number().over(Window.partitionBy("customer_id", "purchase_date").orderBy(F.lit(1)))
-    firsts = firsts.withColumn(
-        "days_since_last_purchase",
-        F.when(dup_rank == 1, dialect.days_between("_prev", "purchase_date")).otherwise(F.lit(0)),
+    groups = groups.withColumn("_prev", F.lag("purchase_date").over(by_cust)).withColumnsRenamed(
+        {"customer_id": "_g_cust", "purchase_date": "_g_date"}
     )
-    cols = rows.columns + ["days_since_last_purchase"]
-    out = rest.select(*cols).unionByName(firsts.select(*cols))
-    nulls = rows.where(F.col("purchase_date").isNull() | F.col("customer_id").isNull())
-    return out.unionByName(nulls.withColumn("days_since_last_purchase", F.lit(None).cast("int")))
+    cond = F.col("customer_id").eqNullSafe(F.col("_g_cust")) & F.col("purchase_date").eqNullSafe(F.col("_g_date"))
+    joined = rows.join(groups, cond, "inner")
+    dup = Window.partitionBy("customer_id", "purchase_date", *TIE_BREAK).orderBy(F.lit(1))
+    first = key.eqNullSafe(F.col("_kmin")) & (F.row_number().over(dup) == 1)
+    days = (
+        F.when(F.col("purchase_date").isNull(), F.lit(None).cast("int"))
+        .when(first, dialect.days_between("_prev", "purchase_date"))
+        .otherwise(F.lit(0))
+    )
+    return joined.select(*rows.columns, days.alias("days_since_last_purchase"))
 
 
 def sales_report(customer_orders_df: DataFrame, products: DataFrame, with_days: bool = True) -> DataFrame:

@@ -59,6 +59,8 @@ def build_session(
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.ansi.enabled": "true",
+        # checkpoint files of DataFrames that went out of scope are removed
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     conf.update(extra or {})
     for k, v in conf.items():
