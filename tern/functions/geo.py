@@ -232,30 +232,62 @@ def lat_cell(lat_deg: Column, g: float) -> Column:
     return F.floor(lat_deg / g).cast("long")
 
 
-def cell_ids(lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column, g: float, full_lon: Column) -> Column:
-    """All (lat, lon) cell ids covering a box, as ``array<long>``.
+def cell_ranges(lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column, g: float, full_lon: Column):
+    """Index ranges of the (lat, lon) cells covering a box: returns
+    (lat0, lat1, lon0, lon1) long Columns, inclusive.
 
     ``lon_lo`` <= ``lon_hi`` in unwrapped degrees (``lon_hi`` may exceed 180
-    for boxes across the antimeridian); ids wrap modulo the cells per circle.
-    ``full_lon`` marks boxes that touch a pole: every longitude cell.
+    for boxes across the antimeridian); longitude indices wrap modulo the
+    cells per circle (``cell_id``).  ``full_lon`` (a box touching a pole, or
+    wider than the circle) covers every longitude cell.
     """
     n = cells_per_circle(g)
     glat = 360.0 / n
     la0, la1 = lat_cell(F.greatest(lat_lo, F.lit(-90.0)), glat), lat_cell(F.least(lat_hi, F.lit(90.0)), glat)
-    lo0 = F.when(full_lon, F.lit(0)).otherwise(F.floor(lon_lo / glat)).cast("long")
-    lo1 = F.when(full_lon, F.lit(n - 1)).otherwise(F.floor(lon_hi / glat)).cast("long")
-    lats = F.sequence(la0, la1)
+    lo0 = F.floor(lon_lo / glat).cast("long")
+    lo1 = F.floor(lon_hi / glat).cast("long")
+    full = full_lon | (lo1 - lo0 + 1 >= n)
+    return la0, la1, F.when(full, F.lit(0)).otherwise(lo0).cast("long"), F.when(full, F.lit(n - 1)).otherwise(lo1).cast("long")
+
+
+def cell_id(lat_idx: Column, lon_idx: Column, g: float) -> Column:
+    n = cells_per_circle(g)
+    return lat_idx * n + F.pmod(lon_idx, F.lit(n).cast("long"))
+
+
+def explode_cells(df: "DataFrame", ranges, g: float, name: str = "cell") -> "DataFrame":
+    """One row per covering cell, with two plain generators over index
+    ranges (code-generated; no per-element lambdas)."""
+    la0, la1, lo0, lo1 = ranges
+    df = df.select("*", F.explode(F.sequence(la0, la1)).alias("_cla"), lo0.alias("_clo0"), lo1.alias("_clo1"))
+    df = df.select("*", F.explode(F.sequence(F.col("_clo0"), F.col("_clo1"))).alias("_clo"))
+    return df.withColumn(name, cell_id(F.col("_cla"), F.col("_clo"), g)).drop("_cla", "_clo", "_clo0", "_clo1")
+
+
+def cell_ids(lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column, g: float, full_lon: Column) -> Column:
+    """All cell ids covering a box as ``array<long>`` (see ``cell_ranges``)."""
+    la0, la1, lo0, lo1 = cell_ranges(lat_lo, lat_hi, lon_lo, lon_hi, g, full_lon)
+    n = cells_per_circle(g)
     lons = F.transform(F.sequence(lo0, lo1), lambda x: F.pmod(x, F.lit(n).cast("long")))
-    lons = F.array_distinct(lons)
-    return F.flatten(F.transform(lats, lambda la: F.transform(lons, lambda lo: la * n + lo)))
+    return F.flatten(F.transform(F.sequence(la0, la1), lambda la: F.transform(lons, lambda lo: la * n + lo)))
 
 
-def point_cover(lon, lat, meters: float, g: float) -> Column:
-    """Cells that any point within ``meters`` of (lon, lat) can fall in."""
+def point_cover_ranges(lon, lat, meters: float, g: float):
+    """Cell index ranges any point within ``meters`` of (lon, lat) can fall
+    in (latitude +- d, longitude +- asin(sin d / cos lat), every longitude
+    near a pole)."""
     delta = meters / EARTH_RADIUS_M
     ddeg = math.degrees(delta)
     la, lo = _c(lat), _c(lon)
     cosphi = F.cos(F.radians(la))
     polar = (cosphi <= math.sin(delta)) | (la + ddeg >= 90) | (la - ddeg <= -90)
     dlon = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(delta)) / F.greatest(cosphi, F.lit(1e-12)))))
-    return cell_ids(la - ddeg, la + ddeg, lo - dlon, lo + dlon, g, polar)
+    return cell_ranges(la - ddeg, la + ddeg, lo - dlon, lo + dlon, g, polar)
+
+
+def point_cover(lon, lat, meters: float, g: float) -> Column:
+    """``array<long>`` of the cells of ``point_cover_ranges``."""
+    la0, la1, lo0, lo1 = point_cover_ranges(lon, lat, meters, g)
+    n = cells_per_circle(g)
+    lons = F.transform(F.sequence(lo0, lo1), lambda x: F.pmod(x, F.lit(n).cast("long")))
+    return F.flatten(F.transform(F.sequence(la0, la1), lambda la_: F.transform(lons, lambda lo_: la_ * n + lo_)))

@@ -61,6 +61,11 @@ def build_session(
         "spark.sql.ansi.enabled": "true",
         # checkpoint files of DataFrames that went out of scope are removed
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # Let the JIT compile large generated methods (the exact spatial
+        # tests make big fused stages); HotSpot otherwise interprets any
+        # method above 8000 bytes of bytecode.
+        "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+        "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     }
     conf.update(extra or {})
     for k, v in conf.items():

@@ -197,3 +197,35 @@ def test_path_lengths(spark):
         geo.thin_path(F.transform(F.sequence(F.lit(0), F.lit(28)), lambda i: F.array(i.cast("double"), i.cast("double"))),
                       keep_last=True).alias("p")).first().p
     assert keep_last[-1] == [28.0, 28.0] and len(keep_last) == 15
+
+
+def test_hot_cell_refinement_is_exact(spark):
+    """A dense spot: refining hot cells (tiny row limit, 2 levels) gives the
+    same pairs as one flat grid."""
+    rnd = random.Random(11)
+    lines, pts = [], []
+    for fid in range(80):
+        lon, lat = rnd.uniform(10.0, 10.02), rnd.uniform(45.0, 45.02)
+        verts = [(lon, lat)]
+        for _ in range(rnd.randint(1, 4)):
+            lon += rnd.uniform(-0.004, 0.004)
+            lat += rnd.uniform(-0.004, 0.004)
+            verts.append((lon, lat))
+        lines.append((fid, fid, [verts]))
+    for pid in range(30):
+        pts.append((pid, rnd.uniform(10.0, 10.02), rnd.uniform(45.0, 45.02)))
+    L, P = lines_df(spark, lines), points_df(spark, pts)
+
+    def pairs(**kw):
+        out = spatial_join.intersects_pairs(L, "fid", "object_id", **kw)
+        return sorted((r.fid_1, r.fid_2) for r in out.collect())
+
+    def close(**kw):
+        out = spatial_join.dwithin_pairs(P, ["pid"], L, ["fid"], 300.0, **kw)
+        return sorted((r.pid, r.fid) for r in out.collect())
+
+    flat = pairs(levels=0)
+    assert len(flat) > 20
+    assert pairs(max_cell_rows=5, levels=2) == flat
+    assert pairs(max_cell_rows=5) == flat
+    assert close(max_cell_rows=5, levels=2, cell_deg=0.05) == close(levels=0, cell_deg=0.05)
