@@ -18,7 +18,8 @@ under replay of a micro-batch (the stream may re-run a batch after a failure):
   replaces its own output.
 * sales_report, cumulative_purchases (key recompute): a batch touches some
   customers; their ``bucket = pmod(hash(customer_id), B)`` partitions are
-  rebuilt from customer_orders (partition-pruned reads) and replaced whole.
+  rebuilt from customer_orders (partition-pruned reads) and replaced whole
+  (touched bucket folders removed, rebuilt rows appended).
   LAG under late dates changes the *following* rows, so the whole customer
   is recomputed, never appended.  Buckets left empty are deleted explicitly.
   cumulative_purchases also recomputes the buckets of customers whose rows
@@ -222,15 +223,15 @@ class SalesRefresh:
 
     # --------------------------------------------------------- refresh
 
-    def _write_buckets(self, df: DataFrame, name: str, touched: DataFrame | None) -> None:
-        """Replace the bucket partitions of ``name`` present in ``df``;
-        touched buckets that came out empty are deleted."""
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path(name))
-        if touched is not None:
-            written = {r[0] for r in df.select("bucket").distinct().collect()}  # at most B values
-            for (b,) in touched.collect():  # at most B values
-                if b not in written:
-                    _delete(self.spark, f"{self.path(name)}/bucket={b}")
+    def _write_buckets(self, df: DataFrame, name: str, touched: DataFrame) -> None:
+        """Replace the touched bucket partitions of ``name`` by ``df``'s rows:
+        the touched buckets' folders are removed, then the new rows are
+        appended, so a bucket that came out empty is simply absent.  The
+        output is computed once.  A failure in between leaves those buckets
+        missing until the micro-batch is replayed, which redoes both steps."""
+        for (b,) in touched.collect():  # at most B values
+            _delete(self.spark, f"{self.path(name)}/bucket={b}")
+        df.write.mode("append").partitionBy("bucket").parquet(self.path(name))
 
     def refresh_batch(self, batch: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` body: one micro-batch through the DAG."""
