@@ -399,7 +399,7 @@ fp2 AS (SELECT *, (n_points + step - 1) // step AS n_path, ((n_points - 1) // st
 
 PATH_THINNING = f"""
 WITH {_LINES}, {_PATHS}
-SELECT fp2.fid, fp2.n_points, CAST(fp2.n_path AS INTEGER) AS n_path,
+SELECT fp2.fid, CAST(fp2.n_points AS INTEGER) AS n_points, CAST(fp2.n_path AS INTEGER) AS n_path,
        a.lon AS first_lon, a.lat AS first_lat, b.lon AS last_lon, b.lat AS last_lat
 FROM fp2 JOIN vx a ON a.fid = fp2.fid AND a.part = 0 AND a.k = 0
          JOIN vx b ON b.fid = fp2.fid AND b.part = 0 AND b.k = fp2.last_k
