@@ -27,3 +27,20 @@ def test_entry_runs(spark):
     df = e.entry(spark)
     rows = df.collect()
     assert len(rows) > 0 and "sum_qty" in df.columns
+
+
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+          "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_query_types_match_oracle(spark, key):
+    """Column types agree with DuckDB's (the driver also compares schemas)."""
+    from tern.plans.verify import duck_connection
+
+    sdf = queries()[key](spark, SF_SMALL)
+    con = duck_connection(SF_SMALL)
+    duck = {r[0]: r[1].replace(" ", "") for r in con.execute(f"DESCRIBE {oracle_sql()[key]}").fetchall()}
+    for f in sdf.schema.fields:
+        s = f.dataType.simpleString()
+        assert _TYPES.get(s, s.upper().replace(" ", "")) == duck[f.name], (f.name, s, duck[f.name])
