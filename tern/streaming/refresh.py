@@ -263,6 +263,8 @@ class SalesRefresh:
                 co_new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
                     "bucket", "batch_id"
                 ).parquet(self.path("customer_orders"))
+            # Bucket ids touched by this batch: at most B rows, so the two
+            # broadcasts below have a fixed size bound.
             touched = co_new.select("bucket").distinct()
             co_all = s.read.parquet(self.path("customer_orders"))
             if "sales_report" in active:
