@@ -42,9 +42,10 @@ def summarize(plan: str) -> dict:
         line = m.group(0)
         loc = re.search(r"Location: [^\[]*\[([^\]]*)\]", line)
         pushed = re.search(r"PushedFilters: \[([^\]]*)\]", line)
-        schema = re.search(r"ReadSchema: (struct<[^\n]*?>)(?:,|$)", line)
+        cols = re.match(r"FileScan parquet \[([^\]]*)\]", line)
         name = (loc.group(1).rsplit("/", 1)[-1] if loc else "?")
-        scans.append((name, pushed.group(1) if pushed else "", schema.group(1) if schema else ""))
+        names = [c.split("#")[0] for c in cols.group(1).split(",")] if cols and cols.group(1) else []
+        scans.append((name, pushed.group(1) if pushed else "", names))
     return {"ops": {k: v for k, v in ops.items() if v}, "scans": scans, "codegen_stages": plan.count("*(")}
 
 
@@ -71,10 +72,8 @@ def main(argv) -> int:
         s = summarize(plan)
         print(f"## {name}\n")
         print(f"- run: {secs:.1f} s; operators: " + ", ".join(f"{k} {v}" for k, v in s["ops"].items()))
-        for tbl, pushed, schema in s["scans"]:
-            cols = schema[len("struct<") : -1] if schema else ""
-            ncols = len(re.findall(r"[a-z_0-9]+:", cols))
-            print(f"- scan `{tbl}`: {ncols} columns read; pushed: {pushed or '—'}")
+        for tbl, pushed, names in s["scans"]:
+            print(f"- scan `{tbl}`: reads {', '.join(names) or 'no columns'}; pushed: {pushed or '—'}")
         print()
     spark.stop()
     return 0
