@@ -5,6 +5,8 @@ its defining query run in full on the same inputs and as_of."""
 import datetime as dt
 import os
 
+from pyspark.sql import functions as F
+
 from tern.operators import sales
 from tern.sources import datagen
 from tern.streaming.refresh import SalesRefresh
@@ -102,3 +104,20 @@ def test_suspend_resume_and_static_change(spark, workdir):
     land(spark, job, 10, 3000, 8, "b3")
     job.start().awaitTermination()
     assert_equal_to_full(spark, job)
+
+
+def test_processing_time_trigger(spark, workdir):
+    """The freshness target (LAG = '1 MINUTE') as a processing-time trigger:
+    a running stream picks up files as they land."""
+    job = make_job(spark, workdir)
+    land(spark, job, 30, 1, 9, "b0")
+    q = job.start({"processingTime": "1 second"})
+    try:
+        q.processAllAvailable()
+        land(spark, job, 20, 500, 10, "b1")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert_equal_to_full(spark, job)
+    assert job.read("customer_orders").count() == job.landed_orders().join(
+        job.customers.selectExpr("cust_id"), F.expr("variant_get(sales_data, '$.custid', 'bigint') = cust_id")).count()
