@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime broadcast limit (bytes of the measured, materialized side).
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -79,14 +80,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and durable intermediate tables.
 
     Read from ``spark.checkpoint.dir`` as the cluster names it.  Only when it
-    is unset (local tests) a fresh directory is created and registered.
+    is unset on a local master (tests) a fresh directory is created and
+    registered; on a cluster an unset folder is an error, because a
+    driver-local one is not visible to the executors.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="tern-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for one intermediate table below the shared folder."""
+    return f"{checkpoint_dir(spark)}/tern/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    Cuts the lineage like ``checkpoint()``, but later reads prune columns,
+    push filters down, scan vectorized and know the table's size.  The files
+    survive lost executors.  They stay until the shared folder is cleaned.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
