@@ -7,10 +7,11 @@ DuckDB SQL where SQL can express the result.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm import exact_dedup, mixing
+from tern.llm import bpe, exact_dedup, mixing, quality_cnn
 from tern.sources.tables import table
 
 
@@ -23,6 +24,15 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    net = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_cnn.score(spark, docs, net)
+    return scored.select(
+        "doc_id", quality_cnn.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.membership(_documents(spark, sf_dir, "doc_id", "text"))
     return rows.select(
@@ -30,9 +40,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(spark, _documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_quality_cnn": op2_quality_cnn,
     "op3_exact_dedup": op3_exact_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
