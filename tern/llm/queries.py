@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm import bpe, exact_dedup, mixing, quality_cnn
+from tern.llm import bpe, exact_dedup, mixing, quality_cnn, simhash
 from tern.sources.tables import table
 
 
@@ -40,6 +40,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_groups(spark, _documents(spark, sf_dir, "doc_id", "text"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("_t_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, _documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_cnn": op2_quality_cnn,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_simhash": op7_simhash,
     "op10_bpe": op10_bpe,
 }
 
