@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm import bpe, exact_dedup, mixing, quality_cnn, simhash
+from tern.llm import bpe, exact_dedup, mixing, ppm, quality_cnn, simhash, suffix_dedup
 from tern.sources.tables import table
 
 
@@ -45,6 +45,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("_t_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(spark, _documents(spark, sf_dir, "doc_id", "text"), with_bytes=False)
+    return rows.drop("_t_row", "kept")
+
+
+def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.lm_scores(spark, _documents(spark, sf_dir, "doc_id", "text")).drop("_t_row")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, _documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,6 +63,8 @@ QUERIES = {
     "op2_quality_cnn": op2_quality_cnn,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_ppm": op9_ppm,
     "op10_bpe": op10_bpe,
 }
 
