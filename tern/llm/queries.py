@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm import bpe, exact_dedup, mixing, ppm, quality_cnn, simhash, suffix_dedup
+from tern.llm import bpe, exact_dedup, kd_shards, mixing, outliers, ppm, quality_cnn, simhash, suffix_dedup
 from tern.sources.tables import table
 
 
@@ -40,6 +40,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.kd_shards(_documents(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = outliers.outliers(_documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_groups(spark, _documents(spark, sf_dir, "doc_id", "text"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("_t_fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -62,6 +76,8 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_cnn": op2_quality_cnn,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_kd_shards": op5_kd_shards,
+    "op6_outliers": op6_outliers,
     "op7_simhash": op7_simhash,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ppm": op9_ppm,

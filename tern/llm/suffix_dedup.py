@@ -49,7 +49,7 @@ from tern.session import materialize
 
 LENGTH, GRAM = 100, 64
 REACH = LENGTH - GRAM  # an anchor starts 0 to REACH bytes after its string
-HOT = 2
+HOT = 4096
 BLOCK = 1 << 22  # bytes of text in a block
 PIECE = 1 << 19  # bytes that are hashed at a time
 SORT = 1 << 20  # strings that are sorted at a time
