@@ -3,14 +3,14 @@
 Counts of words, symbols, repeated lines and repeated five-word windows are
 taken from every whole text, and from them a vector of transformed shares
 (``VECTOR``).  For each language and source the vectors' location and scatter
-are estimated from the half of the rows (``SHARE``) that lies closest together:
+are estimated from the rows (``SHARE`` of them) that lie closest together:
 starting from medians and median deviations, concentration steps take the
 rows with the smallest Mahalanobis distances and estimate again from those, so
 junk cannot widen the estimate that should reject it.  A document whose
 distance to its group's estimate is beyond ``CUT`` is rejected.
 
 Groups with fewer than ``LEAST`` rows use their language's estimate, languages
-with fewer that of the whole table.  A variance floor (``FLOOR``) stands for
+with fewer that of the whole table.  A variance floor (in ``VECTOR``) stands for
 dimensions in which clean rows do not differ.
 
 Everything is DataFrame functions.  A step is two aggregates over a narrow table
@@ -35,8 +35,8 @@ MARKS = "!?;:\"'()[]{}=_~^@/\\+" + SYMBOLS
 WINDOW = 5
 SHARE, STEPS, LEAST = 0.75, 4, 200
 #: name, standard deviation that is assumed at least
-VECTOR = (("word_length", 0.12), ("symbols", 0.10), ("marks", 0.10), ("capitals", 0.10), ("dup_lines", 0.12), ("repeats", 0.12))
-CUT = 60.0
+VECTOR = (("word_length", 0.15), ("symbols", 0.07), ("marks", 0.12), ("capitals", 0.10), ("dup_lines", 0.30), ("repeats", 0.12))
+CUT = 24.0
 
 
 def _let(value: Column, body) -> Column:

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm import bpe, exact_dedup, kd_shards, mixing, outliers, ppm, quality_cnn, simhash, suffix_dedup
+from tern.llm import bpe, exact_dedup, kd_shards, mixing, outliers, pii, ppm, quality_cnn, simhash, suffix_dedup
 from tern.sources.tables import table
 
 
@@ -40,6 +40,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.personal_data(_documents(spark, sf_dir, "doc_id", "text"))
+    base = F.filter("found", lambda s: s["base"])
+    of_kind = lambda k: F.size(F.filter(base, lambda s: s["k"] == k)).cast("long")
+    count = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS, 1)]
+    return rows.select(
+        "doc_id", *count, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans")
+    )
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.kd_shards(_documents(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars"))
     return placed.select(
@@ -76,6 +86,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_cnn": op2_quality_cnn,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_pii": op4_pii,
     "op5_kd_shards": op5_kd_shards,
     "op6_outliers": op6_outliers,
     "op7_simhash": op7_simhash,
