@@ -286,16 +286,10 @@ def payload_estimate(spark, sf_dir):
 from tern.sources import catalog  # noqa: E402
 
 
-@register(
-    "identity_rows",
-    oracle="""
-SELECT row_number() OVER (ORDER BY c_custkey) AS customer_id, c_custkey, c_name, c_mktsegment
-FROM customer
-""",
-)
+@register("identity_rows", oracle=O.IDENTITY_ROWS)
 def identity_rows(spark, sf_dir):
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    return catalog.with_identity(cust, "customer_id", start=1, order_by=["c_custkey"])
+    li = table(spark, sf_dir, "lineitem").withColumns({c: F.col(c).cast("decimal(15,2)") for c in O.LINE_AMOUNTS})
+    return catalog.with_identity(li, "line_id", start=1, order_by=li.columns)
 
 
 @register(
@@ -310,15 +304,14 @@ def unique_check(spark, sf_dir):
 
 
 @register(
-    "update_promote",
+    "update_rows",
     oracle="""
 SELECT c_custkey, c_name, c_mktsegment, c_acctbal * 12 AS c_acctbal FROM customer
 """,
 )
-def update_promote(spark, sf_dir):
-    """Clone -> update (x 12) -> promote, as the promoted table's rows: the
-    clone is a copy of the scan, the update a projection (catalog side of the
-    workload: ``tern.sources.catalog``)."""
+def update_rows(spark, sf_dir):
+    """The rows of the update (x 12); clone, promote and swap are catalog
+    statements around it (``tern.sources.catalog``, tests/test_catalog.py)."""
     dev = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
     return catalog.updated(dev, {"c_acctbal": F.col("c_acctbal") * 12})
 

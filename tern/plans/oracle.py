@@ -421,3 +421,12 @@ SELECT fid, geom_type, CASE WHEN multi THEN 2 ELSE 1 END AS n_parts,
        CAST(npts + CASE WHEN multi THEN 2 ELSE 0 END AS INTEGER) AS n_vertices, TRUE AS roundtrip_equal
 FROM feat WHERE NOT geom_null
 """
+
+# with_identity on whole lineitem rows: amounts as decimals on both sides, and
+# every column in the order, so rows that tie are equal.
+LINE_AMOUNTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+IDENTITY_ROWS = f"""
+SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, {", ".join(LINE_AMOUNTS)},
+                          l_returnflag, l_linestatus, l_shipdate) AS line_id, *
+FROM (SELECT * REPLACE ({", ".join(f"CAST({c} AS DECIMAL(15,2)) AS {c}" for c in LINE_AMOUNTS)}) FROM lineitem)
+"""

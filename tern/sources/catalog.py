@@ -4,9 +4,10 @@ Tables are Parquet tables in the Spark catalog.  Parquet has no UPDATE, no
 identity columns and no atomic swap, so:
 
 * ``update_table`` writes the updated rows to a new table and renames it
-  into place (the source is never overwritten while it is being read);
+  into place (the source is never overwritten while it is being read, and
+  is dropped only after the new table has its name);
 * ``with_identity`` numbers rows 1..n from per-partition counts and offsets
-  (two passes over the input, no single-partition window);
+  of the rows as written once (no single-partition window);
 * ``swap_tables`` is three renames through a temporary name; it is not
   atomic for concurrent readers, and a swap interrupted half-way is
   completed by calling it again (the temporary name records the state).
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tern.session import materialize
+
 
 def create_database(spark: SparkSession, name: str) -> None:
     """``CREATE DATABASE IF NOT EXISTS``."""
@@ -35,17 +38,6 @@ def create_table(spark: SparkSession, name: str, schema: StructType, replace: bo
     spark.createDataFrame([], schema).write.format("parquet").saveAsTable(name)
 
 
-def insert_rows(spark: SparkSession, name: str, rows: Iterable[tuple], columns: list[str]) -> None:
-    """``INSERT INTO t (cols) VALUES …`` (S7).  Columns of the table that are
-    not listed get NULL, except an identity column filled by
-    ``insert_with_identity``."""
-    target = spark.table(name)
-    df = spark.createDataFrame(list(rows), StructType([target.schema[c] for c in columns]))
-    full = df.select(*[F.col(c) if c in columns else F.lit(None).cast(target.schema[c].dataType).alias(c)
-                       for c in target.columns])
-    full.write.insertInto(name)
-
-
 def insert_with_identity(spark: SparkSession, name: str, rows: Iterable[tuple], columns: list[str], identity: str) -> None:
     """``INSERT`` into a table with an ``AUTOINCREMENT`` column: new ids
     continue after the table's current maximum."""
@@ -62,11 +54,35 @@ def create_table_as(df: DataFrame, name: str, order_by: list[str] | None = None)
     table read has no row order guarantee."""
     spark = df.sparkSession
     tmp = f"{name}__tern_ctas"
+    _finish_replacement(spark, name, tmp)
     drop_table(spark, tmp)
     out = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
     out.write.format("parquet").saveAsTable(tmp)
-    drop_table(spark, name)
-    spark.sql(f"ALTER TABLE {tmp} RENAME TO {name}")
+    _replace(spark, name, tmp)
+
+
+def _replace(spark: SparkSession, name: str, new: str) -> None:
+    """Put the complete table ``new`` in the place of ``name``: the old table
+    is renamed aside, the new one in, and only then the old one dropped, so at
+    every moment one complete copy exists under a known name."""
+    old = f"{name}__tern_old"
+    if _exists(spark, name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+    drop_table(spark, old)
+
+
+def _finish_replacement(spark: SparkSession, name: str, new: str) -> bool:
+    """Complete a replacement that was interrupted between its renames (the
+    old table stands aside, which is done only once ``new`` is complete).
+    True if the new table was put in place by this call or before it."""
+    old = f"{name}__tern_old"
+    if not _exists(spark, old):
+        return False
+    if not _exists(spark, name):
+        spark.sql(f"ALTER TABLE {new if _exists(spark, new) else old} RENAME TO {name}")
+    drop_table(spark, old)
+    return True
 
 
 def drop_table(spark: SparkSession, name: str, if_exists: bool = True) -> None:
@@ -91,12 +107,18 @@ def updated(df: DataFrame, assignments: dict[str, Column], where: Column | None
 
 
 def update_table(spark: SparkSession, name: str, assignments: dict[str, Column], where: Column | None = None) -> None:
-    """``UPDATE`` (S17): new table with the updated rows, renamed into place."""
+    """``UPDATE`` (S17): new table with the updated rows, renamed into place.
+
+    Called again after an interruption, it completes an update whose new table
+    was already complete instead of applying the assignments a second time;
+    before that point the old table is untouched and the update starts anew.
+    """
     new = f"{name}__tern_upd"
+    if _finish_replacement(spark, name, new):
+        return
     drop_table(spark, new)
     updated(spark.table(name), assignments, where).write.format("parquet").saveAsTable(new)
-    drop_table(spark, name)
-    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+    _replace(spark, name, new)
 
 
 def _exists(spark: SparkSession, name: str) -> bool:
@@ -105,9 +127,13 @@ def _exists(spark: SparkSession, name: str) -> bool:
 
 def swap_tables(spark: SparkSession, a: str, b: str) -> None:
     """``ALTER TABLE a SWAP WITH b`` (S18) as renames a->tmp, b->a, tmp->b.
-    Re-running after a failure finishes the remaining renames."""
+    Re-running after a failure finishes the remaining renames.  A missing
+    table raises before anything is renamed."""
     tmp = f"{a}__tern_swap"
     if not _exists(spark, tmp):
+        missing = [t for t in (a, b) if not _exists(spark, t)]
+        if missing:
+            raise ValueError(f"cannot swap, no table {missing}")
         spark.sql(f"ALTER TABLE {a} RENAME TO {tmp}")
     if not _exists(spark, a):
         spark.sql(f"ALTER TABLE {b} RENAME TO {a}")
@@ -120,21 +146,28 @@ def with_identity(df: DataFrame, col: str, start: int = 1, order_by: list[str] |
 
     With ``order_by`` the ids follow that order (ties: any order among equal
     keys, so give a unique key); without, they follow the input's partition
-    order.  Plan: tag rows with (partition id, monotonically increasing id),
-    count rows per partition (an aggregate with one row per partition), turn
-    the counts into offsets with a window over that tiny table, broadcast it
-    (its size is the partition count) and add.  The input is read twice; the
-    counts do not depend on row order, but the input must be deterministic
-    per partition (checkpoint it first if it is not).
+    order.  The numbered input is one fixed thing: the rows, range-partitioned
+    and sorted, are written once as Parquet in the shared folder together with
+    their position (partition id and row number within it).  Counts per
+    partition and the rows themselves are both read from those files, so they
+    cannot disagree.  The counts are one row per partition; turned into offsets
+    by a window over that small table they are broadcast, with the partition
+    count as their size bound.  Raises if the output would not have as many
+    rows as were written.
     """
     src = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df
-    tagged = src.withColumn("_tid_p", F.spark_partition_id()).withColumn("_tid_m", F.monotonically_increasing_id())
-    counts = tagged.groupBy("_tid_p").agg(F.count(F.lit(1)).alias("_tid_n"))
+    tagged = materialize(src.withColumn("_tid_m", F.monotonically_increasing_id()), "identity")
+    # monotonically_increasing_id = (partition id << 33) + row position.
+    part = F.shiftrightunsigned("_tid_m", 33)
+    counts = tagged.groupBy(part.alias("_tid_p")).agg(F.count(F.lit(1)).alias("_tid_n"), F.max("_tid_m").alias("_tid_last"))
+    counts = materialize(counts, "identity-counts")
+    gap = counts.where(F.col("_tid_last") != F.shiftleft("_tid_p", 33) + F.col("_tid_n") - 1)
+    if not gap.isEmpty():
+        raise RuntimeError("the written rows are not numbered without gaps")
     w = Window.orderBy("_tid_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_tid_p", F.coalesce(F.sum("_tid_n").over(w), F.lit(0)).alias("_tid_o"))
-    out = tagged.join(F.broadcast(offsets), "_tid_p", "inner")
-    # monotonically_increasing_id = (partition id << 33) + row position.
-    pos = F.col("_tid_m") - F.shiftleft(F.col("_tid_p").cast("long"), 33)
+    out = tagged.withColumn("_tid_p", part).join(F.broadcast(offsets), "_tid_p", "inner")
+    pos = F.col("_tid_m") - F.shiftleft("_tid_p", 33)
     ident = F.col("_tid_o") + pos + F.lit(start)
     return out.select(ident.alias(col), *df.columns)
 

@@ -2,6 +2,8 @@
 
 import uuid
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -62,3 +64,50 @@ def test_identity_dense_and_unique(spark):
                  if r.a is not None)
     nulls = [r.occurrences for r in catalog.check_unique(dup, ["a", "b"]).collect() if r.a is None]
     assert res == [(1, 1, 2)] and nulls == [1]
+
+
+def test_interrupted_replacement_keeps_the_table(spark):
+    db = f"demo_{uuid.uuid4().hex[:8]}"
+    catalog.create_database(spark, db)
+    t = f"{db}.t"
+    twelve = {"a": F.col("a") * 12}
+    rows = lambda: sorted(r.a for r in spark.table(t).collect())
+    catalog.create_table_as(spark.range(3).select(F.col("id").alias("a")), t)
+    # interrupted with the old table aside and the new one complete
+    catalog.updated(spark.table(t), twelve).write.saveAsTable(f"{t}__tern_upd")
+    spark.sql(f"ALTER TABLE {t} RENAME TO {t}__tern_old")
+    catalog.update_table(spark, t, twelve)
+    assert rows() == [0, 12, 24] and not spark.catalog.tableExists(f"{t}__tern_old")
+    # interrupted before the drop of the old table
+    spark.table(t).write.saveAsTable(f"{t}__tern_old")
+    catalog.update_table(spark, t, twelve)
+    assert rows() == [0, 12, 24]
+    # interrupted while the new table was written
+    spark.range(1).select(F.col("id").alias("a")).write.saveAsTable(f"{t}__tern_upd")
+    catalog.update_table(spark, t, twelve)
+    assert rows() == [0, 144, 288]
+    with pytest.raises(ValueError):
+        catalog.swap_tables(spark, t, f"{db}.nothing")
+    assert rows() == [0, 144, 288]
+    spark.sql(f"DROP DATABASE {db} CASCADE")
+
+
+@pytest.mark.parametrize("aqe", ["true", "false"])
+def test_identity_over_many_partitions(spark, aqe):
+    """600,000 rows, all columns, several partitions: every row once, in order."""
+    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    keys = ["l_orderkey", "l_linenumber"]
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    try:
+        ids = catalog.with_identity(li, "rid", order_by=[*keys, *[c for c in li.columns if c not in keys]])
+        n = li.count()
+        got = ids.agg(F.count("*"), F.countDistinct("rid"), F.min("rid"), F.max("rid")).first()
+        assert tuple(got) == (n, n, 1, n)
+        # ids ascend with the keys: between any two orders, the smaller one's last id comes first
+        ends = ids.groupBy("l_orderkey").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
+        w = Window.orderBy("l_orderkey")
+        assert ends.withColumn("before", F.lag("hi").over(w)).where("before >= lo").count() == 0
+        assert ids.drop("rid").exceptAll(li).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
