@@ -7,14 +7,16 @@ whole-stage codegen.
 from __future__ import annotations
 
 import datetime as _dt
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed decimal shapes for division (F11): operands decimal(18,6), result
-# decimal(18,8).  Spark's own rule would give decimal(38,30).
-DIV_OPERAND = "decimal(18,6)"
-DIV_RESULT = "decimal(18,8)"
+# Operands of an exact division: 18 digits before the point, 9 after it.
+DIV_OPERAND = "decimal(27,9)"
+# Sums of measures keep this many decimals (their columns are doubles, read
+# as the decimal number they print as, never cut to the result's scale).
+MEASURE = "decimal(28,9)"
 
 
 def _c(x) -> Column:
@@ -30,16 +32,28 @@ def round_to_int(x) -> Column:
     return F.round(_c(x)).cast("int")
 
 
-def divide(num, den, lenient: bool = False) -> Column:
-    """Decimal division with fixed operand and result types.
+def divide(num, den, scale: int = 8, lenient: bool = False) -> Column:
+    """``num / den`` rounded once, HALF_UP on the true quotient, to ``scale``
+    decimals (F11, F8): decimal(28+scale, scale).
 
-    A zero divisor raises under ANSI mode (the default); ``lenient`` gives
-    NULL instead.
+    Spark's own decimal division rounds to an intermediate scale, and rounding
+    that again can turn 0.004999... into 0.01.  Here the quotient at ``scale``
+    is found as a whole number: twice the shifted numerator plus the divisor,
+    less its remainder, over twice the divisor divides without a rest.
+    Operands have up to 18 digits before the point and 9 after it; beyond that
+    the cast raises.  A zero divisor raises under ANSI mode (the default);
+    ``lenient`` gives NULL instead.
     """
-    n = _c(num).cast(DIV_OPERAND)
-    d = _c(den).cast(DIV_OPERAND)
-    q = F.try_divide(n, d) if lenient else n / d
-    return q.cast(DIV_RESULT)
+    n, d = _c(num).cast(DIV_OPERAND), _c(den).cast(DIV_OPERAND)
+    if lenient:
+        d = F.nullif(d, F.lit(0).cast(DIV_OPERAND))
+    twice = F.lit(Decimal(2 * 10**scale)).cast(f"decimal({scale + 1},0)")
+    two_d = (F.abs(d) * F.lit(Decimal(2)).cast("decimal(1,0)")).cast("decimal(28,9)")
+    top = (F.abs(n) * twice + F.abs(d)).cast("decimal(37,9)")
+    whole = ((top - top % two_d) / two_d).cast("decimal(28,0)")
+    unit = F.lit(Decimal(1).scaleb(-scale)).cast(f"decimal({max(scale, 1)},{scale})")
+    q = whole * unit if scale else whole
+    return F.when((n < 0) != (d < 0), -q).otherwise(q).cast(f"decimal({28 + scale},{scale})")
 
 
 def months_before(as_of, months: int) -> Column:

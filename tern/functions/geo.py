@@ -108,25 +108,14 @@ def with_arc_frame(df, a: str = "a", b: str = "b", prefix: str = "") -> "DataFra
     return df.drop(*vec_cols(f"{prefix}_n"), f"{prefix}_nn")
 
 
-def point_arc_distance(p: V, a: V, b: V, nh: V, ta: V, tb: V) -> Column:
-    """Great-circle distance (m) from point p to the arc a->b, given the
-    arc's frame (``with_arc_frame``).
-
-    If p projects inside the arc the distance is to the great circle through
-    a and b, else to the nearer endpoint.  A degenerate arc (a = b, zero
-    normal) is its endpoint.
-    """
-    to_end = F.least(chord_angle(p, a), chord_angle(p, b))
-    inside = (ta.dot(p) >= 0) & (tb.dot(p) >= 0) & ((nh.x != 0) | (nh.y != 0) | (nh.z != 0))
-    perp = F.asin(F.least(F.lit(1.0), F.abs(nh.dot(p))))
-    return F.when(inside, perp).otherwise(to_end) * EARTH_RADIUS_M
-
-
 def point_arc_within(p: V, a: V, b: V, nh: V, ta: V, tb: V, meters: float) -> Column:
-    """``point_arc_distance(...) <= meters`` without inverse trigonometry.
+    """Whether point p lies within ``meters`` of the arc a->b, given the arc's
+    frame (``with_arc_frame``), without inverse trigonometry.
 
-    The same predicate, compared in the forward domain: the distance to the
-    great circle is asin|n.p| <= d/R  <=>  |n.p| <= sin(d/R), and the
+    If p projects inside the arc the distance is to the great circle through
+    a and b, else to the nearer endpoint; a degenerate arc (a = b, zero
+    normal) is its endpoint.  Compared in the forward domain: the distance to
+    the great circle is asin|n.p| <= d/R  <=>  |n.p| <= sin(d/R), and the
     endpoint distance 2 asin(|p-a|/2) <= d/R  <=>  |p-a|^2 <= (2 sin(d/2R))^2.
     Cheaper per candidate pair and much less generated code.
     """
@@ -232,22 +221,30 @@ def lat_cell(lat_deg: Column, g: float) -> Column:
     return F.floor(lat_deg / g).cast("long")
 
 
+#: Latitude beyond which all longitudes are one cell (a cap per pole).
+POLAR_LAT = 80.0
+
+
 def cell_ranges(lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column, g: float, full_lon: Column):
     """Index ranges of the (lat, lon) cells covering a box: returns
-    (lat0, lat1, lon0, lon1) long Columns, inclusive.
+    (lat0, lat1, lon0, lon1) long Columns, inclusive, and whether the box
+    reaches the north and the south cap.
 
     ``lon_lo`` <= ``lon_hi`` in unwrapped degrees (``lon_hi`` may exceed 180
     for boxes across the antimeridian); longitude indices wrap modulo the
-    cells per circle (``cell_id``).  ``full_lon`` (a box touching a pole, or
-    wider than the circle) covers every longitude cell.
+    cells per circle (``cell_id``).  ``full_lon`` (wider than the circle)
+    covers every longitude cell.  What lies above ``POLAR_LAT`` is one cell,
+    so a box there has one cell however many meridians it meets; the ranges
+    hold the part below, lat0 > lat1 if there is none.
     """
     n = cells_per_circle(g)
     glat = 360.0 / n
-    la0, la1 = lat_cell(F.greatest(lat_lo, F.lit(-90.0)), glat), lat_cell(F.least(lat_hi, F.lit(90.0)), glat)
+    la0, la1 = lat_cell(F.greatest(lat_lo, F.lit(-POLAR_LAT)), glat), lat_cell(F.least(lat_hi, F.lit(POLAR_LAT)), glat)
     lo0 = F.floor(lon_lo / glat).cast("long")
     lo1 = F.floor(lon_hi / glat).cast("long")
     full = full_lon | (lo1 - lo0 + 1 >= n)
-    return la0, la1, F.when(full, F.lit(0)).otherwise(lo0).cast("long"), F.when(full, F.lit(n - 1)).otherwise(lo1).cast("long")
+    lo0, lo1 = F.when(full, F.lit(0)).otherwise(lo0).cast("long"), F.when(full, F.lit(n - 1)).otherwise(lo1).cast("long")
+    return la0, la1, lo0, lo1, lat_hi >= POLAR_LAT, lat_lo <= -POLAR_LAT
 
 
 def cell_id(lat_idx: Column, lon_idx: Column, g: float) -> Column:
@@ -258,18 +255,16 @@ def cell_id(lat_idx: Column, lon_idx: Column, g: float) -> Column:
 def explode_cells(df: "DataFrame", ranges, g: float, name: str = "cell") -> "DataFrame":
     """One row per covering cell, with two plain generators over index
     ranges (code-generated; no per-element lambdas)."""
-    la0, la1, lo0, lo1 = ranges
-    df = df.select("*", F.explode(F.sequence(la0, la1)).alias("_cla"), lo0.alias("_clo0"), lo1.alias("_clo1"))
-    df = df.select("*", F.explode(F.sequence(F.col("_clo0"), F.col("_clo1"))).alias("_clo"))
-    return df.withColumn(name, cell_id(F.col("_cla"), F.col("_clo"), g)).drop("_cla", "_clo", "_clo0", "_clo1")
-
-
-def cell_ids(lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column, g: float, full_lon: Column) -> Column:
-    """All cell ids covering a box as ``array<long>`` (see ``cell_ranges``)."""
-    la0, la1, lo0, lo1 = cell_ranges(lat_lo, lat_hi, lon_lo, lon_hi, g, full_lon)
+    la0, la1, lo0, lo1, north, south = ranges
     n = cells_per_circle(g)
-    lons = F.transform(F.sequence(lo0, lo1), lambda x: F.pmod(x, F.lit(n).cast("long")))
-    return F.flatten(F.transform(F.sequence(la0, la1), lambda la: F.transform(lons, lambda lo: la * n + lo)))
+    none = F.array().cast("array<bigint>")
+    cap = lambda at, idx: F.when(at, F.array(F.lit(idx).cast("long"))).otherwise(none)
+    lats = F.concat(F.when(la0 <= la1, F.sequence(la0, la1)).otherwise(none), cap(north, n), cap(south, -n))
+    df = df.select("*", F.explode(lats).alias("_cla"), lo0.alias("_clo0"), lo1.alias("_clo1"))
+    capped = F.abs("_cla") == n  # a cap has one longitude
+    lons = F.when(capped, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.col("_clo0"), F.col("_clo1")))
+    df = df.select("*", F.explode(lons).alias("_clo"))
+    return df.withColumn(name, cell_id(F.col("_cla"), F.col("_clo"), g)).drop("_cla", "_clo", "_clo0", "_clo1")
 
 
 def point_cover_ranges(lon, lat, meters: float, g: float):
@@ -283,11 +278,3 @@ def point_cover_ranges(lon, lat, meters: float, g: float):
     polar = (cosphi <= math.sin(delta)) | (la + ddeg >= 90) | (la - ddeg <= -90)
     dlon = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(delta)) / F.greatest(cosphi, F.lit(1e-12)))))
     return cell_ranges(la - ddeg, la + ddeg, lo - dlon, lo + dlon, g, polar)
-
-
-def point_cover(lon, lat, meters: float, g: float) -> Column:
-    """``array<long>`` of the cells of ``point_cover_ranges``."""
-    la0, la1, lo0, lo1 = point_cover_ranges(lon, lat, meters, g)
-    n = cells_per_circle(g)
-    lons = F.transform(F.sequence(lo0, lo1), lambda x: F.pmod(x, F.lit(n).cast("long")))
-    return F.flatten(F.transform(F.sequence(la0, la1), lambda la_: F.transform(lons, lambda lo_: la_ * n + lo_)))

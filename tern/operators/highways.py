@@ -1,8 +1,8 @@
 """GeoJSON ingest and the spatial queries on highway segments
 (S3, J8, P7, F15, F16, J4, J5, J6, A8, A10).
 
-``national_highway_system`` rows carry a surrogate key ``fid`` = (document,
-position) packed into one long, because nothing makes OBJECTID unique.
+``national_highway_system`` rows carry a surrogate key ``fid``, the text
+``document:position``, because nothing makes OBJECTID unique.
 """
 
 from __future__ import annotations
@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 
 from tern.functions import geo, variant
 from tern.operators import spatial_join
+from tern.session import materialize
 
 # The reference's search radii (10 and 20 miles, in meters).
 TEN_MILES_M = 16093.4
 TWENTY_MILES_M = 32186.9
 
-# Feature positions per document packed into the surrogate key.
-_POS_BITS = 20
-
 
 def flatten_features(staging: DataFrame, doc_id: str = "doc_id", raw: str = "raw_data") -> DataFrame:
     """``LATERAL FLATTEN(raw_data:features)``: one row per feature."""
@@ -33,7 +31,9 @@ def national_highway_system(staging: DataFrame, doc_id: str = "doc_id", raw: str
     f = f.withColumn("_geometry", variant.get(v, "$.geometry", "variant", strict))
     geog = geo.to_geography("_geometry", strict)
     return f.select(
-        (F.col(doc_id).cast("long") * (1 << _POS_BITS) + F.col("pos")).alias("fid"),
+        F.concat_ws(":", F.col(doc_id).cast("string"), F.col("pos").cast("string")).alias("fid"),
+        F.col(doc_id).alias("doc_id"),
+        "pos",
         variant.get(v, "$.properties.OBJECTID", "int", strict).alias("object_id"),
         variant.get(v, "$.properties.FILE_NAME", "string", strict).alias("file_name"),
         variant.get(v, "$.properties.MILES", "decimal(38,2)", strict).alias("miles"),
@@ -64,12 +64,14 @@ def city_intersections(highways: DataFrame, cities: DataFrame, meters: float = T
     that intersect with different object_id, t1 within ``meters`` of the city;
     counted per city name, most first.
 
-    The city restriction is applied to t1 first (a small key set), then the
-    pairs are joined on t1's key: the self-join itself only runs on cells.
+    The city restriction is applied to t1 first: its arcs are semi-joined to
+    the segments near a city before the self-join, whose right side is all
+    segments.  Both joins read one arc table.
     """
     keys = ["city_name", "latitude", "longitude"]
-    near = spatial_join.dwithin_pairs(cities, keys, highways, ["fid"], meters)
-    pairs = spatial_join.intersects_pairs(highways.select("fid", "object_id", "geography_linestring"), "fid", "object_id")
+    arcs = spatial_join.arc_table(highways.select("fid", "object_id", "geography_linestring"), ["fid", "object_id"])
+    near = materialize(spatial_join.dwithin_pairs(cities, keys, highways, ["fid"], meters, arcs=arcs), "near")
+    pairs = spatial_join.intersects_pairs(highways, "fid", "object_id", left=near, arcs=arcs)
     return (
         near.join(pairs.withColumnRenamed("fid_1", "fid"), "fid", "inner")
         .groupBy("city_name")

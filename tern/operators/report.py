@@ -20,7 +20,7 @@ ERROR_MB = 25
 
 def _exact_mean(col, scale: int = 8):
     c = F.col(col) if isinstance(col, str) else col
-    return dialect.divide(F.sum(c.cast("decimal(18,2)")), F.count(c)).cast(f"decimal(18,{scale})")
+    return dialect.divide(F.sum(c.cast(dialect.MEASURE)), F.count(c), scale, lenient=True)
 
 
 def segment_kpis(subset: DataFrame, by: list[str] = ["city_name"]) -> DataFrame:
@@ -90,7 +90,10 @@ def payload_estimate(paths: DataFrame, by: list[str] = ["city_name"]) -> DataFra
 
 
 def fill_for_display(df: DataFrame) -> DataFrame:
-    """NULL filling by type (P15): text -> 'N/A', numbers -> 0."""
+    """NULL filling by type (P15): text -> 'N/A', numbers -> 0; dates become
+    text first, so a missing one shows 'N/A' too."""
+    dates = {f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))}
+    df = df.withColumns(dates) if dates else df
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     nums = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     out = df.fillna("N/A", subset=text) if text else df

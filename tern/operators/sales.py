@@ -113,7 +113,7 @@ def sales_report(customer_orders_df: DataFrame, products: DataFrame, with_days:
         "product_name",
         "order_total",
         "quantity",
-        dialect.divide("order_total", "quantity").alias("unitsalesprice"),
+        dialect.divide("order_total", "quantity", 8).cast("decimal(18,8)").alias("unitsalesprice"),
         "purchase_date",
         F.col("days_since_last_purchase").cast("int").alias("days_since_last_purchase"),
         customer_sk("customer_id", "product_id", "purchase_date").alias("customer_sk"),
@@ -134,7 +134,7 @@ def sales_report_window(customer_orders_df: DataFrame, products: DataFrame) -> D
         "product_name",
         "order_total",
         "quantity",
-        dialect.divide("order_total", "quantity").alias("unitsalesprice"),
+        dialect.divide("order_total", "quantity", 8).cast("decimal(18,8)").alias("unitsalesprice"),
         "purchase_date",
         dialect.days_between(F.lag("purchase_date").over(w), "purchase_date").cast("int").alias("days_since_last_purchase"),
         customer_sk("customer_id", "product_id", "purchase_date").alias("customer_sk"),
@@ -199,7 +199,7 @@ def product_inventory_alert(sales_report_df: DataFrame, products: DataFrame, wit
         "begining_stock",
         "totalunitsold",
         left.cast("decimal(38,2)").alias("unitsleft"),
-        F.round(dialect.divide(left, "begining_stock") * 100, 2).cast("decimal(18,2)").alias("percent_unitleft"),
+        dialect.divide(left * 100, "begining_stock", 2).cast("decimal(18,2)").alias("percent_unitleft"),
     ]
     if with_creation_time:
         cols.append(F.current_timestamp().alias("rowcreationtime"))

@@ -2,8 +2,9 @@
 A11, A12, P9, F5, F6, F10, F13).
 
 Averages that the reference rounds are computed as exact decimal
-``sum / count`` (``dialect.divide``) so the rounding is HALF_UP on the true
-value, whatever order partial sums are merged in.
+``sum / count`` and rounded once (``dialect.divide``), HALF_UP on the true
+value, whatever order partial sums are merged in.  Measures are summed with all
+their decimals (``dialect.MEASURE``); only results are rounded.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from tern.operators.highways import TWENTY_MILES_M
 RAIN = 1
 
 
+def _sum(col: str) -> F.Column:
+    return F.sum(F.col(col).cast(dialect.MEASURE))
+
+
 def _exact_avg(col: str, scale: int) -> F.Column:
-    """avg(col) rounded HALF_UP to ``scale`` decimals, exact."""
-    s = F.sum(F.col(col).cast("decimal(18,2)"))
-    return F.round(dialect.divide(s, F.count(col)), scale).cast(f"decimal(18,{scale})")
+    """avg(col) rounded HALF_UP to ``scale`` decimals, exact; NULL if empty."""
+    return dialect.divide(_sum(col), F.count(col), scale, lenient=True)
 
 
 def rain_by_city_hour(weather: DataFrame, highways: DataFrame, meters: float = TWENTY_MILES_M) -> DataFrame:
@@ -37,36 +41,40 @@ def rain_by_city_hour(weather: DataFrame, highways: DataFrame, meters: float = T
       any join; each location then carries n = segments in reach and the
       sums are weighted by n.  Locations with n = 0 drop out (inner join).
       Sums stay exact decimals, so the weighting is exact.
+
+    ``total_precipitation`` counts a row's rain once per segment in reach, as
+    the reference's join does; ``precipitation_once`` beside it counts it once.
     """
     rain = weather.where(F.col("precipitation_type") == RAIN)
     locs = rain.select("latitude", "longitude").distinct()
     near = spatial_join.dwithin_pairs(locs, ["latitude", "longitude"], highways, ["fid"], meters)
     n_loc = near.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("n"))
-    dec = "decimal(18,2)"
     pre = rain.groupBy("city_name", "latitude", "longitude", dialect.hour_of("datetime").alias("hour")).agg(
-        F.sum(F.col("minutes_of_rain").cast(dec)).alias("s_rain"),
+        _sum("minutes_of_rain").cast(dialect.DIV_OPERAND).alias("s_rain"),
         F.count("minutes_of_rain").alias("c_rain"),
-        F.sum(F.col("precipitation_lwe").cast(dec)).alias("s_precip"),
-        F.sum(F.col("temperature").cast(dec)).alias("s_temp"),
+        _sum("precipitation_lwe").cast(dialect.DIV_OPERAND).alias("s_precip"),
+        _sum("temperature").cast(dialect.DIV_OPERAND).alias("s_temp"),
         F.count("temperature").alias("c_temp"),
         F.count(F.lit(1)).alias("rows"),
     )
     j = pre.join(n_loc, ["latitude", "longitude"], "inner")
-    n = F.col("n")
+    n = F.col("n").cast("decimal(10,0)")  # 27 + 10 + 1 digits: products keep all decimals
     agg = j.groupBy("city_name", "hour").agg(
         F.sum(F.col("s_rain") * n).alias("w_rain"),
-        F.sum(F.col("c_rain") * n).alias("wc_rain"),
+        F.sum(F.col("c_rain") * F.col("n")).alias("wc_rain"),
         F.sum(F.col("s_precip") * n).alias("w_precip"),
+        F.sum("s_precip").alias("precip"),
         F.sum(F.col("s_temp") * n).alias("w_temp"),
-        F.sum(F.col("c_temp") * n).alias("wc_temp"),
-        F.sum(F.col("rows") * n).alias("segments"),
+        F.sum(F.col("c_temp") * F.col("n")).alias("wc_temp"),
+        F.sum(F.col("rows") * F.col("n")).alias("segments"),
     )
     return agg.select(
         "city_name",
         F.col("hour").cast("int").alias("hour"),
-        dialect.round_to_int(dialect.divide("w_rain", "wc_rain")).alias("minutes_of_rain"),
+        dialect.divide("w_rain", F.nullif("wc_rain", F.lit(0)), 0).cast("int").alias("minutes_of_rain"),
         F.col("w_precip").cast("decimal(38,2)").alias("total_precipitation"),
-        dialect.divide("w_temp", "wc_temp").cast("decimal(38,2)").alias("avg_termperature"),
+        F.col("precip").cast("decimal(38,2)").alias("precipitation_once"),
+        dialect.divide("w_temp", F.nullif("wc_temp", F.lit(0)), 2).cast("decimal(38,2)").alias("avg_termperature"),
         F.col("segments").cast("long").alias("roadway_segments_impacted"),
     ).orderBy("hour", "city_name")
 
@@ -76,6 +84,15 @@ def in_hours(weather: DataFrame, hour_start: int, hour_end: int) -> DataFrame:
     return weather.where(dialect.hour_of("datetime").between(hour_start, hour_end))
 
 
+def hourly_rows(weather: DataFrame, hour_start: int = 0, hour_end: int = 23, city: str | None = None) -> DataFrame:
+    """The ordered hourly rows behind the trends (O2, P2): every column and the
+    hour of day, for the chosen hours and city, oldest first."""
+    w = in_hours(weather, hour_start, hour_end)
+    if city is not None:
+        w = w.where(F.col("city_name") == city)
+    return w.withColumn("hour_of_day", dialect.hour_of("datetime").cast("int")).orderBy("datetime", "city_name")
+
+
 def weather_summary(weather: DataFrame, hour_start: int = 0, hour_end: int = 23, city: str | None = None) -> DataFrame:
     """The ``weather_summary`` CTE (A9): per city over the chosen hours."""
     w = in_hours(weather, hour_start, hour_end)
@@ -84,7 +101,7 @@ def weather_summary(weather: DataFrame, hour_start: int = 0, hour_end: int = 23,
     return w.groupBy("city_name").agg(
         F.max(F.to_date("datetime")).alias("latest_date"),
         _exact_avg("humidity_relative", 1).alias("avg_humidity"),
-        F.sum(F.col("rain_lwe").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total_precipitation"),
+        _sum("rain_lwe").cast("decimal(38,2)").alias("total_precipitation"),
         F.sum("minutes_of_precipitation").alias("total_precip_minutes"),
         _exact_avg("temperature", 1).alias("avg_temperature"),
         _exact_avg("wind_speed", 1).alias("avg_wind_speed"),
@@ -117,7 +134,7 @@ def hourly_trends(weather: DataFrame, hour_start: int = 0, hour_end: int = 23, c
         _exact_avg("temperature", 8).alias("temperature"),
         _exact_avg("wind_speed", 8).alias("wind_speed"),
         _exact_avg("wind_gust", 8).alias("wind_gust"),
-        F.coalesce(F.sum(F.col("rain_lwe").cast("decimal(18,2)")), F.lit(0).cast("decimal(18,2)")).cast("decimal(38,2)").alias("rain_lwe"),
+        F.coalesce(_sum("rain_lwe"), F.lit(0).cast(dialect.MEASURE)).cast("decimal(38,9)").alias("rain_lwe"),
         F.coalesce(F.sum("minutes_of_precipitation"), F.lit(0.0)).alias("minutes_of_precipitation"),
     )
 
@@ -126,8 +143,8 @@ def trend_summary(hourly: DataFrame) -> DataFrame:
     """Weather summary tiles (A12): mean of the hourly means (not the row
     mean) and the sum of hourly rain, per city."""
     return hourly.groupBy("city_name").agg(
-        F.avg("temperature").cast("decimal(18,4)").alias("avg_temperature"),
-        F.avg("humidity_relative").cast("decimal(18,4)").alias("avg_humidity"),
+        _exact_avg("temperature", 4).alias("avg_temperature"),
+        _exact_avg("humidity_relative", 4).alias("avg_humidity"),
         F.sum("rain_lwe").cast("decimal(38,2)").alias("total_precipitation"),
-        F.avg("wind_speed").cast("decimal(18,4)").alias("avg_wind_speed"),
+        _exact_avg("wind_speed", 4).alias("avg_wind_speed"),
     )

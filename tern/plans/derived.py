@@ -82,20 +82,23 @@ def sales_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 #     points:            2 + c % 39
 #     vertex k:          lat0 + k * ((c * 31) % 21 - 10) / 2000.0 + ((k * c) % 7) / 10000.0
 #                        lon0 + k * ((c * 17) % 21 - 10) / 2000.0 + ((k * c * 3) % 5) / 10000.0
+#     wide lines:        two points each, when c % 194 = 50 across the antimeridian:
+#                        (179.9, 10 + (c % 40) / 100), (-179.9, 10.2 + (c * 7) % 40 / 100); when
+#                        c % 194 = 147 a long arc: (-20 + (c % 10) / 2, 55), (20 - (c * 3) % 10 / 2, 55 + (c % 3) / 5)
 #     geometry:          NULL when c % 101 = 100; MultiLineString when c % 7 = 3, second
 #                        part [(lon0 + 0.01, lat0 - 0.01), (lon0 + 0.02, lat0 + 0.005)];
 #                        else LineString
-#     document:          no feature when c % 23 = 0
-#     properties:        OBJECTID c, FILE_NAME 'nhs_' || c_nationkey || '.geojson',
+#     document:          c div 8, features in the order of c; no feature when c % 23 = 0
+#     properties:        OBJECTID c, or c - 1 when c % 11 = 10 (two features share it), FILE_NAME 'nhs_' || c_nationkey || '.geojson',
 #                        MILES (c % 500) / 100, AADT (c * 97) % 200000,
 #                        SPEED_LIMI 0 when c % 13 = 0 else 25 + (c % 9) * 5,
 #                        YEAR NULL when c % 17 = 0 else 2010 + c % 12, SIGN1 'I' || (c % 99 + 1)
 #   weather row of event e (user u):
 #     datetime ts; precipitation_type 1 for 'purchase', 2 for 'error', else 0
-#     precipitation_lwe round(value) / 100; rain_lwe the same when type 1 else 0
+#     precipitation_lwe (e * 7919) % 1000003 / 1000000; rain_lwe the same when type 1 else 0
 #     minutes_of_precipitation e % 61; minutes_of_rain the same when type 1 else 0
-#     temperature 30 + e % 70; humidity_relative (e * 7) % 101
-#     wind_speed e % 30; wind_gust e % 30 + e % 11
+#     temperature 30 + e % 70 + (e * 31) % 1000 / 1000; humidity_relative (e * 7) % 101 + (e * 13) % 9973 / 10000
+#     wind_speed e % 30 + (e * 3) % 977 / 1000; wind_gust e % 30 + e % 11
 # --------------------------------------------------------------------------
 
 
@@ -112,14 +115,15 @@ def _city_name(u):
 
 
 def highway_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One GeoJSON FeatureCollection text per customer (the staged files)."""
+    """GeoJSON FeatureCollection texts with the features of eight customers
+    each (the staged files); the document's number is in the text too."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     c = F.col("c_custkey")
     u = F.floor(c / 10)
     near = (c % 10 == 0) | (c % 10 == 5)
     lat0 = F.when(near, _city_lat(u)).otherwise(_city_lat(u) + ((c * 7919) % 401 - 200) / F.lit(1000.0))
     lon0 = F.when(near, _city_lon(u)).otherwise(_city_lon(u) + ((c * 104729) % 401 - 200) / F.lit(1000.0))
-    npts = (F.lit(2) + c % 39).cast("int")
+    npts = F.when(c % 97 == 50, 2).otherwise(F.lit(2) + c % 39).cast("int")
     dlat = ((c * 31) % 21 - 10) / F.lit(2000.0)
     dlon = ((c * 17) % 21 - 10) / F.lit(2000.0)
     coords = F.transform(
@@ -129,6 +133,11 @@ def highway_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             lat0 + k * dlat + ((k * c) % 7) / F.lit(10000.0),
         ),
     )
+    point = lambda lon, lat: F.array(lon.cast("double"), lat.cast("double"))
+    hundred, two = F.lit(100.0), F.lit(2.0)
+    across = F.array(point(F.lit(179.9), F.lit(10.0) + (c % 40) / hundred), point(F.lit(-179.9), F.lit(10.2) + ((c * 7) % 40) / hundred))
+    long_arc = F.array(point(F.lit(-20.0) + (c % 10) / two, F.lit(55.0)), point(F.lit(20.0) - ((c * 3) % 10) / two, F.lit(55.0) + (c % 3) / F.lit(5.0)))
+    coords = F.when(c % 194 == 50, across).when(c % 194 == 147, long_arc).otherwise(coords)
     second = F.array(
         F.array(lon0 + F.lit(0.01), lat0 - F.lit(0.01)),
         F.array(lon0 + F.lit(0.02), lat0 + F.lit(0.005)),
@@ -140,7 +149,7 @@ def highway_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     props = F.to_json(
         F.struct(
-            c.alias("OBJECTID"),
+            F.when(c % 11 == 10, c - 1).otherwise(c).alias("OBJECTID"),
             F.concat(F.lit("nhs_"), F.col("c_nationkey").cast("string"), F.lit(".geojson")).alias("FILE_NAME"),
             ((c % 500).cast("decimal(10,2)") / 100).cast("decimal(10,2)").alias("MILES"),
             ((c * 97) % 200000).alias("AADT"),
@@ -151,30 +160,32 @@ def highway_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"ignoreNullFields": "false"},
     )
     feature = F.concat(F.lit('{"type":"Feature","geometry":'), geom, F.lit(',"properties":'), props, F.lit("}"))
-    features = F.when(c % 23 == 0, F.lit("")).otherwise(feature)
-    doc = F.concat(F.lit('{"type":"FeatureCollection","features":['), features, F.lit("]}"))
-    return cust.select(c.alias("doc_id"), doc.alias("raw_text"))
+    rows = cust.select(F.floor(c / 8).cast("long").alias("doc_id"), c.alias("c"), F.when(c % 23 != 0, feature).alias("feature"))
+    docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("c", "feature"))).alias("f"))  # eight at most
+    features = F.array_join(F.transform("f", lambda x: x["feature"]), ",")
+    doc = F.concat(F.lit('{"type":"FeatureCollection","document":'), F.col("doc_id").cast("string"), F.lit(',"features":['), features, F.lit("]}"))
+    return docs.select("doc_id", doc.alias("raw_text"))
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly weather rows (the shared weather table) derived from events."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     e, u = F.col("event_id"), F.col("user_id")
     ptype = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", 2).otherwise(0)
-    precip = F.round(F.col("value")) / F.lit(100.0)
+    precip = ((e * 7919) % 1000003) / F.lit(1000000.0)
     minutes = (e % 61).cast("double")
     return ev.select(
         _city_name(u).alias("city_name"),
         _city_lat(u).alias("latitude"),
         _city_lon(u).alias("longitude"),
         F.col("ts").alias("datetime"),
-        ((e * 7) % 101).cast("double").alias("humidity_relative"),
+        ((e * 7) % 101 + ((e * 13) % 9973) / F.lit(10000.0)).alias("humidity_relative"),
         minutes.alias("minutes_of_precipitation"),
         F.when(ptype == 1, minutes).otherwise(F.lit(0.0)).alias("minutes_of_rain"),
         precip.alias("precipitation_lwe"),
         ptype.alias("precipitation_type"),
         F.when(ptype == 1, precip).otherwise(F.lit(0.0)).alias("rain_lwe"),
-        (F.lit(30) + e % 70).cast("double").alias("temperature"),
+        (F.lit(30) + e % 70 + ((e * 31) % 1000) / F.lit(1000.0)).alias("temperature"),
         ((e % 30) + (e % 11)).cast("double").alias("wind_gust"),
-        (e % 30).cast("double").alias("wind_speed"),
+        (e % 30 + ((e * 3) % 977) / F.lit(1000.0)).alias("wind_speed"),
     )

@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 from tern.operators import tpch
 from tern.plans.registry import register
-from tern.session import checkpoint_dir
+from tern.session import materialize, scratch_path
+from tern.sources import files
 from tern.sources.tables import table
 
 # --------------------------------------------------------------------------
@@ -59,19 +60,16 @@ from tern.plans import derived  # noqa: E402
 from tern.plans import oracle as O  # noqa: E402
 
 
-def _customer_orders(spark, sf_dir, materialize=False):
-    """``customer_orders`` from the JSON orders.  ``materialize`` writes it
-    with ``checkpoint()`` first (the reference keeps it as a materialized
-    table), for queries that read it more than once."""
+def _customer_orders(spark, sf_dir, materialized=False):
+    """``customer_orders`` from the JSON orders.  ``materialized`` writes it
+    first (the reference keeps it as a table), for queries that read it more
+    than once."""
     co = sales.customer_orders(derived.sales_customers(spark, sf_dir), derived.sales_orders_json(spark, sf_dir))
-    if materialize:
-        checkpoint_dir(spark)
-        co = co.checkpoint(eager=True)
-    return co
+    return materialize(co, "customer-orders") if materialized else co
 
 
 def _sales_report(spark, sf_dir, with_days=True):
-    co = _customer_orders(spark, sf_dir, materialize=with_days)
+    co = _customer_orders(spark, sf_dir, materialized=with_days)
     return sales.sales_report(co, derived.sales_products(spark, sf_dir), with_days)
 
 
@@ -138,14 +136,17 @@ from tern.functions import geo  # noqa: E402
 from tern.operators import highways, report, spatial_join, weather  # noqa: E402
 
 
-def _highways(spark, sf_dir):
-    """``create table national_highway_system as …``: built once per query
-    and materialized with ``checkpoint()`` in the shared checkpoint folder,
-    as the reference materializes it; every later use reads those files."""
-    checkpoint_dir(spark)
+_SEGMENT = ("fid", "object_id", "geography_linestring")
+
+
+def _highways(spark, sf_dir, *columns):
+    """``create table national_highway_system as …``: built once per query and
+    written as Parquet in the shared folder, as the reference materializes it;
+    only the columns the query reads are built."""
     docs = derived.highway_documents(spark, sf_dir)
     staging = docs.select("doc_id", variant.parse("raw_text").alias("raw_data"))
-    return highways.national_highway_system(staging).checkpoint(eager=True)
+    hw = highways.national_highway_system(staging)
+    return materialize(hw.select(*dict.fromkeys((*_SEGMENT, *columns))), "highways")
 
 
 def _weather(spark, sf_dir):
@@ -156,30 +157,35 @@ def _cities(spark, sf_dir):
     return highways.distinct_cities(_weather(spark, sf_dir))
 
 
-def _subset(spark, sf_dir, meters=highways.TEN_MILES_M):
-    return highways.highway_subset(_cities(spark, sf_dir), _highways(spark, sf_dir), meters)
+def _subset(spark, sf_dir, *columns, meters=highways.TEN_MILES_M):
+    return highways.highway_subset(_cities(spark, sf_dir), _highways(spark, sf_dir, *columns), meters)
+
+
+_FEATURE = ["doc_id", "pos", "object_id", "file_name", "miles", "average_annual_daily_traffic", "speed_limit", "year", "sign1"]
 
 
 @register("flatten_features", oracle=O.FLATTEN_FEATURES)
 def flatten_features(spark, sf_dir):
-    hw = _highways(spark, sf_dir)
-    return hw.select(
-        F.shiftright("fid", 20).alias("doc_id"),
-        (F.col("fid") % (1 << 20)).cast("int").alias("pos"),
-        "object_id",
-        "file_name",
-        "miles",
-        "average_annual_daily_traffic",
-        "speed_limit",
-        "year",
-        "sign1",
-        F.col("geography_linestring.type").alias("geom_type"),
-    )
+    hw = _highways(spark, sf_dir, *_FEATURE)
+    return hw.select(*_FEATURE, F.col("geography_linestring.type").alias("geom_type"))
+
+
+@register("load_json_files", oracle=O.FLATTEN_FEATURES)
+def load_json_files(spark, sf_dir):
+    """The documents landed as JSON files, found by listing, loaded into a
+    VARIANT and flattened (S3, S4, J8).  A malformed record fails the load."""
+    landing = scratch_path(spark, "landing")
+    derived.highway_documents(spark, sf_dir).select("raw_text").write.text(landing)
+    listed = files.list_files(spark, landing, "part-*")
+    loaded = files.load_json_variant(spark, landing, multiline=False).where(F.lit(not listed.isEmpty()))
+    staging = loaded.select(variant.get("raw_data", "$.document", "long").alias("doc_id"), "raw_data")
+    hw = highways.national_highway_system(staging)
+    return hw.select(*_FEATURE, F.col("geography_linestring.type").alias("geom_type"))
 
 
 @register("geojson_roundtrip", oracle=O.GEOJSON_ROUNDTRIP)
 def geojson_roundtrip(spark, sf_dir):
-    hw = _highways(spark, sf_dir).where(F.col("geography_linestring").isNotNull())
+    hw = _highways(spark, sf_dir, "geojson").where(F.col("geography_linestring").isNotNull())
     g = F.col("geography_linestring")
     back = geo.to_geography(variant.parse("geojson"))
     return hw.select(
@@ -193,7 +199,7 @@ def geojson_roundtrip(spark, sf_dir):
 
 @register("path_thinning", oracle=O.PATH_THINNING)
 def path_thinning(spark, sf_dir):
-    hw = report.with_paths(_highways(spark, sf_dir))
+    hw = report.with_paths(_highways(spark, sf_dir, "geojson"))
     p = F.col("path")
     return hw.select(
         "fid",
@@ -211,17 +217,17 @@ _SUB_COLS = ["city_name", "latitude", "longitude", "fid", "object_id", "miles",
 
 @register("geo_dwithin", oracle=O.GEO_DWITHIN)
 def geo_dwithin(spark, sf_dir):
-    return _subset(spark, sf_dir).select(*_SUB_COLS)
+    return _subset(spark, sf_dir, "miles", "speed_limit").select(*_SUB_COLS)
 
 
 @register("geo_dwithin_20mi", oracle=O.GEO_DWITHIN_20MI)
 def geo_dwithin_20mi(spark, sf_dir):
-    return _subset(spark, sf_dir, highways.TWENTY_MILES_M).select(*_SUB_COLS)
+    return _subset(spark, sf_dir, "miles", "speed_limit", meters=highways.TWENTY_MILES_M).select(*_SUB_COLS)
 
 
 @register("geo_intersects", oracle=O.GEO_INTERSECTS)
 def geo_intersects(spark, sf_dir):
-    hw = _highways(spark, sf_dir).select("fid", "object_id", "geography_linestring")
+    hw = _highways(spark, sf_dir)
     return spatial_join.intersects_pairs(hw, "fid", "object_id")
 
 
@@ -237,7 +243,8 @@ def rain_by_city_hour(spark, sf_dir):
 
 @register("weather_summary_left_join", oracle=O.WEATHER_SUMMARY_LEFT_JOIN)
 def weather_summary_left_join(spark, sf_dir):
-    out = weather.highways_with_weather(_subset(spark, sf_dir), _weather(spark, sf_dir), *O._HOURS)
+    sub = _subset(spark, sf_dir, "miles", "speed_limit", "average_annual_daily_traffic", "geojson")
+    out = weather.highways_with_weather(sub, _weather(spark, sf_dir), *O._HOURS)
     return out.select(
         "city_name", "fid", "object_id", "miles", "speed_limit", "average_annual_daily_traffic", "aadt_value",
         "latest_date", "avg_humidity", "total_precipitation", "total_precip_minutes", "avg_temperature", "avg_wind_speed",
@@ -249,6 +256,32 @@ def hourly_trends(spark, sf_dir):
     return weather.hourly_trends(_weather(spark, sf_dir)).withColumn("hour_of_day", F.col("hour_of_day").cast("int"))
 
 
+@register("hourly_rows_of_city", oracle=O.HOURLY_ROWS)
+def hourly_rows_of_city(spark, sf_dir):
+    return weather.hourly_rows(_weather(spark, sf_dir), *O._HOURS, city=O.CITY)
+
+
+@register("hourly_trends_of_city", oracle=O.HOURLY_TRENDS_OF_CITY)
+def hourly_trends_of_city(spark, sf_dir):
+    out = weather.hourly_trends(_weather(spark, sf_dir), *O._HOURS, city=O.CITY)
+    return out.withColumn("hour_of_day", F.col("hour_of_day").cast("int"))
+
+
+@register("weather_of_city", oracle=O.WEATHER_OF_CITY)
+def weather_of_city(spark, sf_dir):
+    return weather.weather_summary(_weather(spark, sf_dir), *O._HOURS, city=O.CITY)
+
+
+@register("fill_for_display", oracle=O.FILL_FOR_DISPLAY)
+def fill_for_display(spark, sf_dir):
+    """The left join's rows as the report shows them: missing text 'N/A',
+    missing numbers 0, dates as text."""
+    sub = _subset(spark, sf_dir, "miles", "year")
+    joined = weather.highways_with_weather(sub.withColumns({"geojson": F.lit(None).cast("string"), "average_annual_daily_traffic": F.lit(None).cast("int")}),
+                                           _weather(spark, sf_dir), *O._HOURS)
+    return report.fill_for_display(joined.select("city_name", "fid", "miles", "year", "average_annual_daily_traffic", "latest_date", "avg_temperature"))
+
+
 @register("trend_summary", oracle=O.TREND_SUMMARY)
 def trend_summary(spark, sf_dir):
     return weather.trend_summary(weather.hourly_trends(_weather(spark, sf_dir)))
@@ -256,27 +289,27 @@ def trend_summary(spark, sf_dir):
 
 @register("segment_kpis", oracle=O.SEGMENT_KPIS)
 def segment_kpis(spark, sf_dir):
-    return report.segment_kpis(_subset(spark, sf_dir))
+    return report.segment_kpis(_subset(spark, sf_dir, "miles", "speed_limit", "year"))
 
 
 @register("speed_stats", oracle=O.SPEED_STATS)
 def speed_stats(spark, sf_dir):
-    return report.speed_stats(_subset(spark, sf_dir))
+    return report.speed_stats(_subset(spark, sf_dir, "speed_limit"))
 
 
 @register("miles_histogram", oracle=O.MILES_HISTOGRAM)
 def miles_histogram(spark, sf_dir):
-    return report.histogram(_subset(spark, sf_dir), "miles", 0.05, scale=2)
+    return report.histogram(_subset(spark, sf_dir, "miles"), "miles", 0.05, scale=2)
 
 
 @register("speed_histogram", oracle=O.SPEED_HISTOGRAM)
 def speed_histogram(spark, sf_dir):
-    return report.histogram(_subset(spark, sf_dir), "speed_limit", 5)
+    return report.histogram(_subset(spark, sf_dir, "speed_limit"), "speed_limit", 5)
 
 
 @register("payload_estimate", oracle=O.PAYLOAD_ESTIMATE)
 def payload_estimate(spark, sf_dir):
-    return report.payload_estimate(report.with_paths(_subset(spark, sf_dir)))
+    return report.payload_estimate(report.with_paths(_subset(spark, sf_dir, "geojson")))
 
 
 # --------------------------------------------------------------------------
@@ -320,8 +353,6 @@ def update_rows(spark, sf_dir):
 # W3  incremental refresh = full recompute
 # --------------------------------------------------------------------------
 
-import uuid  # noqa: E402
-
 from tern.sources import datagen  # noqa: E402
 from tern.streaming.refresh import SalesRefresh  # noqa: E402
 
@@ -332,7 +363,7 @@ _BATCH_BOUNDS = ("1997-01-01", "2000-01-01")
 def refreshed_sales_report(spark, sf_dir, root=None):
     """Land the JSON orders in three batches (by order date), run the
     refresh stream after each landing, return the maintained sales_report."""
-    root = root or f"{checkpoint_dir(spark)}/refresh-{uuid.uuid4().hex}"
+    root = root or scratch_path(spark, "refresh")
     landing = f"{root}/landing"
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")

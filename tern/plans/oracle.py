@@ -117,7 +117,7 @@ ln AS (
   SELECT c, nk,
     CASE WHEN c % 10 IN (0, 5) THEN {_city_lat('u')} ELSE {_city_lat('u')} + ((c * 7919) % 401 - 200) / {_d(1000.0)} END AS lat0,
     CASE WHEN c % 10 IN (0, 5) THEN {_city_lon('u')} ELSE {_city_lon('u')} + ((c * 104729) % 401 - 200) / {_d(1000.0)} END AS lon0,
-    2 + c % 39 AS npts,
+    CASE WHEN c % 97 = 50 THEN 2 ELSE 2 + c % 39 END AS npts,
     ((c * 31) % 21 - 10) / {_d(2000.0)} AS dlat,
     ((c * 17) % 21 - 10) / {_d(2000.0)} AS dlon,
     c % 101 = 100 AS geom_null,
@@ -125,7 +125,9 @@ ln AS (
   FROM cb WHERE c % 23 <> 0
 ),
 feat AS (
-  SELECT c AS doc_id, 0 AS pos, c * 1048576 AS fid, CAST(c AS INTEGER) AS object_id,
+  SELECT c // 8 AS doc_id, CAST(row_number() OVER (PARTITION BY c // 8 ORDER BY c) - 1 AS INTEGER) AS pos, c,
+    CAST(c // 8 AS VARCHAR) || ':' || CAST(row_number() OVER (PARTITION BY c // 8 ORDER BY c) - 1 AS VARCHAR) AS fid,
+    CAST(CASE WHEN c % 11 = 10 THEN c - 1 ELSE c END AS INTEGER) AS object_id,
     'nhs_' || CAST(nk AS VARCHAR) || '.geojson' AS file_name,
     CAST(CAST(c % 500 AS DECIMAL(18,2)) / 100 AS DECIMAL(38,2)) AS miles,
     CAST((c * 97) % 200000 AS INTEGER) AS average_annual_daily_traffic,
@@ -136,12 +138,16 @@ feat AS (
     npts, lat0, lon0, dlat, dlon, geom_null, multi
   FROM ln
 ),
-vk AS (SELECT fid, object_id, lat0, lon0, dlat, dlon, fid // 1048576 AS c, unnest(range(npts)) AS k
+vk AS (SELECT fid, object_id, lat0, lon0, dlat, dlon, c, unnest(range(npts)) AS k
        FROM feat WHERE NOT geom_null),
 vx AS (
   SELECT fid, object_id, 0 AS part, k,
-         lon0 + k * dlon + ((k * c * 3) % 5) / {_d(10000.0)} AS lon,
-         lat0 + k * dlat + ((k * c) % 7) / {_d(10000.0)} AS lat
+         CASE WHEN c % 194 = 50 THEN CASE k WHEN 0 THEN {_d(179.9)} ELSE {_d(-179.9)} END
+              WHEN c % 194 = 147 THEN CASE k WHEN 0 THEN {_d(-20.0)} + (c % 10) / {_d(2.0)} ELSE {_d(20.0)} - ((c * 3) % 10) / {_d(2.0)} END
+              ELSE lon0 + k * dlon + ((k * c * 3) % 5) / {_d(10000.0)} END AS lon,
+         CASE WHEN c % 194 = 50 THEN CASE k WHEN 0 THEN {_d(10.0)} + (c % 40) / {_d(100.0)} ELSE {_d(10.2)} + ((c * 7) % 40) / {_d(100.0)} END
+              WHEN c % 194 = 147 THEN CASE k WHEN 0 THEN {_d(55.0)} ELSE {_d(55.0)} + (c % 3) / {_d(5.0)} END
+              ELSE lat0 + k * dlat + ((k * c) % 7) / {_d(10000.0)} END AS lat
   FROM vk
   UNION ALL
   SELECT fid, object_id, 1, 0, lon0 + {_d(0.01)}, lat0 - {_d(0.01)} FROM feat WHERE multi AND NOT geom_null
@@ -164,22 +170,24 @@ e3 AS (SELECT *, CASE WHEN nn > 1e-15 THEN nx0 / nn ELSE 0 END AS nx,
                  CASE WHEN nn > 1e-15 THEN ny0 / nn ELSE 0 END AS ny,
                  CASE WHEN nn > 1e-15 THEN nz0 / nn ELSE 0 END AS nz FROM e2),
 edges AS (SELECT *, ny * az - nz * ay AS tax, nz * ax - nx * az AS tay, nx * ay - ny * ax AS taz,
-                    b_y * nz - bz * ny AS tbx, bz * nx - bx * nz AS tby, bx * ny - b_y * nx AS tbz FROM e3)
+                    b_y * nz - bz * ny AS tbx, bz * nx - bx * nz AS tby, bx * ny - b_y * nx AS tbz,
+                    (ax + bx) / 2 AS mx, (ay + b_y) / 2 AS my, (az + bz) / 2 AS mz,
+                    asin(least(1.0, sqrt((ax - bx) ** 2 + (ay - b_y) ** 2 + (az - bz) ** 2) / 2)) + 1e-6 AS reach FROM e3)
 """
 
 _WEATHER = f"""
 wx AS (
   SELECT {_city_name('user_id')} AS city_name, {_city_lat('user_id')} AS latitude, {_city_lon('user_id')} AS longitude,
     ts AS datetime,
-    CAST((event_id * 7) % 101 AS DOUBLE) AS humidity_relative,
+    (event_id * 7) % 101 + ((event_id * 13) % 9973) / {_d(10000.0)} AS humidity_relative,
     CAST(event_id % 61 AS DOUBLE) AS minutes_of_precipitation,
     CASE WHEN event_type = 'purchase' THEN CAST(event_id % 61 AS DOUBLE) ELSE 0.0 END AS minutes_of_rain,
-    round(value) / {_d(100.0)} AS precipitation_lwe,
+    ((event_id * 7919) % 1000003) / {_d(1000000.0)} AS precipitation_lwe,
     CASE WHEN event_type = 'purchase' THEN 1 WHEN event_type = 'error' THEN 2 ELSE 0 END AS precipitation_type,
-    CASE WHEN event_type = 'purchase' THEN round(value) / {_d(100.0)} ELSE 0.0 END AS rain_lwe,
-    CAST(30 + event_id % 70 AS DOUBLE) AS temperature,
+    CASE WHEN event_type = 'purchase' THEN ((event_id * 7919) % 1000003) / {_d(1000000.0)} ELSE 0.0 END AS rain_lwe,
+    30 + event_id % 70 + ((event_id * 31) % 1000) / {_d(1000.0)} AS temperature,
     CAST(event_id % 30 + event_id % 11 AS DOUBLE) AS wind_gust,
-    CAST(event_id % 30 AS DOUBLE) AS wind_speed
+    event_id % 30 + ((event_id * 3) % 977) / {_d(1000.0)} AS wind_speed
   FROM events
 ),
 cities AS (SELECT DISTINCT city_name, latitude, longitude FROM wx)
@@ -240,12 +248,12 @@ def _intersect_pairs_sql():
         f"{_dist(l_pt('a'), 'r')} <= {tol}", f"{_dist(l_pt('b'), 'r')} <= {tol}",
         f"{_dist(r_pt('a'), 'l')} <= {tol}", f"{_dist(r_pt('b'), 'l')} <= {tol}",
     ])
-    pad = 0.001
     return f"""
 SELECT DISTINCT l.fid AS fid_1, r.fid AS fid_2
-FROM edges l JOIN edges r
-  ON l.lat_lo - {pad} <= r.lat_hi + {pad} AND r.lat_lo - {pad} <= l.lat_hi + {pad}
- AND l.lon_lo - {pad} <= r.lon_hi + {pad} AND r.lon_lo - {pad} <= l.lon_hi + {pad}
+FROM edges l JOIN edges r  -- arcs cannot meet if their chords' middles are further apart than their half lengths (and 2 m)
+  ON l.mx - l.reach <= r.mx + r.reach AND r.mx - r.reach <= l.mx + l.reach
+ AND l.my - l.reach <= r.my + r.reach AND r.my - r.reach <= l.my + l.reach
+ AND l.mz - l.reach <= r.mz + r.reach AND r.mz - r.reach <= l.mz + l.reach
 WHERE l.fid <> r.fid AND l.object_id <> r.object_id AND ({cross} OR {touch})
 """
 
@@ -274,18 +282,32 @@ def _round_div(num: str, den: str, scale: int) -> str:
     return f"CAST(CAST({q} AS DECIMAL(18,0)) / {f} AS DECIMAL(18,{scale}))" if scale else f"CAST({q} AS INTEGER)"
 
 
+def _avg(col: str, scale: int) -> str:
+    """Mean of a measure with up to 6 decimals: whole millionths, one rounding."""
+    return _round_div(f"sum(CAST(round({col} * 1000000) AS HUGEINT))", f"(count({col}) * 1000000)", scale)
+
+
+def _total(col: str) -> str:
+    """Sum of a measure with up to 6 decimals, rounded once to cents."""
+    return f"CAST({_round_div(f'sum(CAST(round({col} * 1000000) AS HUGEINT))', '1000000', 2)} AS DECIMAL(38,2))"
+
+
 RAIN_BY_CITY_HOUR = f"""
 WITH {_LINES}, {_WEATHER},
 rain AS (SELECT * FROM wx WHERE precipitation_type = 1),
 locs AS (SELECT DISTINCT latitude, longitude FROM rain),
 near AS ({_near('locs', 'latitude, longitude', 32186.9)}),
-j AS (SELECT r.*, n.fid FROM rain r JOIN near n ON r.latitude = n.latitude AND r.longitude = n.longitude)
+j AS (SELECT r.*, n.fid FROM rain r JOIN near n ON r.latitude = n.latitude AND r.longitude = n.longitude),
+o AS (SELECT city_name, hour(datetime) AS h, {_total('precipitation_lwe')} AS once
+      FROM rain r WHERE EXISTS (SELECT 1 FROM near n WHERE r.latitude = n.latitude AND r.longitude = n.longitude)
+      GROUP BY city_name, hour(datetime))
 SELECT city_name, CAST(hour(datetime) AS INTEGER) AS hour,
   {_round_div('sum(CAST(minutes_of_rain AS BIGINT))', 'count(minutes_of_rain)', 0)} AS minutes_of_rain,
-  CAST(sum(CAST(precipitation_lwe AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_precipitation,
-  CAST({_round_div('sum(CAST(temperature AS BIGINT))', 'count(temperature)', 2)} AS DECIMAL(38,2)) AS avg_termperature,
+  {_total('precipitation_lwe')} AS total_precipitation,
+  any_value(o.once) AS precipitation_once,
+  CAST({_avg('temperature', 2)} AS DECIMAL(38,2)) AS avg_termperature,
   count(fid) AS roadway_segments_impacted
-FROM j GROUP BY city_name, hour(datetime)
+FROM j JOIN o USING (city_name) WHERE o.h = hour(datetime) GROUP BY city_name, hour(datetime)
 ORDER BY hour, city_name
 """
 
@@ -297,11 +319,11 @@ def _summary(hours=_HOURS):
     return f"""
 ws AS (
   SELECT city_name, max(CAST(datetime AS DATE)) AS latest_date,
-    {_round_div('sum(CAST(humidity_relative AS BIGINT))', 'count(humidity_relative)', 1)} AS avg_humidity,
-    CAST(sum(CAST(rain_lwe AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_precipitation,
+    {_avg('humidity_relative', 1)} AS avg_humidity,
+    {_total('rain_lwe')} AS total_precipitation,
     sum(minutes_of_precipitation) AS total_precip_minutes,
-    {_round_div('sum(CAST(temperature AS BIGINT))', 'count(temperature)', 1)} AS avg_temperature,
-    {_round_div('sum(CAST(wind_speed AS BIGINT))', 'count(wind_speed)', 1)} AS avg_wind_speed
+    {_avg('temperature', 1)} AS avg_temperature,
+    {_avg('wind_speed', 1)} AS avg_wind_speed
   FROM wx WHERE hour(datetime) BETWEEN {a} AND {b} GROUP BY city_name
 )"""
 
@@ -321,11 +343,11 @@ FROM sub h LEFT JOIN ws w ON h.city_name = w.city_name
 _HOURLY = f"""
 hourly AS (
   SELECT city_name, CAST(hour(datetime) AS INTEGER) AS hour_of_day,
-    {_round_div('sum(CAST(humidity_relative AS BIGINT))', 'count(humidity_relative)', 8)} AS humidity_relative,
-    {_round_div('sum(CAST(temperature AS BIGINT))', 'count(temperature)', 8)} AS temperature,
-    {_round_div('sum(CAST(wind_speed AS BIGINT))', 'count(wind_speed)', 8)} AS wind_speed,
-    {_round_div('sum(CAST(wind_gust AS BIGINT))', 'count(wind_gust)', 8)} AS wind_gust,
-    CAST(coalesce(sum(CAST(rain_lwe AS DECIMAL(18,2))), 0) AS DECIMAL(38,2)) AS rain_lwe,
+    {_avg('humidity_relative', 8)} AS humidity_relative,
+    {_avg('temperature', 8)} AS temperature,
+    {_avg('wind_speed', 8)} AS wind_speed,
+    {_avg('wind_gust', 8)} AS wind_gust,
+    CAST(coalesce(sum(CAST(rain_lwe AS DECIMAL(28,9))), 0) AS DECIMAL(38,9)) AS rain_lwe,
     coalesce(sum(minutes_of_precipitation), 0.0) AS minutes_of_precipitation
   FROM wx GROUP BY city_name, hour(datetime)
 )"""
@@ -336,6 +358,34 @@ SELECT * FROM hourly
 """
 
 
+# One city of the derivation, with two places.
+CITY = "city_48"
+
+HOURLY_ROWS = f"""
+WITH {_WEATHER}
+SELECT *, CAST(hour(datetime) AS INTEGER) AS hour_of_day FROM wx
+WHERE city_name = '{CITY}' AND hour(datetime) BETWEEN {_HOURS[0]} AND {_HOURS[1]}
+ORDER BY datetime, city_name
+"""
+
+HOURLY_TRENDS_OF_CITY = f"""
+WITH {_WEATHER}, {_HOURLY}
+SELECT * FROM hourly WHERE city_name = '{CITY}' AND hour_of_day BETWEEN {_HOURS[0]} AND {_HOURS[1]}
+"""
+
+WEATHER_OF_CITY = f"""
+WITH {_WEATHER}, {_summary()}
+SELECT * FROM ws WHERE city_name = '{CITY}'
+"""
+
+FILL_FOR_DISPLAY = f"""
+WITH {_LINES}, {_WEATHER}, {_SUBSET}, {_summary()}
+SELECT h.city_name, h.fid, coalesce(h.miles, 0) AS miles, coalesce(h.year, 0) AS year, 'N/A' AS average_annual_daily_traffic,
+       coalesce(CAST(w.latest_date AS VARCHAR), 'N/A') AS latest_date, coalesce(w.avg_temperature, 0) AS avg_temperature
+FROM sub h LEFT JOIN ws w ON h.city_name = w.city_name
+"""
+
+
 def _mean_dec(col, scale_in, scale_out):
     # mean of DECIMAL(18, scale_in) values, HALF_UP to scale_out, exact
     num = f"sum(CAST(CAST({col} AS DECIMAL(38,8)) * {10 ** scale_in} AS BIGINT))"
@@ -348,7 +398,7 @@ WITH {_WEATHER}, {_HOURLY}
 SELECT city_name,
   {_mean_dec('temperature', 8, 4)} AS avg_temperature,
   {_mean_dec('humidity_relative', 8, 4)} AS avg_humidity,
-  CAST(sum(rain_lwe) AS DECIMAL(38,2)) AS total_precipitation,
+  CAST({_round_div('sum(CAST(rain_lwe * 1000000 AS HUGEINT))', '1000000', 2)} AS DECIMAL(38,2)) AS total_precipitation,
   {_mean_dec('wind_speed', 8, 4)} AS avg_wind_speed
 FROM hourly GROUP BY city_name
 """

@@ -22,7 +22,7 @@ def test_division_types_and_zero(spark):
     df = spark.createDataFrame([(Decimal("100.01"), 3), (Decimal("5.00"), 0)], "t decimal(10,2), q long")
     out = df.select(dialect.divide("t", "q", lenient=True).alias("d")).collect()
     assert out[0].d == Decimal("33.33666667") and out[1].d is None
-    assert df.select(dialect.divide("t", "q")).schema.fields[0].dataType.simpleString() == "decimal(18,8)"
+    assert df.select(dialect.divide("t", "q")).schema.fields[0].dataType.simpleString() == "decimal(36,8)"
     with pytest.raises(Exception):
         df.select(dialect.divide("t", "q")).collect()  # ANSI: a zero divisor raises
 
@@ -39,3 +39,12 @@ def test_days_between_and_hour(spark):
                                "a date, b date, ts timestamp_ntz")
     r = df.select(dialect.days_between("a", "b").alias("d"), dialect.hour_of("ts").alias("h")).first()
     assert (r.d, r.h) == (60, 23)
+
+
+def test_division_rounds_once_and_has_room(spark):
+    df = spark.createDataFrame(
+        [(Decimal("4999.999999"), 1000000), (Decimal("2000000000000"), 4), (Decimal("-0.005"), 1), (Decimal("10000000000000.05"), 3),
+         (Decimal("5000"), 1000000)], "n decimal(30,9), d long")
+    got = [r.q for r in df.select(dialect.divide("n", "d", 2).alias("q")).collect()]
+    assert got == [Decimal("0.00"), Decimal("500000000000.00"), Decimal("-0.01"), Decimal("3333333333333.35"), Decimal("0.01")]
+    assert [r.q for r in df.select(dialect.divide("n", "d", 0).alias("q")).collect()][:3] == [0, 500000000000, 0]

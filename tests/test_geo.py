@@ -199,33 +199,59 @@ def test_path_lengths(spark):
     assert keep_last[-1] == [28.0, 28.0] and len(keep_last) == 15
 
 
-def test_hot_cell_refinement_is_exact(spark):
-    """A dense spot: refining hot cells (tiny row limit, 2 levels) gives the
-    same pairs as one flat grid."""
-    rnd = random.Random(11)
-    lines, pts = [], []
-    for fid in range(80):
-        lon, lat = rnd.uniform(10.0, 10.02), rnd.uniform(45.0, 45.02)
-        verts = [(lon, lat)]
-        for _ in range(rnd.randint(1, 4)):
-            lon += rnd.uniform(-0.004, 0.004)
-            lat += rnd.uniform(-0.004, 0.004)
-            verts.append((lon, lat))
-        lines.append((fid, fid, [verts]))
-    for pid in range(30):
-        pts.append((pid, rnd.uniform(10.0, 10.02), rnd.uniform(45.0, 45.02)))
-    L, P = lines_df(spark, lines), points_df(spark, pts)
-
-    def pairs(**kw):
-        out = spatial_join.intersects_pairs(L, "fid", "object_id", **kw)
-        return sorted((r.fid_1, r.fid_2) for r in out.collect())
-
-    def close(**kw):
-        out = spatial_join.dwithin_pairs(P, ["pid"], L, ["fid"], 300.0, **kw)
-        return sorted((r.pid, r.fid) for r in out.collect())
-
-    flat = pairs(levels=0)
-    assert len(flat) > 20
-    assert pairs(max_cell_rows=5, levels=2) == flat
-    assert pairs(max_cell_rows=5) == flat
-    assert close(max_cell_rows=5, levels=2, cell_deg=0.05) == close(levels=0, cell_deg=0.05)
+def _crosses(p, q):
+    """Whether two arcs cross, by bisection along the first for a change of
+    side of the second's plane (independent of the join's closed form)."""
+    a, b, c, d = (_unit(*x) for x in (*p, *q))
+    n = np.cross(c, d)
+    if (a @ n) * (b @ n) > 0:
+        return False
+    lo, hi = a, b
+    for _ in range(80):
+        m = (lo + hi) / np.linalg.norm(lo + hi)
+        lo, hi = (m, hi) if (m @ n) * (b @ n) <= 0 else (lo, m)
+    m = (lo + hi) / np.linalg.norm(lo + hi)
+    return bool(m @ (c + d) > 0 and np.cross(n, c) @ m >= 0 and np.cross(d, n) @ m >= 0)
+
+
+def test_intersections_at_the_antimeridian_and_of_long_arcs(spark):
+    # lines that meet at +-180, as seen from either side
+    touch = [(1, 1, [[(179.9, 10.0), (180.0, 10.0)]]), (2, 2, [[(-180.0, 10.0), (-179.9, 10.2)]])]
+    assert ordered_pairs(spark, touch) == [(1, 2), (2, 1)]
+    for width, lat in ((10.0, 45.0), (30.0, 60.0), (120.0, 70.0)):
+        arc = ((-width / 2, lat), (width / 2, lat))
+        a, b = _unit(*arc[0]), _unit(*arc[1])
+        top = math.degrees(math.asin(((a + b) / np.linalg.norm(a + b))[2]))  # where the arc is highest
+        below = ((-0.01, top - 0.001), (0.01, top + 0.001))
+        lines = [(1, 1, [list(arc)]), (2, 2, [list(below)]), (3, 3, [[(0.0, top + 0.5), (0.1, top + 0.5)]])]
+        assert ordered_pairs(spark, lines) == [(1, 2), (2, 1)], width
+
+
+def test_intersections_anywhere_equal_brute_force(spark):
+    """Long and short arcs over the whole globe, poles included."""
+    rnd = random.Random(5)
+    lines = []
+    for i in range(90):
+        lon, lat = rnd.uniform(-180, 180), rnd.choice([rnd.uniform(-89.5, 89.5), rnd.uniform(78, 89.9), rnd.uniform(-89.9, -78)])
+        step = rnd.choice([2.0, 60.0, 160.0])
+        lines.append((i, i, [[(lon, lat), (((lon + rnd.uniform(-step, step) + 180) % 360) - 180, max(-89.9, min(89.9, lat + rnd.uniform(-step, step) / 4)))]]))
+    expect = sorted((i, j) for i, _, p in lines for j, _, q in lines if i != j and _crosses(p[0], q[0]))
+    assert len(expect) > 30 and ordered_pairs(spark, lines) == expect
+
+
+def test_polar_cover_is_bounded(spark):
+    """An arc near a pole has a handful of cells, and still finds its points."""
+    lines = [(1, 1, [[(-170.0, 85.0), (10.0, 86.0)]]), (2, 2, [[(0.0, 79.9), (0.0, 80.1)]])]
+    arcs = spatial_join.arc_table(lines_df(spark, lines), ["fid"])
+    g = 360.0 / geo.cells_per_circle(0.05)
+    per_fid = dict(spatial_join._edge_cells(arcs, g, 0.0).select("fid", "cell").distinct().groupBy("fid").count().collect())
+    assert per_fid[1] == 1 and per_fid[2] < 60
+    assert near(spark, [(1, 100.0, 89.9), (2, 0.1, 80.0), (3, 0.0, 70.0)], lines, 40000.0, 0.05) == [(1, 1), (2, 2)]
+
+
+def test_left_side_restricts_the_self_join(spark):
+    lines = [(1, 1, [[(0.0, 0.0), (1.0, 1.0)]]), (2, 2, [[(0.0, 1.0), (1.0, 0.0)]]), (3, 3, [[(0.5, 0.0), (0.5, 1.0)]])]
+    L = lines_df(spark, lines)
+    left = spark.createDataFrame([(2,), (2,)], "fid long")
+    out = spatial_join.intersects_pairs(L, "fid", "object_id", left=left)
+    assert sorted((r.fid_1, r.fid_2) for r in out.collect()) == [(2, 1), (2, 3)]

@@ -101,3 +101,20 @@ def test_fill_and_empty(spark):
     out = report.fill_for_display(df).collect()
     assert out[0].s == "N/A" and out[0].d == 0.0
     assert report.is_empty(df.where("d > 10")) and not report.is_empty(df)
+
+
+def test_fine_measures_are_not_cut(spark):
+    rows = [wrow("A", 1.0, 1.0, 3, 1.0, 0.004, 50.0005)] * 1000 + [wrow("B", 1.0, 1.0, 3, 1.0, 1e10, 1e10)] * 1000
+    w = spark.createDataFrame(rows, WEATHER_SCHEMA)
+    got = {r.city_name: r for r in weather.weather_summary(w).collect()}
+    assert got["A"].total_precipitation == Decimal("4.00") and got["B"].total_precipitation == Decimal(10**13)
+    assert got["A"].avg_temperature == Decimal("50.0") and got["B"].avg_temperature == Decimal(10**10)
+    h = {r.city_name: r for r in weather.hourly_trends(w).collect()}
+    assert h["A"].temperature == Decimal("50.0005") and h["A"].rain_lwe == Decimal("4")
+
+
+def test_hourly_rows_of_one_city(spark):
+    w = spark.createDataFrame([wrow("A", 1.0, 1.0, 5, 1.0, 0.1, 1.0), wrow("A", 1.0, 1.0, 2, 1.0, 0.1, 1.0), wrow("B", 1.0, 1.0, 3, 1.0, 0.1, 1.0),
+                               wrow("A", 1.0, 1.0, 9, 1.0, 0.1, 1.0)], WEATHER_SCHEMA)
+    out = weather.hourly_rows(w, 2, 5, "A")
+    assert [r.hour_of_day for r in out.collect()] == [2, 5] and set(w.columns) <= set(out.columns)
