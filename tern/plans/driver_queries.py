@@ -360,31 +360,48 @@ from tern.streaming.refresh import SalesRefresh  # noqa: E402
 _BATCH_BOUNDS = ("1997-01-01", "2000-01-01")
 
 
-def refreshed_sales_report(spark, sf_dir, root=None):
-    """Land the JSON orders in three batches (by order date), run the
-    refresh stream after each landing, return the maintained sales_report."""
+def refreshed_tables(spark, sf_dir, root=None):
+    """Land the JSON orders in three batches (by order date, unknown dates
+    first), run the refresh stream after each landing; the job, whose tables
+    are then maintained ones."""
     root = root or scratch_path(spark, "refresh")
     landing = f"{root}/landing"
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     a, b = (F.lit(x).cast("timestamp_ntz") for x in _BATCH_BOUNDS)
-    batches = [F.col("o_orderdate") < a, (F.col("o_orderdate") >= a) & (F.col("o_orderdate") < b), F.col("o_orderdate") >= b]
+    day = F.col("o_orderdate")
+    batches = [day.isNull() | (day < a), (day >= a) & (day < b), day >= b]
     job = SalesRefresh(
         spark,
         f"{root}/tables",
         landing,
         derived.sales_customers(spark, sf_dir),
         derived.sales_products(spark, sf_dir),
-        buckets=16,
+        bucket_rows=50_000,
         as_of=derived.AS_OF,
     )
     for i, cond in enumerate(batches):
         part = derived.sales_orders_from(li, o.where(cond))
         datagen.write_json_batch(part, f"{landing}/batch={i}")
         job.start({"availableNow": True}).awaitTermination()
-    return job.read("sales_report")
+    return job
 
 
 @register("refresh_incremental_equals_full", oracle=O.SALES_REPORT)
 def refresh_incremental_equals_full(spark, sf_dir):
-    return refreshed_sales_report(spark, sf_dir)
+    return refreshed_tables(spark, sf_dir).read("sales_report")
+
+
+@register("refresh_customer_orders", oracle=O.CUSTOMER_ORDERS)
+def refresh_customer_orders(spark, sf_dir):
+    return refreshed_tables(spark, sf_dir).read("customer_orders")
+
+
+@register("refresh_cumulative_purchases", oracle=O.CUMULATIVE_PURCHASES)
+def refresh_cumulative_purchases(spark, sf_dir):
+    return refreshed_tables(spark, sf_dir).read("cumulative_purchases")
+
+
+@register("refresh_inventory_alert", oracle=O.INVENTORY_ALERT)
+def refresh_inventory_alert(spark, sf_dir):
+    return refreshed_tables(spark, sf_dir).read("product_inventory_alert").drop("rowcreationtime")

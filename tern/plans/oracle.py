@@ -279,7 +279,7 @@ def _round_div(num: str, den: str, scale: int) -> str:
     decimals, as an exact DECIMAL."""
     f = 10 ** scale
     q = f"((2 * ({num}) * {f} + ({den})) // (2 * ({den})))"
-    return f"CAST(CAST({q} AS DECIMAL(18,0)) / {f} AS DECIMAL(18,{scale}))" if scale else f"CAST({q} AS INTEGER)"
+    return f"CAST(CAST({q} AS DECIMAL(18,0)) / {f} AS DECIMAL({28 + scale},{scale}))" if scale else f"CAST({q} AS INTEGER)"
 
 
 def _avg(col: str, scale: int) -> str:
@@ -380,7 +380,7 @@ SELECT * FROM ws WHERE city_name = '{CITY}'
 
 FILL_FOR_DISPLAY = f"""
 WITH {_LINES}, {_WEATHER}, {_SUBSET}, {_summary()}
-SELECT h.city_name, h.fid, coalesce(h.miles, 0) AS miles, coalesce(h.year, 0) AS year, 'N/A' AS average_annual_daily_traffic,
+SELECT h.city_name, h.fid, coalesce(h.miles, 0) AS miles, CAST(coalesce(h.year, 0) AS INTEGER) AS year, 'N/A' AS average_annual_daily_traffic,
        coalesce(CAST(w.latest_date AS VARCHAR), 'N/A') AS latest_date, coalesce(w.avg_temperature, 0) AS avg_temperature
 FROM sub h LEFT JOIN ws w ON h.city_name = w.city_name
 """

@@ -56,10 +56,12 @@ def ingest_stream(
     """Continuous ingest of landing files into a Parquet table folder.
 
     Each file is loaded once (the checkpoint records consumed files); the
-    source file name is kept for lineage.  Returns the StreamingQuery.
+    source file name is kept for lineage.  A malformed record fails the query.
+    Returns the StreamingQuery.
     """
     src = (
         spark.readStream.option("multiLine", str(multiline).lower())
+        .option("mode", "FAILFAST")
         .option("singleVariantColumn", column)
         .schema(f"{column} variant")
         .json(landing)

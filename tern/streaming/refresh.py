@@ -6,38 +6,42 @@ queries (``tern.operators.sales``) as JSON orders land in a directory:
     orders (files) -> customer_orders -> sales_report -> cumulative_purchases
                                                     \\-> product_inventory_alert
 
-Invariant: after a refresh every table equals its defining query run in full
-on the same inputs and ``as_of``.
-
-One ``foreachBatch`` call refreshes the whole DAG in topological order, so
-all tables reflect the same input version (D8).  Strategies, all idempotent
-under replay of a micro-batch (the stream may re-run a batch after a failure):
-
-* customer_orders (append): rows of batch N are written to partitions
-  ``bucket=*/batch_id=N`` by dynamic partition overwrite, so a replay
-  replaces its own output.
-* sales_report, cumulative_purchases (key recompute): a batch touches some
-  customers; their ``bucket = pmod(hash(customer_id), B)`` partitions are
-  rebuilt from customer_orders (partition-pruned reads) and replaced whole
-  (touched bucket folders removed, rebuilt rows appended).
-  LAG under late dates changes the *following* rows, so the whole customer
-  is recomputed, never appended.  Buckets left empty are deleted explicitly.
-  cumulative_purchases also recomputes the buckets of customers whose rows
-  crossed the moving six-month bound since the previous ``as_of`` (D3).
-* product_inventory_alert (merge partials): batch N writes per-product
-  (sum quantity, max date) to ``batch_id=N``; the table is their merge.
-* full: when a static input (customers, products) changed (fingerprint),
-  on resume, or on request: every table is rebuilt from all landed files.
-
-State (last ``as_of``, fingerprints, suspended tables) is a small JSON file
-next to the tables, written after the tables; the stream's checkpoint
-records which files were consumed.
+Invariant: after a refresh every active table equals its defining query run in
+full on the stored orders, the static inputs and ``as_of``.
+
+One ``foreachBatch`` call refreshes the whole DAG in topological order:
+
+1. The batch's typed orders are stored under ``orders/batch_id=N`` (overwritten
+   if the batch is replayed).  Nothing else ever reads the landing folder, so
+   what is refreshed and what the stream has consumed cannot differ.
+2. The batch touches some customers; their ``bucket = pmod(hash(customer_id),
+   B)`` parts of customer_orders, sales_report and cumulative_purchases are
+   computed anew from the old part and the new rows, and written beside the old
+   ones under a new version.  LAG under late dates changes the following rows,
+   so whole customers are recomputed, never appended.  cumulative_purchases
+   also recomputes the buckets of customers whose rows crossed the moving
+   six-month bound.  Product totals are merged with the batch's.
+3. The state record (a small JSON file) is replaced: last applied batch id,
+   ``as_of``, and for each table the version of each bucket.  Readers follow
+   the record, so they see all of a batch or nothing of it; a failure before
+   this step leaves the old versions in place and the replayed batch starts
+   anew.  A batch that is already applied is skipped.  Versions that the record
+   no longer names are removed afterwards.
+
+B is set by a full build from the number of stored orders (``bucket_rows`` rows
+a bucket), so a batch's work follows the customers it touches, and every bucket
+is one version: files do not pile up.  Full builds (first batch, changed static
+inputs, resume, on request) read the stored orders up to the current batch.
+Static inputs are compared by the listing of their files (path, length, time);
+only inputs without files are hashed.
 """
 
 from __future__ import annotations
 
+import calendar
 import datetime as _dt
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,17 +49,17 @@ from pyspark.sql import functions as F
 from tern.operators import sales
 
 TABLES = ("customer_orders", "sales_report", "cumulative_purchases", "product_inventory_alert")
-# Consumers of each table (dependency DAG, D8).
-CONSUMERS = {
-    "customer_orders": ("sales_report",),
-    "sales_report": ("cumulative_purchases", "product_inventory_alert"),
-    "cumulative_purchases": (),
-    "product_inventory_alert": (),
+# Producers of each table (dependency DAG, D8).
+PRODUCERS = {
+    "customer_orders": (),
+    "sales_report": ("customer_orders",),
+    "cumulative_purchases": ("customer_orders", "sales_report"),
+    "product_inventory_alert": ("customer_orders", "sales_report"),
 }
-PRODUCERS = {t: tuple(p for p, cs in CONSUMERS.items() if t in cs) for t in TABLES}
 MODES = ("incremental", "full", "auto")
 
 
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,6 +77,11 @@ def _delete(spark, path) -> None:
         fs.delete(p, True)
 
 
+def _names(spark, path) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def _read_text(spark, path) -> str | None:
     if not _exists(spark, path):
         return None
@@ -89,7 +98,10 @@ def _write_text(spark, path, text: str) -> None:
 
 class SalesRefresh:
     """Keeps the sales tables under ``root`` fresh from orders landing in
-    ``landing`` (JSON lines, one order per line, as ``sales_data``)."""
+    ``landing`` (JSON lines, one order per line, as ``sales_data``).
+
+    ``buckets`` fixes B; by default a full build sets it from ``bucket_rows``.
+    """
 
     def __init__(
         self,
@@ -98,16 +110,17 @@ class SalesRefresh:
         landing: str,
         customers: DataFrame,
         products: DataFrame,
-        buckets: int = 64,
+        buckets: int | None = None,
         months: int = 6,
         as_of=None,
         mode: str = "auto",
+        bucket_rows: int = 1_000_000,
     ):
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
         self.spark, self.root, self.landing = spark, root.rstrip("/"), landing.rstrip("/")
         self.customers, self.products = customers, products
-        self.buckets, self.months, self.mode = buckets, months, mode
+        self.buckets, self.bucket_rows, self.months, self.mode = buckets, bucket_rows, months, mode
         self._as_of = as_of
 
     # ------------------------------------------------------------ state
@@ -116,11 +129,23 @@ class SalesRefresh:
         return f"{self.root}/{name}"
 
     def _state(self) -> dict:
-        text = _read_text(self.spark, self.path("_state/state.json"))
-        return json.loads(text) if text else {"suspended": []}
+        """The state record; of the two files the newer complete one counts."""
+        found = []
+        for k in (0, 1):
+            text = _read_text(self.spark, self.path(f"_state/state{k}.json"))
+            try:
+                found.append(json.loads(text) if text else None)
+            except ValueError:
+                found.append(None)  # a write that was cut off
+        known = [s for s in found if s]
+        if known:
+            return max(known, key=lambda s: s["serial"])
+        return {"serial": 0, "applied": -1, "tables": {}, "suspended": [], "dropped": [], "buckets": 0}
 
     def _save_state(self, st: dict) -> None:
-        _write_text(self.spark, self.path("_state/state.json"), json.dumps(st, sort_keys=True))
+        """Replaces the older of the two state files, so one is always whole."""
+        st["serial"] += 1
+        _write_text(self.spark, self.path(f"_state/state{st['serial'] % 2}.json"), json.dumps(st, sort_keys=True))
 
     def as_of(self) -> _dt.datetime:
         """The reference time of the six-month window; a parameter so
@@ -134,208 +159,209 @@ class SalesRefresh:
     def set_as_of(self, as_of) -> None:
         self._as_of = as_of
 
-    def _fingerprint(self) -> list:
-        def fp(df):
-            h = F.xxhash64(*df.columns)
-            row = df.agg(F.count(F.lit(1)), F.sum(F.pmod(h, F.lit(1 << 31))), F.bit_xor(h)).first()
-            return [int(row[0]), int(row[1] or 0), int(row[2] or 0)]
+    def _static(self) -> list:
+        """What the static inputs are: their files, or a hash if there are none."""
+
+        def seen(df):
+            files = sorted(df.inputFiles())
+            if not files:
+                h = F.xxhash64(*df.columns)
+                row = df.agg(F.count(F.lit(1)), F.sum(F.pmod(h, F.lit(1 << 31))), F.bit_xor(h)).first()
+                return [int(row[0]), int(row[1] or 0), int(row[2] or 0)]
+            out = []
+            for f in files:
+                fs, p = _fs(self.spark, f)
+                s = fs.getFileStatus(p)
+                out.append([f, s.getLen(), s.getModificationTime()])
+            return out
 
-        return [fp(self.customers), fp(self.products)]
+        return [seen(self.customers), seen(self.products)]
 
     # --------------------------------------------------- suspend / drop
 
-    def suspend(self, name: str) -> bool:
-        """``ALTER DYNAMIC TABLE IF EXISTS t SUSPEND`` (D9); False if unknown."""
+    def _mark(self, name: str, **lists) -> bool:
         if name not in TABLES:
             return False
         st = self._state()
-        st["suspended"] = sorted(set(st.get("suspended", [])) | {name})
+        for key, member in lists.items():
+            st[key] = sorted(set(st[key]) | {name} if member else set(st[key]) - {name})
         self._save_state(st)
         return True
 
+    def suspend(self, name: str) -> bool:
+        """``ALTER DYNAMIC TABLE IF EXISTS t SUSPEND`` (D9); False if unknown.
+        The table and its consumers keep their contents until resumed."""
+        return self._mark(name, suspended=True)
+
     def resume(self, name: str) -> bool:
-        """``RESUME``: catches up with a full refresh."""
-        if name not in TABLES:
+        """``RESUME``: the next batch catches up with a full build."""
+        if not self._mark(name, suspended=False):
             return False
         st = self._state()
-        st["suspended"] = sorted(set(st.get("suspended", [])) - {name})
         st["needs_full"] = True
         self._save_state(st)
         return True
 
     def drop(self, name: str) -> bool:
-        """``DROP DYNAMIC TABLE IF EXISTS`` (D10): output removed."""
-        if name not in TABLES:
+        """``DROP DYNAMIC TABLE IF EXISTS`` (D10): contents removed; later
+        batches do not write it.  Only ``full_refresh`` brings it back."""
+        if not self._mark(name, dropped=True):
             return False
-        _delete(self.spark, self.path(name if name != "product_inventory_alert" else "inventory_partials"))
+        st = self._state()
+        st["tables"].pop(name, None)
+        self._save_state(st)
+        _delete(self.spark, self.path(name))
         return True
 
     def _active(self, st: dict) -> set[str]:
-        """Tables to refresh: not suspended and no suspended producer; a
-        table with LAG=DOWNSTREAM (customer_orders) only when a consumer is
-        active (D6)."""
-        off = set(st.get("suspended", []))
-        active = set()
-        for t in ("sales_report", "cumulative_purchases", "product_inventory_alert", "customer_orders"):
-            if t in off or any(p in off for p in self._upstream(t)):
-                continue
-            active.add(t)
-        if not any(c in active for c in CONSUMERS["customer_orders"]):
-            active.discard("customer_orders")
-        return active
-
-    def _upstream(self, t: str) -> set[str]:
-        out, todo = set(), list(PRODUCERS[t])
-        while todo:
-            p = todo.pop()
-            if p not in out:
-                out.add(p)
-                todo.extend(PRODUCERS[p])
-        return out
+        """Tables to refresh: neither they nor a producer are suspended or dropped."""
+        off = set(st["suspended"]) | set(st["dropped"])
+        return {t for t in TABLES if t not in off and not off & set(PRODUCERS[t])}
 
     # ----------------------------------------------------------- reads
 
-    def _bucket(self, col: str = "customer_id"):
-        return F.pmod(F.xxhash64(F.col(col)), F.lit(self.buckets)).cast("int")
+    def _bucket(self, n: int, col: str = "customer_id"):
+        return F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
+
+    def _read(self, st: dict, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """Stored rows of a table, of the given buckets only."""
+        table = st["tables"][name]
+        paths = [
+            f"{self.path(name)}/v={v}/bucket={b}" for b, v in table["versions"].items() if buckets is None or int(b) in buckets
+        ]
+        schema = table["schema"]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self, name: str) -> DataFrame:
         """Current contents of a derived table."""
-        s = self.spark
-        if name == "customer_orders":
-            return s.read.parquet(self.path(name)).drop("bucket", "batch_id")
-        if name in ("sales_report", "cumulative_purchases"):
-            return s.read.parquet(self.path(name)).drop("bucket")
-        if name == "product_inventory_alert":
-            parts = s.read.parquet(self.path("inventory_partials"))
-            merged = parts.groupBy("product_id").agg(
-                F.max("latest_sales_date").alias("purchase_date"), F.sum("totalunitsold").alias("quantity")
-            )
-            return sales.product_inventory_alert(merged, self.products)
-        raise KeyError(name)
+        st = self._state()
+        if name not in TABLES:
+            raise KeyError(name)
+        if name not in st["tables"]:
+            raise ValueError(f"{name} is dropped or was never built")
+        rows = self._read(st, name)
+        return sales.product_inventory_alert(rows, self.products) if name == "product_inventory_alert" else rows
 
     def landed_orders(self) -> DataFrame:
-        return (
-            self.spark.read.option("recursiveFileLookup", "true")
-            .option("singleVariantColumn", "sales_data")
-            .schema("sales_data variant")
-            .json(self.landing)
-        )
+        """All orders in the landing folder, whether refreshed or not."""
+        return self.spark.read.text(self.landing, recursiveFileLookup=True).select(F.parse_json("value").alias("sales_data"))
 
-    # --------------------------------------------------------- refresh
+    def _orders(self, upto: int) -> DataFrame:
+        """Stored orders of the batches up to ``upto``."""
+        ids = [int(n.split("=")[1]) for n in _names(self.spark, self.path("orders")) if n.startswith("batch_id=")]
+        schema = "order_id bigint, custid bigint, product_id bigint, quantity bigint, order_total decimal(10,2), purchase_date date"
+        paths = [self.path(f"orders/batch_id={i}") for i in ids if i <= upto]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _write_buckets(self, df: DataFrame, name: str, touched: DataFrame) -> None:
-        """Replace the touched bucket partitions of ``name`` by ``df``'s rows:
-        the touched buckets' folders are removed, then the new rows are
-        appended, so a bucket that came out empty is simply absent.  The
-        output is computed once.  A failure in between leaves those buckets
-        missing until the micro-batch is replayed, which redoes both steps."""
-        for (b,) in touched.collect():  # at most B values
-            _delete(self.spark, f"{self.path(name)}/bucket={b}")
-        df.write.mode("append").partitionBy("bucket").parquet(self.path(name))
+    # --------------------------------------------------------- refresh
 
     def refresh_batch(self, batch: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` body: one micro-batch through the DAG."""
         st = self._state()
-        fp = self._fingerprint()
-        full = (
-            self.mode == "full"
-            or st.get("needs_full", False)
-            or st.get("fingerprint") not in (None, fp)
-            or not _exists(self.spark, self.path("customer_orders"))
-        )
+        if batch_id <= st["applied"]:
+            return  # replayed after it was applied
+        stored = self.path(f"orders/batch_id={batch_id}")
+        sales.extract_orders(batch).write.mode("overwrite").parquet(stored)
+        static, as_of = self._static(), self.as_of()
         active = self._active(st)
-        as_of = self.as_of()
-        if full:
-            self._full(active, as_of)
+        built = all(t in st["tables"] for t in active)
+        if self.mode == "full" or st.get("needs_full") or st.get("static") != static or not built:
+            self._full(st, active, batch_id, as_of)
         else:
-            self._incremental(batch, batch_id, active, as_of, st.get("as_of"))
-        st.update({"fingerprint": fp, "as_of": as_of.isoformat(), "needs_full": False, "last_batch": batch_id})
-        self._save_state(st)
+            self._incremental(st, active, batch_id, as_of)
+        st.update({"static": static, "as_of": as_of.isoformat(), "needs_full": False, "applied": batch_id})
+        self._switch(st)
 
-    def _incremental(self, batch, batch_id, active, as_of, prev_as_of) -> None:
-        s = self.spark
-        co_new = sales.customer_orders(self.customers, batch).withColumn("bucket", self._bucket()).withColumn(
-            "batch_id", F.lit(batch_id)
-        )
-        co_new = co_new.persist()
-        try:
-            if "customer_orders" in active:
-                co_new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                    "bucket", "batch_id"
-                ).parquet(self.path("customer_orders"))
-            # Bucket ids touched by this batch: at most B rows, so the two
-            # broadcasts below have a fixed size bound.
-            touched = co_new.select("bucket").distinct()
-            co_all = s.read.parquet(self.path("customer_orders"))
-            if "sales_report" in active:
-                co_t = co_all.join(F.broadcast(touched), "bucket", "left_semi").drop("batch_id", "bucket")
-                sr = sales.sales_report(co_t, self.products).withColumn("bucket", self._bucket())
-                self._write_buckets(sr, "sales_report", touched)
-            if "cumulative_purchases" in active:
-                sr_all = s.read.parquet(self.path("sales_report"))
-                since_new = as_of - _relative_months(as_of, self.months)
-                moved = touched
-                if prev_as_of:
-                    prev = _dt.datetime.fromisoformat(prev_as_of)
-                    since_old = prev - _relative_months(prev, self.months)
-                    lo, hi = min(since_old, since_new), max(since_old, since_new)
-                    ts = F.col("purchase_date").cast("timestamp_ntz")
-                    lo_c = F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz")
-                    hi_c = F.lit(hi.isoformat(sep=" ")).cast("timestamp_ntz")
-                    crossed = sr_all.where((ts >= lo_c) & (ts < hi_c)).select("bucket")
-                    moved = touched.unionByName(crossed).distinct()
-                sr_t = sr_all.join(F.broadcast(moved), "bucket", "left_semi").drop("bucket")
-                cp = sales.cumulative_purchases(sr_t, as_of, self.months).withColumn("bucket", self._bucket())
-                self._write_buckets(cp, "cumulative_purchases", moved)
-            if "product_inventory_alert" in active:
-                part = (
-                    co_new.join(self.products.select("product_id"), "product_id", "inner")
-                    .groupBy("product_id")
-                    .agg(F.max("purchase_date").alias("latest_sales_date"), F.sum("quantity").alias("totalunitsold"))
-                    .withColumn("batch_id", F.lit(batch_id))
-                )
-                part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(
-                    self.path("inventory_partials")
-                )
-        finally:
-            co_new.unpersist()
-
-    def _full(self, active, as_of) -> None:
-        """Rebuild every active table from all landed orders."""
-        orders = self.landed_orders()
-        co = sales.customer_orders(self.customers, orders).withColumn("bucket", self._bucket()).withColumn(
-            "batch_id", F.lit(-1)
-        )
-        for name in ("customer_orders", "sales_report", "cumulative_purchases", "inventory_partials"):
-            _delete(self.spark, self.path(name))
+    def full_refresh(self) -> None:
+        """Builds every table that is not suspended, dropped ones too, from the
+        stored orders of the batches applied so far."""
+        st = self._state()
+        st["dropped"] = []
+        as_of = self.as_of()
+        self._full(st, self._active(st), st["applied"], as_of)
+        st.update({"static": self._static(), "as_of": as_of.isoformat(), "needs_full": False})
+        self._switch(st)
+
+    def _switch(self, st: dict) -> None:
+        """Makes the new versions current, then removes those not in use."""
+        self._save_state(st)
+        for name in TABLES:
+            used = set(st["tables"].get(name, {}).get("versions", {}).values())
+            for n in _names(self.spark, self.path(name)):
+                if n.startswith("v=") and n[2:] not in used:
+                    _delete(self.spark, f"{self.path(name)}/{n}")
+
+    def _store(self, st: dict, name: str, df: DataFrame, n: int, replaced: list[int] | None) -> None:
+        """Writes rows of a table as a new version and notes it in ``st``:
+        of all buckets, or of the ``replaced`` ones (empty buckets vanish)."""
+        v = uuid.uuid4().hex
+        path = f"{self.path(name)}/v={v}"
+        bucket = self._bucket(n) if "customer_id" in df.columns else self._bucket(n, "product_id")
+        df.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        new = {b.split("=")[1]: v for b in _names(self.spark, path) if b.startswith("bucket=")}
+        old = {} if replaced is None else st["tables"][name]["versions"]
+        kept = {b: o for b, o in old.items() if int(b) not in (replaced or ())}
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        st["tables"][name] = {"schema": schema, "versions": kept | new}
+
+    def _customer_orders(self, orders: DataFrame) -> DataFrame:
+        c = self.customers.select(F.col("cust_id").alias("custid"), "customer_name")
+        joined = orders.join(c, "custid", "inner")
+        return joined.select(F.col("custid").alias("customer_id"), "customer_name", "order_id", "product_id", "quantity", "order_total", "purchase_date")
+
+    def _totals(self, customer_orders: DataFrame) -> DataFrame:
+        """Latest date and units per product, as rows that add up."""
+        known = customer_orders.join(self.products.select("product_id"), "product_id", "inner")
+        return known.groupBy("product_id").agg(F.max("purchase_date").alias("purchase_date"), F.sum("quantity").alias("quantity"))
+
+    def _full(self, st: dict, active: set[str], upto: int, as_of) -> None:
+        """Rebuilds every active table from the stored orders."""
         if "customer_orders" not in active:
             return
-        co.write.partitionBy("bucket", "batch_id").parquet(self.path("customer_orders"))
-        co_all = self.spark.read.parquet(self.path("customer_orders")).drop("batch_id", "bucket")
+        orders = self._orders(upto)
+        n = st["buckets"] = self.buckets or max(1, -(-orders.count() // self.bucket_rows))
+        self._store(st, "customer_orders", self._customer_orders(orders), n, None)
+        co = self._read(st, "customer_orders")
         if "sales_report" in active:
-            sales.sales_report(co_all, self.products).withColumn("bucket", self._bucket()).write.partitionBy(
-                "bucket"
-            ).parquet(self.path("sales_report"))
+            self._store(st, "sales_report", sales.sales_report(co, self.products), n, None)
         if "cumulative_purchases" in active:
-            sr = self.spark.read.parquet(self.path("sales_report")).drop("bucket")
-            sales.cumulative_purchases(sr, as_of, self.months).withColumn("bucket", self._bucket()).write.partitionBy(
-                "bucket"
-            ).parquet(self.path("cumulative_purchases"))
+            self._store(st, "cumulative_purchases", sales.cumulative_purchases(self._read(st, "sales_report"), as_of, self.months), n, None)
         if "product_inventory_alert" in active:
-            (
-                co_all.join(self.products.select("product_id"), "product_id", "inner")
-                .groupBy("product_id")
-                .agg(F.max("purchase_date").alias("latest_sales_date"), F.sum("quantity").alias("totalunitsold"))
-                .withColumn("batch_id", F.lit(-1))
-                .write.partitionBy("batch_id")
-                .parquet(self.path("inventory_partials"))
-            )
+            self._store(st, "product_inventory_alert", self._totals(co), n, None)
 
-    def full_refresh(self) -> None:
-        st = self._state()
-        self._full(self._active(st), self.as_of())
-        st.update({"fingerprint": self._fingerprint(), "as_of": self.as_of().isoformat(), "needs_full": False})
-        self._save_state(st)
+    def _incremental(self, st: dict, active: set[str], batch_id: int, as_of) -> None:
+        if "customer_orders" not in active:
+            return
+        n, prev = st["buckets"], st.get("as_of")
+        orders = self.spark.read.parquet(self.path(f"orders/batch_id={batch_id}"))
+        new = self._customer_orders(orders)
+        # bucket numbers: at most B values, which the state record holds anyway
+        touched = [r[0] for r in new.select(self._bucket(n).alias("b")).distinct().collect()]
+        if touched:
+            merged = self._read(st, "customer_orders", touched).unionByName(new)
+            self._store(st, "customer_orders", merged, n, touched)
+            if "sales_report" in active:
+                co = self._read(st, "customer_orders", touched)
+                self._store(st, "sales_report", sales.sales_report(co, self.products), n, touched)
+            if "product_inventory_alert" in active:
+                both = self._read(st, "product_inventory_alert").unionByName(self._totals(new).select("product_id", "purchase_date", "quantity"))
+                merged = both.groupBy("product_id").agg(F.max("purchase_date").alias("purchase_date"), F.sum("quantity").alias("quantity"))
+                self._store(st, "product_inventory_alert", merged, n, None)
+        if "cumulative_purchases" in active:
+            moved = sorted({*touched, *self._crossed(st, n, prev, as_of)})
+            if moved:
+                sr = self._read(st, "sales_report", moved)
+                self._store(st, "cumulative_purchases", sales.cumulative_purchases(sr, as_of, self.months), n, moved)
+
+    def _crossed(self, st: dict, n: int, prev: str | None, as_of) -> list[int]:
+        """Buckets with purchases that entered or left the window since ``prev``."""
+        bounds = sorted(t - _relative_months(t, self.months) for t in (_dt.datetime.fromisoformat(prev) if prev else as_of, as_of))
+        lo, hi = (F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz") for t in bounds)
+        ts = F.col("purchase_date").cast("timestamp_ntz")
+        # the date column is pruned by row-group statistics through this range
+        days = F.col("purchase_date").between(bounds[0].date(), bounds[1].date())
+        rows = self._read(st, "sales_report").where(days & (ts >= lo) & (ts < hi))
+        return [r[0] for r in rows.select(self._bucket(n).alias("b")).distinct().collect()]
 
     # ---------------------------------------------------------- stream
 
@@ -344,14 +370,11 @@ class SalesRefresh:
 
         ``trigger`` is passed to ``writeStream.trigger``: the freshness
         target ``{"processingTime": "1 minute"}`` (LAG = '1 MINUTE'), or
-        ``{"availableNow": True}`` for refresh on request.
+        ``{"availableNow": True}`` for refresh on request.  A malformed record
+        fails the batch; it is not turned into NULL.
         """
-        src = (
-            self.spark.readStream.option("recursiveFileLookup", "true")
-            .option("singleVariantColumn", "sales_data")
-            .schema("sales_data variant")
-            .json(self.landing)
-        )
+        src = self.spark.readStream.option("recursiveFileLookup", "true").text(self.landing)
+        src = src.select(F.parse_json("value").alias("sales_data"))
         w = src.writeStream.foreachBatch(lambda df, bid: self.refresh_batch(df, bid)).option(
             "checkpointLocation", checkpoint or self.path("_checkpoint")
         )
@@ -366,7 +389,5 @@ def _relative_months(as_of: _dt.datetime, months: int) -> _dt.timedelta:
     while m <= 0:
         m += 12
         y -= 1
-    import calendar
-
     d = min(as_of.day, calendar.monthrange(y, m)[1])
     return as_of - as_of.replace(year=y, month=m, day=d)

@@ -81,9 +81,8 @@ def test_expiry_empties_buckets(spark, workdir):
     job.set_as_of(AS_OF + dt.timedelta(days=214))
     empty = spark.createDataFrame([], "sales_data variant")
     job.refresh_batch(empty, 99)
-    parts = [p for p in os.listdir(job.path("cumulative_purchases")) if p.startswith("bucket=")]
-    assert parts == []
-    assert_equal_to_full(spark, job, ["sales_report", "product_inventory_alert"])
+    assert job.read("cumulative_purchases").count() == 0
+    assert_equal_to_full(spark, job)
 
 
 def test_suspend_resume_and_static_change(spark, workdir):
@@ -121,3 +120,132 @@ def test_processing_time_trigger(spark, workdir):
     assert_equal_to_full(spark, job)
     assert job.read("customer_orders").count() == job.landed_orders().join(
         job.customers.selectExpr("cust_id"), F.expr("variant_get(sales_data, '$.custid', 'bigint') = cust_id")).count()
+
+
+def landed(spark, job, *batches):
+    """Full tables of the given landed batches only."""
+    out = SalesRefresh(spark, job.root, job.landing, job.customers, job.products, as_of=job.as_of())
+    orders = batches[0]
+    for b in batches[1:]:
+        orders = orders.unionByName(b)
+    out.landed_orders = lambda: orders
+    return full_tables(spark, out)
+
+
+def check(job, full, names=("customer_orders", "sales_report", "cumulative_purchases", "product_inventory_alert")):
+    for name in names:
+        assert rows(job.read(name), ("rowcreationtime",)) == rows(full[name], ("rowcreationtime",)), name
+
+
+def test_full_batch_replayed(spark, workdir):
+    job = make_job(spark, workdir)
+    b0 = land(spark, job, 20, 1, 21, "b0")
+    job.refresh_batch(b0, 0)
+    job.refresh_batch(b0, 0)
+    check(job, landed(spark, job, b0))
+
+
+def test_failure_before_the_state_is_saved(spark, workdir, monkeypatch):
+    job = make_job(spark, workdir)
+    b0, b1 = (land(spark, job, 30, 1 + 1000 * i, 31 + i, f"b{i}") for i in (0, 1))
+    for i, b in enumerate((b0, b1)):
+        with monkeypatch.context() as m:
+            m.setattr(job, "_save_state", lambda st: (_ for _ in ()).throw(OSError("lost")))
+            try:
+                job.refresh_batch(b, i)
+                raise AssertionError("the failure did not come through")
+            except OSError:
+                pass
+        if i:  # readers still see the batch before, whole
+            check(job, landed(spark, job, b0))
+        job.refresh_batch(b, i)
+    check(job, landed(spark, job, b0, b1))
+
+
+def test_full_refresh_with_unconsumed_files(spark, workdir):
+    job = make_job(spark, workdir)
+    b0 = land(spark, job, 20, 1, 41, "b0")
+    job.start().awaitTermination()
+    b1 = land(spark, job, 20, 1000, 42, "b1")  # landed, not consumed
+    job.full_refresh()
+    check(job, landed(spark, job, b0))
+    job.start().awaitTermination()
+    check(job, landed(spark, job, b0, b1))
+    job.mode = "full"  # files that land while a full batch runs wait for their own
+    b2 = land(spark, job, 20, 2000, 43, "b2")
+    job.start().awaitTermination()
+    check(job, landed(spark, job, b0, b1, b2))
+
+
+def test_drop_and_explicit_rebuild(spark, workdir):
+    job = make_job(spark, workdir)
+    b0 = land(spark, job, 30, 1, 51, "b0")
+    job.start().awaitTermination()
+    assert job.drop("product_inventory_alert")
+    b1 = land(spark, job, 10, 1000, 52, "b1")
+    job.start().awaitTermination()
+    try:
+        job.read("product_inventory_alert")
+        raise AssertionError("a dropped table came back")
+    except ValueError:
+        pass
+    check(job, landed(spark, job, b0, b1), ("customer_orders", "sales_report", "cumulative_purchases"))
+    job.full_refresh()
+    check(job, landed(spark, job, b0, b1))
+
+
+def test_suspended_table_survives_a_static_change(spark, workdir):
+    job = make_job(spark, workdir)
+    b0 = land(spark, job, 30, 1, 61, "b0")
+    job.start().awaitTermination()
+    job.suspend("sales_report")
+    before = rows(job.read("sales_report"))
+    job.products = datagen.generate_products(spark, 6, DAY, seed=9)
+    b1 = land(spark, job, 10, 1000, 62, "b1")
+    job.start().awaitTermination()
+    assert rows(job.read("sales_report")) == before
+    check(job, landed(spark, job, b0, b1), ("customer_orders",))
+    job.resume("sales_report")
+    b2 = land(spark, job, 10, 2000, 63, "b2")
+    job.start().awaitTermination()
+    check(job, landed(spark, job, b0, b1, b2))
+
+
+def test_empty_tables(spark, workdir):
+    job = make_job(spark, workdir)
+    empty = spark.createDataFrame([], "sales_data variant")
+    job.refresh_batch(empty, 0)
+    for name in ("customer_orders", "sales_report", "cumulative_purchases", "product_inventory_alert"):
+        assert job.read(name).count() == 0
+    b1 = land(spark, job, 20, 1, 71, "b1")
+    job.refresh_batch(b1, 1)
+    check(job, landed(spark, job, b1))
+
+
+def test_malformed_record_fails_the_batch(spark, workdir):
+    job = make_job(spark, workdir)
+    land(spark, job, 5, 1, 81, "b0")
+    with open(os.path.join(job.landing, "b0", "bad.json"), "w") as f:
+        f.write('{"order_id": 1,\n')
+    q = job.start()
+    try:
+        q.awaitTermination()
+        raise AssertionError("a malformed record was swallowed")
+    except Exception as e:  # noqa: BLE001
+        assert "MALFORMED" in str(e)
+
+
+def test_a_batch_of_one_customer_rewrites_one_bucket(spark, workdir):
+    job = make_job(spark, workdir, buckets=None)
+    job.bucket_rows = 10
+    b0 = land(spark, job, 120, 1, 91, "b0")
+    job.start().awaitTermination()
+    st = job._state()
+    assert st["buckets"] == 12
+    old = st["tables"]["customer_orders"]["versions"]
+    one = b0.where("variant_get(sales_data, '$.custid', 'bigint') = 1003").limit(1)
+    assert one.count() == 1
+    job.refresh_batch(one, 1)
+    new = job._state()["tables"]["customer_orders"]["versions"]
+    assert sum(old.get(b) != v for b, v in new.items()) == 1
+    check(job, landed(spark, job, b0, one))

@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from tern.sources import files
 from tern.functions import variant
 
@@ -25,10 +27,10 @@ def test_load_list_ingest(spark, workdir):
     bad = files.load_json_variant(spark, land, keep_corrupt=True)
     got = bad.collect()  # whole rows: Spark rejects queries on the corrupt column alone
     assert sum(r._corrupt_record is not None for r in got) == 1 and sum(r.raw_data is not None for r in got) == 2
-    q = files.ingest_stream(spark, land, os.path.join(workdir, "tbl"), os.path.join(workdir, "ck"))
-    q.awaitTermination()
-    assert spark.read.parquet(os.path.join(workdir, "tbl")).count() == 3
-    # a second run with no new file loads nothing again
-    q = files.ingest_stream(spark, land, os.path.join(workdir, "tbl"), os.path.join(workdir, "ck"))
-    q.awaitTermination()
-    assert spark.read.parquet(os.path.join(workdir, "tbl")).count() == 3
+    with pytest.raises(Exception):  # a malformed file is not loaded as NULL
+        files.ingest_stream(spark, land, os.path.join(workdir, "bad"), os.path.join(workdir, "ck-bad")).awaitTermination()
+    with open(os.path.join(land, "c.geojson"), "w") as f:
+        f.write('{"type": "Feature"}')
+    for _ in range(2):  # a second run with no new file loads nothing again
+        files.ingest_stream(spark, land, os.path.join(workdir, "tbl"), os.path.join(workdir, "ck")).awaitTermination()
+        assert spark.read.parquet(os.path.join(workdir, "tbl")).count() == 3
