@@ -150,12 +150,10 @@ def _coder(vocabulary: dict) -> Coder:
 def with_tokens(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` (array of int) added.
 
-    Null and empty texts have no tokens.  All columns are carried along; a
-    column named ``token_ids`` raises.
+    Null and empty texts have no tokens.  All columns are carried along; one
+    that is named ``token_ids`` is replaced.
     """
     need(docs, text_col)
-    if "token_ids" in docs.columns:
-        raise ValueError("there is a column token_ids already")
     vocabulary = spark.sparkContext.broadcast(load(path))
 
     @F.pandas_udf("array<int>")
@@ -184,7 +182,7 @@ def decoded(spark: SparkSession, encoded: DataFrame, path: str, ids_col: str = "
 def digests(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with ``n_tokens``, ``ids_sha256`` and
     ``decoded_sha256``: encodes, decodes the ids, and hashes both, so that
-    ids need not leave the task."""
+    ids need not leave the task.  Input columns of these names are replaced."""
     need(docs, text_col)
     vocabulary = spark.sparkContext.broadcast(load(path))
 
@@ -199,5 +197,6 @@ def digests(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "te
                 rows.append((len(ids), sha(",".join([coder.digits[i] for i in ids]).encode()), sha(coder.decode(ids).encode())))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    made = {text_col, "n_tokens", "ids_sha256", "decoded_sha256"}
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in made]
     return docs.select(*rest, summary(text_of(text_col)).alias("_t_s")).select(*rest, "_t_s.*")

@@ -2,12 +2,16 @@
 
 Text rules used throughout: a null text counts as the empty text, white space
 is the six ASCII characters ``[\\x20\\x09-\\x0D]`` and a word is a maximal run
-of anything else.  Working columns start with ``_t_``; a clash with a column of
-the input raises.
+of anything else.  Operators that return documents carry them as one struct, so
+no name of an input column can clash with a working column; operators that
+return findings read the columns they need only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +22,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def need(df: DataFrame, *names: str) -> None:
-    """Raise unless ``df`` has the named columns and no working column."""
+    """Raise unless ``df`` has the named columns."""
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
-    clash = [c for c in df.columns if c.startswith("_t_")]
-    if clash:
-        raise ValueError(f"columns {clash} clash with working columns")
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """The rows as one struct column ``_t_doc``, with ``_t_row``."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_t_doc"), row_key(df).alias("_t_row"))
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """The rows of ``packed`` with their own columns."""
+    return df.select("_t_doc.*")
 
 
 def text_of(col: str = "text") -> Column:
@@ -55,11 +66,19 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") ->
         decisions.where("_t_kept").groupBy(F.col(id_col).alias("_t_id"), "_t_row").count().where("count > 1").drop("count")
     )
     twice = materialize(twice, "repeated")
-    tagged = docs.withColumn("_t_own", row_key(docs))
-    match = F.col(id_col).eqNullSafe(F.col("_t_id")) & (F.col("_t_own") == F.col("_t_row"))
-    kept = tagged.join(dropped, match, "left_anti")
-    if not twice.isEmpty():
-        kept = kept.join(twice, match, "left_anti").unionByName(
-            kept.join(twice, match, "left_semi").dropDuplicates([*docs.columns])
-        )
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = packed(docs).withColumnRenamed("_t_row", "_t_own")
+    match = F.col("_t_doc")[id_col].eqNullSafe(F.col("_t_id")) & (F.col("_t_own") == F.col("_t_row"))
+    kept = rows.join(dropped, match, "left_anti")
+    if twice.isEmpty():
+        return unpacked(kept)
+    single = unpacked(kept.join(twice, match, "left_anti"))
+    return single.unionByName(unpacked(kept.join(twice, match, "left_semi")).dropDuplicates())
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 64) -> Iterator[tuple]:
+    """The rows of Arrow batches as tuples, strings as UTF-8 bytes.  Few rows
+    are Python objects at a time, however many a batch has."""
+    for batch in batches:
+        columns = [c.cast(pa.binary()) if pa.types.is_string(c.type) else c for c in batch.columns]
+        for at in range(0, batch.num_rows, at_once):
+            yield from zip(*(c.slice(at, at_once).to_pylist() for c in columns))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tern.llm.common import need, text_of, word_count
+from tern.llm.common import need, packed, text_of, unpacked, word_count
 from tern.session import materialize
 
 DIGITS, LEVELS = 3, 6
@@ -27,8 +27,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 
 
-def _hash(id_col: str) -> Column:
-    return F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, DIGITS * LEVELS)
+def _hash(id_: Column) -> Column:
+    return F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit(""))), 1, DIGITS * LEVELS)
 
 
 def source_sizes(sized: DataFrame) -> DataFrame:
@@ -140,21 +140,26 @@ def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     need(docs, id_col, text_col, source_col)
     sized = materialize(
         docs.select(
-            F.col(id_col).alias("_t_id"), F.col(source_col).alias("_t_source"), _hash(id_col).alias("_t_hash"),
+            F.col(id_col).alias("_t_id"), F.col(source_col).alias("_t_source"), _hash(F.col(id_col)).alias("_t_hash"),
             word_count(text_of(text_col)).alias("size"),
         ),
         "mix-sizes",
     )
     state = thresholds(sized, targets(source_sizes(sized), weights, share, most))
-    return _taken(sized, state).select(F.col("_t_id").alias(id_col), "size", "source_size", "target", "copies")
+    return _taken(sized, state).select(
+        F.col("_t_id").alias(id_col), "size", F.col("_t_of").alias("source_size"), F.col("_t_target").alias("target"),
+        F.col("_t_copies").alias("copies"),
+    )
 
 
 def _taken(rows: DataFrame, state: DataFrame) -> DataFrame:
     # the thresholds are one row per source, written with their size known, so
     # Spark broadcasts them while they are small and splits hot sources if not
-    cuts = state.select(F.col("_t_source").alias("_t_s"), "source_size", "target", "_t_whole", "_t_cut")
+    cuts = state.select(
+        F.col("_t_source").alias("_t_s"), F.col("source_size").alias("_t_of"), F.col("target").alias("_t_target"), "_t_whole", "_t_cut"
+    )
     return rows.join(cuts, F.col("_t_source").eqNullSafe(F.col("_t_s"))).withColumn(
-        "copies", F.col("_t_whole") + F.when(F.col("_t_hash") < F.col("_t_cut"), 1).otherwise(0)
+        "_t_copies", F.col("_t_whole") + F.when(F.col("_t_hash") < F.col("_t_cut"), 1).otherwise(0)
     )
 
 
@@ -165,13 +170,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     need(docs, id_col, text_col, source_col)
     sized = materialize(
         docs.select(
-            F.col(source_col).alias("_t_source"), _hash(id_col).alias("_t_hash"), word_count(text_of(text_col)).alias("size")
+            F.col(source_col).alias("_t_source"), _hash(F.col(id_col)).alias("_t_hash"), word_count(text_of(text_col)).alias("size")
         ),
         "mix-sizes",
     )
     state = thresholds(sized, targets(source_sizes(sized), weights, share, most))
-    tagged = docs.withColumn("_t_source", F.col(source_col)).withColumn("_t_hash", _hash(id_col))
-    taken = _taken(tagged, state).where("copies > 0")
-    return taken.withColumn("_t_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    rows = packed(docs)
+    tagged = rows.withColumn("_t_source", F.col("_t_doc")[source_col]).withColumn("_t_hash", _hash(F.col("_t_doc")[id_col]))
+    taken = _taken(tagged, state).where("_t_copies > 0")
+    return unpacked(taken.select("_t_doc", F.explode(F.sequence(F.lit(1), F.col("_t_copies").cast("int")))))

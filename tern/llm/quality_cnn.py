@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm.common import need, text_of
+from tern.llm.common import need, packed, text_of, unpacked
 
 FILTERS, WIDTH, BLOCK = 8, 4, 128
 PER_CLASS, PIECES, PIECE = 1200, 16, 1024
@@ -219,5 +219,6 @@ def score(spark: SparkSession, docs: DataFrame, net: Network | float, text_col:
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.7, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """``docs`` whose score is at least ``least``, columns unchanged."""
-    scored = score(spark, docs, fit(docs, labels, id_col, text_col), text_col, "_t_score")
-    return scored.where(F.col("_t_score") >= least).drop("_t_score")
+    net = fit(docs, labels, id_col, text_col)
+    rows = packed(docs).withColumn("_t_text", F.col("_t_doc")[text_col])
+    return unpacked(score(spark, rows, net, "_t_text", "_t_score").where(F.col("_t_score") >= least))
