@@ -30,7 +30,7 @@ from tern.llm.common import need, packed, text_of, unpacked
 
 FILTERS, WIDTH, BLOCK = 8, 4, 128
 PER_CLASS, PIECES, PIECE = 1200, 16, 1024
-EPOCHS, BATCH, RATE, SEED = 12, 32, 0.02, 7
+STEPS, BATCH, RATE, SEED = 900, 32, 0.02, 7
 AT_ONCE = 1 << 18  # bytes whose filter answers are held at a time
 
 
@@ -67,14 +67,15 @@ class Network:
             out += t[pairs[2 * k : 2 * k + n]]
         return out
 
-    def pooled(self, data: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-        """Largest answer of each filter in each block."""
+    def pooled(self, data: np.ndarray, tables: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
+        """Largest answer of each filter in each block; ``ends`` are the ends
+        of the documents."""
         out = []
         for at in range(0, len(data), AT_ONCE):
             part = data[at : at + AT_ONCE + WIDTH - 1]
             if len(part) < WIDTH or at + AT_ONCE >= len(data):  # the end: what follows counts as zero bytes
                 part = np.concatenate([data[at : at + AT_ONCE], np.zeros(WIDTH - 1, np.uint8)])
-            a = self.answers(part, tables)
+            a = _closed(self.answers(part, tables), ends[(ends > at) & (ends <= at + AT_ONCE)] - at)
             out.append(a.reshape(-1, BLOCK, FILTERS).max(axis=1))
         return np.concatenate(out)
 
@@ -99,12 +100,20 @@ class Network:
             held += len(group[-1])
             if held >= 8 * AT_ONCE or i == len(raws) - 1:
                 sizes = np.array([len(x) // BLOCK for x in group])
-                x = self.features(self.pooled(np.concatenate(group), tables), sizes)
+                x = self.features(self.pooled(np.concatenate(group), tables, np.cumsum(sizes) * BLOCK), sizes)
                 out.append(1 / (1 + np.exp(-np.clip(x @ self.v + self.c, -30, 30))))
                 group, held = [], 0
         return np.concatenate(out) if out else np.zeros(0)
 
 
+def _closed(answers: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A text ends with ``WIDTH`` zero bytes or more: filters that start among
+    the last of them answer as on zero bytes, not as on the next text."""
+    for k in range(1, WIDTH):
+        answers[ends - k] = answers[ends - WIDTH]
+    return answers
+
+
 def train(raws: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int = SEED) -> Network:
     """Adam on the weighted log loss; the gradient of a pooled answer goes to
     the bytes at which the filter answered most."""
@@ -115,14 +124,14 @@ def train(raws: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int
     first = {k: np.zeros_like(getattr(net, k)) for k in names}
     second = {k: np.zeros_like(getattr(net, k)) for k in names}
     r, step = np.random.default_rng(seed), 0
-    for epoch in range(EPOCHS):
-        rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
+    while step < STEPS:
+        rate = RATE * 0.5 * (1 + np.cos(np.pi * step / STEPS))
         order = r.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             data = np.concatenate([docs[i] for i in pick] + [np.zeros(WIDTH - 1, np.uint8)])
             sizes = np.array([len(docs[i]) // BLOCK for i in pick])
-            a = net.answers(data, net.tables()).reshape(-1, BLOCK, FILTERS)
+            a = _closed(net.answers(data, net.tables()), np.cumsum(sizes) * BLOCK).reshape(-1, BLOCK, FILTERS)
             where = a.argmax(axis=1) + BLOCK * np.arange(len(a))[:, None]
             pooled = a.max(axis=1)
             ends = np.cumsum(sizes)
