@@ -77,9 +77,6 @@ class V:
     def norm(self) -> Column:
         return F.sqrt(self.dot(self))
 
-    def struct(self) -> Column:
-        return F.struct(self.x.alias("x"), self.y.alias("y"), self.z.alias("z"))
-
 
 def chord_angle(u: V, v: V) -> Column:
     """Central angle between two unit vectors, stable for small angles."""

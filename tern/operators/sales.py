@@ -120,27 +120,6 @@ def sales_report(customer_orders_df: DataFrame, products: DataFrame, with_days:
     )
 
 
-def sales_report_window(customer_orders_df: DataFrame, products: DataFrame) -> DataFrame:
-    """The textbook form of D2 with one window per customer.  Kept as the
-    brute-force reference for tests; it sorts a whole customer in one task."""
-    p = products.select("product_id", "product_name")
-    rows = customer_orders_df.join(p, "product_id", "inner")
-    w = Window.partitionBy("customer_id").orderBy(F.col("purchase_date").asc_nulls_first(), *TIE_BREAK)
-    return rows.select(
-        "customer_id",
-        "customer_name",
-        "order_id",
-        "product_id",
-        "product_name",
-        "order_total",
-        "quantity",
-        dialect.divide("order_total", "quantity", 8).cast("decimal(18,8)").alias("unitsalesprice"),
-        "purchase_date",
-        dialect.days_between(F.lag("purchase_date").over(w), "purchase_date").cast("int").alias("days_since_last_purchase"),
-        customer_sk("customer_id", "product_id", "purchase_date").alias("customer_sk"),
-    )
-
-
 def customer_sk(customer_id, product_id, purchase_date) -> Column:
     """``customer_id || '-' || product_id || '-' || purchase_date`` (F12);
     NULL when any part is NULL."""
@@ -178,12 +157,32 @@ def top_customers(cumulative: DataFrame, k: int = 15) -> DataFrame:
     )
 
 
+def running_units(sales_report_df: DataFrame) -> DataFrame:
+    """Units sold per product up to and including each date (N2): the running
+    ``sum(quantity) over (partition by product order by date)``, whose RANGE
+    frame gives all rows of a date the same total.  Rows are summed by product
+    and date first, so the window sees the distinct dates of a product."""
+    daily = sales_report_df.groupBy("product_id", "purchase_date").agg(F.sum("quantity").alias("units"))
+    w = Window.partitionBy("product_id").orderBy(F.col("purchase_date").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return daily.select("product_id", "purchase_date", F.sum("units").over(w).alias("totalunitsold"))
+
+
+def latest_sales(sales_report_df: DataFrame) -> DataFrame:
+    """The latest row of each product (N3, ``qualify row_number() = 1``), as an
+    aggregate: the largest (date, order, customer, quantity, total), rows
+    without a date being the oldest."""
+    order = ["purchase_date", "order_id", "customer_id", "quantity", "order_total"]
+    last = F.max(F.struct(F.col("purchase_date").isNotNull(), *order)).alias("_last")
+    return sales_report_df.groupBy("product_id").agg(last).select("product_id", *[F.col(f"_last.{c}") for c in order])
+
+
 def product_inventory_alert(sales_report_df: DataFrame, products: DataFrame, with_creation_time: bool = True) -> DataFrame:
     """D4 ``product_inventory_alert``.
 
     The latest row of each product under the default RANGE frame carries the
     product's whole quantity total, and ties on the latest date do not change
     any output column, so the window + QUALIFY is a per-product aggregate.
+    Rows without a date count in the total and are older than all others.
     """
     agg = sales_report_df.groupBy("product_id").agg(
         F.max("purchase_date").alias("latest_sales_date"),

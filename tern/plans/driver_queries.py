@@ -116,6 +116,16 @@ def top_customers(spark, sf_dir):
     return sales.top_customers(_cumulative(spark, sf_dir), 15)
 
 
+@register("running_units", oracle=O.RUNNING_UNITS)
+def running_units(spark, sf_dir):
+    return sales.running_units(_sales_report(spark, sf_dir, False))
+
+
+@register("latest_sales", oracle=O.LATEST_SALES)
+def latest_sales(spark, sf_dir):
+    return sales.latest_sales(_sales_report(spark, sf_dir, False))
+
+
 @register("inventory_alert", oracle=O.INVENTORY_ALERT)
 def inventory_alert(spark, sf_dir):
     return _alert(spark, sf_dir)

@@ -84,6 +84,20 @@ SELECT product_id, product_name, latest_sales_date, begining_stock,
 FROM a
 """
 
+RUNNING_UNITS = f"""
+WITH sr AS ({_SR})
+SELECT DISTINCT product_id, purchase_date,
+       CAST(sum(quantity) OVER (PARTITION BY product_id ORDER BY purchase_date NULLS FIRST) AS BIGINT) AS totalunitsold
+FROM sr
+"""
+
+LATEST_SALES = f"""
+WITH sr AS ({_SR})
+SELECT product_id, purchase_date, order_id, customer_id, quantity, order_total FROM sr
+QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY purchase_date DESC NULLS LAST, order_id DESC, customer_id DESC,
+                           quantity DESC, order_total DESC) = 1
+"""
+
 LOW_STOCK = f"""
 WITH al AS ({INVENTORY_ALERT})
 SELECT * FROM al WHERE percent_unitleft < 10 ORDER BY unitsleft, product_id

@@ -6,9 +6,10 @@ operators rely on for their plans at scale:
 
 * AQE on, with skew-join splitting and partition coalescing, so hot keys and
   hot spatial cells are split at runtime and tiny shuffles collapse.
-* an explicit runtime broadcast threshold: AQE only turns a join into a
-  broadcast after it has *measured* the materialized side, so broadcasts are
-  always behind a size check, and the sort-merge plan is the fallback.
+* an explicit runtime broadcast threshold: AQE turns a join into a broadcast
+  after it has *measured* the materialized side; before that, only a side whose
+  files are small (``PLANNED_BROADCAST_BYTES``) is planned as one.  Otherwise
+  the sort-merge plan stays.
 * UTC session time zone, so hour extraction and date casts are the same on
   every executor and in the DuckDB oracle.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime broadcast limit (bytes of the measured, materialized side).
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Planning limit (bytes of a side as its files or statistics say).
+PLANNED_BROADCAST_BYTES = 10 * 1024 * 1024
 
 
 def build_session(
@@ -52,7 +55,7 @@ def build_session(
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(BROADCAST_BYTES),
-        "spark.sql.autoBroadcastJoinThreshold": str(BROADCAST_BYTES),
+        "spark.sql.autoBroadcastJoinThreshold": str(PLANNED_BROADCAST_BYTES),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),

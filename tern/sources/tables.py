@@ -17,9 +17,3 @@ DRIVER_TABLES = (
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one table of a scale-factor directory (``<dir>/<name>.parquet``)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
-    """Expose the tables as temp views so the same queries can be run as SQL."""
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
