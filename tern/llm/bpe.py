@@ -31,7 +31,10 @@ from tern.llm.common import need, text_of
 # fixed value: the pre-tokenisation pattern of byte-level BPE vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE = 200_000  # distinct pieces a task remembers
-LONGEST = 64  # bytes of a pre-token that is remembered
+LONGEST = 64  # letters of a pre-token that is remembered
+SHORT = 64  # bytes of a piece whose merges are searched in a list
+ID_MASK = (1 << 24) - 1
+NO_STEP = 1 << 62
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,64 +57,77 @@ def load(path: str) -> dict:
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ids = {raw(k): v for k, v in model["vocab"].items() if k not in special}
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-    ranks = {(ids[raw(a)], ids[raw(b)]): (i, ids[raw(a + b)]) for i, (a, b) in enumerate(merges)}
-    return {"ids": ids, "ranks": ranks, "special": special}
+    # a step is the rank of a merge, then the id that it makes
+    steps = {(ids[raw(a)], ids[raw(b)]): i * (ID_MASK + 1) + ids[raw(a + b)] for i, (a, b) in enumerate(merges)}
+    return {"ids": ids, "steps": steps, "special": special}
 
 
 class Coder:
     """Encodes and decodes texts with one vocabulary."""
 
     def __init__(self, vocabulary: dict):
-        self.ids, self.ranks = vocabulary["ids"], vocabulary["ranks"]
+        self.ids, self.steps = vocabulary["ids"], vocabulary["steps"]
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.token = {i: t for t, i in self.ids.items()}
         self.special = vocabulary["special"]
         self.token |= {i: t.encode() for t, i in self.special.items()}
         self.digits = {i: str(i) for i in self.token}
-        self.inside = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        self.inside = {p for t in self.ids for p in zip(t, t[1:])}
         self.words = regex.compile(PATTERN)
         self.marks = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.known: dict[str, list[int]] = {}
 
-    def pieces(self, raw: bytes) -> Iterator[bytes]:
+    def pieces(self, raw: bytes) -> list[bytes]:
         """``raw`` cut at the byte pairs that no token contains."""
-        start, inside = 0, self.inside
-        for i in range(1, len(raw)):
-            if raw[i - 1 : i + 1] not in inside:
-                yield raw[start:i]
-                start = i
-        yield raw[start:]
+        inside = self.inside
+        cuts = [i for i, p in enumerate(zip(raw, raw[1:]), 1) if p not in inside]
+        return [raw[a:b] for a, b in zip([0, *cuts], [*cuts, len(raw)])] if cuts else [raw]
 
     def merged(self, piece: bytes) -> list[int]:
         """Ranked merges within one piece, lowest rank first, leftmost first."""
-        if len(piece) == 1:
-            return [self.single[piece[0]]]
         ids = [self.single[b] for b in piece]
+        if len(ids) > SHORT:
+            return self._merged_long(ids)
+        steps, none = self.steps, NO_STEP
+        todo = [steps.get(p, none) for p in zip(ids, ids[1:])]
+        while todo and (step := min(todo)) != none:
+            i = todo.index(step)
+            ids[i : i + 2] = [step & ID_MASK]
+            del todo[i]
+            if i:
+                todo[i - 1] = steps.get((ids[i - 1], ids[i]), none)
+            if i < len(todo):
+                todo[i] = steps.get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same for a long piece, with a heap and linked neighbours."""
         n = len(ids)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        ranks, heap = self.ranks, []
-        for i in range(n - 1):
-            if found := ranks.get((ids[i], ids[i + 1])):
-                heap.append((found[0], i, ids[i], ids[i + 1], found[1]))
+        steps = self.steps
+        heap = [(steps[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in steps]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            step, i, a, b = heapq.heappop(heap)
             j = right[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue  # one of the two was merged since
-            ids[i], ids[j] = made, -1
+            made = ids[i] = step & ID_MASK
+            ids[j] = -1
             right[i] = k = right[j]
             if k < n:
                 left[k] = i
-                if found := ranks.get((made, ids[k])):
-                    heapq.heappush(heap, (found[0], i, made, ids[k], found[1]))
-            if (h := left[i]) >= 0 and (found := ranks.get((ids[h], made))):
-                heapq.heappush(heap, (found[0], h, ids[h], made, found[1]))
+                if (made, ids[k]) in steps:
+                    heapq.heappush(heap, (steps[made, ids[k]], i, made, ids[k]))
+            if (h := left[i]) >= 0 and (ids[h], made) in steps:
+                heapq.heappush(heap, (steps[ids[h], made], h, ids[h], made))
         return [x for x in ids if x >= 0]
 
     def word(self, text: str) -> list[int]:
         """Ids of one pre-token."""
-        out = [i for piece in self.pieces(text.encode()) for i in self.merged(piece)]
+        out: list[int] = []
+        for piece in self.pieces(text.encode()):
+            out += self.merged(piece)
         if len(text) <= LONGEST:
             if len(self.known) >= CACHE:
                 self.known.clear()
