@@ -41,16 +41,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm.common import need, row_key, text_of
+from tern.llm.common import need, row_key, rows_of, text_of
 from tern.session import materialize
 
 LENGTH, GRAM = 100, 64
 REACH = LENGTH - GRAM  # an anchor starts 0 to REACH bytes after its string
 HOT = 4096
-BLOCK = 1 << 22  # bytes of text in a block
+BLOCK = 1 << 21  # bytes of text in a block
 PIECE = 1 << 19  # bytes that are hashed at a time
 SORT = 1 << 20  # strings that are sorted at a time
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -318,13 +318,12 @@ def _spread(blob: bytes, n: int) -> list[bytes]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Number and documents (id, key, text) of the blocks of a task."""
     first, held, size, n = TaskContext.get().partitionId() << 32, [], 0, 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            held.append((row[0], row[1], row[2].encode()))
-            size += len(held[-1][2])
-            if size >= BLOCK:
-                yield first + n, held
-                held, size, n = [], 0, n + 1
+    for row in rows_of(batches):
+        held.append(row)
+        size += len(row[2])
+        if size >= BLOCK:
+            yield first + n, held
+            held, size, n = [], 0, n + 1
     if held:
         yield first + n, held
 
