@@ -4,7 +4,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from tern.functions import dialect
 
