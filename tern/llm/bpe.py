@@ -21,12 +21,13 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm.common import need, text_of
+from tern.llm.common import need, parts_of, text_of
 
 # fixed value: the pre-tokenisation pattern of byte-level BPE vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -175,8 +176,8 @@ def with_tokens(spark: SparkSession, docs: DataFrame, path: str, text_col: str =
     @F.pandas_udf("array<int>")
     def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = _coder(vocabulary.value)
-        for batch in texts:
-            yield pd.Series([coder.encode(t) for t in batch])
+        for part in parts_of(texts):
+            yield pd.Series([np.array(coder.encode(t), np.int32) for t in part], dtype=object)
 
     return docs.withColumn("token_ids", ids_of(text_of(text_col)))
 
@@ -189,8 +190,8 @@ def decoded(spark: SparkSession, encoded: DataFrame, path: str, ids_col: str = "
     @F.pandas_udf("string")
     def text(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = _coder(vocabulary.value)
-        for batch in ids:
-            yield pd.Series([coder.decode(list(x) if x is not None else []) for x in batch])
+        for part in parts_of(ids):
+            yield pd.Series([coder.decode(x.tolist() if x is not None else []) for x in part], dtype=object)
 
     return encoded.withColumn("decoded", text(F.col(ids_col)))
 
@@ -206,9 +207,9 @@ def digests(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "te
     def summary(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = _coder(vocabulary.value)
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        for batch in texts:
+        for part in parts_of(texts):
             rows = []
-            for t in batch:
+            for t in part:
                 ids = coder.encode(t)
                 rows.append((len(ids), sha(",".join([coder.digits[i] for i in ids]).encode()), sha(coder.decode(ids).encode())))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,3 +83,11 @@ def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 64) -> Iterator[tu
         columns = [c.cast(pa.binary()) if pa.types.is_string(c.type) else c for c in batch.columns]
         for at in range(0, batch.num_rows, at_once):
             yield from zip(*(c.slice(at, at_once).to_pylist() for c in columns))
+
+
+def parts_of(batches: Iterator[pd.Series], at_once: int = 256) -> Iterator[pd.Series]:
+    """The batches of a pandas UDF in smaller parts, so that what a part needs
+    beside its texts is small however many rows a batch has."""
+    for batch in batches:
+        for at in range(0, max(len(batch), 1), at_once):
+            yield batch.iloc[at : at + at_once]

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm.common import need, packed, text_of, unpacked
+from tern.llm.common import need, packed, parts_of, text_of, unpacked
 
 FILTERS, WIDTH, BLOCK = 8, 4, 128
 PER_CLASS, PIECES, PIECE = 1200, 16, 1024
@@ -219,8 +219,8 @@ def score(spark: SparkSession, docs: DataFrame, net: Network | float, text_col:
     def probability(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         net = shared.value
         tables = net.tables()
-        for batch in texts:
-            yield pd.Series(net.probability([t.encode() for t in batch], tables), dtype="float64")
+        for part in parts_of(texts):
+            yield pd.Series(net.probability([t.encode() for t in part], tables), dtype="float64")
 
     return docs.withColumn(name, probability(text_of(text_col)))
 

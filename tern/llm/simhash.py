@@ -31,10 +31,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm.common import keep_rows, need, row_key, text_of
+from tern.llm.common import keep_rows, need, parts_of, row_key, text_of
 from tern.session import materialize
 
 SHINGLE, BUDGET, SEED = 3, 2, 42
@@ -78,8 +78,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = SHINGLE,
 
     @F.pandas_udf("long")
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series(np.array([fingerprint(t, words) for t in batch], np.uint64).view(np.int64))
+        for part in parts_of(texts):
+            yield pd.Series(np.array([fingerprint(t, words) for t in part], np.uint64).view(np.int64))
 
     return docs.withColumn(name, fp(text_of(text_col)))
 
