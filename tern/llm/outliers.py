@@ -137,7 +137,7 @@ def _vector() -> list[Column]:
     ]
 
 
-D = len(VECTOR)
+D, SALTS, KEY = len(VECTOR), 16, ["_t_group", "_t_salt"]
 X = [f"_t_x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
@@ -169,11 +169,18 @@ def _invert(scatter: DataFrame) -> DataFrame:
     return out.select("_t_group", "_t_n", *[f"_t_m{i}" for i in range(D)], *[f"_t_v{i}_{j}" for i, j in PAIRS])
 
 
+def _salted(per_group: DataFrame) -> DataFrame:
+    """One copy of a group's row per salt: rows meet their group by (group,
+    salt), so a group with a third of all rows is in ``SALTS`` tasks, and what
+    is then summed by group is combined before its shuffle."""
+    return per_group.withColumn("_t_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """Medians and median absolute deviations as a first, diagonal scatter."""
     mid = rows.groupBy("_t_group").agg(F.count(F.lit(1)).alias("_t_n"), *[F.percentile_approx(x, 0.5).alias(f"_t_m{i}") for i, x in enumerate(X)])
     mid = materialize(mid, "mcd-start")
-    off = rows.join(mid.drop("_t_n"), "_t_group").groupBy("_t_group").agg(
+    off = rows.join(_salted(mid.drop("_t_n")), KEY).groupBy("_t_group").agg(
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"_t_m{i}")), 0.5).alias(f"_t_a{i}") for i, x in enumerate(X)]
     )
     scatter = mid.join(off, "_t_group")
@@ -185,9 +192,9 @@ def _start(rows: DataFrame) -> DataFrame:
 
 def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """One step: the closest ``SHARE`` of each group give the next estimate."""
-    near = rows.join(estimate, "_t_group").withColumn("_t_d", _distance()).select("_t_group", *X, "_t_d")
+    near = rows.join(_salted(estimate), KEY).withColumn("_t_d", _distance()).select(*KEY, *X, "_t_d")
     edge = materialize(near.groupBy("_t_group").agg(F.percentile_approx("_t_d", SHARE, 1000).alias("_t_q")), "mcd-edge")
-    inside = near.join(edge, "_t_group").where("_t_d <= _t_q")
+    inside = near.join(_salted(edge), KEY).where("_t_d <= _t_q")
     sums = inside.groupBy("_t_group").agg(
         F.count(F.lit(1)).alias("_t_h"), *[F.avg(x).alias(f"_t_m{i}") for i, x in enumerate(X)],
         *[F.avg(F.col(X[i]) * F.col(X[j])).alias(f"_t_p{i}_{j}") for i, j in PAIRS],
@@ -218,7 +225,7 @@ def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     names = [F.coalesce(F.concat(F.lit(":"), F.col(g).cast("string")), F.lit("")) for g in groups]
     levels = [F.to_json(F.array(*names[: len(names) - k])) if k < len(names) else F.lit("*") for k in range(len(names) + 1)]
     rows = counted.where("not base_failed").select(
-        F.explode(F.array(*levels)).alias("_t_group"), *[x.alias(n) for x, n in zip(_vector(), X)]
+        F.explode(F.array(*levels)).alias("_t_group"), F.pmod("_t_row", F.lit(SALTS)).cast("int").alias("_t_salt"), *[x.alias(n) for x, n in zip(_vector(), X)]
     )
     rows = materialize(rows, "mcd-rows")
     estimate = _start(rows)
