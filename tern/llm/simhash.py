@@ -267,8 +267,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE,
                 budget: int = BUDGET) -> DataFrame:
-    """One row per document: ``id_col``, ``_t_row``, ``_t_fp`` and
-    ``component_id``, the smallest id that links reach (itself included).
+    """One row per document: ``id_col``, ``_t_row``, ``_t_fp``, ``_t_root``
+    (the component's smallest fingerprint) and ``component_id``, the smallest id
+    that links reach (itself included).
 
     Texts without words have fingerprint zero and link like others; null texts
     count as empty, null ids never are the smallest unless all are null.
@@ -280,22 +281,29 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     roots = components(links(spark, leaves, budget))
     named = leaves.join(roots, "_t_fp", "left").withColumn("_t_root", F.coalesce("_t_root", "_t_fp"))
     smallest = named.groupBy("_t_root").agg(F.min("_t_min").alias("component_id"))
-    classes = materialize(named.join(smallest, "_t_root").select("_t_fp", "component_id"), "simhash-classes")
+    classes = materialize(named.join(smallest, "_t_root").select("_t_fp", "_t_root", "component_id"), "simhash-classes")
     return rows.join(classes, "_t_fp")
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE,
-               budget: int = BUDGET) -> DataFrame:
-    """``docs`` with one document of each group, columns unchanged: the one
-    with the smallest id, and of rows of that id the smallest row key."""
-    rows = near_groups(spark, docs, id_col, text_col, words, budget)
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest
+    id, and of rows of that id the smallest row key.  ``rows`` has one row per
+    document: ``id_col``, ``_t_row`` and ``_t_root``, which names its component;
+    ids may be null or repeated, so they cannot."""
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_t_row").alias("row"))
-    named = materialize(rows.withColumn("_t_o", order), "simhash-groups")
-    # groups of one document need no second look
-    first = named.groupBy("component_id", (F.col("_t_row") % 16).alias("_t_salt")).agg(F.min("_t_o").alias("_t_o"))
-    first = first.groupBy("component_id").agg(F.min("_t_o").alias("_t_first"))
-    met = named.join(first.withColumnRenamed("component_id", "_t_c"), F.col("component_id").eqNullSafe(F.col("_t_c")))
+    named = materialize(rows.withColumn("_t_o", order), "near-groups")
+    # partial minima, so a component with a third of all rows is not one task's
+    first = named.groupBy("_t_root", (F.col("_t_row") % 16).alias("_t_salt")).agg(F.min("_t_o").alias("_t_o"))
+    first = first.groupBy("_t_root").agg(F.min("_t_o").alias("_t_first"))
+    met = named.join(first, "_t_root")
     decisions = materialize(
-        met.select(F.col(id_col), "_t_row", (F.col("_t_o") == F.col("_t_first")).alias("_t_kept")), "simhash-kept"
+        met.select(F.col(id_col), "_t_row", (F.col("_t_o") == F.col("_t_first")).alias("_t_kept")), "near-kept"
     )
     return keep_rows(docs, decisions, id_col)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE,
+               budget: int = BUDGET) -> DataFrame:
+    """``docs`` with one document of each group, columns unchanged: the one
+    with the smallest id, and of rows of that id the smallest row key."""
+    return keep_first(docs, near_groups(spark, docs, id_col, text_col, words, budget), id_col)
