@@ -3,15 +3,20 @@
 Counts of words, symbols, repeated lines and repeated five-word windows are
 taken from every whole text, and from them a vector of transformed shares
 (``VECTOR``).  For each language and source the vectors' location and scatter
-are estimated from the rows (``SHARE`` of them) that lie closest together:
-starting from medians and median deviations, concentration steps take the
-rows with the smallest Mahalanobis distances and estimate again from those, so
-junk cannot widen the estimate that should reject it.  A document whose
-distance to its group's estimate is beyond ``CUT`` is rejected.
+are estimated from the half of the rows that lies closest together: starting
+from medians and median deviations, concentration steps take the rows with the
+smallest Mahalanobis distances and estimate again from those, until no
+determinant falls any more, so junk of up to half of a group cannot widen the
+estimate that should reject it.  The half's scatter is multiplied by
+``CONSISTENCY``, which makes it that of all rows where they are normal.  A
+document whose squared distance to its group's estimate is beyond ``CUT``, the
+0.999 quantile of chi-square with six degrees of freedom, is rejected.
 
 Groups with fewer than ``LEAST`` rows use their language's estimate, languages
-with fewer that of the whole table.  A variance floor (in ``VECTOR``) stands for
-dimensions in which clean rows do not differ.
+with fewer that of the whole table.  In a dimension in which clean rows do not
+differ, a row's deviation counts at least as its sampling deviation: the root
+of a share of ``n`` things has variance ``1/(4n)``, so one repeated line of six
+says little and fifteen of thirty say much.  Nothing is fitted to labels.
 
 Everything is DataFrame functions.  A step is two aggregates over a narrow table
 (a quantile of distances, then sums of products), both combined before the
@@ -33,10 +38,13 @@ BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MARKS = "!?;:\"'()[]{}=_~^@/\\+" + SYMBOLS
 WINDOW = 5
-SHARE, STEPS, LEAST = 0.75, 4, 200
-#: name, standard deviation that is assumed at least
-VECTOR = (("word_length", 0.15), ("symbols", 0.07), ("marks", 0.12), ("capitals", 0.10), ("dup_lines", 0.30), ("repeats", 0.12))
-CUT = 24.0
+SHARE, LEAST = 0.5, 200
+CONSISTENCY = 1.7845  # SHARE over chi-square(8)'s probability at the median of chi-square(6)
+SETTLED = 1e-3  # fall of a log determinant that counts as none
+TINY = 1e-3  # deviation that keeps the scatter from being singular
+#: name, what it is a share of (a repeat is a window and its copy)
+VECTOR = (("word_length", "words"), ("symbols", "words"), ("marks", "words"), ("capitals", "words"), ("dup_lines", "lines"), ("repeats", "runs"))
+CUT = 22.4577
 
 
 def _let(value: Column, body) -> Column:
@@ -137,15 +145,35 @@ def _vector() -> list[Column]:
     ]
 
 
+def _sampling() -> list[Column]:
+    """Sampling deviations of a row's shares, by what they are shares of."""
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    units = {"words": n, "lines": F.greatest(F.col("_t_lines"), F.lit(1)), "runs": n / (2 * WINDOW)}
+    return [(0.5 / F.sqrt(units[k])).alias(f"_t_f_{k}") for k in UNITS]
+
+
+UNITS = ("words", "lines", "runs")
 D, SALTS, KEY = len(VECTOR), 16, ["_t_group", "_t_salt"]
 X = [f"_t_x{i}" for i in range(D)]
+FLOORS = [f"_t_f_{k}" for k in UNITS]
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
 
-def _distance() -> Column:
-    """Squared distance of the row's vector under its group's estimate: the
-    sum of squares of ``inverse(L) (x - m)``, where the scatter is ``L L'``."""
-    diff = [F.col(x) - F.col(f"_t_m{i}") for i, x in enumerate(X)]
+def _floored() -> list[Column]:
+    """The row's differences from its group's location, smaller where the
+    group's deviation is below the row's sampling deviation: as if the greater
+    of the two were the group's, with the same correlations."""
+    return [
+        (F.col(x) - F.col(f"_t_m{i}")) * F.least(F.lit(1.0), F.col(f"_t_sd{i}") / F.col(f"_t_f_{VECTOR[i][1]}"))
+        for i, x in enumerate(X)
+    ]
+
+
+def _distance(diff: list[Column] | None = None) -> Column:
+    """Squared distance of the row's vector (or of ``diff``) under its group's
+    estimate: the sum of squares of ``inverse(L) (x - m)``, where the scatter is
+    ``L L'``."""
+    diff = diff or [F.col(x) - F.col(f"_t_m{i}") for i, x in enumerate(X)]
     z = [reduce(lambda a, b: a + b, [F.col(f"_t_v{i}_{j}") * diff[j] for j in range(i + 1)]) for i in range(D)]
     return reduce(lambda a, b: a + b, [v * v for v in z])
 
@@ -166,7 +194,8 @@ def _invert(scatter: DataFrame) -> DataFrame:
         for i in range(j + 1, D):
             rest = reduce(lambda a, b: a + b, [F.col(f"_t_l{i}_{k}") * F.col(f"_t_v{k}_{j}") for k in range(j, i)])
             out = out.withColumn(f"_t_v{i}_{j}", -rest / F.col(f"_t_l{i}_{i}"))
-    return out.select("_t_group", "_t_n", *[f"_t_m{i}" for i in range(D)], *[f"_t_v{i}_{j}" for i, j in PAIRS])
+    deviations = [F.sqrt(f"_t_s{i}_{i}").alias(f"_t_sd{i}") for i in range(D)]
+    return out.select("_t_group", "_t_n", *[f"_t_m{i}" for i in range(D)], *deviations, *[f"_t_v{i}_{j}" for i, j in PAIRS])
 
 
 def _salted(per_group: DataFrame) -> DataFrame:
@@ -185,14 +214,14 @@ def _start(rows: DataFrame) -> DataFrame:
     )
     scatter = mid.join(off, "_t_group")
     for i, j in PAIRS:
-        least = VECTOR[i][1] ** 2
-        scatter = scatter.withColumn(f"_t_s{i}_{j}", F.pow(F.col(f"_t_a{i}") * 1.4826, 2) + least if i == j else F.lit(0.0))
+        own = F.greatest(F.pow(F.col(f"_t_a{i}") * 1.4826, 2), F.lit(TINY**2))
+        scatter = scatter.withColumn(f"_t_s{i}_{j}", own if i == j else F.lit(0.0))
     return materialize(_invert(scatter), "mcd-estimate")
 
 
 def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """One step: the closest ``SHARE`` of each group give the next estimate."""
-    near = rows.join(_salted(estimate), KEY).withColumn("_t_d", _distance()).select(*KEY, *X, "_t_d")
+    near = rows.join(_salted(estimate), KEY).withColumn("_t_d", _distance(_floored())).select(*KEY, *X, "_t_d")
     edge = materialize(near.groupBy("_t_group").agg(F.percentile_approx("_t_d", SHARE, 1000).alias("_t_q")), "mcd-edge")
     inside = near.join(_salted(edge), KEY).where("_t_d <= _t_q")
     sums = inside.groupBy("_t_group").agg(
@@ -201,11 +230,22 @@ def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     )
     scatter = sums.join(estimate.select("_t_group", "_t_n"), "_t_group")
     for i, j in PAIRS:
-        cov = F.col(f"_t_p{i}_{j}") - F.col(f"_t_m{i}") * F.col(f"_t_m{j}")
-        scatter = scatter.withColumn(f"_t_s{i}_{j}", F.greatest(cov, F.lit(0.0)) + VECTOR[i][1] ** 2 if i == j else cov)
+        cov = CONSISTENCY * (F.col(f"_t_p{i}_{j}") - F.col(f"_t_m{i}") * F.col(f"_t_m{j}"))
+        scatter = scatter.withColumn(f"_t_s{i}_{j}", F.greatest(cov, F.lit(TINY**2)) if i == j else cov)
     return materialize(_invert(scatter), "mcd-estimate")
 
 
+def _used(estimate: DataFrame) -> DataFrame:
+    return estimate.where((F.col("_t_n") >= LEAST) | (F.col("_t_group") == "*"))
+
+
+def _falls(before: DataFrame, after: DataFrame) -> bool:
+    """Whether the determinant of a group that is used became smaller."""
+    log = -2 * reduce(lambda a, b: a + b, [F.log(f"_t_v{i}_{i}") for i in range(D)])
+    both = _used(before).select("_t_group", log.alias("x")).join(after.select("_t_group", log.alias("y")), "_t_group")
+    return not both.where(F.col("y") < F.col("x") - SETTLED).isEmpty()
+
+
 def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"),
              cut: float = CUT) -> DataFrame:
     """``statistics`` of each document with ``base_failed`` (fewer than 10
@@ -225,13 +265,16 @@ def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     names = [F.coalesce(F.concat(F.lit(":"), F.col(g).cast("string")), F.lit("")) for g in groups]
     levels = [F.to_json(F.array(*names[: len(names) - k])) if k < len(names) else F.lit("*") for k in range(len(names) + 1)]
     rows = counted.where("not base_failed").select(
-        F.explode(F.array(*levels)).alias("_t_group"), F.pmod("_t_row", F.lit(SALTS)).cast("int").alias("_t_salt"), *[x.alias(n) for x, n in zip(_vector(), X)]
+        F.explode(F.array(*levels)).alias("_t_group"), F.pmod("_t_row", F.lit(SALTS)).cast("int").alias("_t_salt"), *[x.alias(n) for x, n in zip(_vector(), X)],
+        *_sampling(),
     )
     rows = materialize(rows, "mcd-rows")
-    estimate = _start(rows)
-    for _ in range(STEPS):
-        estimate = _concentrate(rows, estimate)
-    usable = materialize(estimate.where((F.col("_t_n") >= LEAST) | (F.col("_t_group") == "*")).drop("_t_n"), "mcd-usable")
+    estimate = _concentrate(rows, _start(rows))
+    while True:
+        before, estimate = estimate, _concentrate(rows, estimate)
+        if not _falls(before, estimate):
+            break
+    usable = materialize(_used(estimate).drop("_t_n"), "mcd-usable")
     known = usable.select(F.col("_t_group").alias("_t_g"))
     tagged = counted
     for k, level in enumerate(levels[:-1]):
@@ -241,8 +284,9 @@ def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
     chosen = F.coalesce(*[F.col(f"_t_g{k}") for k in range(len(levels) - 1)], F.lit("*"))
     for x, n in zip(_vector(), X):
         tagged = tagged.withColumn(n, F.when(~F.col("base_failed"), x))
+    tagged = tagged.select("*", *_sampling())
     met = tagged.withColumn("_t_group", chosen).join(usable, "_t_group", "left")
-    distance = F.when(~F.col("base_failed"), _distance())
+    distance = F.when(~F.col("base_failed"), _distance(_floored()))
     return met.withColumn("distance", distance).select(
         F.col(id_col), "_t_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
         (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)).alias("kept"),

@@ -2,7 +2,7 @@
 
 import random
 
-from tern.llm import minhash, simhash
+from tern.llm import minhash, outliers, simhash
 
 from .fixtures import awkward
 
@@ -84,3 +84,28 @@ def test_hot_group_of_near_copies(spark):
         of[d] = " ".join(copy)
     docs = spark.createDataFrame(list(of.items()), "doc_id long, text string")
     assert sorted(x.doc_id for x in minhash.near_dedup(spark, docs).collect()) == sorted(set(plain_similar(of).values()))
+
+
+def test_repeated_lines_alone_reject(spark):
+    """Also where two fifths of a group are such texts; one repeated line does
+    not, and neither do rows without words divide by zero."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 8)))
+    line = lambda: " ".join(word() for _ in range(9))
+    rows, junk, one = [], set(), set()
+    for d in range(500):
+        lines = [line() for _ in range(30)]
+        if d % 5 < 2:
+            junk.add(d)
+            lines = [x for y in lines for x in (y, "went there")]
+        elif d % 50 == 4:
+            one.add(d)
+            lines.insert(7, "went there")
+            lines.append("went there")
+        rows.append((d, "\n".join(lines), "en", "web"))
+    rows += [(1000, "", "en", "web"), (1001, None, None, None)]
+    got = {x.doc_id: x for x in outliers.outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[d].base_failed or got[d].kept for d in junk)
+    assert all(got[d].kept for d in one) and not got[1000].kept and not got[1001].kept
+    clean = set(range(500)) - junk - one
+    assert sum(got[d].kept for d in clean) > 0.98 * len(clean)
