@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm import bpe, exact_dedup, minhash, mixing, quality_cnn
+from tern.llm import bpe, exact_dedup, mixing, quality_cnn, simhash
 from tern.session import materialize
 from tern.sources.tables import table
 
@@ -29,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of texts linked by a Jaccard similarity of 0.8 on five-word shingles."""
-    return minhash.near_dedup(spark, docs)
+    """One of each group of fingerprints linked at two bits or fewer (three-word shingles)."""
+    return simhash.near_dedup(spark, docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

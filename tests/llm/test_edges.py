@@ -102,7 +102,8 @@ def test_simhash(spark):
     by = {r.doc_id: r for r in rows}
     assert by[2].component_id == by[3].component_id == 1 and by[5].component_id == by[6].component_id == 4 and by[4]._t_fp == 0
     out = simhash.near_dedup(spark, docs)
-    assert out.columns == docs.columns and out.count() == len({r.component_id for r in rows})
+    assert out.columns == docs.columns and out.count() == len({r._t_root for r in rows})
+    assert {r.text for r in out.where("doc_id = 16").collect()} == {"twice", "not the same"}
     assert simhash.near_dedup(spark, empty(spark)).count() == 0
 
 

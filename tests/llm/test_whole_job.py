@@ -2,7 +2,7 @@
 
 import random
 
-from tern.llm import minhash, outliers, simhash
+from tern.llm import outliers, simhash
 
 from .fixtures import awkward
 
@@ -18,74 +18,6 @@ def test_unrelated_texts_of_one_id_stay(spark):
     assert len(groups) > 90 and simhash.near_dedup(spark, docs).count() == len(groups)
 
 
-def plain_similar(of, words=5, least=0.8):
-    """The smallest id of each component of links, by comparing every pair."""
-    sets = {}
-    for d, t in of.items():
-        w = t.encode().lower().split()
-        sets[d] = {tuple(w[i : i + words]) for i in range(max(len(w) - words, 0) + 1)} if w else set()
-    root = {d: d for d in of}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    holders: dict = {}
-    for d, s in sets.items():
-        for x in s or {()}:
-            holders.setdefault(x, []).append(d)
-    for a, b in {(a, b) for h in holders.values() for i, a in enumerate(h) for b in h[i + 1 :]}:
-        both = len(sets[a] & sets[b])
-        if sets[a] == sets[b] or both >= least * (len(sets[a]) + len(sets[b]) - both):
-            a, b = sorted((find(a), find(b)))
-            root[b] = a
-    return {d: find(d) for d in of}
-
-
-def test_near_copies_of_the_pipeline(spark):
-    """Planted near copies, a chain among them, that differ in more than two
-    bits of their fingerprints; and texts that share half of their words."""
-    import corpus_pipeline
-
-    r = random.Random(4)
-    some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
-    rows = []
-    for _ in range(15):
-        base = some(120)
-        rows.append(base)
-        for k in (1, 2, 3):  # each changed word is in five shingles
-            copy = list(base)
-            for at in r.sample(range(5, 115), k):
-                copy[at] = "changed"
-            rows.append(copy)
-        rows.append(base[:60] + some(60))
-    chain = some(150)
-    for k in range(12):
-        chain = chain[5:] + some(5)
-        rows.append(chain)
-    rows += [[], [], ["one"], ["ONE"], ["one", "two"]]
-    of = {d: " ".join(w) for d, w in enumerate(rows)}
-    docs = spark.createDataFrame(list(of.items()), "doc_id long, text string")
-    left = sorted(x.doc_id for x in corpus_pipeline.near(spark, docs, "").collect())
-    expect = sorted(set(plain_similar(of).values()))
-    assert left == expect and len(expect) < simhash.near_dedup(spark, docs).count()
-
-
-def test_hot_group_of_near_copies(spark):
-    """A bucket whose leader is not similar to all: links between the others."""
-    r = random.Random(7)
-    base = [f"b{i}" for i in range(200)]
-    of = {}
-    for d in range(120):  # about half of the pairs are similar
-        copy = list(base)
-        for at in r.sample(range(200), r.randrange(2, 8)):
-            copy[at] = f"x{d}"
-        of[d] = " ".join(copy)
-    docs = spark.createDataFrame(list(of.items()), "doc_id long, text string")
-    assert sorted(x.doc_id for x in minhash.near_dedup(spark, docs).collect()) == sorted(set(plain_similar(of).values()))
-
-
 def test_repeated_lines_alone_reject(spark):
     """Also where two fifths of a group are such texts; one repeated line does
     not, and neither do rows without words divide by zero."""
