@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm import bpe, exact_dedup, kd_shards, mixing, outliers, pii, ppm, quality_cnn, simhash, suffix_dedup
+from tern.llm import bpe, exact_dedup, kd_shards, merkle, mixing, outliers, pii, ppm, quality_cnn, simhash, suffix_dedup
 from tern.sources.tables import table
 
 
@@ -82,6 +82,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, _documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: what a leaf of the manifest covers
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering takes the line ends out of every other document's text."""
+    docs = _documents(spark, sf_dir, *LEAF)
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    text = F.when(hit, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    leaves = docs.select(
+        "doc_id", "source", merkle.leaf_of([F.col(c) for c in LEAF]).alias("leaf"),
+        merkle.leaf_of([text if c == "text" else F.col(c) for c in LEAF]).alias("_t_now"),
+    )
+    proved = merkle.manifest(leaves).withColumn("folded_root", merkle.folded(F.col("_t_now"), F.col("proof")))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_cnn": op2_quality_cnn,
@@ -93,6 +113,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ppm": op9_ppm,
     "op10_bpe": op10_bpe,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLES = {
@@ -132,5 +153,54 @@ WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+""",
+    "op11_merkle": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, lang, n_chars,
+         -- the lowest bit of the CRC-32 of the decimal id, a bit at a time
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))) % 2 = 1 AS hit
+  FROM documents),
+p AS (
+  SELECT doc_id, source, hit,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS front,
+         coalesce(strlen(text) || ':' || text, '-') AS own,
+         coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-') AS less
+  FROM d),
+leaves AS (
+  SELECT doc_id, coalesce(':' || source, '') AS g, sha256(front || own) AS leaf, sha256(front || CASE WHEN hit THEN less ELSE own END) AS other,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM p),
+t(g, level, i, n, h) AS (
+  SELECT g, 0, i, n, leaf FROM leaves
+  UNION ALL
+  SELECT g, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, level, n, i // 3),
+tops AS (SELECT g, h FROM t WHERE n = 1),
+u(level, i, n, h) AS (
+  SELECT 0, row_number() OVER (ORDER BY g) - 1, count(*) OVER (), h FROM tops
+  UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, n, i // 3),
+tt AS (SELECT g, level, i, h FROM t),
+f(doc_id, g, level, i, n, proof, h) AS (
+  SELECT doc_id, g, 0, i, n, '', other FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.g, f.level + 1, f.i // 3, (f.n + 2) // 3, f.proof || coalesce(a.h, '') || coalesce(b.h, ''),
+         sha256(CASE f.i % 3 WHEN 0 THEN f.h || coalesce(a.h, '') || coalesce(b.h, '') WHEN 1 THEN a.h || f.h || coalesce(b.h, '') ELSE a.h || b.h || f.h END)
+  FROM f LEFT JOIN tt a ON a.g = f.g AND a.level = f.level AND a.i = f.i // 3 * 3 + CASE f.i % 3 WHEN 0 THEN 1 ELSE 0 END
+         LEFT JOIN tt b ON b.g = f.g AND b.level = f.level AND b.i = f.i // 3 * 3 + CASE f.i % 3 WHEN 2 THEN 1 ELSE 2 END
+  WHERE f.n > 1),
+place AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tops),
+e(doc_id, g, level, i, n, proof, h) AS (
+  SELECT f.doc_id, f.g, 0, place.i, place.n, f.proof, f.h FROM f JOIN place ON place.g = f.g WHERE f.n = 1
+  UNION ALL
+  SELECT e.doc_id, e.g, e.level + 1, e.i // 3, (e.n + 2) // 3, e.proof || coalesce(a.h, '') || coalesce(b.h, ''),
+         sha256(CASE e.i % 3 WHEN 0 THEN e.h || coalesce(a.h, '') || coalesce(b.h, '') WHEN 1 THEN a.h || e.h || coalesce(b.h, '') ELSE a.h || b.h || e.h END)
+  FROM e LEFT JOIN u a ON a.level = e.level AND a.i = e.i // 3 * 3 + CASE e.i % 3 WHEN 0 THEN 1 ELSE 0 END
+         LEFT JOIN u b ON b.level = e.level AND b.i = e.i // 3 * 3 + CASE e.i % 3 WHEN 2 THEN 1 ELSE 2 END
+  WHERE e.n > 1)
+SELECT l.doc_id, l.leaf, place.h AS subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM leaves l JOIN e ON e.doc_id = l.doc_id AND e.n = 1 JOIN place ON place.g = l.g JOIN (SELECT h FROM u WHERE n = 1) r ON true
 """,
 }
