@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm import bpe, exact_dedup, kd_shards, merkle, mixing, outliers, pii, ppm, quality_cnn, simhash, suffix_dedup
+from tern.llm import bpe, exact_dedup, kd_shards, language_id, merkle, mixing, outliers, pii, ppm, quality_cnn, simhash, suffix_dedup
 from tern.sources.tables import table
 
 
@@ -102,6 +102,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    found = language_id.predict(spark, docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_cnn": op2_quality_cnn,
@@ -114,6 +120,7 @@ QUERIES = {
     "op9_ppm": op9_ppm,
     "op10_bpe": op10_bpe,
     "op11_merkle": op11_merkle,
+    "op13_language": op13_language,
 }
 
 ORACLES = {
