@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm import bpe, exact_dedup, kd_shards, language_id, merkle, mixing, outliers, pii, ppm, quality_cnn, simhash, suffix_dedup
+from tern.llm import align, bpe, exact_dedup, kd_shards, language_id, merkle, mixing, outliers, pii, ppm, quality_cnn, simhash, suffix_dedup
 from tern.sources.tables import table
 
 
@@ -102,6 +102,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align(spark, docs, a, b, with_groups=False).drop("_t_row", "groups")
+
+
 def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
     found = language_id.predict(spark, docs.select("doc_id", "text"), language_id.fit(docs))
@@ -120,6 +126,7 @@ QUERIES = {
     "op9_ppm": op9_ppm,
     "op10_bpe": op10_bpe,
     "op11_merkle": op11_merkle,
+    "op12_align": op12_align,
     "op13_language": op13_language,
 }
 
