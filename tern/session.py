@@ -117,3 +117,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``materialize``d table that nothing reads any more
+    (steps of an iteration, say).  Tables elsewhere are left alone."""
+    spark = df.sparkSession
+    home = f"{checkpoint_dir(spark)}/tern/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        ours = system.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(home)).toUri().getPath()
+        if path.toUri().getPath().startswith(ours.rstrip("/") + "/"):
+            system.delete(path, True)
