@@ -3,23 +3,33 @@
 Counts of words, symbols, repeated lines and repeated five-word windows are
 taken from every whole text, and from them a vector of transformed shares
 (``VECTOR``).  For each language and source the vectors' location and scatter
-are estimated from the half of the rows that lies closest together: starting
-from medians and median deviations, concentration steps take the rows with the
-smallest Mahalanobis distances and estimate again from those, until no
-determinant falls any more, so junk of up to half of a group cannot widen the
-estimate that should reject it.  The half's scatter is multiplied by
-``CONSISTENCY``, which makes it that of all rows where they are normal.  A
-document whose squared distance to its group's estimate is beyond ``CUT``, the
-0.999 quantile of chi-square with six degrees of freedom, is rejected.
-
-Groups with fewer than ``LEAST`` rows use their language's estimate, languages
-with fewer that of the whole table.  In a dimension in which clean rows do not
-differ, a row's deviation counts at least as its sampling deviation: the root
-of a share of ``n`` things has variance ``1/(4n)``, so one repeated line of six
-says little and fifteen of thirty say much.  Nothing is fitted to labels.
+are estimated from the half of the rows whose scatter has the least determinant,
+so junk of up to half of a group cannot widen the estimate that should reject
+it.  From each of ``STARTS`` (medians with median deviations, and the mean and
+covariance of all rows) concentration steps take the half with the smallest
+Mahalanobis distances and estimate again from it.  No step raises the
+determinant, and the estimate of the start that ends lowest is used.
+
+A step's half has exactly ``SHARE`` of the group's weight: distances are counted
+in ``FINE`` buckets per factor of two, buckets below the border count whole and
+the rows of the border bucket all with the weight that is left.  So ties, equal
+rows and rows of one bucket need no order.  The scatter is that of the half
+times ``CONSISTENCY``, which makes it that of all rows where they are normal,
+plus ``TINY`` squared on the diagonal, which keeps it regular; the determinant is
+of this sum, for which steps do not rise either.  A start is settled when its
+logarithm falls by less than ``SETTLED`` (or after ``STEPS`` steps); settled
+ones leave the later steps.
+
+A document whose squared distance to its group's estimate is beyond ``CUT``, the
+0.999 quantile of chi-square with six degrees of freedom, is rejected.  Groups
+with fewer than ``LEAST`` rows use their language's estimate, languages with
+fewer that of the whole table.  In this verdict (not in the steps) a row's
+deviation counts at least as its sampling deviation: the root of a share of
+``n`` things has variance ``1/(4n)``, so one repeated line of six says little
+and fifteen of thirty say much.  Nothing is fitted to labels.
 
 Everything is DataFrame functions.  A step is two aggregates over a narrow table
-(a quantile of distances, then sums of products), both combined before the
+(counts by bucket, then weighted sums of products), both combined before the
 shuffle, so a group with a third of all rows costs no task more than others.
 The scatter matrix of a group is inverted in column expressions.
 """
@@ -28,11 +38,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tern.llm.common import SPACES, WORD, need, row_key, text_of
-from tern.session import materialize
+from tern.session import discard, materialize
 
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -41,6 +51,9 @@ WINDOW = 5
 SHARE, LEAST = 0.5, 200
 CONSISTENCY = 1.7845  # SHARE over chi-square(8)'s probability at the median of chi-square(6)
 SETTLED = 1e-3  # fall of a log determinant that counts as none
+STARTS, STEPS = ("medians", "moments"), 60
+FINE = 64  # buckets of distances per factor of two
+FEW = 20_000  # groups whose estimates (about 400 bytes each) are broadcast; more are joined by group and salt
 TINY = 1e-3  # deviation that keeps the scatter from being singular
 #: name, what it is a share of (a repeat is a window and its copy)
 VECTOR = (("word_length", "words"), ("symbols", "words"), ("marks", "words"), ("capitals", "words"), ("dup_lines", "lines"), ("repeats", "runs"))
@@ -180,72 +193,127 @@ def _distance(diff: list[Column] | None = None) -> Column:
 
 def _invert(scatter: DataFrame) -> DataFrame:
     """Adds ``_t_v{i}_{j}``, the inverse of the Cholesky factor of the scatter
-    ``_t_s{i}_{j}`` (lower triangles), one column after the other."""
+    ``_t_s{i}_{j}`` (lower triangles), one column after the other, and
+    ``_t_log``, the logarithm of the determinant."""
     out = scatter
     for i in range(D):
         for j in range(i + 1):
             rest = F.col(f"_t_s{i}_{j}")
             for k in range(j):
                 rest = rest - F.col(f"_t_l{i}_{k}") * F.col(f"_t_l{j}_{k}")
-            # the floor on the diagonal keeps the factor away from zero
-            out = out.withColumn(f"_t_l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"_t_l{j}_{j}"))
+            # rounding apart, the factor's diagonal is at least TINY
+            out = out.withColumn(f"_t_l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(TINY**2 / 2))) if i == j else rest / F.col(f"_t_l{j}_{j}"))
     for j in range(D):
         out = out.withColumn(f"_t_v{j}_{j}", 1 / F.col(f"_t_l{j}_{j}"))
         for i in range(j + 1, D):
             rest = reduce(lambda a, b: a + b, [F.col(f"_t_l{i}_{k}") * F.col(f"_t_v{k}_{j}") for k in range(j, i)])
             out = out.withColumn(f"_t_v{i}_{j}", -rest / F.col(f"_t_l{i}_{i}"))
+    log = 2 * reduce(lambda a, b: a + b, [F.log(f"_t_l{i}_{i}") for i in range(D)])
     deviations = [F.sqrt(f"_t_s{i}_{i}").alias(f"_t_sd{i}") for i in range(D)]
-    return out.select("_t_group", "_t_n", *[f"_t_m{i}" for i in range(D)], *deviations, *[f"_t_v{i}_{j}" for i, j in PAIRS])
+    return out.select(
+        *ESTIMATE, "_t_n", log.alias("_t_log"), *[f"_t_m{i}" for i in range(D)], *deviations, *[f"_t_v{i}_{j}" for i, j in PAIRS]
+    )
+
+
+ESTIMATE = ["_t_group", "_t_start"]
+
 
+class Groups:
+    """Rows of all groups and how tables of one row per group meet them."""
 
-def _salted(per_group: DataFrame) -> DataFrame:
-    """One copy of a group's row per salt: rows meet their group by (group,
-    salt), so a group with a third of all rows is in ``SALTS`` tasks, and what
-    is then summed by group is combined before its shuffle."""
-    return per_group.withColumn("_t_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    def __init__(self, rows: DataFrame, n: int):
+        self.rows, self.few, self.files = rows, n <= FEW, 1 + n // FEW
 
+    def meet(self, per_group: DataFrame) -> DataFrame:
+        """The rows of the groups in ``per_group`` with its columns.  A table of
+        at most ``FEW`` groups is broadcast; of a larger one each row is copied
+        per salt, so that a group with a third of all rows is in ``SALTS`` tasks."""
+        if self.few:
+            return self.rows.join(F.broadcast(per_group), "_t_group")
+        return self.rows.join(per_group.withColumn("_t_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))), KEY)
+
+    def table(self, per_group: DataFrame, name: str) -> DataFrame:
+        """Written in few files: it is small, and read once more per step."""
+        return materialize(per_group.coalesce(self.files), name)
+
+    def moments(self, near: DataFrame, weight: Column, *carried: str) -> DataFrame:
+        """Scatter and location from weighted sums around the location before."""
+        diff = [F.col(x) - F.col(f"_t_m{i}") for i, x in enumerate(X)]
+        sums = near.groupBy(*ESTIMATE).agg(
+            F.sum(weight).alias("_t_w"), *[F.first(c).alias(c) for c in ("_t_n", *carried, *[f"_t_m{i}" for i in range(D)])],
+            *[F.sum(weight * d).alias(f"_t_a{i}") for i, d in enumerate(diff)],
+            *[F.sum(weight * diff[i] * diff[j]).alias(f"_t_p{i}_{j}") for i, j in PAIRS],
+        )
+        mean = lambda c: F.col(c) / F.col("_t_w")
+        cov = lambda i, j: mean(f"_t_p{i}_{j}") - mean(f"_t_a{i}") * mean(f"_t_a{j}")
+        return sums.select(
+            *ESTIMATE, "_t_n", *carried, *[(F.col(f"_t_m{i}") + mean(f"_t_a{i}")).alias(f"_t_m{i}") for i in range(D)],
+            *[(CONSISTENCY * cov(i, j) + (TINY**2 if i == j else 0.0)).alias(f"_t_s{i}_{j}") for i, j in PAIRS],
+        )
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and median absolute deviations as a first, diagonal scatter."""
-    mid = rows.groupBy("_t_group").agg(F.count(F.lit(1)).alias("_t_n"), *[F.percentile_approx(x, 0.5).alias(f"_t_m{i}") for i, x in enumerate(X)])
-    mid = materialize(mid, "mcd-start")
-    off = rows.join(_salted(mid.drop("_t_n")), KEY).groupBy("_t_group").agg(
+
+def _starts(groups: Groups) -> DataFrame:
+    """The first estimate of each group from each of ``STARTS``."""
+    rows = groups.rows
+    n = F.count(F.lit(1)).alias("_t_n")
+    mid = groups.table(rows.groupBy("_t_group").agg(n, *[F.percentile_approx(x, 0.5).alias(f"_t_m{i}") for i, x in enumerate(X)]), "mcd-medians")
+    off = groups.meet(mid.drop("_t_n")).groupBy("_t_group").agg(
         *[F.percentile_approx(F.abs(F.col(x) - F.col(f"_t_m{i}")), 0.5).alias(f"_t_a{i}") for i, x in enumerate(X)]
     )
-    scatter = mid.join(off, "_t_group")
-    for i, j in PAIRS:
-        own = F.greatest(F.pow(F.col(f"_t_a{i}") * 1.4826, 2), F.lit(TINY**2))
-        scatter = scatter.withColumn(f"_t_s{i}_{j}", own if i == j else F.lit(0.0))
-    return materialize(_invert(scatter), "mcd-estimate")
-
-
-def _concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One step: the closest ``SHARE`` of each group give the next estimate."""
-    near = rows.join(_salted(estimate), KEY).withColumn("_t_d", _distance(_floored())).select(*KEY, *X, "_t_d")
-    edge = materialize(near.groupBy("_t_group").agg(F.percentile_approx("_t_d", SHARE, 1000).alias("_t_q")), "mcd-edge")
-    inside = near.join(_salted(edge), KEY).where("_t_d <= _t_q")
-    sums = inside.groupBy("_t_group").agg(
-        F.count(F.lit(1)).alias("_t_h"), *[F.avg(x).alias(f"_t_m{i}") for i, x in enumerate(X)],
-        *[F.avg(F.col(X[i]) * F.col(X[j])).alias(f"_t_p{i}_{j}") for i, j in PAIRS],
-    )
-    scatter = sums.join(estimate.select("_t_group", "_t_n"), "_t_group")
+    medians = mid.join(off, "_t_group").withColumn("_t_start", F.lit(0))
     for i, j in PAIRS:
-        cov = CONSISTENCY * (F.col(f"_t_p{i}_{j}") - F.col(f"_t_m{i}") * F.col(f"_t_m{j}"))
-        scatter = scatter.withColumn(f"_t_s{i}_{j}", F.greatest(cov, F.lit(TINY**2)) if i == j else cov)
-    return materialize(_invert(scatter), "mcd-estimate")
+        own = F.pow(F.col(f"_t_a{i}") * 1.4826, 2) + TINY**2
+        medians = medians.withColumn(f"_t_s{i}_{j}", own if i == j else F.lit(0.0))
+    moments = groups.moments(groups.meet(mid.withColumn("_t_start", F.lit(1))), F.lit(1.0))
+    return groups.table(_invert(medians).unionByName(_invert(moments)), "mcd-estimate")
+
+
+def _concentrate(groups: Groups, estimate: DataFrame) -> DataFrame:
+    """One step: the next estimates, with ``_t_before``, the log determinant
+    before (that of a first estimate is not one of a half and counts as none)."""
+    near = groups.meet(estimate).withColumn("_t_b", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-12))) * FINE))
+    counts = near.groupBy(*ESTIMATE, "_t_b").agg(F.count(F.lit(1)).alias("_t_c"), F.first("_t_n").alias("_t_n"))
+    upto = Window.partitionBy(*ESTIMATE).orderBy("_t_b").rowsBetween(Window.unboundedPreceding, 0)
+    half = F.ceil(F.col("_t_n") * SHARE)
+    below = F.col("_t_upto") - F.col("_t_c")
+    edge = counts.withColumn("_t_upto", F.sum("_t_c").over(upto)).where((below < half) & (half <= F.col("_t_upto")))
+    edge = groups.table(edge.select(*ESTIMATE, F.col("_t_b").alias("_t_edge"), ((half - below) / F.col("_t_c")).alias("_t_part")), "mcd-edge")
+    near = groups.meet(estimate.join(edge, ESTIMATE)).withColumn("_t_b", F.floor(F.log2(F.greatest(_distance(), F.lit(1e-12))) * FINE))
+    weight = F.when(F.col("_t_b") < F.col("_t_edge"), 1.0).otherwise(F.col("_t_part"))
+    sums = groups.moments(near.where("_t_b <= _t_edge"), weight, "_t_log")
+    after = _invert(sums.drop("_t_log")).join(estimate.select(*ESTIMATE, F.col("_t_log").alias("_t_before")), ESTIMATE)
+    after = groups.table(after, "mcd-estimate")
+    discard(edge)
+    return after
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """The estimate of each ``_t_group``: of its starts, the one whose steps
+    ended at the least determinant.  ``rows`` is a written table with
+    ``_t_group``, ``_t_salt`` and the vector ``X``."""
+    groups = Groups(rows, rows.select("_t_group").distinct().count())
+    active = _starts(groups)
+    done: DataFrame | None = None
+    for step in range(STEPS):
+        after = _concentrate(groups, active)
+        discard(active)
+        falls = (F.col("_t_log") < F.col("_t_before") - SETTLED) if step else F.lit(True)
+        settled = groups.table(after.where(~falls).drop("_t_before"), "mcd-settled") if step else after.limit(0).drop("_t_before")
+        active = groups.table(after.where(falls).drop("_t_before"), "mcd-estimate")
+        discard(after)
+        done = settled if done is None else done.unionByName(settled)
+        if active.isEmpty():
+            break
+    done = done.unionByName(active)
+    order = F.struct("_t_log", "_t_start")
+    best = done.groupBy("_t_group").agg(F.min_by(F.struct(*[c for c in done.columns if c != "_t_group"]), order).alias("_t_e"))
+    return best.select("_t_group", "_t_e.*").drop("_t_start")
 
 
 def _used(estimate: DataFrame) -> DataFrame:
     return estimate.where((F.col("_t_n") >= LEAST) | (F.col("_t_group") == "*"))
 
 
-def _falls(before: DataFrame, after: DataFrame) -> bool:
-    """Whether the determinant of a group that is used became smaller."""
-    log = -2 * reduce(lambda a, b: a + b, [F.log(f"_t_v{i}_{i}") for i in range(D)])
-    both = _used(before).select("_t_group", log.alias("x")).join(after.select("_t_group", log.alias("y")), "_t_group")
-    return not both.where(F.col("y") < F.col("x") - SETTLED).isEmpty()
-
-
 def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"),
              cut: float = CUT) -> DataFrame:
     """``statistics`` of each document with ``base_failed`` (fewer than 10
@@ -269,12 +337,7 @@ def outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
         *_sampling(),
     )
     rows = materialize(rows, "mcd-rows")
-    estimate = _concentrate(rows, _start(rows))
-    while True:
-        before, estimate = estimate, _concentrate(rows, estimate)
-        if not _falls(before, estimate):
-            break
-    usable = materialize(_used(estimate).drop("_t_n"), "mcd-usable")
+    usable = materialize(_used(estimates(rows)).drop("_t_n", "_t_log"), "mcd-usable")
     known = usable.select(F.col("_t_group").alias("_t_g"))
     tagged = counted
     for k, level in enumerate(levels[:-1]):

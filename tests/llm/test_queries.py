@@ -174,10 +174,12 @@ def test_distances_equal_numpy(spark):
     a = r.normal(size=(outliers.D, outliers.D))
     cov, m, x = a @ a.T + np.eye(outliers.D), r.normal(size=outliers.D), r.normal(size=outliers.D)
     row = {f"_t_s{i}_{j}": float(cov[i, j]) for i, j in outliers.PAIRS} | {f"_t_m{i}": float(v) for i, v in enumerate(m)}
-    df = outliers._invert(spark.range(1).select(F.lit("g").alias("_t_group"), F.lit(1).alias("_t_n"), *[F.lit(v).alias(k) for k, v in row.items()]))
+    df = outliers._invert(spark.range(1).select(F.lit("g").alias("_t_group"), F.lit(0).alias("_t_start"), F.lit(1).alias("_t_n"), *[F.lit(v).alias(k) for k, v in row.items()]))
     for k, v in zip(outliers.X, x):
         df = df.withColumn(k, F.lit(float(v)))
-    assert math.isclose(df.select(outliers._distance()).first()[0], (x - m) @ np.linalg.inv(cov) @ (x - m), rel_tol=1e-9)
+    got = df.select(outliers._distance(), "_t_log").first()
+    assert math.isclose(got[0], (x - m) @ np.linalg.inv(cov) @ (x - m), rel_tol=1e-9)
+    assert math.isclose(got[1], np.linalg.slogdet(cov)[1], rel_tol=1e-9)
 
 
 def plain_fingerprint(text):
