@@ -76,6 +76,19 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") ->
     return single.unionByName(unpacked(kept.join(twice, match, "left_semi")).dropDuplicates())
 
 
+def materialize_in_batches(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
+    """``materialize`` with at most ``rows`` rows in an Arrow batch, for jobs
+    whose Python tasks read whole texts or packed blocks: a batch is held by the
+    JVM, by Arrow and as Python objects at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], at_once: int = 64) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples, strings as UTF-8 bytes.  Few rows
     are Python objects at a time, however many a batch has."""

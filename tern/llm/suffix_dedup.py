@@ -26,9 +26,10 @@ whole in every step but are never compared in pairs:
    go.
 5. Each block marks the bytes of the strings that go.
 
-Tables move between steps as packed rows per block and range, and blocks are
-made anew from the documents for steps 1, 3 and 5, which must therefore come
-from files (or be written first); a block whose anchors have changed raises.
+Documents are dealt into blocks once, and the blocks are written with their
+numbers; steps 1, 3 and 5 read that table, so a task that is repeated, or a job
+that deals out its input otherwise, finds the same blocks.  Tables move between
+steps as packed rows per block and range.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm.common import need, row_key, rows_of, text_of
+from tern.llm.common import materialize_in_batches, need, row_key, rows_of, text_of
 from tern.session import materialize
 
 LENGTH, GRAM = 100, 64
@@ -164,8 +165,6 @@ class Block:
         whether it is the record's first place)."""
         flag = np.zeros(len(self.at), np.uint8)
         for k in np.flatnonzero(np.diff(self.edge)).tolist():
-            if k not in flags or len(flags[k]) != self.edge[k + 1] - self.edge[k]:
-                raise RuntimeError("the documents of a block have changed; write the table first")
             flag[self.edge[k] : self.edge[k + 1]] = flags[k]
         parts = []
         for i in np.flatnonzero(flag).tolist():
@@ -332,21 +331,22 @@ _PARTS = "block long, range int, data binary"
 _PARTS_ARROW = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("data", pa.binary())])
 
 
-def _hashes_of(rows: DataFrame, ranges: int) -> DataFrame:
+def _hashes_of(blocks: DataFrame, ranges: int) -> DataFrame:
     """Step 1: 48 bits of every anchor's hash, by block and range."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, docs in _blocks(batches):
-            b = Block([d[2] for d in docs], ranges)
-            low = (b.hash & np.uint64((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            out = [
-                {"block": number, "range": k, "data": low[b.edge[k] : b.edge[k + 1]].tobytes()}
-                for k in np.flatnonzero(np.diff(b.edge)).tolist()
-            ]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, _PARTS_ARROW)
+        for batch in batches:
+            for number, blob in zip(batch["block"], batch["data"]):
+                b = Block(_open(blob.as_py())[3], ranges)
+                low = (b.hash & np.uint64((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                out = [
+                    {"block": number.as_py(), "range": k, "data": low[b.edge[k] : b.edge[k + 1]].tobytes()}
+                    for k in np.flatnonzero(np.diff(b.edge)).tolist()
+                ]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, _PARTS_ARROW)
 
-    return rows.mapInArrow(part, _PARTS)
+    return blocks.mapInArrow(part, _PARTS)
 
 
 def _flags(key: tuple, table: pa.Table) -> pa.Table:
@@ -363,7 +363,7 @@ def _flags(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    """Blocks with their documents, for the steps that need answers too."""
+    """Blocks with their documents."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, docs in _blocks(batches):
@@ -377,8 +377,8 @@ def _texts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(part, _PARTS)
 
 
-def _open(left: pa.Table):
-    ids, none, keys, sizes, text = _spread(left["data"][0].as_py(), 5)
+def _open(blob: bytes):
+    ids, none, keys, sizes, text = _spread(blob, 5)
     sizes = np.frombuffer(sizes, np.int64)
     ends = np.cumsum(sizes)
     texts = [text[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
@@ -395,7 +395,7 @@ def _flags_of(right: pa.Table) -> dict[int, np.ndarray]:
 def _records_of(ranges: int):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         """Step 3: the block's distinct records, by range of their key."""
-        ids, _, _, texts = _open(left)
+        ids, _, _, texts = _open(left["data"][0].as_py())
         records, _ = Block(texts, ranges).records(_flags_of(right), ids, ranges)
         number, out = left["block"][0].as_py(), []
         records.sort(key=lambda r: r[0])  # stable: the order within a range is that of step 5
@@ -451,7 +451,7 @@ _RESULT = "id long, key long, kept binary, n_bytes long, n_removed long, n_spans
 def _finish(ranges: int, with_bytes: bool):
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         """Step 5: what is left of each document."""
-        ids, none, keys, texts = _open(left)
+        ids, none, keys, texts = _open(left["data"][0].as_py())
         records, places = Block(texts, ranges).records(_flags_of(right), ids, ranges)
         masks = {-2 - k: np.frombuffer(zstandard.decompress(d), np.uint64).tolist()
                  for k, d in zip(right["range"].to_pylist(), right["data"].to_pylist()) if k < -1}
@@ -499,8 +499,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     need(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(docs).alias("key"), text_of(text_col).alias("t"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flags = materialize(_hashes_of(rows, ranges).groupBy("range").applyInArrow(_flags, _PARTS), "repeat-flags")
-    texts = _texts(rows)
+    texts = materialize_in_batches(_texts(rows), "repeat-blocks")
+    flags = materialize_in_batches(_hashes_of(texts, ranges).groupBy("range").applyInArrow(_flags, _PARTS), "repeat-flags", 8)
     records = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_records_of(ranges), _PARTS)
     masks = materialize(records.groupBy("range").applyInArrow(_masks, _PARTS), "repeat-masks")
     answers = flags.unionByName(masks)

@@ -2,7 +2,7 @@
 
 import random
 
-from tern.llm import outliers, simhash
+from tern.llm import outliers, simhash, suffix_dedup
 
 from .fixtures import awkward
 
@@ -41,3 +41,15 @@ def test_repeated_lines_alone_reject(spark):
     assert all(got[d].kept for d in one) and not got[1000].kept and not got[1001].kept
     clean = set(range(500)) - junk - one
     assert sum(got[d].kept for d in clean) > 0.98 * len(clean)
+
+
+def test_blocks_of_regrouped_input(spark, monkeypatch):
+    """A source that deals out its rows otherwise each time it is read."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 14)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    plain = suffix_dedup.remove_repeats(spark, docs, with_bytes=False).drop("_t_row").collect()
+    moving = docs.repartition(5, F.rand())
+    again = suffix_dedup.remove_repeats(spark, moving, with_bytes=False).drop("_t_row").collect()
+    assert sorted(plain) == sorted(again) and sum(r.n_removed for r in plain) > 0
