@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tern.llm.common import keep_rows, need, parts_of, row_key, text_of
+from tern.llm.common import keep_rows, materialize_in_batches, need, parts_of, row_key, text_of
 from tern.session import materialize
 
 SHINGLE, BUDGET, SEED = 3, 2, 42
@@ -276,7 +276,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     """
     need(docs, id_col, text_col)
     tagged = docs.select(F.col(id_col), row_key(docs).alias("_t_row"), text_of(text_col).alias("_t_text"))
-    rows = materialize(fingerprints(tagged, "_t_text", words, "_t_fp").drop("_t_text"), "simhash")
+    rows = materialize_in_batches(fingerprints(tagged, "_t_text", words, "_t_fp").drop("_t_text"), "simhash")
     leaves = materialize(rows.groupBy("_t_fp").agg(F.min(id_col).alias("_t_min")), "simhash-leaves")
     roots = components(links(spark, leaves, budget))
     named = leaves.join(roots, "_t_fp", "left").withColumn("_t_root", F.coalesce("_t_root", "_t_fp"))
