@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tern.llm import bpe
-from tern.llm.common import need, row_key
+from tern.llm.common import materialize_in_batches, need, row_key
 from tern.session import materialize
 
 CHUNK = 1 << 16  # bytes of a document that one task encodes at a time
@@ -510,7 +510,7 @@ def align(spark: SparkSession, docs: DataFrame, a_path: str, b_path: str, id_col
         while n > 1:
             rounds, n = rounds + 1, -(-n // FANIN)
         made = made.unionByName(compose(fragments(parts, shared, id_type), rounds, shared, id_type).mapInArrow(composed, ddl))
-    blocks = materialize(made, "align-blocks")
+    blocks = materialize_in_batches(made, "align-blocks")
     asked = blocks.where("bucket >= 0").select("block", "bucket", "data").groupBy("bucket")
     counts = materialize(asked.applyInArrow(pair_counts, "block long, bucket int, data binary"), "align-counts")
     result = _RESULT.format(id=id_type)
