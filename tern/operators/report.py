@@ -66,6 +66,44 @@ def histogram(df: DataFrame, col: str, width, by: list[str] = ["city_name"], sca
     return df.where(c.isNotNull()).groupBy(*by, lo.alias("bin_start")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def bin_widths(df: DataFrame, col: str, by: list[str] = ["city_name"], scale: int = 0) -> DataFrame:
+    """``by`` and ``width``, the bin width that the values ask for (A16 without
+    a given width): twice the interquartile range over the cube root of their
+    number, or, where half of the values are equal, the whole range over the
+    bins of Sturges' rule; rounded up to 1, 2 or 5 times a power of ten, in
+    units of ``10 ** -scale``, one unit at least.
+
+    The quartiles come from a mergeable sketch, so a group of any size is
+    combined before the shuffle; their rank is off by a 10,000th at most, and
+    not at all in groups of up to 10,000 values.
+    """
+    v = (F.col(col) * 10**scale).cast("long")
+    quarter = lambda q: F.percentile_approx(v, q, 10_000)
+    n = F.col("_n").cast("double")
+    stats = df.where(F.col(col).isNotNull()).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), (quarter(0.75) - quarter(0.25)).alias("_iqr"), (F.max(v) - F.min(v)).alias("_range")
+    )
+    wanted = F.when(F.col("_iqr") > 0, 2 * F.col("_iqr") / F.cbrt(n)).otherwise(F.col("_range") / (1 + F.log2(n)))
+    stats = stats.withColumn("_w", F.greatest(wanted, F.lit(1.0))).withColumn("_p", F.pow(F.lit(10.0), F.floor(F.log10("_w"))))
+    lead = F.col("_w") / F.col("_p")
+    nice = F.when(lead <= 1, 1).when(lead <= 2, 2).when(lead <= 5, 5).otherwise(10) * F.col("_p")
+    return stats.select(*by, nice.cast("long").alias("width"))
+
+
+def auto_histogram(df: DataFrame, col: str, by: list[str] = ["city_name"], scale: int = 0) -> DataFrame:
+    """Histogram of ``col`` with each group's own width (``bin_widths``): the
+    bin's width and lower bound, and the count; NULL values are excluded.  The
+    second of two passes; the widths are one row per group."""
+    widths = bin_widths(df, col, by, scale).withColumnsRenamed({c: f"_b_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]
+    met = df.where(F.col(col).isNotNull()).join(widths, same)
+    v = (F.col(col) * 10**scale).cast("long")
+    low = F.floor(v / F.col("width")).cast("long") * F.col("width")
+    counts = met.groupBy(*by, "width", low.alias("_low")).agg(F.count(F.lit(1)).alias("n"))
+    value = lambda c: (F.col(c).cast(f"decimal(18,{scale})") / 10**scale).cast(f"decimal(18,{scale})") if scale else F.col(c)
+    return counts.select(*by, value("width").alias("bin_width"), value("_low").alias("bin_start"), "n")
+
+
 def with_paths(subset: DataFrame, geojson: str = "geojson") -> DataFrame:
     """Drawable paths (F19, F20, P14): path from the GeoJSON text, thinned;
     rows with an empty path removed."""

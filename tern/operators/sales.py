@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tern.functions import dialect, variant
+from tern.operators import running
+from tern.session import materialize
 
 # Row order inside one customer for LAG: the reference orders by date only;
 # ties are broken by every remaining column so the result is deterministic.
@@ -75,12 +77,21 @@ def _days_since_last(rows: DataFrame) -> DataFrame:
        column; one of them (row_number within exact duplicates) is first.
     NULL dates follow the window semantics: LAG over them is NULL.
     """
-    key = F.struct(*[F.col(c) for c in TIE_BREAK])
-    groups = rows.groupBy("customer_id", "purchase_date").agg(F.min(key).alias("_kmin"))
+    groups = rows.groupBy("customer_id", "purchase_date").agg(F.min(_tie_key()).alias("_kmin"))
     by_cust = Window.partitionBy("customer_id").orderBy(F.col("purchase_date").asc_nulls_first())
-    groups = groups.withColumn("_prev", F.lag("purchase_date").over(by_cust)).withColumnsRenamed(
-        {"customer_id": "_g_cust", "purchase_date": "_g_date"}
-    )
+    return _with_days(rows, groups.withColumn("_prev", F.lag("purchase_date").over(by_cust)))
+
+
+def _tie_key() -> Column:
+    return F.struct(*[F.col(c) for c in TIE_BREAK])
+
+
+def _with_days(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with ``days_since_last_purchase``, given for each (customer,
+    date) the smallest tie-break key ``_kmin`` and the customer's previous date
+    ``_prev`` (steps 3 and 4 above)."""
+    key = _tie_key()
+    groups = groups.withColumnsRenamed({"customer_id": "_g_cust", "purchase_date": "_g_date"})
     cond = F.col("customer_id").eqNullSafe(F.col("_g_cust")) & F.col("purchase_date").eqNullSafe(F.col("_g_date"))
     joined = rows.join(groups, cond, "inner")
     dup = Window.partitionBy("customer_id", "purchase_date", *TIE_BREAK).orderBy(F.lit(1))
@@ -93,6 +104,37 @@ def _days_since_last(rows: DataFrame) -> DataFrame:
     return joined.select(*rows.columns, days.alias("days_since_last_purchase"))
 
 
+def report_after(report: DataFrame, late: DataFrame) -> DataFrame:
+    """``sales_report`` after more rows arrived (D2), from the old ``report``
+    and the ``late`` rows (the report's columns; their days are not read).
+
+    Only groups (customer, date) that late rows touch and the next later group
+    of the customer can change, the latter only in its previous date.  Their
+    neighbours come from the distinct dates of the touched customers; rows of
+    all other groups are passed on as they are, without a sort or an exchange
+    beyond the anti join with the changed groups.  Both inputs should be
+    written tables: each is read several times.
+    """
+    days = "days_since_last_purchase"
+    keys = ["customer_id", "purchase_date"]
+    same = lambda a, b: (F.col(f"{a}.customer_id").eqNullSafe(F.col(f"{b}.customer_id"))
+                         & F.col(f"{a}.purchase_date").eqNullSafe(F.col(f"{b}.purchase_date")))
+    touched = late.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    customers = touched.select(F.col("customer_id").alias("_c")).distinct()
+    known = report.select(*keys).join(customers, F.col("customer_id").eqNullSafe(F.col("_c")), "left_semi").distinct()
+    dates = known.withColumn("_hit", F.lit(False)).unionByName(touched).groupBy(*keys).agg(F.max("_hit").alias("_hit"))
+    by_cust = Window.partitionBy("customer_id").orderBy(F.col("purchase_date").asc_nulls_first())
+    dates = dates.select(*keys, "_hit", F.lag("purchase_date").over(by_cust).alias("_prev"),
+                         F.coalesce(F.lag("_hit").over(by_cust), F.lit(False)).alias("_follows"))
+    changed = materialize(dates.where(F.col("_hit") | F.col("_follows")).select(*keys, "_prev"), "changed-groups")
+    stay = report.alias("r").join(changed.alias("g"), same("r", "g"), "left_anti")
+    old = report.alias("r").join(changed.alias("g"), same("r", "g"), "left_semi")
+    again = old.drop(days).unionByName(late.drop(days))
+    first = again.groupBy(*keys).agg(F.min(_tie_key()).alias("_kmin"))
+    groups = first.alias("f").join(changed.alias("g"), same("f", "g")).select("f.*", "g._prev")
+    return stay.unionByName(_with_days(again, groups).select(*report.columns))
+
+
 def sales_report(customer_orders_df: DataFrame, products: DataFrame, with_days: bool = True) -> DataFrame:
     """D2 ``sales_report``.
 
@@ -147,6 +189,60 @@ def cumulative_purchases(sales_report_df: DataFrame, as_of, months: int = 6) ->
     )
 
 
+def daily_purchases(sales_report_df: DataFrame) -> DataFrame:
+    """Partial totals of D3: per customer and day the rows, the orders with a
+    key, and the sum of the totals with the number of those that are not null.
+    Rows without a date never count."""
+    return sales_report_df.where(F.col("purchase_date").isNotNull()).groupBy("customer_id", "customer_name", "purchase_date").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("customer_sk").alias("orders"),
+        F.coalesce(F.sum("order_total"), F.lit(0)).cast("decimal(38,2)").alias("total"), F.count("order_total").alias("totals"),
+    )
+
+
+def last_purchases(sales_report_df: DataFrame) -> DataFrame:
+    """The last day on which a customer bought a product; a product is among
+    the distinct ones of a window that is open at its end if that day is in it."""
+    dated = sales_report_df.where(F.col("purchase_date").isNotNull() & F.col("product_id").isNotNull())
+    return dated.groupBy("customer_id", "customer_name", "product_id").agg(F.max("purchase_date").alias("last_date"))
+
+
+_PARTS = ("rows", "orders", "total", "totals", "products")
+
+
+def purchases_since(daily: DataFrame, last: DataFrame, since, until=None) -> DataFrame:
+    """Sums of the partial totals of the days from ``since`` (a timestamp
+    column) on, before ``until`` if given: ``customer_id``, ``customer_name``
+    and ``_PARTS``, where ``products`` are those last bought in these days."""
+    inside = lambda c: (c >= since) if until is None else (c >= since) & (c < until)
+    day = lambda c: F.col(c).cast("timestamp_ntz")
+    who = ["customer_id", "customer_name"]
+    sums = daily.where(inside(day("purchase_date"))).select(*who, "rows", "orders", "total", "totals", F.lit(0).cast("long").alias("products"))
+    zero = [F.lit(0).cast(t).alias(c) for c, t in zip(_PARTS[:-1], ("long", "long", "decimal(38,2)", "long"))]
+    seen = last.where(inside(day("last_date"))).select(*who, *zero, F.lit(1).cast("long").alias("products"))
+    return sums.unionByName(seen).groupBy(*who).agg(*[F.sum(c).cast("decimal(38,2)" if c == "total" else "long").alias(c) for c in _PARTS])
+
+
+def moved_purchases(current: DataFrame, daily: DataFrame, last: DataFrame, as_of, to, months: int = 6) -> DataFrame:
+    """``purchases_since`` for the moment ``to``, from that for ``as_of``: the
+    days between the two bounds are subtracted (or, for an earlier moment,
+    added); no order is read again, and no other day."""
+    old, new = dialect.months_before(as_of, months), dialect.months_before(to, months)
+    later = current.sparkSession.range(1).select(new >= old).first()[0]  # both are constants
+    low, high, sign = (old, new, -1) if later else (new, old, 1)
+    change = purchases_since(daily, last, low, high).select("customer_id", "customer_name", *[(F.col(c) * sign).alias(c) for c in _PARTS])
+    both = current.unionByName(change).groupBy("customer_id", "customer_name")
+    moved = both.agg(*[F.sum(c).cast("decimal(38,2)" if c == "total" else "long").alias(c) for c in _PARTS])
+    return moved.where("rows > 0")
+
+
+def cumulative_of(parts: DataFrame) -> DataFrame:
+    """``cumulative_purchases``' columns of summed parts."""
+    return parts.select(
+        "customer_id", "customer_name", F.when(F.col("totals") > 0, F.col("total")).alias("total_sales"),
+        F.col("orders").alias("total_orders"), F.col("products").alias("distinct_products"),
+    )
+
+
 def top_customers(cumulative: DataFrame, k: int = 15) -> DataFrame:
     """Top-k customers by sales (O3); ties broken by customer_id.
     Runs as TakeOrderedAndProject: each task keeps k rows."""
@@ -167,6 +263,14 @@ def running_units(sales_report_df: DataFrame) -> DataFrame:
     return daily.select("product_id", "purchase_date", F.sum("units").over(w).alias("totalunitsold"))
 
 
+def running_units_by_sale(sales_report_df: DataFrame) -> DataFrame:
+    """N2 for every sale: the units of its product sold up to and including its
+    date.  A product with a third of all sales is not one task's
+    (``running.running_sum``)."""
+    sales = sales_report_df.select("product_id", "customer_id", "order_id", "purchase_date", "quantity")
+    return running.running_sum(sales, "product_id", "purchase_date", "quantity", "totalunitsold")
+
+
 def latest_sales(sales_report_df: DataFrame) -> DataFrame:
     """The latest row of each product (N3, ``qualify row_number() = 1``), as an
     aggregate: the largest (date, order, customer, quantity, total), rows

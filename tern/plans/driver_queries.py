@@ -6,8 +6,12 @@ full, so its work grows with the scale factor.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from functools import reduce
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tern.functions import dialect
 from tern.operators import tpch
 from tern.plans.registry import register
 from tern.session import materialize, scratch_path
@@ -121,6 +125,36 @@ def running_units(spark, sf_dir):
     return sales.running_units(_sales_report(spark, sf_dir, False))
 
 
+@register("running_units_by_sale", oracle=O.RUNNING_UNITS_BY_SALE)
+def running_units_by_sale(spark, sf_dir):
+    return sales.running_units_by_sale(materialize(_sales_report(spark, sf_dir, False), "sales-report"))
+
+
+@register("cumulative_as_of_dates", oracle=O.CUMULATIVE_AS_OF_DATES)
+def cumulative_as_of_dates(spark, sf_dir):
+    """D3 for three moments: the first from daily totals, the others by moving
+    the bound, once forward and once back."""
+    report = materialize(_sales_report(spark, sf_dir, False), "sales-report")
+    daily, last = materialize(sales.daily_purchases(report), "daily"), materialize(sales.last_purchases(report), "last")
+    start, *others = O.AS_OF_DATES
+    parts = materialize(sales.purchases_since(daily, last, dialect.months_before(start, 6)), "purchases")
+    out, at = [sales.cumulative_of(parts).withColumn("as_of", F.lit(start))], start
+    for to in others:
+        parts = materialize(sales.moved_purchases(parts, daily, last, at, to), "purchases")
+        out, at = [*out, sales.cumulative_of(parts).withColumn("as_of", F.lit(to))], to
+    return reduce(DataFrame.unionByName, out)
+
+
+@register("sales_report_after_late_orders", oracle=O.SALES_REPORT)
+def sales_report_after_late_orders(spark, sf_dir):
+    """Every seventh order arrives after the report was made."""
+    co = _customer_orders(spark, sf_dir, materialized=True)
+    products = derived.sales_products(spark, sf_dir)
+    late = F.col("order_id") % 7 == 3
+    report = materialize(sales.sales_report(co.where(~late), products), "sales-report")
+    return sales.report_after(report, materialize(sales.sales_report(co.where(late), products, False), "late-sales"))
+
+
 @register("latest_sales", oracle=O.LATEST_SALES)
 def latest_sales(spark, sf_dir):
     return sales.latest_sales(_sales_report(spark, sf_dir, False))
@@ -140,8 +174,6 @@ def low_stock(spark, sf_dir):
 # W4/W5  highways, spatial joins, weather and report
 # --------------------------------------------------------------------------
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from tern.functions import geo  # noqa: E402
 from tern.operators import highways, report, spatial_join, weather  # noqa: E402
 
@@ -317,6 +349,18 @@ def speed_histogram(spark, sf_dir):
     return report.histogram(_subset(spark, sf_dir, "speed_limit"), "speed_limit", 5)
 
 
+@register("miles_auto_histogram", oracle=O.MILES_AUTO_HISTOGRAM)
+def miles_auto_histogram(spark, sf_dir):
+    sub = materialize(_subset(spark, sf_dir, "miles").select("city_name", "miles"), "subset-miles")
+    return report.auto_histogram(sub, "miles", scale=2)
+
+
+@register("speed_auto_histogram", oracle=O.SPEED_AUTO_HISTOGRAM)
+def speed_auto_histogram(spark, sf_dir):
+    sub = materialize(_subset(spark, sf_dir, "speed_limit").select("city_name", "speed_limit"), "subset-speed")
+    return report.auto_histogram(sub, "speed_limit")
+
+
 @register("payload_estimate", oracle=O.PAYLOAD_ESTIMATE)
 def payload_estimate(spark, sf_dir):
     return report.payload_estimate(report.with_paths(_subset(spark, sf_dir, "geojson")))

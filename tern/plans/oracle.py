@@ -91,6 +91,20 @@ SELECT DISTINCT product_id, purchase_date,
 FROM sr
 """
 
+RUNNING_UNITS_BY_SALE = f"""
+WITH sr AS ({_SR})
+SELECT product_id, customer_id, order_id, purchase_date, quantity,
+       CAST(sum(quantity) OVER (PARTITION BY product_id ORDER BY purchase_date NULLS FIRST) AS BIGINT) AS totalunitsold
+FROM sr
+"""
+
+# Three moments, one of them at noon; the bound moves forward, then back.
+AS_OF_DATES = ("2001-08-01 00:00:00", "2001-11-15 12:00:00", "2000-02-29 00:00:00")
+
+CUMULATIVE_AS_OF_DATES = " UNION ALL ".join(
+    f"SELECT *, '{at}' AS as_of FROM ({CUMULATIVE_PURCHASES.replace('2001-08-01 00:00:00', at)})" for at in AS_OF_DATES
+)
+
 LATEST_SALES = f"""
 WITH sr AS ({_SR})
 SELECT product_id, purchase_date, order_id, customer_id, quantity, order_total FROM sr
@@ -451,6 +465,23 @@ SELECT city_name, CAST((speed_limit // 5) * 5 AS BIGINT) AS bin_start, count(*)
 FROM sub WHERE speed_limit IS NOT NULL GROUP BY 1, 2
 """
 
+def _auto_histogram(col: str, scale: int) -> str:
+    value = lambda c: f"CAST(CAST({c} AS DECIMAL(18,{scale})) / {10 ** scale} AS DECIMAL(18,{scale}))" if scale else c
+    return f"""
+WITH {_LINES}, {_WEATHER}, {_SUBSET},
+v AS (SELECT city_name, CAST({col} * {10 ** scale} AS BIGINT) AS x FROM sub WHERE {col} IS NOT NULL),
+q AS (SELECT city_name, count(*)::DOUBLE AS n, quantile_disc(x, 0.75) - quantile_disc(x, 0.25) AS iqr, max(x) - min(x) AS r FROM v GROUP BY city_name),
+w AS (SELECT city_name, greatest(1.0, CASE WHEN iqr > 0 THEN 2 * iqr / cbrt(n) ELSE r / (1 + log2(n)) END)::DOUBLE AS w FROM q),
+p AS (SELECT city_name, w, (10.0::DOUBLE) ^ floor(log10(w)) AS p FROM w),
+b AS (SELECT city_name, CAST(p * CASE WHEN w / p <= 1 THEN 1 WHEN w / p <= 2 THEN 2 WHEN w / p <= 5 THEN 5 ELSE 10 END AS BIGINT) AS width FROM p)
+SELECT city_name, {value('width')} AS bin_width, {value('(x // width) * width')} AS bin_start, count(*) AS n
+FROM v JOIN b USING (city_name) GROUP BY ALL
+"""
+
+
+MILES_AUTO_HISTOGRAM = _auto_histogram("miles", 2)
+SPEED_AUTO_HISTOGRAM = _auto_histogram("speed_limit", 0)
+
 # path of a feature = its first part; thinned when above 20 points.
 _PATHS = """
 fp AS (
