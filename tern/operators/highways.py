@@ -27,13 +27,17 @@ def flatten_features(staging: DataFrame, doc_id: str = "doc_id", raw: str = "raw
 def national_highway_system(staging: DataFrame, doc_id: str = "doc_id", raw: str = "raw_data", strict: bool = True) -> DataFrame:
     """The typed segments table (``create table national_highway_system``)."""
     f = flatten_features(staging, doc_id, raw)
+    fid = F.concat_ws(":", F.col(doc_id).cast("string"), F.col("pos").cast("string"))
+    return segments(f.select(fid.alias("fid"), F.col(doc_id).alias("doc_id"), "pos", "value"), "fid", "doc_id", "pos", strict=strict)
+
+
+def segments(features: DataFrame, *keys: str, strict: bool = True) -> DataFrame:
+    """Typed columns of single features (``value``), after the ``keys``."""
     v = F.col("value")
-    f = f.withColumn("_geometry", variant.get(v, "$.geometry", "variant", strict))
+    f = features.withColumn("_geometry", variant.get(v, "$.geometry", "variant", strict))
     geog = geo.to_geography("_geometry", strict)
     return f.select(
-        F.concat_ws(":", F.col(doc_id).cast("string"), F.col("pos").cast("string")).alias("fid"),
-        F.col(doc_id).alias("doc_id"),
-        "pos",
+        *keys,
         variant.get(v, "$.properties.OBJECTID", "int", strict).alias("object_id"),
         variant.get(v, "$.properties.FILE_NAME", "string", strict).alias("file_name"),
         variant.get(v, "$.properties.MILES", "decimal(38,2)", strict).alias("miles"),

@@ -114,9 +114,8 @@ def _city_name(u):
     return F.concat(F.lit("city_"), F.when(u % 50 == 49, u - 1).otherwise(u).cast("string"))
 
 
-def highway_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GeoJSON FeatureCollection texts with the features of eight customers
-    each (the staged files); the document's number is in the text too."""
+def highway_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``c`` and the GeoJSON text of its feature (null: none)."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     c = F.col("c_custkey")
     u = F.floor(c / 10)
@@ -160,13 +159,30 @@ def highway_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"ignoreNullFields": "false"},
     )
     feature = F.concat(F.lit('{"type":"Feature","geometry":'), geom, F.lit(',"properties":'), props, F.lit("}"))
-    rows = cust.select(F.floor(c / 8).cast("long").alias("doc_id"), c.alias("c"), F.when(c % 23 != 0, feature).alias("feature"))
+    return cust.select(c.alias("c"), F.when(c % 23 != 0, feature).alias("feature"))
+
+
+def highway_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GeoJSON FeatureCollection texts with the features of eight customers
+    each (the staged files); the document's number is in the text too."""
+    rows = highway_features(spark, sf_dir).select(F.floor(F.col("c") / 8).cast("long").alias("doc_id"), "c", "feature")
     docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("c", "feature"))).alias("f"))  # eight at most
     features = F.array_join(F.transform("f", lambda x: x["feature"]), ",")
     doc = F.concat(F.lit('{"type":"FeatureCollection","document":'), F.col("doc_id").cast("string"), F.lit(',"features":['), features, F.lit("]}"))
     return docs.select("doc_id", doc.alias("raw_text"))
 
 
+def write_large_documents(spark: SparkSession, sf_dir: str, folder: str, documents: int = 8) -> None:
+    """The same features as a few large FeatureCollections, that of customer c
+    in document ``c % documents``, in the order of c.  A document is one file's
+    (a file may have several), so it is written by one task, line by line."""
+    rows = highway_features(spark, sf_dir).where("feature is not null").withColumn("d", F.col("c") % documents)
+    ends = rows.groupBy("d").agg(F.min("c").alias("first"), F.max("c").alias("last"))
+    head = F.when(F.col("c") == F.col("first"), F.concat(F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"a } in text"}},"features":['))).otherwise(",")
+    line = F.concat(head, "feature", F.when(F.col("c") == F.col("last"), "]}").otherwise(""))
+    rows.join(ends, "d").select("d", "c", line.alias("value")).repartition(documents, "d").sortWithinPartitions("d", "c").select("value").write.text(folder)
+
+
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly weather rows (the shared weather table) derived from events."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")

@@ -15,7 +15,7 @@ from tern.functions import dialect
 from tern.operators import tpch
 from tern.plans.registry import register
 from tern.session import materialize, scratch_path
-from tern.sources import files
+from tern.sources import files, geojson
 from tern.sources.tables import table
 
 # --------------------------------------------------------------------------
@@ -225,6 +225,33 @@ def load_json_files(spark, sf_dir):
     return hw.select(*_FEATURE, F.col("geography_linestring.type").alias("geom_type"))
 
 
+@register("split_features", oracle=O.SPLIT_FEATURES)
+def split_features(spark, sf_dir):
+    """A few large FeatureCollections, each read by several tasks (S3)."""
+    landing = scratch_path(spark, "large-landing")
+    derived.write_large_documents(spark, sf_dir, landing)
+    found = geojson.features(spark, landing, split_bytes=64 << 10, chunk=16 << 10)
+    hw = highways.segments(found.withColumn("fid", F.concat_ws(":", "file", "document", "pos")), "fid", "pos")
+    return hw.select(*_FEATURE[1:], F.col("geography_linestring.type").alias("geom_type"))
+
+
+@register("ingest_quarantine", oracle=O.INGEST_QUARANTINE)
+def ingest_quarantine(spark, sf_dir):
+    """The documents as JSON lines, some cut off, through the stream that keeps
+    malformed records apart (S5)."""
+    root = scratch_path(spark, "ingest")
+    docs = derived.highway_documents(spark, sf_dir)
+    cut = F.expr("substring(raw_text, 1, length(raw_text) - 2)")
+    docs.select(F.when(F.col("doc_id") % 9 == 4, cut).otherwise(F.col("raw_text"))).write.text(f"{root}/landing")
+    where = [f"{root}/{x}" for x in ("landing", "good", "malformed")]
+    for _ in range(2):  # the second start finds no new file
+        files.ingest_with_quarantine(spark, *where, f"{root}/checkpoint").awaitTermination()
+    good = spark.read.parquet(where[1]).select(F.lit("good").alias("kind"), variant.get("raw_data", "$.document", "long").alias("d"))
+    number = F.regexp_extract("record", '"document":([0-9]+)', 1).cast("long")
+    bad = spark.read.parquet(where[2]).where("byte_offset >= 0").select(F.lit("malformed").alias("kind"), number.alias("d"))
+    return good.unionByName(bad).groupBy("kind").agg(F.count(F.lit(1)).alias("documents"), F.sum("d").alias("document_sum"))
+
+
 @register("geojson_roundtrip", oracle=O.GEOJSON_ROUNDTRIP)
 def geojson_roundtrip(spark, sf_dir):
     hw = _highways(spark, sf_dir, "geojson").where(F.col("geography_linestring").isNotNull())

@@ -252,6 +252,18 @@ SELECT doc_id, pos, object_id, file_name, miles, average_annual_daily_traffic, s
 FROM feat
 """
 
+SPLIT_FEATURES = f"""
+WITH {_LINES}
+SELECT CAST(row_number() OVER (PARTITION BY c % 8 ORDER BY c) - 1 AS INTEGER) AS pos, object_id, file_name, miles, average_annual_daily_traffic,
+       speed_limit, year, sign1, geom_type
+FROM feat
+"""
+
+INGEST_QUARANTINE = """
+SELECT CASE WHEN d % 9 = 4 THEN 'malformed' ELSE 'good' END AS kind, count(*) AS documents, CAST(sum(d) AS BIGINT) AS document_sum
+FROM (SELECT DISTINCT c_custkey // 8 AS d FROM customer) GROUP BY 1
+"""
+
 GEO_DWITHIN = f"""
 WITH {_LINES}, {_WEATHER},
 near AS ({_near('cities', 'city_name, latitude, longitude', 16093.4)})
