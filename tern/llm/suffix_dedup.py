@@ -152,7 +152,8 @@ class Block:
         found = list(anchors(texts))
         cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(5)]
         h = cols[4].astype(np.uint64)
-        where = ((h >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int64)
+        # anchors have small hashes, being the smallest of many: mixed again, so that ranges are even
+        where = ((mixed(h) >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         self.doc, self.at, self.first, self.last, self.hash = (c[order] for c in (*cols[:4], h))
         self.range = where[order]

@@ -53,3 +53,14 @@ def test_blocks_of_regrouped_input(spark, monkeypatch):
     moving = docs.repartition(5, F.rand())
     again = suffix_dedup.remove_repeats(spark, moving, with_bytes=False).drop("_t_row").collect()
     assert sorted(plain) == sorted(again) and sum(r.n_removed for r in plain) > 0
+
+
+def test_ranges_of_anchors_are_even():
+    """An anchor is the smallest hash of many, so by the hash itself the first
+    range would hold a sixth of all."""
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    block = suffix_dedup.Block([bytes(r.integers(97, 123, 400_000, dtype=np.uint8))], 20)
+    sizes = np.diff(block.edge)
+    assert sizes.sum() > 10_000 and sizes.max() < 1.3 * sizes.mean()
