@@ -441,10 +441,10 @@ from tern.streaming.refresh import SalesRefresh  # noqa: E402
 _BATCH_BOUNDS = ("1997-01-01", "2000-01-01")
 
 
-def refreshed_tables(spark, sf_dir, root=None):
+def refreshed_tables(spark, sf_dir, table_name, root=None):
     """Land the JSON orders in three batches (by order date, unknown dates
-    first), run the refresh stream after each landing; the job, whose tables
-    are then maintained ones."""
+    first), run the refresh stream after each landing; the job, which maintains
+    the named table and what it is made from."""
     root = root or scratch_path(spark, "refresh")
     landing = f"{root}/landing"
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
@@ -452,15 +452,8 @@ def refreshed_tables(spark, sf_dir, root=None):
     a, b = (F.lit(x).cast("timestamp_ntz") for x in _BATCH_BOUNDS)
     day = F.col("o_orderdate")
     batches = [day.isNull() | (day < a), (day >= a) & (day < b), day >= b]
-    job = SalesRefresh(
-        spark,
-        f"{root}/tables",
-        landing,
-        derived.sales_customers(spark, sf_dir),
-        derived.sales_products(spark, sf_dir),
-        bucket_rows=50_000,
-        as_of=derived.AS_OF,
-    )
+    customers, products = derived.sales_customers(spark, sf_dir), derived.sales_products(spark, sf_dir)
+    job = SalesRefresh(spark, f"{root}/tables", landing, customers, products, buckets=8, tables={table_name})
     for i, cond in enumerate(batches):
         part = derived.sales_orders_from(li, o.where(cond))
         datagen.write_json_batch(part, f"{landing}/batch={i}")
@@ -470,19 +463,19 @@ def refreshed_tables(spark, sf_dir, root=None):
 
 @register("refresh_incremental_equals_full", oracle=O.SALES_REPORT)
 def refresh_incremental_equals_full(spark, sf_dir):
-    return refreshed_tables(spark, sf_dir).read("sales_report")
+    return refreshed_tables(spark, sf_dir, "sales_report").read("sales_report")
 
 
 @register("refresh_customer_orders", oracle=O.CUSTOMER_ORDERS)
 def refresh_customer_orders(spark, sf_dir):
-    return refreshed_tables(spark, sf_dir).read("customer_orders")
+    return refreshed_tables(spark, sf_dir, "customer_orders").read("customer_orders")
 
 
 @register("refresh_cumulative_purchases", oracle=O.CUMULATIVE_PURCHASES)
 def refresh_cumulative_purchases(spark, sf_dir):
-    return refreshed_tables(spark, sf_dir).read("cumulative_purchases")
+    return refreshed_tables(spark, sf_dir, "cumulative_purchases").read("cumulative_purchases", derived.AS_OF)
 
 
 @register("refresh_inventory_alert", oracle=O.INVENTORY_ALERT)
 def refresh_inventory_alert(spark, sf_dir):
-    return refreshed_tables(spark, sf_dir).read("product_inventory_alert").drop("rowcreationtime")
+    return refreshed_tables(spark, sf_dir, "product_inventory_alert").read("product_inventory_alert").drop("rowcreationtime")

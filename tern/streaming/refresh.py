@@ -1,369 +1,153 @@
-"""Incrementally refreshed derived tables on Structured Streaming.
-
-The four derived tables of the sales workload, kept equal to their defining
-queries (``tern.operators.sales``) as JSON orders land in a directory:
+"""Derived sales tables kept fresh by Structured Streaming.
 
     orders (files) -> customer_orders -> sales_report -> cumulative_purchases
                                                     \\-> product_inventory_alert
 
-Invariant: after a refresh every active table equals its defining query run in
-full on the stored orders, the static inputs and ``as_of``.
-
-One ``foreachBatch`` call refreshes the whole DAG in topological order:
-
-1. The batch's typed orders are stored under ``orders/batch_id=N`` (overwritten
-   if the batch is replayed).  Nothing else ever reads the landing folder, so
-   what is refreshed and what the stream has consumed cannot differ.
-2. The batch touches some customers; their ``bucket = pmod(hash(customer_id),
-   B)`` parts of customer_orders, sales_report and cumulative_purchases are
-   computed anew from the old part and the new rows, and written beside the old
-   ones under a new version.  LAG under late dates changes the following rows,
-   so whole customers are recomputed, never appended.  cumulative_purchases
-   also recomputes the buckets of customers whose rows crossed the moving
-   six-month bound.  Product totals are merged with the batch's.
-3. The state record (a small JSON file) is replaced: last applied batch id,
-   ``as_of``, and for each table the version of each bucket.  Readers follow
-   the record, so they see all of a batch or nothing of it; a failure before
-   this step leaves the old versions in place and the replayed batch starts
-   anew.  A batch that is already applied is skipped.  Versions that the record
-   no longer names are removed afterwards.
-
-B is set by a full build from the number of stored orders (``bucket_rows`` rows
-a bucket), so a batch's work follows the customers it touches, and every bucket
-is one version: files do not pile up.  Full builds (first batch, changed static
-inputs, resume, on request) read the stored orders up to the current batch.
-Static inputs are compared by the listing of their files (path, length, time);
-only inputs without files are hashed.
+Invariant: after a batch every table equals its defining query
+(``tern.operators.sales``) run in full on the orders consumed so far, the static
+inputs and the moment asked for.
+
+Everything is plain Parquet, partitioned by ``bucket``, a hash of the customer
+modulo ``buckets``, and written with dynamic partition overwrite:
+
+1. A batch's typed orders go to ``orders/bucket=b/batch_id=N``.  Nothing else
+   reads the landing folder, so what is refreshed and what the stream has
+   consumed cannot differ.
+2. The buckets that the batch touches are computed anew from their stored orders
+   and replace the old partitions: customer_orders, then sales_report (LAG under
+   late dates changes following rows, so nothing is appended), then what the two
+   aggregates add up: daily totals and last purchases of a customer, and units
+   of a product.
+
+Each partition is a function of stored orders alone, so a batch that failed
+half-way or comes again gives the same tables, and which batch is the next is
+the stream's own knowledge (its checkpoint).  ``cumulative_purchases`` and
+``product_inventory_alert`` are sums over those partial tables when read, so the
+moving six-month bound needs no rewrite: orders that expire are days that are
+left out.
+
+What the warehouse calls suspending a table is ``stop()`` of the stream, resuming
+is ``start()`` with the same checkpoint, and dropping is deleting the folder.  A
+changed static input takes effect with ``full_refresh``.  Readers see the
+partitions of a running batch as they are replaced.
 """
 
 from __future__ import annotations
 
-import calendar
-import datetime as _dt
-import json
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tern.functions import dialect
 from tern.operators import sales
 
 TABLES = ("customer_orders", "sales_report", "cumulative_purchases", "product_inventory_alert")
-# Producers of each table (dependency DAG, D8).
-PRODUCERS = {
-    "customer_orders": (),
-    "sales_report": ("customer_orders",),
-    "cumulative_purchases": ("customer_orders", "sales_report"),
-    "product_inventory_alert": ("customer_orders", "sales_report"),
+_ORDERS = "order_id bigint, custid bigint, product_id bigint, quantity bigint, order_total decimal(10,2), purchase_date date"
+_SCHEMAS = {
+    "orders": _ORDERS + ", bucket int, batch_id bigint",
+    "customer_orders": "customer_id bigint, customer_name string, order_id bigint, product_id bigint, quantity bigint, "
+                       "order_total decimal(10,2), purchase_date date, bucket int",
+    "sales_report": "customer_id bigint, customer_name string, order_id bigint, product_id bigint, product_name string, "
+                    "order_total decimal(10,2), quantity bigint, unitsalesprice decimal(18,8), purchase_date date, "
+                    "days_since_last_purchase int, customer_sk string, bucket int",
+    "daily": "customer_id bigint, customer_name string, purchase_date date, rows bigint, orders bigint, total decimal(38,2), "
+             "totals bigint, bucket int",
+    "last": "customer_id bigint, customer_name string, product_id bigint, last_date date, bucket int",
+    "units": "product_id bigint, purchase_date date, quantity bigint, bucket int",
 }
-MODES = ("incremental", "full", "auto")
-
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark, path) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def _delete(spark, path) -> None:
-    fs, p = _fs(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
-
-
-def _names(spark, path) -> list[str]:
-    fs, p = _fs(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-
-
-def _read_text(spark, path) -> str | None:
-    if not _exists(spark, path):
-        return None
-    rows = spark.read.text(path, wholetext=True).collect()
-    return rows[0][0] if rows else None
-
-
-def _write_text(spark, path, text: str) -> None:
-    fs, p = _fs(spark, path)
-    out = fs.create(p, True)
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
 
 
 class SalesRefresh:
     """Keeps the sales tables under ``root`` fresh from orders landing in
     ``landing`` (JSON lines, one order per line, as ``sales_data``).
 
-    ``buckets`` fixes B; by default a full build sets it from ``bucket_rows``.
+    ``buckets`` is part of the tables' path: choose it once, so that a bucket of
+    the expected orders suits a few tasks.  ``tables`` limits what is maintained.
     """
 
-    def __init__(
-        self,
-        spark: SparkSession,
-        root: str,
-        landing: str,
-        customers: DataFrame,
-        products: DataFrame,
-        buckets: int | None = None,
-        months: int = 6,
-        as_of=None,
-        mode: str = "auto",
-        bucket_rows: int = 1_000_000,
-    ):
-        if mode not in MODES:
-            raise ValueError(f"mode must be one of {MODES}")
-        self.spark, self.root, self.landing = spark, root.rstrip("/"), landing.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, landing: str, customers: DataFrame, products: DataFrame, buckets: int = 64,
+                 months: int = 6, tables: Iterable[str] = TABLES):
+        if unknown := set(tables) - set(TABLES):
+            raise ValueError(f"unknown tables {sorted(unknown)}")
+        self.spark, self.root, self.landing = spark, f"{root.rstrip('/')}/buckets={buckets}", landing.rstrip("/")
         self.customers, self.products = customers, products
-        self.buckets, self.bucket_rows, self.months, self.mode = buckets, bucket_rows, months, mode
-        self._as_of = as_of
+        self.buckets, self.months, self.tables = buckets, months, set(tables)
 
-    # ------------------------------------------------------------ state
+    # ----------------------------------------------------------- tables
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _state(self) -> dict:
-        """The state record; of the two files the newer complete one counts."""
-        found = []
-        for k in (0, 1):
-            text = _read_text(self.spark, self.path(f"_state/state{k}.json"))
-            try:
-                found.append(json.loads(text) if text else None)
-            except ValueError:
-                found.append(None)  # a write that was cut off
-        known = [s for s in found if s]
-        if known:
-            return max(known, key=lambda s: s["serial"])
-        return {"serial": 0, "applied": -1, "tables": {}, "suspended": [], "dropped": [], "buckets": 0}
-
-    def _save_state(self, st: dict) -> None:
-        """Replaces the older of the two state files, so one is always whole."""
-        st["serial"] += 1
-        _write_text(self.spark, self.path(f"_state/state{st['serial'] % 2}.json"), json.dumps(st, sort_keys=True))
-
-    def as_of(self) -> _dt.datetime:
-        """The reference time of the six-month window; a parameter so
-        results are testable (default: now, UTC)."""
-        if self._as_of is None:
-            return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        if isinstance(self._as_of, str):
-            return _dt.datetime.fromisoformat(self._as_of)
-        return self._as_of
-
-    def set_as_of(self, as_of) -> None:
-        self._as_of = as_of
-
-    def _static(self) -> list:
-        """What the static inputs are: their files, or a hash if there are none."""
-
-        def seen(df):
-            files = sorted(df.inputFiles())
-            if not files:
-                h = F.xxhash64(*df.columns)
-                row = df.agg(F.count(F.lit(1)), F.sum(F.pmod(h, F.lit(1 << 31))), F.bit_xor(h)).first()
-                return [int(row[0]), int(row[1] or 0), int(row[2] or 0)]
-            out = []
-            for f in files:
-                fs, p = _fs(self.spark, f)
-                s = fs.getFileStatus(p)
-                out.append([f, s.getLen(), s.getModificationTime()])
-            return out
-
-        return [seen(self.customers), seen(self.products)]
-
-    # --------------------------------------------------- suspend / drop
-
-    def _mark(self, name: str, **lists) -> bool:
-        if name not in TABLES:
-            return False
-        st = self._state()
-        for key, member in lists.items():
-            st[key] = sorted(set(st[key]) | {name} if member else set(st[key]) - {name})
-        self._save_state(st)
-        return True
-
-    def suspend(self, name: str) -> bool:
-        """``ALTER DYNAMIC TABLE IF EXISTS t SUSPEND`` (D9); False if unknown.
-        The table and its consumers keep their contents until resumed."""
-        return self._mark(name, suspended=True)
-
-    def resume(self, name: str) -> bool:
-        """``RESUME``: the next batch catches up with a full build."""
-        if not self._mark(name, suspended=False):
-            return False
-        st = self._state()
-        st["needs_full"] = True
-        self._save_state(st)
-        return True
-
-    def drop(self, name: str) -> bool:
-        """``DROP DYNAMIC TABLE IF EXISTS`` (D10): contents removed; later
-        batches do not write it.  Only ``full_refresh`` brings it back."""
-        if not self._mark(name, dropped=True):
-            return False
-        st = self._state()
-        st["tables"].pop(name, None)
-        self._save_state(st)
-        _delete(self.spark, self.path(name))
-        return True
-
-    def _active(self, st: dict) -> set[str]:
-        """Tables to refresh: neither they nor a producer are suspended or dropped."""
-        off = set(st["suspended"]) | set(st["dropped"])
-        return {t for t in TABLES if t not in off and not off & set(PRODUCERS[t])}
-
-    # ----------------------------------------------------------- reads
-
-    def _bucket(self, n: int, col: str = "customer_id"):
-        return F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
-
-    def _read(self, st: dict, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """Stored rows of a table, of the given buckets only."""
-        table = st["tables"][name]
-        paths = [
-            f"{self.path(name)}/v={v}/bucket={b}" for b, v in table["versions"].items() if buckets is None or int(b) in buckets
-        ]
-        schema = table["schema"]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def read(self, name: str) -> DataFrame:
-        """Current contents of a derived table."""
-        st = self._state()
-        if name not in TABLES:
+    def _stored(self, name: str, touched: list[int] | None = None) -> DataFrame:
+        """Rows of a table with their bucket; only the touched partitions are read."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], _SCHEMAS[name])
+        rows = self.spark.read.schema(_SCHEMAS[name]).parquet(self.path(name))
+        return rows if touched is None else rows.where(F.col("bucket").isin(touched))
+
+    def _replace(self, name: str, rows: DataFrame, whole: bool, by: tuple[str, ...] = ("bucket",)) -> None:
+        """The partitions that ``rows`` has, or the ``whole`` table."""
+        mode = "static" if whole else "dynamic"
+        # even tasks, also where one customer has most of a bucket's rows
+        rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).parquet(self.path(name))
+
+    def read(self, name: str, as_of=None) -> DataFrame:
+        """Current contents of a derived table; ``as_of`` is the moment (text,
+        UTC) of ``cumulative_purchases``, by default now."""
+        if name not in self.tables:
             raise KeyError(name)
-        if name not in st["tables"]:
-            raise ValueError(f"{name} is dropped or was never built")
-        rows = self._read(st, name)
-        return sales.product_inventory_alert(rows, self.products) if name == "product_inventory_alert" else rows
-
-    def landed_orders(self) -> DataFrame:
-        """All orders in the landing folder, whether refreshed or not."""
-        return self.spark.read.text(self.landing, recursiveFileLookup=True).select(F.parse_json("value").alias("sales_data"))
-
-    def _orders(self, upto: int) -> DataFrame:
-        """Stored orders of the batches up to ``upto``."""
-        ids = [int(n.split("=")[1]) for n in _names(self.spark, self.path("orders")) if n.startswith("batch_id=")]
-        schema = "order_id bigint, custid bigint, product_id bigint, quantity bigint, order_total decimal(10,2), purchase_date date"
-        paths = [self.path(f"orders/batch_id={i}") for i in ids if i <= upto]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    # --------------------------------------------------------- refresh
-
-    def refresh_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """The ``foreachBatch`` body: one micro-batch through the DAG."""
-        st = self._state()
-        if batch_id <= st["applied"]:
-            return  # replayed after it was applied
-        stored = self.path(f"orders/batch_id={batch_id}")
-        sales.extract_orders(batch).write.mode("overwrite").parquet(stored)
-        static, as_of = self._static(), self.as_of()
-        active = self._active(st)
-        built = all(t in st["tables"] for t in active)
-        if self.mode == "full" or st.get("needs_full") or st.get("static") != static or not built:
-            self._full(st, active, batch_id, as_of)
-        else:
-            self._incremental(st, active, batch_id, as_of)
-        st.update({"static": static, "as_of": as_of.isoformat(), "needs_full": False, "applied": batch_id})
-        self._switch(st)
-
-    def full_refresh(self) -> None:
-        """Builds every table that is not suspended, dropped ones too, from the
-        stored orders of the batches applied so far."""
-        st = self._state()
-        st["dropped"] = []
-        as_of = self.as_of()
-        self._full(st, self._active(st), st["applied"], as_of)
-        st.update({"static": self._static(), "as_of": as_of.isoformat(), "needs_full": False})
-        self._switch(st)
-
-    def _switch(self, st: dict) -> None:
-        """Makes the new versions current, then removes those not in use."""
-        self._save_state(st)
-        for name in TABLES:
-            used = set(st["tables"].get(name, {}).get("versions", {}).values())
-            for n in _names(self.spark, self.path(name)):
-                if n.startswith("v=") and n[2:] not in used:
-                    _delete(self.spark, f"{self.path(name)}/{n}")
-
-    def _store(self, st: dict, name: str, df: DataFrame, n: int, replaced: list[int] | None) -> None:
-        """Writes rows of a table as a new version and notes it in ``st``:
-        of all buckets, or of the ``replaced`` ones (empty buckets vanish)."""
-        v = uuid.uuid4().hex
-        path = f"{self.path(name)}/v={v}"
-        bucket = self._bucket(n) if "customer_id" in df.columns else self._bucket(n, "product_id")
-        df.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(path)
-        new = {b.split("=")[1]: v for b in _names(self.spark, path) if b.startswith("bucket=")}
-        old = {} if replaced is None else st["tables"][name]["versions"]
-        kept = {b: o for b, o in old.items() if int(b) not in (replaced or ())}
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        st["tables"][name] = {"schema": schema, "versions": kept | new}
-
-    def _customer_orders(self, orders: DataFrame) -> DataFrame:
+        if name == "cumulative_purchases":
+            since = dialect.months_before(as_of, self.months) if as_of is not None else F.add_months(F.localtimestamp(), -self.months)
+            return sales.cumulative_of(sales.purchases_since(self._stored("daily"), self._stored("last"), since))
+        if name == "product_inventory_alert":
+            return sales.product_inventory_alert(self._stored("units"), self.products)
+        return self._stored(name).drop("bucket")
+
+    def orders(self) -> DataFrame:
+        """All orders that the stream has stored."""
+        return self._stored("orders").drop("bucket", "batch_id")
+
+    # ---------------------------------------------------------- refresh
+
+    def _build(self, touched: list[int] | None) -> None:
+        """The derived tables of the touched buckets (None: of all) from their
+        stored orders."""
+        whole, orders = touched is None, self._stored("orders", touched)
         c = self.customers.select(F.col("cust_id").alias("custid"), "customer_name")
-        joined = orders.join(c, "custid", "inner")
-        return joined.select(F.col("custid").alias("customer_id"), "customer_name", "order_id", "product_id", "quantity", "order_total", "purchase_date")
-
-    def _totals(self, customer_orders: DataFrame) -> DataFrame:
-        """Latest date and units per product, as rows that add up."""
-        known = customer_orders.join(self.products.select("product_id"), "product_id", "inner")
-        return known.groupBy("product_id").agg(F.max("purchase_date").alias("purchase_date"), F.sum("quantity").alias("quantity"))
-
-    def _full(self, st: dict, active: set[str], upto: int, as_of) -> None:
-        """Rebuilds every active table from the stored orders."""
-        if "customer_orders" not in active:
+        joined = orders.join(c, "custid", "inner").withColumnRenamed("custid", "customer_id")
+        columns = [x.split()[0] for x in _SCHEMAS["customer_orders"].split(", ")]
+        self._replace("customer_orders", joined.select(*columns), whole)
+        if self.tables == {"customer_orders"}:
             return
-        orders = self._orders(upto)
-        n = st["buckets"] = self.buckets or max(1, -(-orders.count() // self.bucket_rows))
-        self._store(st, "customer_orders", self._customer_orders(orders), n, None)
-        co = self._read(st, "customer_orders")
-        if "sales_report" in active:
-            self._store(st, "sales_report", sales.sales_report(co, self.products), n, None)
-        if "cumulative_purchases" in active:
-            self._store(st, "cumulative_purchases", sales.cumulative_purchases(self._read(st, "sales_report"), as_of, self.months), n, None)
-        if "product_inventory_alert" in active:
-            self._store(st, "product_inventory_alert", self._totals(co), n, None)
+        co = self._stored("customer_orders", touched)
+        report = sales.sales_report(co.drop("bucket"), self.products, "sales_report" in self.tables)
+        bucket = F.pmod(F.xxhash64("customer_id"), F.lit(self.buckets)).cast("int")
+        report = report.withColumn("bucket", bucket)
+        if "sales_report" in self.tables:
+            self._replace("sales_report", report, whole)
+            report = self._stored("sales_report", touched)
+        if "cumulative_purchases" in self.tables:
+            for name, part in (("daily", sales.daily_purchases), ("last", sales.last_purchases)):
+                self._replace(name, part(report).withColumn("bucket", bucket), whole)
+        if "product_inventory_alert" in self.tables:
+            units = report.groupBy("bucket", "product_id").agg(F.max("purchase_date").alias("purchase_date"), F.sum("quantity").alias("quantity"))
+            self._replace("units", units, whole)
 
-    def _incremental(self, st: dict, active: set[str], batch_id: int, as_of) -> None:
-        if "customer_orders" not in active:
-            return
-        n, prev = st["buckets"], st.get("as_of")
-        orders = self.spark.read.parquet(self.path(f"orders/batch_id={batch_id}"))
-        new = self._customer_orders(orders)
-        # bucket numbers: at most B values, which the state record holds anyway
-        touched = [r[0] for r in new.select(self._bucket(n).alias("b")).distinct().collect()]
+    def refresh_batch(self, batch: DataFrame, batch_id: int) -> None:
+        """The ``foreachBatch`` body: one micro-batch through the tables."""
+        orders = sales.extract_orders(batch)
+        orders = orders.withColumn("bucket", F.pmod(F.xxhash64("custid"), F.lit(self.buckets)).cast("int")).withColumn("batch_id", F.lit(batch_id))
+        self._replace("orders", orders, False, ("bucket", "batch_id"))
+        mine = self._stored("orders").where(F.col("batch_id") == batch_id)
+        touched = [r[0] for r in mine.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
         if touched:
-            merged = self._read(st, "customer_orders", touched).unionByName(new)
-            self._store(st, "customer_orders", merged, n, touched)
-            if "sales_report" in active:
-                co = self._read(st, "customer_orders", touched)
-                self._store(st, "sales_report", sales.sales_report(co, self.products), n, touched)
-            if "product_inventory_alert" in active:
-                both = self._read(st, "product_inventory_alert").unionByName(self._totals(new).select("product_id", "purchase_date", "quantity"))
-                merged = both.groupBy("product_id").agg(F.max("purchase_date").alias("purchase_date"), F.sum("quantity").alias("quantity"))
-                self._store(st, "product_inventory_alert", merged, n, None)
-        if "cumulative_purchases" in active:
-            moved = sorted({*touched, *self._crossed(st, n, prev, as_of)})
-            if moved:
-                sr = self._read(st, "sales_report", moved)
-                self._store(st, "cumulative_purchases", sales.cumulative_purchases(sr, as_of, self.months), n, moved)
-
-    def _crossed(self, st: dict, n: int, prev: str | None, as_of) -> list[int]:
-        """Buckets with purchases that entered or left the window since ``prev``."""
-        bounds = sorted(t - _relative_months(t, self.months) for t in (_dt.datetime.fromisoformat(prev) if prev else as_of, as_of))
-        lo, hi = (F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz") for t in bounds)
-        ts = F.col("purchase_date").cast("timestamp_ntz")
-        # the date column is pruned by row-group statistics through this range
-        days = F.col("purchase_date").between(bounds[0].date(), bounds[1].date())
-        rows = self._read(st, "sales_report").where(days & (ts >= lo) & (ts < hi))
-        return [r[0] for r in rows.select(self._bucket(n).alias("b")).distinct().collect()]
+            self._build(touched)
 
-    # ---------------------------------------------------------- stream
+    def full_refresh(self) -> None:
+        """Every table from all stored orders, as after a changed static input."""
+        self._build(None)
 
     def start(self, trigger: dict | None = None, checkpoint: str | None = None):
         """Run the refresh as a stream over the landing directory.
@@ -375,19 +159,5 @@ class SalesRefresh:
         """
         src = self.spark.readStream.option("recursiveFileLookup", "true").text(self.landing)
         src = src.select(F.parse_json("value").alias("sales_data"))
-        w = src.writeStream.foreachBatch(lambda df, bid: self.refresh_batch(df, bid)).option(
-            "checkpointLocation", checkpoint or self.path("_checkpoint")
-        )
-        w = w.trigger(**(trigger or {"availableNow": True}))
-        return w.start()
-
-
-def _relative_months(as_of: _dt.datetime, months: int) -> _dt.timedelta:
-    """as_of - (as_of minus ``months`` calendar months), keeping the time of
-    day (the same arithmetic as ``dialect.months_before``)."""
-    y, m = as_of.year, as_of.month - months
-    while m <= 0:
-        m += 12
-        y -= 1
-    d = min(as_of.day, calendar.monthrange(y, m)[1])
-    return as_of - as_of.replace(year=y, month=m, day=d)
+        w = src.writeStream.foreachBatch(self.refresh_batch).option("checkpointLocation", checkpoint or self.path("_checkpoint"))
+        return w.trigger(**(trigger or {"availableNow": True})).start()
