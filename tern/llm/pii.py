@@ -253,6 +253,37 @@ def added(voted: DataFrame) -> DataFrame:
     return scored.where((likely >= ACCEPT) & (F.col("p") >= 0.5)).select("_t_doc", "kind", "start", "end")
 
 
+def settled(spans: DataFrame) -> DataFrame:
+    """``spans`` (``_t_doc``, ``kind``, ``start``, ``end``, ``base``) without the
+    added ones that overlap a base span, whatever its kind, and of the others
+    without those that overlap an added span that starts before and stays (of
+    spans with one start the shortest goes first, then by kind).
+
+    Added spans that overlap in a chain are an island; within one they are
+    taken in their order, so a span is dropped only for one that is returned.
+    """
+    whole = Window.partitionBy("_t_doc")
+    ours = lambda c: F.when(F.col("base"), F.col(c))
+    upto = whole.orderBy("start", F.col("base").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    onward = whole.orderBy(F.col("start").desc(), F.col("base").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    near = spans.withColumn("_t_l", F.max(ours("end")).over(upto)).withColumn("_t_r", F.min(ours("start")).over(onward))
+    free = (F.coalesce("_t_l", F.lit(-1)) <= F.col("start")) & (F.col("_t_r").isNull() | (F.col("_t_r") >= F.col("end")))
+    extra = near.where(~F.col("base") & free).select("_t_doc", "kind", "start", "end")
+    order = whole.orderBy("start", "end", "kind")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    extra = extra.withColumn("_t_new", (F.coalesce(reach, F.lit(-1)) <= F.col("start")).cast("int"))
+    extra = extra.withColumn("_t_island", F.sum("_t_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    island = extra.groupBy("_t_doc", "_t_island").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("s"))
+    first = F.struct(F.slice("s", 1, 1).alias("kept"), F.col("s")[0]["end"].alias("end"))
+    taken = F.aggregate(
+        F.slice("s", 2, F.size("s")), first,
+        lambda a, x: F.when(x["start"] < a["end"], a).otherwise(F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), x["end"].alias("end"))),
+        lambda a: a["kept"],
+    )
+    kept = island.select("_t_doc", F.explode(taken).alias("x")).select("_t_doc", "x.kind", "x.start", "x.end", F.lit(False).alias("base"))
+    return spans.where("base").select("_t_doc", "kind", "start", "end", "base").unionByName(kept)
+
+
 # -------------------------------------------------------------------- operator
 
 
@@ -263,22 +294,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts have no spans.  Base spans of one kind never overlap;
     an added span overlaps no base span of its document, whatever its kind, and
-    no other added span that starts before it.
+    no other added span that is returned.
     """
     need(docs, id_col, text_col)
     named, spans = candidates(docs, id_col, text_col)
     voted = materialize(votes(spans), "pii-votes")
     base = voted.where("base").select("_t_doc", "kind", "start", "end")
     more = added(voted).withColumn("base", F.lit(False)).unionByName(base.withColumn("base", F.lit(True)))
-    # an added span goes if a base span reaches into it, or an added one from before
-    whole = Window.partitionBy("_t_doc")
-    by_start = whole.orderBy("start", F.col("base").desc(), "end").rowsBetween(Window.unboundedPreceding, -1)
-    by_end = whole.orderBy(F.col("start").desc(), F.col("base"), F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.coalesce(F.max("end").over(by_start), F.lit(-1))
-    starts = F.min(F.when(F.col("base"), F.col("start"))).over(by_end)
-    clear = more.withColumn("_t_l", ends).withColumn("_t_r", starts).where(
-        F.col("base") | ((F.col("_t_l") <= F.col("start")) & (F.col("_t_r").isNull() | (F.col("_t_r") >= F.col("end"))))
-    )
+    clear = settled(materialize(more, "pii-spans"))
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     per_doc = clear.groupBy("_t_doc").agg(
         F.sort_array(F.collect_list(F.struct(number.alias("k"), "start", "end", "base"))).alias("found")
