@@ -66,16 +66,36 @@ def strings_of(raws: list[bytes], order: int = ORDER) -> np.ndarray:
     return out
 
 
+def string_runs(raws: list[bytes], order: int = ORDER, at_once: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The strings of runs of texts, or of parts of one long text: the number of
+    the run's first text, the strings, and where each text's strings start."""
+    at, size = 0, at_once or AT_ONCE
+    while at < len(raws):
+        n, to = len(raws[at]) + 1, at + 1
+        while to < len(raws) and n + len(raws[to]) + 1 <= size:
+            n, to = n + len(raws[to]) + 1, to + 1
+        if n <= size:
+            yield at, strings_of(raws[at:to], order), np.cumsum([0] + [len(r) + 1 for r in raws[at : to - 1]])
+        else:
+            for k in range(0, n, size):  # the symbols k to k + size, with those before as their context
+                low = max(0, k - order)
+                part = strings_of([raws[at][low : k + size]], order)
+                # what has a whole context, and the end of the text only in its last part
+                yield at, part[(k - low) : (None if k + size >= n else -1)], np.zeros(1, np.int64)
+        at = to
+
+
 class Tree:
-    """The frozen statistics of one language: for each order the packed strings
-    (context and symbol, ascending) with the logarithm of their count, and the
-    contexts with the logarithms of what they are divided by."""
+    """The frozen statistics of one language: for each order from ``lowest`` on
+    the packed strings (context and symbol, ascending) with the logarithm of
+    their count, and the contexts with the logarithms of what they are divided
+    by."""
 
-    def __init__(self, strings: np.ndarray, counts: np.ndarray, order: int = ORDER):
-        self.order = order
+    def __init__(self, strings: np.ndarray, counts: np.ndarray, order: int = ORDER, lowest: int = 0):
+        self.order, self.lowest = order, lowest
         self.strings, self.log_count, self.contexts, self.own, self.escape, self.less, self.less_escape = ([None] * (order + 1) for _ in range(7))
         total, kinds, count = [None] * (order + 1), [None] * (order + 1), [None] * (order + 1)
-        for k in range(order, -1, -1):
+        for k in range(order, lowest - 1, -1):
             key = strings & ((1 << BITS * (k + 1)) - 1)
             self.strings[k], at = np.unique(key, return_inverse=True)
             count[k] = np.bincount(at, counts, len(self.strings[k]))
@@ -84,12 +104,12 @@ class Tree:
             n = len(self.contexts[k])
             total[k], kinds[k] = np.bincount(at, count[k], n), np.bincount(at, minlength=n).astype(float)
         with np.errstate(divide="ignore"):
-            for k in range(order + 1):
+            for k in range(lowest, order + 1):
                 # the empty context of an alphabet that is seen whole has nothing to escape to
                 full = k == 0 and kinds[0] == END + 1
                 whole = total[k] + (0 if full else kinds[k])
                 self.own[k], self.escape[k] = np.log2(whole), np.log2(kinds[k] / whole)
-                if not k:
+                if k == lowest:
                     continue
                 # after an escape from a context its parent answers without the context's symbols
                 parent = np.searchsorted(self.contexts[k - 1], self.contexts[k] & ((1 << BITS * (k - 1)) - 1))
@@ -101,35 +121,44 @@ class Tree:
                 self.less[k] = np.log2(np.where(whole > 0, whole, 1))
                 # nothing left: the next one is asked at no cost
                 self.less_escape[k] = np.where(more > 0, np.log2(np.where(more > 0, more, 1)) - self.less[k], 0.0)
-        self.unseen = float(np.log2(max(END + 1 - (kinds[0][0] if len(kinds[0]) else 0), 1)))
+        if not lowest:
+            self.unseen = float(np.log2(max(END + 1 - (kinds[0][0] if len(kinds[0]) else 0), 1)))
 
     def bits(self, strings: np.ndarray) -> np.ndarray:
         """Code length of the last symbol of each string in the context of the
         symbols before it."""
+        out, open_, _ = self.walk(strings)
+        out[open_] += self.unseen
+        return out
+
+    def walk(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The code lengths as far as the orders from ``lowest`` on code the
+        symbols; which strings they do not code, and for these the context of
+        the lowest order that escaped (-1: it is not known)."""
         out = np.zeros(len(strings))
         open_ = np.arange(len(strings))  # not coded yet
         child = np.full(len(strings), -1)  # the context that escaped, among those of the order above
-        for k in range(self.order, -1, -1):
+        for k in range(self.order, self.lowest - 1, -1):
+            if not len(open_):
+                break
+            if not len(self.contexts[k]):
+                continue
             s = strings[open_]
-            if len(self.contexts[k]):
-                context = s >> BITS & ((1 << BITS * k) - 1)
-                node = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
-                known = self.contexts[k][node] == context
-                symbol = s & ((1 << BITS * (k + 1)) - 1)
-                at = np.minimum(np.searchsorted(self.strings[k], symbol), len(self.strings[k]) - 1)
-                seen = self.strings[k][at] == symbol  # then its context is known as well
-                first = child < 0
+            context = s >> BITS & ((1 << BITS * k) - 1)
+            node = np.minimum(np.searchsorted(self.contexts[k], context), len(self.contexts[k]) - 1)
+            known = self.contexts[k][node] == context
+            symbol = s & ((1 << BITS * (k + 1)) - 1)
+            at = np.minimum(np.searchsorted(self.strings[k], symbol), len(self.strings[k]) - 1)
+            seen = self.strings[k][at] == symbol  # then its context is known as well
+            first = child < 0
+            whole, escape = self.own[k][node], self.escape[k][node]
+            if k < self.order:
                 up = np.where(first, 0, child)
-                whole, escape = self.own[k][node], self.escape[k][node]
-                if k < self.order:
-                    whole = np.where(first, whole, self.less[k + 1][up])
-                    escape = np.where(first, escape, self.less_escape[k + 1][up])
-                out[open_] += np.where(seen, whole - self.log_count[k][at], np.where(known, -escape, 0.0))
-                open_, child = open_[~seen], np.where(known, node, -1)[~seen]
-            if not len(open_):
-                return out
-        out[open_] += self.unseen
-        return out
+                whole = np.where(first, whole, self.less[k + 1][up])
+                escape = np.where(first, escape, self.less_escape[k + 1][up])
+            out[open_] += np.where(seen, whole - self.log_count[k][at], np.where(known, -escape, 0.0))
+            open_, child = open_[~seen], np.where(known, node, -1)[~seen]
+        return out, open_, child
 
 
 class Languages:
@@ -142,20 +171,10 @@ class Languages:
     def lengths(self, raws: list[bytes]) -> np.ndarray:
         """Code length in bits of each text (rows) under each language."""
         out = np.zeros((len(raws), len(self.trees)))
-        order = self.trees[0].order
-        at = 0
-        while at < len(raws):
-            to, size = at + 1, len(raws[at]) + 1
-            while to < len(raws) and size + len(raws[to]) + 1 <= AT_ONCE:
-                size, to = size + len(raws[to]) + 1, to + 1
-            strings = strings_of(raws[at:to], order)
-            starts = np.cumsum([0] + [len(r) + 1 for r in raws[at : to - 1]])
-            for k in range(0, len(strings), AT_ONCE):  # more than one only for a single long text
-                kind, place = np.unique(strings[k : k + AT_ONCE], return_inverse=True)
-                edge = starts if to - at > 1 else starts[:1]
-                for j, tree in enumerate(self.trees):
-                    out[at:to, j] += np.add.reduceat(tree.bits(kind)[place], edge)
-            at = to
+        for at, strings, starts in string_runs(raws, self.trees[0].order):
+            kind, place = np.unique(strings, return_inverse=True)
+            for j, tree in enumerate(self.trees):
+                out[at : at + len(starts), j] += np.add.reduceat(tree.bits(kind)[place], starts)
         return out
 
 

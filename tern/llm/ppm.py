@@ -1,29 +1,29 @@
 """Language-model scoring by prediction by partial matching, pretrained.
 
-The model is a trie of byte contexts of up to two bytes with the counts of the
-symbol that follows, over all training documents.  A symbol is a byte
-or the end of the text; a text begins in the context of an end.  The
+The model is a trie of byte contexts of up to ``ORDER`` bytes with the counts of
+the symbol that follows, over all training documents.  A symbol is a byte
+or the end of the text; a text begins in the context of ends.  The
 probability of a symbol in a context is its count over the context's total
 plus its number of distinct symbols; that number is the escape's share (method
 C).  After an escape the next shorter context answers, without the symbols
 that the longer one had (exclusion), and below the empty context the symbols
-never seen are equally likely.  In a fixed trie the symbols of a context have
-all been seen after its suffix too, so what an escape excludes is exactly the
-symbols of the context it came from, and the whole model becomes one table of
-log probabilities by context and symbol.
-
-Contexts end at two bytes because the counts of three neighbouring symbols are
-at most ``257**3`` numbers however large the corpus is, so the table may be
-sent to every task; a fourth symbol would have no such bound.  The counts themselves come from
-every training byte: each task sums its own, and an aggregate adds them up.
-
-Beside it stands the smoothed word model.  Its vocabulary has no bound, so it
-is never broadcast.  Each task groups the words of a block of documents by hash
-into as many buckets as the session has shuffle partitions, and packs each
-bucket's words and counts into one row.  The counts of a word meet in its
-bucket, which answers every block with the counts of the block's words; with
-them and the postings that the block left in the shared folder the block's
-documents are scored.  A word that a third of all documents have is one entry
+never seen are equally likely.
+
+Contexts of up to two bytes have a bound however large the corpus is: three
+neighbouring symbols are at most ``257**3`` numbers, and the probabilities of
+all of them are one table that is sent to every task.  Longer contexts have
+none, they grow with the corpus, so they are never broadcast.  Each task packs
+the distinct strings of ``ORDER + 1`` symbols of a block of documents, with how
+often documents to learn from have them, by a hash of the two symbols before the
+last.  So all contexts that end in these two meet in one bucket; it adds the
+counts up, has the exact statistics of the orders above one, and answers each
+block with the probability of each of its strings, going on in the table where
+order two escapes.  With the answers and its texts, which wait in the shared
+folder, the block is scored.
+
+Beside it stands the smoothed word model, which travels the same way: each
+block's words by hash, with their counts, and the block's postings for the
+answers.  A word or a string that a third of all documents have is one entry
 per block, and only packed rows are shuffled, not one per word and document.
 """
 
@@ -35,16 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tern.llm.common import need, row_key, text_of
+from tern.llm.common import materialize_in_batches, need, row_key, rows_of, text_of
+from tern.llm.language_id import BITS, Tree, string_runs
 from tern.session import materialize
 
 SYMBOLS, END = 257, 256
 CELLS = SYMBOLS**3
+ORDER = 4  # bytes of context
 FOLD, OUT = 7, 2  # documents with this remainder are not learned from
 PIECE = 1 << 19  # symbols that a task looks at at a time
 BLOCK = 1 << 23  # bytes of text whose words are grouped together
@@ -131,13 +134,10 @@ class Model:
             p2 = _answer(m, nothing, _answer(n1, m > 0, after0))
             self.table[before] = np.where(m.sum(axis=1, keepdims=True) > 0, p2, p1)
 
-    def score(self, raws: list[bytes]) -> np.ndarray:
-        """Log10 probability of each text, its end included."""
-        out, flat, k, rank = np.zeros(len(raws)), self.table.reshape(-1), self.size, self.rank
-        for at, cells, starts in cells_of(raws):
-            place = (rank[cells // SYMBOLS**2] * k + rank[cells // SYMBOLS % SYMBOLS]) * k + rank[cells % SYMBOLS]
-            out[at : at + len(starts)] += np.add.reduceat(flat[place], starts, dtype=np.float64)
-        return out
+    def logs(self, strings: np.ndarray) -> np.ndarray:
+        """Log10 probability of the last symbol of packed strings after the two before it."""
+        symbol = lambda back: self.rank[strings >> BITS * back & ((1 << BITS) - 1)]
+        return self.table.reshape(-1)[(symbol(2) * self.size + symbol(1)) * self.size + symbol(0)]
 
 
 def _answer(n: np.ndarray, gone: np.ndarray, after: np.ndarray, last: bool = False) -> np.ndarray:
@@ -181,16 +181,75 @@ def _unpack(blob: bytes, *kinds) -> list:
     return out
 
 
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Numbers of one kind each, their bytes of equal weight together."""
+    parts = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts), 3)
+
+
+def _spread(blob: bytes, *kinds) -> list[np.ndarray]:
+    raw, out = zstandard.decompress(blob), []
+    at = 8 * len(kinds)
+    for size, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds):
+        part = np.frombuffer(raw[at : at + size], np.uint8).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(part.T).view(kind).reshape(-1))
+        at += size
+    return out
+
+
+def strings_in(raws: list[bytes], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings of the texts, ascending, and how often those that
+    are learned from have them."""
+    parts = []
+    for at, strings, starts in string_runs(raws, ORDER):
+        kinds, place = np.unique(strings, return_inverse=True)
+        sizes = np.diff(np.append(starts, len(strings)))
+        parts.append((kinds, np.bincount(place, np.repeat(learn[at : at + len(starts)], sizes).astype(float), len(kinds))))
+    every, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return every, np.bincount(place, np.concatenate([n for _, n in parts]), len(every)).astype(np.int64)
+
+
+def bucket_of(strings: np.ndarray, buckets: int) -> np.ndarray:
+    """By the two symbols before the last one."""
+    return (strings >> BITS & ((1 << 2 * BITS) - 1)) * 40503 % 1000003 % buckets
+
+
+def string_logs(model: Broadcast):
+    """The answer of a bucket to each block: log10 of the probability of each of
+    the block's strings."""
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        asked = []
+        for blob in table["words"]:
+            steps, n = _spread(blob.as_py(), np.int64, np.int64)
+            asked.append((np.cumsum(steps), n))
+        every, place = np.unique(np.concatenate([s for s, _ in asked]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([n for _, n in asked]).astype(float), len(every))
+        tree = Tree(every[counts > 0], counts[counts > 0], ORDER, 2)
+        bits, open_, node = tree.walk(every)
+        logs = -bits * np.log10(2)
+        # the table begins with order two; where that has escaped already, only what follows is taken
+        behind = np.where(node >= 0, tree.escape[2][np.maximum(node, 0)], 0.0) if len(tree.contexts[2]) else 0.0
+        logs[open_] += model.value.logs(every[open_]) - behind * np.log10(2)
+        ends = np.cumsum([len(s) for s, _ in asked])
+        data = [_squeeze(logs[place[e - len(s) : e]].astype(np.float32)) for e, (s, _) in zip(ends.tolist(), asked)]
+        return pa.table([table["block"], table["bucket"], pa.array(data, pa.binary()), pa.nulls(len(data), pa.int64()), pa.nulls(len(data), pa.int64())], _COUNTS)
+
+    return answer
+
+
 BLOCKS = """block long, bucket int, words binary, posts binary,
-    ids array<{id}>, keys array<long>, outs array<boolean>, tokens array<long>, scores array<double>"""
+    ids array<{id}>, keys array<long>, outs array<boolean>, tokens array<long>"""
 
 
-def blocks(docs: DataFrame, model: Broadcast, buckets: int) -> DataFrame:
+def blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """Documents (``id``, ``key``, ``t``, ``out``) as blocks of at least
-    ``BLOCK`` bytes of one task.  Bucket -1 of a block has the documents and
-    what needs no word counts; bucket k has ``words`` (those of one hash range,
+    ``BLOCK`` bytes of one task.  Bucket -1 of a block has the documents with
+    their texts (``posts``); bucket k has ``words`` (those of one hash range,
     and how often each is in documents to learn from) and ``posts`` (for each
-    word its number of documents, then those and how often they have it)."""
+    word its number of documents, then those and how often they have it);
+    bucket ``buckets + k`` has strings in ``words``, as steps from one to the
+    next, and how often each is in documents to learn from."""
     id_type = docs.schema["id"].dataType.simpleString()
     schema = BLOCKS.format(id=id_type)
     arrow = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
@@ -198,18 +257,17 @@ def blocks(docs: DataFrame, model: Broadcast, buckets: int) -> DataFrame:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32  # names this task's blocks
         held, size, n = [], 0, 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(row)
-                size += len(row[2])
-                if size >= BLOCK:
-                    yield from block(first + n, held)
-                    held, size, n = [], 0, n + 1
+        for row in rows_of(batches):
+            held.append(row)
+            size += len(row[2])
+            if size >= BLOCK:
+                yield from block(first + n, held)
+                held, size, n = [], 0, n + 1
         if held:
             yield from block(first + n, held)
 
     def block(number: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        raws = [r[2].encode() for r in rows]
+        raws = [r[2] for r in rows]
         place: dict[bytes, int] = {}
         owner, where, times = [], [], []
         for raw in raws:
@@ -237,8 +295,16 @@ def blocks(docs: DataFrame, model: Broadcast, buckets: int) -> DataFrame:
         def row(k: int, **values) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"block": number, "bucket": k} | values], arrow)
 
+        sizes = np.array([len(r) for r in raws], np.int64)
         yield row(-1, ids=[r[0] for r in rows], keys=[r[1] for r in rows], outs=out.tolist(), tokens=tokens.tolist(),
-                  scores=model.value.score(raws).tolist())
+                  posts=_squeeze(sizes, np.frombuffer(b"".join(raws), np.uint8)))
+        strings, n = strings_in(raws, ~out)
+        where = bucket_of(strings, buckets)
+        order = np.argsort(where, kind="stable")  # ascending within a bucket
+        strings, n, edge2 = strings[order], n[order], np.searchsorted(where[order], np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edge2)).tolist():
+            a, b = edge2[k], edge2[k + 1]
+            yield row(buckets + k, words=_squeeze(np.diff(strings[a:b], prepend=0), n[a:b]))
         for k in np.flatnonzero(np.diff(edge)).tolist():
             a, b = edge[k], edge[k + 1]
             yield row(k, words=_pack(learn[by_bucket[a:b]], words=[words[i] for i in by_bucket[a:b]]),
@@ -268,7 +334,7 @@ _COUNTS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("counts", p
 def lm_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, ``_t_row`` (its row key), ``held_out``,
     ``n_tokens``, ``n_known`` (tokens with a count), ``train_tokens``,
-    ``base_score`` (smoothed words) and ``score`` (the byte model), both log10.
+    ``base_score`` (smoothed words) and ``score`` (the byte contexts), both log10.
 
     Documents whose id's CRC-32 leaves the remainder ``OUT`` modulo ``FOLD`` are
     scored but not learned from; a null id is learned from.  Null and empty
@@ -281,9 +347,12 @@ def lm_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     )
     model = spark.sparkContext.broadcast(fit(rows.where(~F.col("out")), "t"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = materialize(blocks(rows, model, buckets), "lm-blocks")
-    met = packed.where("bucket >= 0").select("block", "bucket", "words").groupBy("bucket")
-    counts = materialize(met.applyInArrow(word_counts, "block long, bucket int, counts binary, tokens long, kinds long"), "lm-counts")
+    packed = materialize_in_batches(blocks(rows, buckets), "lm-blocks")
+    answer = "block long, bucket int, counts binary, tokens long, kinds long"
+    asked = packed.where("bucket >= 0").select("block", "bucket", "words")
+    words = asked.where(F.col("bucket") < buckets).groupBy("bucket").applyInArrow(word_counts, answer)
+    strings = asked.where(F.col("bucket") >= buckets).groupBy("bucket").applyInArrow(string_logs(model), answer)
+    counts = materialize(words.unionByName(strings), "lm-counts")
     n, v = counts.where("block = -1").agg(F.sum("tokens"), F.sum("kinds")).first()
     n, v = n or 0, v or 0
     out_type = pa.schema([("id", to_arrow_schema(rows.schema).field("id").type), ("key", pa.int64()), ("held_out", pa.bool_()),
@@ -294,13 +363,27 @@ def lm_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
         left = left.sort_by("bucket")
         head = left.slice(0, 1).to_pylist()[0]  # bucket -1
         size = len(head["ids"])
-        base, known = np.zeros(size), np.zeros(size)
+        base, known, score = np.zeros(size), np.zeros(size), np.zeros(size)
         for k, posts in zip(left["bucket"].to_pylist()[1:], left["posts"].to_pylist()[1:]):
+            if posts is None:
+                continue
             _, per_word, owner, times = _unpack(posts, np.int32, np.int32, np.int32)
             c = np.repeat(_unpack(reply[k], np.int64)[1], per_word)
             base += np.bincount(owner, times * np.log10((c + 1) / (n + v + 1)), size)
             known += np.bincount(owner, np.where(c > 0, times, 0), size)
-        return pa.table([head["ids"], head["keys"], head["outs"], head["tokens"], known.astype(np.int64), base, head["scores"]], out_type)
+        sizes, text = _spread(head["posts"], np.int64, np.uint8)
+        ends = np.cumsum(sizes).tolist()
+        text = text.tobytes()
+        raws = [text[e - s : e] for e, s in zip(ends, sizes.tolist())]
+        # the answers are in the order of the buckets, and in each of its strings
+        logs = np.concatenate([np.zeros(0, np.float32), *(_spread(reply[k], np.float32)[0] for k in sorted(reply) if k >= buckets)])
+        every = strings_in(raws, np.zeros(size, bool))[0]
+        by_string = np.empty(len(every))
+        by_string[np.argsort(bucket_of(every, buckets), kind="stable")] = logs
+        for at, strings, starts in string_runs(raws, ORDER):
+            kinds, place = np.unique(strings, return_inverse=True)
+            score[at : at + len(starts)] += np.add.reduceat(by_string[np.searchsorted(every, kinds)][place], starts)
+        return pa.table([head["ids"], head["keys"], head["outs"], head["tokens"], known.astype(np.int64), base, score], out_type)
 
     sides = packed.drop("words").groupBy("block").cogroup(counts.where("block >= 0").select("block", "bucket", "counts").groupBy("block"))
     id_type = rows.schema["id"].dataType.simpleString()

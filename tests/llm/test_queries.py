@@ -277,19 +277,19 @@ def test_suffix_sort_orders_strings():
     assert all(a < b for a, b, x, y in zip(order, order[1:], got, got[1:]) if x == y)
 
 
-def naive_ppm(train, test):
+def naive_ppm(train, test, order=4):
     counts: dict = {}
-    symbols = lambda b: [256, 256, *b, 256]
+    symbols = lambda b: [256] * order + [*b, 256]
     for b in train:
         s = symbols(b)
-        for i in range(2, len(s)):
-            for o in range(3):
+        for i in range(order, len(s)):
+            for o in range(order + 1):
                 counts.setdefault(tuple(s[i - o : i]), Counter())[s[i]] += 1
 
     def log(context, x):
         gone, out = set(), 0.0
-        for o in (2, 1, 0):
-            c = counts.get(tuple(context[2 - o :]), {})
+        for o in range(order, -1, -1):
+            c = counts.get(tuple(context[order - o :]), {})
             left = {k: v for k, v in c.items() if k not in gone}
             if not left:
                 continue
@@ -300,7 +300,7 @@ def naive_ppm(train, test):
             out, gone = out + math.log10(kinds / whole), gone | set(c)
         return out - math.log10(257 - len(counts.get((), ())))
 
-    return [sum(log(s[i - 2 : i], s[i]) for i in range(2, len(s))) for s in map(symbols, test)]
+    return [sum(log(s[i - order : i], s[i]) for i in range(order, len(s))) for s in map(symbols, test)]
 
 
 def test_lm(spark):
@@ -309,7 +309,7 @@ def test_lm(spark):
     tokens = {d: [*t.encode().lower().split(), b""] for d, t in of.items()}
     c = Counter(w for d, ws in tokens.items() if not out[d] for w in ws)
     n, v = sum(c.values()), len(c)
-    some = sorted(of)[:25]
+    some = [*sorted(of)[:20], *[d for d in sorted(of) if out[d]][:10]]
     scores = dict(zip(some, naive_ppm([of[d].encode() for d in of if not out[d]], [of[d].encode() for d in some])))
     for d, r in got.items():
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[d], len(tokens[d]), sum(c[w] > 0 for w in tokens[d]), n)
@@ -318,6 +318,31 @@ def test_lm(spark):
             assert math.isclose(r.score, scores[d], rel_tol=1e-5)
 
 
+def test_lm_learns_longer_contexts(spark):
+    """Held-out bits a byte: longer contexts must not cost code length."""
+    of = texts("/root/testdata/sf0.01")
+    train = [t.encode() for d, t in of.items() if zlib.crc32(str(d).encode()) % 7 != 2][:300]
+    test = [t.encode() for d, t in of.items() if zlib.crc32(str(d).encode()) % 7 == 2][:12]
+    bits = [-sum(naive_ppm(train, test, k)) / math.log10(2) / sum(len(t) + 1 for t in test) for k in (2, ppm.ORDER)]
+    assert bits[1] < 0.95 * bits[0], bits
+
+
+def test_parts_of_long_texts_are_scored_alike(spark, monkeypatch):
+    from tern.llm import language_id
+
+    r = np.random.default_rng(6)
+    docs = [(i, " ".join("".join(map(chr, r.integers(97, 103, 4))) for _ in range(n))) for i, n in enumerate((5, 400, 30, 0, 900, 2))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    whole = {x.doc_id: x.score for x in ppm.lm_scores(spark, docs).collect()}
+    plain = dict(zip(sorted(whole), naive_ppm([x.text.encode() for x in docs.collect() if zlib.crc32(str(x.doc_id).encode()) % 7 != 2],
+                                              [x.text.encode() for x in docs.orderBy("doc_id").collect()])))
+    assert all(math.isclose(whole[d], plain[d], rel_tol=1e-5) for d in whole)
+    raws = [x.text.encode() for x in docs.collect()]
+    one = list(language_id.string_runs(raws, 4))
+    parts = list(language_id.string_runs(raws, 4, 50))
+    assert len(one) == 1 and len(parts) > 40 and np.array_equal(np.concatenate([s for _, s, _ in parts]), one[0][1])
+
+
 def test_ppm_probabilities_add_up():
     r = np.random.default_rng(4)
     train = [bytes(r.integers(97, 103, 200, dtype=np.uint8)) for _ in range(5)]
