@@ -6,15 +6,16 @@ differ, both nodes are expanded together, and the pair is dropped as soon as
 it differs in more than ``budget`` bits.  Pairs that reach the leaves are the
 links; no bucket is capped and no pair within the budget is missed.
 
-The walk is dealt out to Spark in two parts.  The first ``TOP`` bits are a
-table of at most ``2**TOP`` nodes with their counts; node pairs within the
-budget are expanded there, four bits at a time, until a pair is small enough
-for a task (``PAIR`` leaves) or the bits of the table are used up.  Each
+The walk is dealt out to Spark in two parts.  The top of the trie is a table of
+node pairs with their counts of leaves; a pair is expanded there, ``STEP`` bits
+at a time, by the bit patterns that the rest of its budget allows, until it is
+small enough for a task (``PAIR`` leaves) or ``DEEPEST`` bits are used up.  Each
 surviving pair is one group of the second part: its leaves meet in one task,
 which walks on below with arrays of node pairs.  A pair whose leaves are still
 more than a task should hold is split into blocks of leaves, and every block of
 one side is walked against every block of the other, so nothing is lost and no
-task holds a whole hot prefix.
+task holds a whole hot prefix.  Node pairs and blocks are tables throughout; the
+driver learns only whether a level has pairs left to expand.
 
 A task does not return its links but a star for each group of leaves that they
 connect, so a dense group costs its size and not its square.  The stars are
@@ -31,14 +32,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tern.llm.common import keep_rows, materialize_in_batches, need, parts_of, row_key, text_of
 from tern.session import materialize
 
 SHINGLE, BUDGET, SEED = 3, 2, 42
-TOP, STEP = 16, 4
+STEP, DEEPEST = 4, 40  # bits by which a pair is expanded, and bits that the table may use
 PAIR = 1 << 16  # leaves of a node pair that one task walks
 FRONTIER = 1 << 20  # node pairs that a task holds at a time
 LANES = np.uint64(0x0101010101010101)
@@ -178,60 +179,70 @@ def star_of_pair(key: tuple, table: pa.Table, budget: int) -> pa.Table:
 # ------------------------------------------------------------ top of the trie
 
 
-def node_pairs(counts: np.ndarray, budget: int, pair: int = PAIR) -> list[tuple[int, int, int]]:
-    """Node pairs (bits, left, right), left <= right, that tasks walk.
-
-    ``counts`` has the leaves under each of the ``2**TOP`` prefixes.  A pair is
-    expanded by ``STEP`` bits, the root always, while its leaves are more than
-    ``pair`` and the table has bits left.
-    """
-    out, frontier = [], [(0, 0, 0, 0)]
-    per = {bits: counts.reshape(1 << bits, -1).sum(axis=1) for bits in range(0, TOP + 1, STEP)}
-    low = np.arange(1 << STEP)
-    while frontier:
-        bits, left, right, err = frontier.pop()
-        size = per[bits][left] + (per[bits][right] if right != left else 0)
-        if bits and size <= pair or bits == TOP:
-            out.append((bits, left, right))
-            continue
-        nl = (left << STEP) + low[per[bits + STEP].reshape(-1, 1 << STEP)[left] > 0]
-        nr = (right << STEP) + low[per[bits + STEP].reshape(-1, 1 << STEP)[right] > 0]
-        differ = np.bitwise_count((nl[:, None] ^ nr[None, :]) & ((1 << STEP) - 1)).astype(int) + err
-        for i, j in zip(*np.nonzero(differ <= budget)):
-            if left != right or nl[i] <= nr[j]:
-                frontier.append((bits + STEP, int(nl[i]), int(nr[j]), int(differ[i, j])))
-    return out
+def _prefix(bits) -> Column:
+    return F.shiftrightunsigned("_t_fp", 64 - bits)
+
+
+def node_pairs(leaves: DataFrame, budget: int, pair: int = PAIR) -> DataFrame:
+    """Node pairs that tasks walk: ``bits``, ``left`` <= ``right`` (prefixes of
+    so many bits), ``n_left`` and ``n_right`` (their leaves)."""
+    masks = [F.lit(m) for m in range(1 << STEP)]
+    cost = lambda m: F.bit_count(m).cast("int")
+
+    def nodes(bits: int) -> DataFrame:
+        return leaves.groupBy(_prefix(bits).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+
+    def met(pairs: DataFrame, bits: int, name: str) -> DataFrame:
+        """The pairs (left, right, err) of which both nodes exist."""
+        known = materialize(nodes(bits), "simhash-nodes")
+        both = pairs.join(known.select(F.col("node").alias("left"), F.col("n").alias("n_left")), "left")
+        both = both.join(known.select(F.col("node").alias("right"), F.col("n").alias("n_right")), "right")
+        return materialize(both.where((F.col("err") <= budget) & (F.col("left") <= F.col("right"))).withColumn("bits", F.lit(bits)), name)
+
+    first = nodes(STEP).select(F.col("node").alias("left"), F.explode(F.array(*masks)).alias("m"))
+    first = first.select("left", F.col("left").bitwiseXOR(F.col("m").cast("long")).alias("right"), cost(F.col("m")).alias("err"))
+    bits, pairs = STEP, met(first, STEP, "simhash-pairs")
+    size = F.col("n_left") + F.when(F.col("left") != F.col("right"), F.col("n_right")).otherwise(0)
+    columns = ["bits", "left", "right", "n_left", "n_right"]
+    done = pairs.where(size <= pair).select(*columns)
+    big = pairs.where(size > pair)
+    while bits < DEEPEST and not big.isEmpty():
+        child = big.select("left", "right", "err", F.explode(F.array(*masks)).alias("i")).select("*", F.explode(F.array(*masks)).alias("m"))
+        child = child.where(F.col("err") + cost(F.col("m")) <= budget)
+        down = lambda c, low: F.shiftleft(F.col(c), STEP).bitwiseOR(low.cast("long")).alias(c)
+        child = child.select(
+            down("left", F.col("i")), down("right", F.col("i").bitwiseXOR(F.col("m"))), (F.col("err") + cost(F.col("m"))).alias("err")
+        )
+        bits += STEP
+        pairs = met(child, bits, "simhash-pairs")
+        done = done.unionByName(pairs.where(size <= pair).select(*columns))
+        big = pairs.where(size > pair)
+    return done.unionByName(big.select(*columns))
 
 
 def links(spark: SparkSession, leaves: DataFrame, budget: int = BUDGET, pair: int = PAIR) -> DataFrame:
     """Stars (``u``, ``v``, both fingerprints) that connect every two of the
     distinct fingerprints in ``leaves`` (``_t_fp``) within ``budget`` bits."""
-    prefix = lambda bits: F.shiftrightunsigned("_t_fp", 64 - bits).cast("int")
-    counts = np.zeros(1 << TOP, np.int64)
-    for r in leaves.groupBy(prefix(TOP).alias("p")).count().collect():  # at most 2**TOP rows
-        counts[r["p"]] = r["count"]
-    work, number = [], 0
-    per = {bits: counts.reshape(1 << bits, -1).sum(axis=1) for bits in range(0, TOP + 1, STEP)}
-    for bits, left, right in node_pairs(counts, budget, pair):
-        blocks = lambda node: -(-int(per[bits][node]) // pair)  # noqa: B023, E731
-        nl, nr = blocks(left), blocks(right)
-        for x in range(nl):
-            for y in range(x if left == right else 0, nr):
-                same, number = left == right and x == y, number + 1
-                work.append((number, bits, left, x, nl, 2 if same else 0))
-                if not same:
-                    work.append((number, bits, right, y, nr, 1))
-    if not work:
-        return spark.createDataFrame([], "u long, v long")
-    # the plan grows with the node pairs of the top, not with the documents
-    plan = spark.createDataFrame(work, "_t_pair long, _t_bits int, _t_node int, _t_block int, _t_blocks int, side int")
+    pairs = node_pairs(leaves, budget, pair)
+    blocks = lambda c: F.ceil(F.col(c) / pair).cast("int")
+    own = F.col("left") == F.col("right")
+    work = pairs.select("bits", "left", "right", blocks("n_left").alias("nl"), blocks("n_right").alias("nr"))
+    work = work.select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("x"))
+    work = work.select("*", F.explode(F.sequence(F.when(own, F.col("x")).otherwise(0), F.col("nr") - 1)).alias("y"))
+    work = materialize(work.withColumn("_t_pair", F.monotonically_increasing_id()), "simhash-work")
+    same = own & (F.col("x") == F.col("y"))
+    side = lambda node, block, of, k: F.struct(
+        F.col(node).alias("node"), F.col(block).alias("block"), F.col(of).alias("blocks"), k.alias("side")
+    )
+    left, right = side("left", "x", "nl", F.when(same, 2).otherwise(0)), side("right", "y", "nr", F.lit(1))
+    plan = work.select("_t_pair", "bits", F.explode(F.when(same, F.array(left)).otherwise(F.array(left, right))).alias("s")).select("_t_pair", "bits", "s.*")
     sent = None
-    for bits in sorted({w[1] for w in work}):
-        part = leaves.select("_t_fp", (prefix(bits) if bits else F.lit(0)).alias("_t_node")).join(
-            plan.where(F.col("_t_bits") == bits), "_t_node"
-        )
-        part = part.where(F.pmod(F.xxhash64("_t_fp"), F.col("_t_blocks")) == F.col("_t_block"))
-        part = part.select("_t_pair", F.col("_t_fp").alias("fp"), "side")
+    for bits in range(STEP, DEEPEST + 1, STEP):
+        mine = plan.where(F.col("bits") == bits).drop("bits")
+        if bits > STEP and mine.isEmpty():
+            continue
+        part = leaves.select("_t_fp", _prefix(bits).alias("node")).join(mine, "node")
+        part = part.where(F.pmod(F.xxhash64("_t_fp"), F.col("blocks")) == F.col("block")).select("_t_pair", F.col("_t_fp").alias("fp"), "side")
         sent = part if sent is None else sent.unionByName(part)
     return sent.groupBy("_t_pair").applyInArrow(lambda key, t: star_of_pair(key, t, budget), "u long, v long")
 
