@@ -7,9 +7,9 @@ are averaged and maximised over the chunks of the document, and a logistic
 output combines them into one probability.
 
 Training reads a bounded sample: at most ``per_class`` labelled documents of
-each class, in the order of a hash of their id, and of a longer text
-``PIECES`` pieces of ``PIECE`` characters spread evenly over it.  The weights
-of the two classes restore their share among all labels.  Scoring reads every
+each class, in the order of a hash of their id, whole texts; those of more than
+``longest`` bytes are not learned from.  The weights of the two classes restore
+their share among all labels.  Scoring reads every
 byte of every document, in blocks of bounded memory.
 
 The filter bank is applied through tables of byte pairs (the answers of two
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tern.llm.common import need, packed, parts_of, text_of, unpacked
 
 FILTERS, WIDTH, BLOCK = 8, 4, 128
-PER_CLASS, PIECES, PIECE = 1200, 16, 1024
+PER_CLASS, LONGEST = 1200, 1 << 17  # rows of a class, and bytes of a row, that training reads
 STEPS, BATCH, RATE, SEED = 900, 32, 0.02, 7
 AT_ONCE = 1 << 18  # bytes whose filter answers are held at a time
 
@@ -163,24 +163,15 @@ def train(raws: list[bytes], labels: np.ndarray, weights: np.ndarray, seed: int
     return net
 
 
-def _spread(text: Column) -> Column:
-    """The text, or evenly spread pieces of a long one (training only)."""
-    n = F.length(text)
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.lit(PIECES - 1)),
-        lambda i: F.substr(text, (F.floor(i * (n - PIECE) / (PIECES - 1)) + 1).cast("int"), F.lit(PIECE)),
-    )
-    return F.when(n <= PIECES * PIECE, text).otherwise(F.array_join(pieces, ""))
-
-
 def held_out(id_col: str) -> Column:
     """Rows whose labels are never learned."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        per_class: int = PER_CLASS) -> Network | float:
-    """Train on at most ``per_class`` labelled rows per class.
+        per_class: int = PER_CLASS, longest: int = LONGEST) -> Network | float:
+    """Train on at most ``per_class`` labelled rows per class, none of more than
+    ``longest`` bytes, so at most the product of both reaches the driver.
 
     Rows without a label, with a label other than 0 and 1, or held out are not
     learned.  If fewer than two documents of either class are left, the answer
@@ -195,9 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         order = [F.xxhash64("_t_id"), F.col("_t_id")]
         chosen = usable.where(F.col("_t_y") == y).orderBy(*order).limit(per_class)  # bounds the broadcast
-        found = docs.select(F.col(id_col).alias("_t_id"), _spread(text_of(text_col)).alias("_t_text")).join(
-            F.broadcast(chosen), "_t_id"
-        )
+        found = docs.select(F.col(id_col).alias("_t_id"), text_of(text_col).alias("_t_text")).join(F.broadcast(chosen), "_t_id")
+        found = found.where(F.octet_length("_t_text") <= longest)
         rows += found.orderBy(*order, "_t_text").limit(per_class).select("_t_text", "_t_y").collect()
     y = np.array([r["_t_y"] for r in rows], np.float32)
     if min((y == 0).sum(), (y == 1).sum()) < 2:
