@@ -105,7 +105,7 @@ def with_arc_frame(df, a: str = "a", b: str = "b", prefix: str = "") -> "DataFra
     return df.drop(*vec_cols(f"{prefix}_n"), f"{prefix}_nn")
 
 
-def point_arc_within(p: V, a: V, b: V, nh: V, ta: V, tb: V, meters: float) -> Column:
+def point_arc_within(p: V, a: V, b: V, nh: V, ta: V, tb: V, meters: float | Column) -> Column:
     """Whether point p lies within ``meters`` of the arc a->b, given the arc's
     frame (``with_arc_frame``), without inverse trigonometry.
 
@@ -117,8 +117,10 @@ def point_arc_within(p: V, a: V, b: V, nh: V, ta: V, tb: V, meters: float) -> Co
     Cheaper per candidate pair and much less generated code.
     """
     delta = meters / EARTH_RADIUS_M
-    sin_d = math.sin(delta)
-    chord2 = (2 * math.sin(delta / 2)) ** 2
+    if isinstance(meters, Column):  # the row's own radius, below a quarter of the circle
+        sin_d, chord2 = F.sin(delta), F.pow(2 * F.sin(delta / 2), 2)
+    else:
+        sin_d, chord2 = math.sin(delta), (2 * math.sin(delta / 2)) ** 2
     pa, pb = p.sub(a), p.sub(b)
     inside = (ta.dot(p) >= 0) & (tb.dot(p) >= 0) & ((nh.x != 0) | (nh.y != 0) | (nh.z != 0))
     return (inside & (F.abs(nh.dot(p)) <= sin_d)) | (pa.dot(pa) <= chord2) | (pb.dot(pb) <= chord2)

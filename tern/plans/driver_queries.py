@@ -294,6 +294,15 @@ def geo_dwithin_20mi(spark, sf_dir):
     return _subset(spark, sf_dir, "miles", "speed_limit", meters=highways.TWENTY_MILES_M).select(*_SUB_COLS)
 
 
+@register("geo_dwithin_radii", oracle=O.GEO_DWITHIN_RADII)
+def geo_dwithin_radii(spark, sf_dir):
+    """Segments within each city's own radius, 10 m to 1,000 km."""
+    kinds = F.pmod(F.length("city_name") + F.floor(F.col("latitude") * 1000).cast("long"), F.lit(6)).cast("int")
+    cities = _cities(spark, sf_dir).withColumn("radius", F.element_at(F.array(*[F.lit(r) for r in O.RADII]), kinds + 1))
+    hw = _highways(spark, sf_dir)
+    return spatial_join.dwithin_radius_pairs(cities, ["city_name", "latitude", "longitude", "radius"], "radius", hw, ["fid"])
+
+
 @register("geo_intersects", oracle=O.GEO_INTERSECTS)
 def geo_intersects(spark, sf_dir):
     hw = _highways(spark, sf_dir)

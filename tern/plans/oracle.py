@@ -274,6 +274,17 @@ FROM near n JOIN feat f ON n.fid = f.fid
 GEO_DWITHIN_20MI = GEO_DWITHIN.replace("16093.4", "32186.9")
 
 
+# Radii in meters; a city's is chosen by its name's length and its latitude.
+RADII = (10.0, 250.0, 16093.4, 32186.9, 250000.0, 1000000.0)
+
+GEO_DWITHIN_RADII = f"""
+WITH {_LINES}, {_WEATHER},
+circles AS (SELECT *, list_extract([{', '.join(f'{r}::DOUBLE' for r in RADII)}],
+                                   (length(city_name) + CAST(floor(latitude * 1000) AS BIGINT)) % 6 + 1) AS radius FROM cities)
+{_near('circles', 'city_name, latitude, longitude, radius', 'p.radius')}
+"""
+
+
 def _intersect_pairs_sql():
     tol = 1e-3
     names = {"a": ("ax", "ay", "az"), "b": ("bx", "b_y", "bz")}
