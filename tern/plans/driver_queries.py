@@ -6,6 +6,7 @@ full, so its work grows with the scale factor.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from tern.functions import dialect
 from tern.operators import tpch
 from tern.plans.registry import register
 from tern.session import materialize, scratch_path
-from tern.sources import files, geojson
+from tern.sources import datagen, files, geojson
 from tern.sources.tables import table
 
 # --------------------------------------------------------------------------
@@ -439,6 +440,56 @@ def update_rows(spark, sf_dir):
     return catalog.updated(dev, {"c_acctbal": F.col("c_acctbal") * 12})
 
 
+@register(
+    "clone_update_swap",
+    oracle="""
+SELECT 'production' AS copy, c_custkey, c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal * 12 ELSE c_acctbal END AS c_acctbal FROM customer
+UNION ALL SELECT 'development', c_custkey, c_name, c_acctbal FROM customer
+""",
+)
+def clone_update_swap(spark, sf_dir):
+    """The workload as tables: create, clone, update the clone, swap both, read
+    both, drop (S9, S10, S14-S18)."""
+    db = f"tern_{uuid.uuid4().hex}"
+    catalog.create_database(spark, db)
+    prod, dev = f"{db}.customers", f"{db}.customers_dev"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    catalog.create_table_as(rows, prod, order_by=["c_custkey"])
+    catalog.clone_table(spark, prod, dev)
+    catalog.update_table(spark, dev, {"c_acctbal": F.col("c_acctbal") * 12}, where=F.col("c_mktsegment") == "BUILDING")
+    catalog.swap_tables(spark, dev, prod)
+    both = [spark.table(t).select(F.lit(k).alias("copy"), "c_custkey", "c_name", "c_acctbal") for k, t in (("production", prod), ("development", dev))]
+    out = materialize(both[0].unionByName(both[1]), "copies")
+    for t in (prod, dev):
+        catalog.drop_table(spark, t)
+    spark.sql(f"DROP DATABASE {db}")
+    return out
+
+
+@register("landing_listing", oracle="SELECT CAST(sum(strlen(p_name) + 1) AS BIGINT) AS bytes FROM part")
+def landing_listing(spark, sf_dir):
+    """Sizes of landed files from their listing, contents unread."""
+    landing = scratch_path(spark, "listing")
+    table(spark, sf_dir, "part").select("p_name").write.text(landing)
+    return files.list_files(spark, landing, "part-*").agg(F.sum("size").alias("bytes"))
+
+
+@register(
+    "customers_from_sql",
+    oracle="SELECT count(*) AS customers, count(*) AS as_generated, count(DISTINCT c_custkey) AS ids FROM customer",
+)
+def customers_from_sql(spark, sf_dir):
+    """The generator as a table function over the ids of a table (U4), compared
+    with the expressions that make the same rows."""
+    datagen.register_functions(spark)
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).createOrReplaceTempView("tern_ids")
+    made = spark.sql("SELECT * FROM generate_customer_data(TABLE(tern_ids) PARTITION BY (id), 42)")
+    made = materialize(made, "customers")
+    same = datagen.customers_of(spark.table("tern_ids")).withColumn("same", F.lit(True))
+    met = made.join(same, made.columns, "left")
+    return met.agg(F.count(F.lit(1)).alias("customers"), F.count("same").alias("as_generated"), F.countDistinct("cust_id").alias("ids"))
+
+
 # --------------------------------------------------------------------------
 # W3  incremental refresh = full recompute
 # --------------------------------------------------------------------------

@@ -1,5 +1,9 @@
 """Table generators of the sales workload (U1-U4), as Spark jobs.
 
+From SQL they are table functions (``register_functions``):
+``SELECT * FROM generate_customer_data(TABLE(SELECT id FROM t), 42)`` makes the
+row of each id, in the tasks that have the ids.
+
 ``spark.range(n)`` spreads the rows over all executors; every value is a
 deterministic function of (seed, row id) through ``xxhash64``, so a batch
 can be regenerated identically after a failure.  Order ids start at a given
@@ -10,7 +14,9 @@ them from the call time, which can collide).
 from __future__ import annotations
 
 import datetime as _dt
+import struct
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +59,12 @@ def _name(seed: int, salt: int) -> Column:
 def generate_customers(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """``generate_customer_data(n)`` (U1): ids 1001.., 3 tiers, 5 industries,
     5 regions."""
-    return spark.range(n).select(
+    return customers_of(spark.range(n), seed)
+
+
+def customers_of(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """The customer of each ``id``."""
+    return ids.select(
         (F.col("id") + 1001).alias("cust_id"),
         _name(seed, 10).alias("customer_name"),
         _pick(TIERS, _uniform(seed, 1)).alias("tier"),
@@ -103,3 +114,36 @@ def generate_sales(
 def write_json_batch(df: DataFrame, directory: str) -> None:
     """Land a batch of orders as JSON-lines files (what the stream picks up)."""
     df.select(F.to_json("sales_data").alias("value")).write.mode("append").text(directory)
+
+
+# ------------------------------------------------------------------ from SQL
+
+
+def _uniform_of(seed: int, number: int, salt: int) -> float:
+    """``_uniform`` of one id: Spark's XXH64 chains the columns through its seed."""
+    h = 42
+    for layout, value in (("<i", seed), ("<q", number), ("<i", salt)):
+        h = xxhash.xxh64_intdigest(struct.pack(layout, value), h)
+    return (h % (1 << 31)) / (1 << 31)
+
+
+def _option(options: list[str], u: float) -> str:
+    return options[int(u * len(options))]
+
+
+class CustomerRows:
+    """``generate_customer_data``: called with each row of its table argument
+    (``id``), so it needs no more than a row at a time, in whatever task."""
+
+    def eval(self, row, seed: int):
+        if row["id"] is None:
+            return
+        u = lambda salt: _uniform_of(seed, row["id"], salt)
+        name = " ".join(_option(words, u(10 + k)) for k, words in enumerate((_NAME_A, _NAME_B, _NAME_C)))
+        yield row["id"] + 1001, name, _option(TIERS, u(1)), _option(INDUSTRIES, u(2)), _option(REGIONS, u(3))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """The table functions for SQL (U4)."""
+    columns = "cust_id bigint, customer_name string, tier string, industry string, region string"
+    spark.udtf.register("generate_customer_data", F.udtf(CustomerRows, returnType=columns))
