@@ -4,8 +4,10 @@ A merge can only join neighbouring bytes that stand next to each other inside
 some vocabulary token.  A byte pair that occurs inside no token is therefore a
 certain cut, and the pieces between cuts can be encoded independently and put
 together again.  After the tokenizer's own pre-tokenisation, each pre-token is
-cut at such pairs; the pieces are encoded once per distinct piece (a bounded
-cache of each task) with the ranked merges of the vocabulary file.
+cut at such pairs; the pieces are encoded once per distinct pre-token (a bounded
+cache of each task) with the ranked merges of the vocabulary file.  The new
+pre-tokens of some hundred texts are merged together: in each round every piece
+makes the merge of its lowest rank, leftmost first, until none has one left.
 
 The vocabulary file (a ``tokenizers`` JSON file) is read on the driver and
 broadcast; its size is that of the vocabulary, whatever the documents are.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,8 @@ from tern.llm.common import need, parts_of, text_of
 
 # fixed value: the pre-tokenisation pattern of byte-level BPE vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 200_000  # distinct pieces a task remembers
-LONGEST = 64  # letters of a pre-token that is remembered
+CACHE = 200_000  # distinct pre-tokens a task remembers
+LONGEST = 64  # letters of a pre-token that is remembered; a longer one is merged by itself
 SHORT = 64  # bytes of a piece whose merges are searched in a list
 ID_MASK = (1 << 24) - 1
 NO_STEP = 1 << 62
@@ -72,11 +75,20 @@ class Coder:
         self.token = {i: t for t, i in self.ids.items()}
         self.special = vocabulary["special"]
         self.token |= {i: t.encode() for t, i in self.special.items()}
-        self.digits = {i: str(i) for i in self.token}
+        self.digits = {i: f"{i}," for i in self.token}
         self.inside = {p for t in self.ids for p in zip(t, t[1:])}
+        self.cut = np.ones(1 << 16, bool)
+        self.cut[[a << 8 | b for a, b in self.inside]] = False
+        self.first = np.array(self.single, np.int64)
+        # merges by their pair, as sorted numbers; the last one is no pair's
+        pairs = np.array([a << 32 | b for a, b in self.steps] + [1 << 62], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.pair_step = pairs[order], np.array([*self.steps.values(), NO_STEP], np.int64)[order]
+        two = np.arange(1 << 16)
+        self.byte_step = self._steps(self.first[two >> 8], self.first[two & 255])
         self.words = regex.compile(PATTERN)
         self.marks = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[bytes, str, bytes]] = {}
 
     def pieces(self, raw: bytes) -> list[bytes]:
         """``raw`` cut at the byte pairs that no token contains."""
@@ -124,29 +136,91 @@ class Coder:
                 heapq.heappush(heap, (steps[ids[h], made], h, ids[h], made))
         return [x for x in ids if x >= 0]
 
-    def word(self, text: str) -> list[int]:
-        """Ids of one pre-token."""
-        out: list[int] = []
-        for piece in self.pieces(text.encode()):
-            out += self.merged(piece)
-        if len(text) <= LONGEST:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[text] = out
+    def _steps(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The step that joins each pair of ids."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.pair_step[at], NO_STEP)
+
+    def merged_together(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word."""
+        sizes = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        new = np.zeros(len(data), bool)
+        new[1:] = self.cut[data[:-1] << 8 | data[1:]]  # certain cuts
+        new[starts] = True
+        ids, piece, place = self.first[data], np.cumsum(new), np.arange(len(data))
+        # the step that joins each one to the next, which is searched again only next to a merge
+        step = np.full(len(ids), NO_STEP)
+        step[:-1] = np.where(new[1:], NO_STEP, self.byte_step[data[:-1] << 8 | data[1:]])
+        done = []
+        while len(ids):
+            head = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+            best = np.repeat(np.minimum.reduceat(step, head), np.diff(np.append(head, len(ids))))
+            over = best == NO_STEP
+            done.append((place[over], ids[over]))
+            pick = np.flatnonzero((step == best) & ~over)
+            if not len(pick):
+                break
+            pick = pick[np.concatenate([[True], piece[pick[1:]] != piece[pick[:-1]]])]  # the leftmost of a piece
+            ids[pick] = step[pick] & ID_MASK
+            stay = ~over
+            stay[pick + 1] = False
+            at = (np.cumsum(stay) - 1)[pick]
+            ids, piece, place, step = ids[stay], piece[stay], place[stay], step[stay]
+            near = np.concatenate([at, at[at > 0] - 1])
+            near = near[near < len(ids) - 1]
+            step[at] = NO_STEP
+            inner = piece[near] == piece[near + 1]
+            step[near] = np.where(inner, self._steps(ids[near], ids[near + 1]), NO_STEP)
+        place, ids = (np.concatenate([d[k] for d in done]) for k in (0, 1))
+        order = np.argsort(place)
+        edge = np.searchsorted(place[order], np.append(starts, len(data))).tolist()
+        ids = ids[order].tolist()
+        return [ids[a:b] for a, b in zip(edge, edge[1:])]
+
+    def _entry(self, ids: list[int]) -> tuple[bytes, str, bytes]:
+        """Ids (32 bits each), their digits with a comma behind each, and their
+        bytes: no containers, which the collector would have to visit."""
+        digits, token = self.digits, self.token
+        return array("i", ids).tobytes(), "".join([digits[i] for i in ids]), b"".join([token[i] for i in ids])
+
+    def entries(self, texts: list[str]) -> list[list[tuple[bytes, str, bytes]]]:
+        """The entries of each text's pre-tokens (and special tokens), in order."""
+        split = []
+        for text in texts:
+            if self.marks and self.marks.search(text):
+                parts, at = [], 0
+                for m in self.marks.finditer(text):
+                    parts += [*self.words.findall(text[at : m.start()]), m]
+                    at = m.end()
+                split.append(parts + self.words.findall(text[at:]))
+            else:
+                split.append(self.words.findall(text))
+        known = self.known
+        if len(known) >= CACHE:
+            known.clear()
+        new = [w for w in set().union(*split) if w not in known]
+        rare = [w for w in new if not isinstance(w, str) or len(w) > LONGEST]
+        if rare:
+            known |= [(w, self._single(w)) for w in rare]
+            new = [w for w in new if w not in known]
+        if new:
+            known |= zip(new, map(self._entry, self.merged_together([w.encode() for w in new])))
+        out = [list(map(known.__getitem__, words)) for words in split]
+        for w in rare:
+            del known[w]
         return out
 
+    def _single(self, w) -> tuple[list[int], str, bytes]:
+        """The entry of a long pre-token or of a special token's match."""
+        if not isinstance(w, str):
+            return self._entry([self.special[w[0]]])
+        return self._entry([i for piece in self.pieces(w.encode()) for i in self.merged(piece)])
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, word = self.known, self.word
-        at = 0
-        marks = [(m.start(), m.end()) for m in self.marks.finditer(text)] if self.marks else []
-        for start, end in [*marks, (len(text), len(text))]:
-            for w in self.words.findall(text[at:start] if marks else text):
-                out += known.get(w) or word(w)
-            if end > start:
-                out.append(self.special[text[start:end]])
-            at = end
-        return out
+        return np.frombuffer(b"".join([e[0] for e in self.entries([text])[0]]), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         token = self.token
@@ -177,7 +251,7 @@ def with_tokens(spark: SparkSession, docs: DataFrame, path: str, text_col: str =
     def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = _coder(vocabulary.value)
         for part in parts_of(texts):
-            yield pd.Series([np.array(coder.encode(t), np.int32) for t in part], dtype=object)
+            yield pd.Series([np.frombuffer(b"".join([e[0] for e in t]), np.int32) for t in coder.entries(list(part))], dtype=object)
 
     return docs.withColumn("token_ids", ids_of(text_of(text_col)))
 
@@ -209,9 +283,10 @@ def digests(spark: SparkSession, docs: DataFrame, path: str, text_col: str = "te
         sha = lambda raw: hashlib.sha256(raw).hexdigest()
         for part in parts_of(texts):
             rows = []
-            for t in part:
-                ids = coder.encode(t)
-                rows.append((len(ids), sha(",".join([coder.digits[i] for i in ids]).encode()), sha(coder.decode(ids).encode())))
+            for found in coder.entries(list(part)):
+                digits = "".join([e[1] for e in found])[:-1]
+                decoded = b"".join([e[2] for e in found]).decode("utf-8", errors="replace")
+                rows.append((digits.count(",") + bool(digits), sha(digits.encode()), sha(decoded.encode())))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     made = {text_col, "n_tokens", "ids_sha256", "decoded_sha256"}
