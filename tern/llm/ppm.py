@@ -202,11 +202,12 @@ def strings_in(raws: list[bytes], learn: np.ndarray) -> tuple[np.ndarray, np.nda
     are learned from have them."""
     parts = []
     for at, strings, starts in string_runs(raws, ORDER):
-        kinds, place = np.unique(strings, return_inverse=True)
-        sizes = np.diff(np.append(starts, len(strings)))
-        parts.append((kinds, np.bincount(place, np.repeat(learn[at : at + len(starts)], sizes).astype(float), len(kinds))))
+        known = np.repeat(learn[at : at + len(starts)], np.diff(np.append(starts, len(strings))))
+        parts.append(np.unique(strings[known], return_counts=True))  # sorted by value, which is faster than by place
+        other = np.unique(strings[~known])
+        parts.append((other, np.zeros(len(other), np.int64)))
     every, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return every, np.bincount(place, np.concatenate([n for _, n in parts]), len(every)).astype(np.int64)
+    return every, np.bincount(place, np.concatenate([n for _, n in parts]).astype(float), len(every)).astype(np.int64)
 
 
 def bucket_of(strings: np.ndarray, buckets: int) -> np.ndarray:
@@ -377,11 +378,14 @@ def lm_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
         raws = [text[e - s : e] for e, s in zip(ends, sizes.tolist())]
         # the answers are in the order of the buckets, and in each of its strings
         logs = np.concatenate([np.zeros(0, np.float32), *(_spread(reply[k], np.float32)[0] for k in sorted(reply) if k >= buckets)])
-        every = strings_in(raws, np.zeros(size, bool))[0]
-        by_string = np.empty(len(every))
-        by_string[np.argsort(bucket_of(every, buckets), kind="stable")] = logs
+        runs = []
         for at, strings, starts in string_runs(raws, ORDER):
             kinds, place = np.unique(strings, return_inverse=True)
+            runs.append((at, starts, kinds, place.astype(np.int32)))
+        every = np.unique(np.concatenate([kinds for _, _, kinds, _ in runs]))
+        by_string = np.empty(len(every))
+        by_string[np.argsort(bucket_of(every, buckets), kind="stable")] = logs
+        for at, starts, kinds, place in runs:
             score[at : at + len(starts)] += np.add.reduceat(by_string[np.searchsorted(every, kinds)][place], starts)
         return pa.table([head["ids"], head["keys"], head["outs"], head["tokens"], known.astype(np.int64), base, score], out_type)
 
