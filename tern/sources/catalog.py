@@ -7,7 +7,9 @@ identity columns and no atomic swap, so:
   into place (the source is never overwritten while it is being read, and
   is dropped only after the new table has its name);
 * ``with_identity`` numbers rows 1..n from per-partition counts and offsets
-  of the rows as written once (no single-partition window);
+  of the rows as written once (no single-partition window); writers that append
+  to one table at a time of their own take ids from ranges that they reserve
+  before they write (``reserve_ids``, ``append_with_identity``);
 * ``swap_tables`` is three renames through a temporary name; it is not
   atomic for concurrent readers, and a swap interrupted half-way is
   completed by calling it again (the temporary name records the state).
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -172,6 +175,48 @@ def with_identity(df: DataFrame, col: str, start: int = 1, order_by: list[str] |
     return out.select(ident.alias(col), *df.columns)
 
 
+def reserve_ids(spark: SparkSession, ledger: str, n: int, block: int = 1_000_000) -> list[int]:
+    """Ranges of ``block`` numbers, ``n`` together at least, that nobody else has
+    or gets: the first number of each, from 0.
+
+    A range is claimed by creating its file in the folder ``ledger``, which is
+    given to one caller only where the file system creates files exclusively
+    (HDFS does; an object store may not).  A claim is never given back, so a
+    write that fails leaves a gap, as a warehouse's sequence does.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = fs_path(ledger)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    k, got = max((int(x) for x in names if x.isdigit()), default=-1) + 1, []
+    while len(got) * block < n:
+        try:
+            fs.create(fs_path(folder, str(k)), False).close()
+            got.append(k * block)
+        except Py4JJavaError as e:
+            if "exist" not in str(e.java_exception).lower():
+                raise
+        k += 1
+    return got
+
+
+def append_with_identity(spark: SparkSession, name: str, df: DataFrame, identity: str, ledger: str, start: int = 1,
+                         block: int = 1_000_000) -> None:
+    """``INSERT`` of ``df`` into a table with an ``AUTOINCREMENT`` column whose
+    writers share the ``ledger``: ids are unique whatever the order in which
+    writes reserve, run and end, ascending within a write, and have gaps.
+    ``start`` is the table's first id; all writers give the same.
+    """
+    rows = materialize(with_identity(df, "_tid_i", start=0), "append")
+    ranges = reserve_ids(spark, ledger, rows.count(), block)
+    if not ranges:
+        return
+    i, target = F.col("_tid_i"), spark.table(name)
+    number = F.element_at(F.array(*[F.lit(r).cast("long") for r in ranges]), (F.floor(i / block) + 1).cast("int")) + i % block + start
+    rows.withColumn(identity, number.cast(target.schema[identity].dataType)).select(*target.columns).write.insertInto(name)
+
+
 def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """``PRIMARY KEY`` as a check on request (S13): key values that occur
     more than once (with their count) plus, as one row with NULL keys, the

@@ -111,3 +111,32 @@ def test_identity_over_many_partitions(spark, aqe):
         assert ids.drop("rid").exceptAll(li).isEmpty()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_appending_writers_share_no_id(spark, workdir, monkeypatch):
+    """The second writer reserves and writes while the first one is between its
+    reservation and its write; ranges that are smaller than the writes."""
+    db = f"demo_{uuid.uuid4().hex[:8]}"
+    catalog.create_database(spark, db)
+    t, ledger = f"{db}.t", f"{workdir}/ids"
+    catalog.create_table(spark, t, StructType([StructField("id", IntegerType()), StructField("v", StringType())]))
+    rows = lambda name, n: spark.range(0, n, 1, 3).select(F.concat(F.lit(name), F.col("id").cast("string")).alias("v"))
+    reserve = catalog.reserve_ids
+
+    def interrupted(*args, **how):
+        got = reserve(*args, **how)
+        monkeypatch.setattr(catalog, "reserve_ids", reserve)
+        catalog.append_with_identity(spark, t, rows("second ", 25), "id", ledger, block=10)
+        return got
+
+    monkeypatch.setattr(catalog, "reserve_ids", interrupted)
+    catalog.append_with_identity(spark, t, rows("first ", 35), "id", ledger, block=10)
+    catalog.append_with_identity(spark, t, rows("none", 0), "id", ledger, block=10)
+    got = {r.v: r.id for r in spark.table(t).collect()}
+    assert len(got) == 60 and len(set(got.values())) == 60 and min(got.values()) == 1
+    assert {v for k, v in got.items() if k.startswith("first")} == set(range(1, 36))
+    assert {v for k, v in got.items() if k.startswith("second")} == set(range(41, 66))
+    # a claim that another writer makes after the listing is left to it
+    listed = reserve(spark, ledger, 10, 10)
+    assert listed == [70] and reserve(spark, ledger, 25, 10) == [80, 90, 100]
+    spark.sql(f"DROP DATABASE {db} CASCADE")
