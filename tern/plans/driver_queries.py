@@ -346,6 +346,13 @@ def hourly_trends_of_city(spark, sf_dir):
     return out.withColumn("hour_of_day", F.col("hour_of_day").cast("int"))
 
 
+@register("empty_reports", oracle=O.EMPTY_REPORTS)
+def empty_reports(spark, sf_dir):
+    """The report's stop where a city has no rows (A18), for two cities."""
+    found = {c: report.is_empty(weather.hourly_rows(_weather(spark, sf_dir), *O._HOURS, city=c)) for c in (O.CITY, O.NO_CITY)}
+    return spark.createDataFrame(list(found.items()), "city_name string, is_empty boolean")
+
+
 @register("weather_of_city", oracle=O.WEATHER_OF_CITY)
 def weather_of_city(spark, sf_dir):
     return weather.weather_summary(_weather(spark, sf_dir), *O._HOURS, city=O.CITY)

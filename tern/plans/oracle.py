@@ -424,6 +424,13 @@ WITH {_WEATHER}, {_HOURLY}
 SELECT * FROM hourly WHERE city_name = '{CITY}' AND hour_of_day BETWEEN {_HOURS[0]} AND {_HOURS[1]}
 """
 
+# Fixed value: a city that is in no table.
+NO_CITY = "nowhere"
+
+EMPTY_REPORTS = " UNION ALL ".join(
+    f"SELECT '{c}' AS city_name, NOT EXISTS (FROM ({HOURLY_ROWS.replace(CITY, c)})) AS is_empty" for c in (CITY, NO_CITY)
+)
+
 WEATHER_OF_CITY = f"""
 WITH {_WEATHER}, {_summary()}
 SELECT * FROM ws WHERE city_name = '{CITY}'
