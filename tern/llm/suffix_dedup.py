@@ -131,17 +131,25 @@ def _anchors(part: np.ndarray, k: int, first: int, ends: np.ndarray) -> tuple[np
     if width < REACH + 1:
         rest = REACH + 1 - width
         low = np.minimum(low[:-rest], low[rest:])
-    at = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
-    start = np.arange(len(at))
-    doc = np.searchsorted(ends, start + k, side="right")
-    valid = start + k + LENGTH <= ends[np.minimum(doc, len(ends) - 1)]  # not across documents
-    start, at, doc = start[valid], at[valid], doc[valid]
+    # a new anchor, or a new document; not where a string would leave its document
+    ends = ends - k
+    begins = np.concatenate([[-k], ends[:-1]])
+    stop = np.minimum(ends - LENGTH + 1, len(low))
+    new = np.empty(len(low), bool)
+    new[0] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    for begin, valid, end in zip(np.maximum(begins, 0).tolist(), stop.tolist(), ends.tolist()):
+        new[max(begin, valid) : end] = False
+        if valid > begin:
+            new[begin] = True
+    start = np.flatnonzero(new)
     if not len(start):
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
-    last = np.append(new[1:], len(start)) - 1
-    base = np.concatenate([[0], ends[:-1]])[doc[new]] - k
-    return doc[new] + first, at[new] - base, start[new] - base, start[last] - base, grams[at[new]]
+    doc = np.searchsorted(ends, start, side="right")
+    last = np.minimum(np.append(start[1:], len(low)), stop[doc]) - 1
+    at = (low[start] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    base = begins[doc]
+    return doc + first, at - base, start - base, last - base, grams[at]
 
 
 class Block:
