@@ -59,7 +59,7 @@ def main(argv) -> int:
     print(f"# Final physical plans ({sf_dir}, local[8], AQE on)\n")
     print("Generated by `python -m tern.plans.explain`. Scans list pushed filters and the columns read;")
     print("operator counts are over the final adaptive plan (after runtime re-planning). Tables that a")
-    print("query writes first (highways, arcs, customer orders) are Parquet scans too.\n")
+    print("query writes first (highways, arcs and their cells, customer orders) are Parquet scans too.\n")
     for name, fn in sorted(queries().items()):
         t0 = time.time()
         df = fn(spark, sf_dir)  # includes eager materializations (checkpoints)
