@@ -73,3 +73,31 @@ def test_cells_over_the_pole_and_the_antimeridian(spark):
     b = spatial_join.intersects_pairs(lines_df(spark, lines), "fid", "object_id")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and b.count() >= 20 * 19
     assert geo.POLAR_LAT == 80.0
+
+
+def test_long_arcs_meet_in_a_few_cells(spark):
+    """Parallel arcs through a hundred cells of the grid: a pair shares four at
+    most, and cells that no shorter arc is in hold none of them."""
+    lines = [(i, i, [[(-102.5, 40.0 + i * 1e-4), (-97.5, 40.0 + i * 1e-4)]]) for i in range(60)]
+    arcs = spatial_join.arc_table(lines_df(spark, lines), ["fid"])
+    arcs = arcs.withColumn("class", spatial_join._class_of(F.greatest(F.col("lat_hi") - F.col("lat_lo"), F.col("lon_width")), 0.05))
+    classes = sorted(r[0] for r in arcs.select("class").distinct().collect())
+    own, longer = spatial_join._long_cells(arcs, ["fid", "lat_lo", "lat_hi", "lon_lo", "lon_width"], 0.05, classes)
+    assert own.count() <= 4 * 60 and longer.count() == 0
+
+
+def test_arcs_of_all_lengths(spark):
+    """Pairs of every two classes, both ways, and with only some on the left."""
+    r = random.Random(7)
+    lines = []
+    for i in range(160):
+        half, turn = r.choice([0.004, 0.05, 0.4, 3.0]) * r.uniform(0.5, 1), r.uniform(0, 2 * math.pi)
+        lon, lat = 20.0 + r.uniform(-0.3, 0.3), 1.0 + r.uniform(-0.3, 0.3)
+        lines.append((i, i, [[(lon - half * math.cos(turn), lat - half * math.sin(turn)), (lon + half * math.cos(turn), lat + half * math.sin(turn))]]))
+    L = lines_df(spark, lines)
+    expect = {(i, j) for i, _, p in lines for j, _, q in lines if i != j and _crosses(p[0], q[0])}
+    got = [(x.fid_1, x.fid_2) for x in spatial_join.intersects_pairs(L, "fid", "object_id").collect()]
+    assert set(got) == expect and len(got) == len(expect) > 1000
+    left = L.where(F.col("fid") % 3 == 0).select("fid")
+    got = [(x.fid_1, x.fid_2) for x in spatial_join.intersects_pairs(L, "fid", "object_id", left=left).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in expect if i % 3 == 0}
