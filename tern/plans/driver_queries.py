@@ -128,7 +128,8 @@ def running_units(spark, sf_dir):
 
 @register("running_units_by_sale", oracle=O.RUNNING_UNITS_BY_SALE)
 def running_units_by_sale(spark, sf_dir):
-    return sales.running_units_by_sale(materialize(_sales_report(spark, sf_dir, False), "sales-report"))
+    report = _sales_report(spark, sf_dir, False).select(*sales.SALE)  # only what the running total reads is written
+    return sales.running_units_by_sale(materialize(report, "sales-report"))
 
 
 @register("cumulative_as_of_dates", oracle=O.CUMULATIVE_AS_OF_DATES)

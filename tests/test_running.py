@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tern.functions import dialect
 from tern.operators import report, running, sales
-from tern.session import materialize
+from tern.session import materialize, settings
 
 SALES = "product_id long, customer_id long, order_id long, purchase_date date, quantity long"
 
@@ -108,3 +108,31 @@ def test_bin_widths(spark):
     assert {r.bin_start for r in bins if r.city_name == "even"} == set(range(0, 1000, 100))
     money = spark.createDataFrame([("a", Decimal("0.07")), ("a", Decimal("0.31"))], "city_name string, x decimal(10,2)")
     assert all(r.bin_start <= Decimal("0.31") and r.bin_width in (Decimal("0.20"), Decimal("0.50")) for r in report.auto_histogram(money, "x", scale=2).collect())
+
+
+def exchanges(df):
+    """Shuffles of the plan, no side being small enough to broadcast."""
+    with settings(df.sparkSession, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        again = df.select("*")
+        return str(again._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning")
+
+
+def test_rows_are_shuffled_once_for_their_days(spark):
+    """The rows once, and their groups three times; of a report, only the first
+    rows of groups and the late rows."""
+    make = orders(spark, None)
+    report = make([(1, "c", i, 1, 1, Decimal(1), day(i)) for i in range(5)])
+    assert exchanges(sales._days_since_last(report.drop("days_since_last_purchase"))) == 4
+    after = sales.report_after(report, report.where("order_id = 3"))
+    assert exchanges(after) == 4
+    again = report.withColumn("days_since_last_purchase", F.lit(0))  # nothing is first, so nothing is looked at
+    assert sales.report_after(again, report.limit(0)).where("days_since_last_purchase <> 0").count() == 0
+
+
+def test_running_total_writes_what_it_reads(spark, monkeypatch):
+    from tern.plans import driver_queries as q
+
+    seen = {}
+    monkeypatch.setattr(q, "materialize", lambda df, name: seen.setdefault(name, materialize(df, name)))
+    assert q.running_units_by_sale(spark, "/root/testdata/sf0.001").count() > 0
+    assert sorted(seen["sales-report"].columns) == sorted(sales.SALE)
