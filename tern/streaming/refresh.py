@@ -13,11 +13,11 @@ modulo ``buckets``, and written with dynamic partition overwrite:
 1. A batch's typed orders go to ``orders/bucket=b/batch_id=N``.  Nothing else
    reads the landing folder, so what is refreshed and what the stream has
    consumed cannot differ.
-2. The buckets that the batch touches are computed anew from their stored orders
-   and replace the old partitions: customer_orders, then sales_report (LAG under
-   late dates changes following rows, so nothing is appended), then what the two
-   aggregates add up: daily totals and last purchases of a customer, and units
-   of a product.
+2. What a batch's orders give whatever came before goes to partitions of that
+   batch, from its stored orders: customer_orders, and what the two aggregates
+   add up: daily totals and last purchases of a customer, and units of a product.
+3. sales_report (LAG under late dates changes following rows, so nothing is
+   appended) is computed anew for the buckets that the batch touches.
 
 Each partition is a function of stored orders alone, so a batch that failed
 half-way or comes again gives the same tables, and which batch is the next is
@@ -47,15 +47,16 @@ _ORDERS = "order_id bigint, custid bigint, product_id bigint, quantity bigint, o
 _SCHEMAS = {
     "orders": _ORDERS + ", bucket int, batch_id bigint",
     "customer_orders": "customer_id bigint, customer_name string, order_id bigint, product_id bigint, quantity bigint, "
-                       "order_total decimal(10,2), purchase_date date, bucket int",
+                       "order_total decimal(10,2), purchase_date date, bucket int, batch_id bigint",
     "sales_report": "customer_id bigint, customer_name string, order_id bigint, product_id bigint, product_name string, "
                     "order_total decimal(10,2), quantity bigint, unitsalesprice decimal(18,8), purchase_date date, "
                     "days_since_last_purchase int, customer_sk string, bucket int",
     "daily": "customer_id bigint, customer_name string, purchase_date date, rows bigint, orders bigint, total decimal(38,2), "
-             "totals bigint, bucket int",
-    "last": "customer_id bigint, customer_name string, product_id bigint, last_date date, bucket int",
-    "units": "product_id bigint, purchase_date date, quantity bigint, bucket int",
+             "totals bigint, bucket int, batch_id bigint",
+    "last": "customer_id bigint, customer_name string, product_id bigint, last_date date, bucket int, batch_id bigint",
+    "units": "product_id bigint, purchase_date date, quantity bigint, bucket int, batch_id bigint",
 }
+_PART = ("bucket", "batch_id")
 
 
 class SalesRefresh:
@@ -79,19 +80,21 @@ class SalesRefresh:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _stored(self, name: str, touched: list[int] | None = None) -> DataFrame:
-        """Rows of a table with their bucket; only the touched partitions are read."""
+    def _stored(self, name: str, touched: list[int] | None = None, batch_id: int | None = None) -> DataFrame:
+        """Rows of a table with their bucket; only the touched partitions, or
+        those of a batch, are read."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], _SCHEMAS[name])
         rows = self.spark.read.schema(_SCHEMAS[name]).parquet(self.path(name))
+        rows = rows if batch_id is None else rows.where(F.col("batch_id") == batch_id)
         return rows if touched is None else rows.where(F.col("bucket").isin(touched))
 
     def _replace(self, name: str, rows: DataFrame, whole: bool, by: tuple[str, ...] = ("bucket",)) -> None:
-        """The partitions that ``rows`` has, or the ``whole`` table."""
+        """The partitions that ``rows`` has, or the ``whole`` table.  A task has
+        a file for each of its partitions; rows are not shuffled to have fewer."""
         mode = "static" if whole else "dynamic"
-        # even tasks, also where one customer has most of a bucket's rows
-        rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).parquet(self.path(name))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).parquet(self.path(name))
 
     def read(self, name: str, as_of=None) -> DataFrame:
         """Current contents of a derived table; ``as_of`` is the moment (text,
@@ -100,50 +103,48 @@ class SalesRefresh:
             raise KeyError(name)
         if name == "cumulative_purchases":
             since = dialect.months_before(as_of, self.months) if as_of is not None else F.add_months(F.localtimestamp(), -self.months)
-            return sales.cumulative_of(sales.purchases_since(self._stored("daily"), self._stored("last"), since))
+            # a product is last bought in several batches, each of which has its own last day
+            last = self._stored("last").where(F.col("last_date").cast("timestamp_ntz") >= since)
+            last = last.groupBy("customer_id", "customer_name", "product_id").agg(F.max("last_date").alias("last_date"))
+            return sales.cumulative_of(sales.purchases_since(self._stored("daily"), last, since))
         if name == "product_inventory_alert":
             return sales.product_inventory_alert(self._stored("units"), self.products)
-        return self._stored(name).drop("bucket")
+        return self._stored(name).drop(*_PART)
 
     def orders(self) -> DataFrame:
         """All orders that the stream has stored."""
-        return self._stored("orders").drop("bucket", "batch_id")
+        return self._stored("orders").drop(*_PART)
 
     # ---------------------------------------------------------- refresh
 
-    def _build(self, touched: list[int] | None) -> None:
-        """The derived tables of the touched buckets (None: of all) from their
-        stored orders."""
-        whole, orders = touched is None, self._stored("orders", touched)
+    def _build(self, batch_id: int | None) -> None:
+        """The derived tables from the stored orders of a batch (None: of all),
+        ``sales_report`` from all orders of the buckets it touches."""
+        whole = batch_id is None
         c = self.customers.select(F.col("cust_id").alias("custid"), "customer_name")
-        joined = orders.join(c, "custid", "inner").withColumnRenamed("custid", "customer_id")
+        joined = self._stored("orders", None, batch_id).join(c, "custid", "inner").withColumnRenamed("custid", "customer_id")
         columns = [x.split()[0] for x in _SCHEMAS["customer_orders"].split(", ")]
-        self._replace("customer_orders", joined.select(*columns), whole)
-        if self.tables == {"customer_orders"}:
-            return
-        co = self._stored("customer_orders", touched)
-        report = sales.sales_report(co.drop("bucket"), self.products, "sales_report" in self.tables)
-        bucket = F.pmod(F.xxhash64("customer_id"), F.lit(self.buckets)).cast("int")
-        report = report.withColumn("bucket", bucket)
+        self._replace("customer_orders", joined.select(*columns), whole, _PART)
+        mine = self._stored("customer_orders", None, batch_id)
         if "sales_report" in self.tables:
+            touched = None if whole else [r[0] for r in mine.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            report = sales.sales_report(self._stored("customer_orders", touched), self.products, keep=("bucket",))
             self._replace("sales_report", report, whole)
-            report = self._stored("sales_report", touched)
+        report = sales.sales_report(mine, self.products, False, keep=_PART)
         if "cumulative_purchases" in self.tables:
-            for name, part in (("daily", sales.daily_purchases), ("last", sales.last_purchases)):
-                self._replace(name, part(report).withColumn("bucket", bucket), whole)
+            self._replace("daily", sales.daily_purchases(report, _PART), whole, _PART)
+            self._replace("last", sales.last_purchases(report, _PART), whole, _PART)
         if "product_inventory_alert" in self.tables:
-            units = report.groupBy("bucket", "product_id").agg(F.max("purchase_date").alias("purchase_date"), F.sum("quantity").alias("quantity"))
-            self._replace("units", units, whole)
+            units = report.groupBy(*_PART, "product_id").agg(F.max("purchase_date").alias("purchase_date"), F.sum("quantity").alias("quantity"))
+            self._replace("units", units, whole, _PART)
 
     def refresh_batch(self, batch: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` body: one micro-batch through the tables."""
         orders = sales.extract_orders(batch)
         orders = orders.withColumn("bucket", F.pmod(F.xxhash64("custid"), F.lit(self.buckets)).cast("int")).withColumn("batch_id", F.lit(batch_id))
-        self._replace("orders", orders, False, ("bucket", "batch_id"))
-        mine = self._stored("orders").where(F.col("batch_id") == batch_id)
-        touched = [r[0] for r in mine.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        if touched:
-            self._build(touched)
+        self._replace("orders", orders, False, _PART)
+        if not self._stored("orders", None, batch_id).isEmpty():
+            self._build(batch_id)
 
     def full_refresh(self) -> None:
         """Every table from all stored orders, as after a changed static input."""

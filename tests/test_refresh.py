@@ -186,3 +186,22 @@ def test_a_batch_of_one_customer_rewrites_one_bucket(spark, workdir):
     new = files()
     assert set(new) == set(old) and sum(new[b] != old[b] for b in old) == 1
     check(job, b0, one)
+
+
+def test_a_batch_leaves_the_parts_of_earlier_ones(spark, workdir):
+    """What adds up is written once per order, and the landed text is compressed;
+    a product bought in two batches counts once."""
+    job = make_job(spark, workdir, buckets=2)
+    b0 = land(spark, job, 60, 1, 1, "b0")
+    run(job)
+    names = ("customer_orders", "daily", "last", "units")
+    files = lambda: {p: sorted(os.listdir(p)) for n in names for b in range(2) if os.path.isdir(p := f"{job.path(n)}/bucket={b}/batch_id=0")}
+    old = files()
+    assert len(old) == 8
+    job.refresh_batch(b0.limit(30), 1)
+    assert files() == old
+    check(job, b0, b0.limit(30))
+    job.full_refresh()
+    job.refresh_batch(b0, 0)
+    check(job, b0, b0.limit(30))
+    assert [f for f in os.listdir(f"{job.landing}/b0") if f.startswith("part-")] and all(f.endswith(".gz") for f in os.listdir(f"{job.landing}/b0") if f.startswith("part-"))
