@@ -177,12 +177,13 @@ def highway_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_large_documents(spark: SparkSession, sf_dir: str, folder: str, documents: int = 8) -> None:
     """The same features as a few large FeatureCollections, that of customer c
     in document ``c % documents``, in the order of c.  A document is one file's
-    (a file may have several), so it is written by one task, line by line."""
+    (a file may have several), so it is written by one task, line by line, and
+    each by its own."""
     rows = highway_features(spark, sf_dir).where("feature is not null").withColumn("d", F.col("c") % documents)
     ends = rows.groupBy("d").agg(F.min("c").alias("first"), F.max("c").alias("last"))
     head = F.when(F.col("c") == F.col("first"), F.concat(F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"a } in text"}},"features":['))).otherwise(",")
     line = F.concat(head, "feature", F.when(F.col("c") == F.col("last"), "]}").otherwise(""))
-    rows.join(ends, "d").select("d", "c", line.alias("value")).repartition(documents, "d").sortWithinPartitions("d", "c").select("value").write.text(folder)
+    rows.join(ends, "d").select("d", "c", line.alias("value")).repartitionById(documents, F.col("d").cast("int")).sortWithinPartitions("d", "c").select("value").write.text(folder)
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,7 +232,8 @@ def split_features(spark, sf_dir):
     """A few large FeatureCollections, each read by several tasks (S3)."""
     landing = scratch_path(spark, "large-landing")
     derived.write_large_documents(spark, sf_dir, landing)
-    found = geojson.features(spark, landing, split_bytes=64 << 10, chunk=16 << 10)
+    split = geojson.split_of(files.list_files(spark, landing, "part-*").agg(F.sum("size")).first()[0] or 0)
+    found = geojson.features(spark, landing, split_bytes=split, chunk=split // 4)
     hw = highways.segments(found.withColumn("fid", F.concat_ws(":", "file", "document", "pos")), "fid", "pos")
     return hw.select(*_FEATURE[1:], F.col("geography_linestring.type").alias("geom_type"))
 

@@ -38,6 +38,12 @@ _PIECES = "file string, block long, part int, seq int, kind int, document int, l
 HEAD, COMPLETE, TAIL, MIDDLE, SUMMARY = range(5)
 
 
+def split_of(size: int) -> int:
+    """Bytes of a range where ``size`` bytes are read: some hundred ranges, none
+    below 64 KB, for which a task is not worth its start, nor above 32 MB."""
+    return min(max(size // 256, 64 << 10), 32 << 20)
+
+
 def quotes(data: np.ndarray) -> np.ndarray:
     """Places of the quotes that no backslash escapes."""
     at = np.flatnonzero(data == 34)

@@ -138,3 +138,27 @@ def test_a_replayed_batch_changes_nothing(spark, workdir):
     assert read_both() == first and [len(x) for x in first] == [2, 2]
     files.write_batch(batch.limit(0), 1, f"{workdir}/good", f"{workdir}/bad")  # nothing in it
     assert read_both() == first
+
+
+def test_ranges_grow_with_the_files(spark):
+    """A fixed range of 64 KB made as many tasks as the files have of it."""
+    from tern.plans import driver_queries as q
+
+    sizes = [1, 10**7, 10**9, 5 * 10**9, 10**11]
+    splits = [geojson.split_of(s) for s in sizes]
+    assert splits == sorted(splits) and splits[0] == 64 << 10 and all(s / x <= 300 for s, x in zip(sizes[:-1], splits))
+    seen = {}
+    real = geojson.features
+
+    def features(spark, path, **how):
+        seen.update(how, path=path)
+        return real(spark, path, **how)
+
+    geojson.features = features
+    try:
+        assert q.split_features(spark, "/root/testdata/sf0.01").count() > 0
+    finally:
+        geojson.features = real
+    assert seen["split_bytes"] >= 64 << 10 and seen["chunk"] * 4 == seen["split_bytes"]
+    written = [f for f in os.listdir(seen["path"]) if f.startswith("part-")]
+    assert len(written) == 8  # a file for each document, whatever their numbers hash to
