@@ -109,16 +109,28 @@ def report_after(report: DataFrame, late: DataFrame) -> DataFrame:
     """``sales_report`` after more rows arrived (D2), from the old ``report``
     and the ``late`` rows (the report's columns; their days are not read).
 
-    Of a (customer, date) only the first row has days other than 0, so a row
-    with 0 is not first, and later rows do not make it so: it is passed on as it
-    is, without a sort or an exchange.  What is left has a row of every group,
-    hence every date, and those rows and the late ones have the days that they
-    have among all.  ``report`` should be a written table: it is read twice.
+    Rows that are ``settled`` are passed on as they are, without a sort or an
+    exchange.  What is left has the first row of every group, hence every date,
+    and those rows and the late ones have the days that they have among all.
+    ``report`` should be a written table: it is read twice.
     """
-    days = "days_since_last_purchase"
-    rest = F.coalesce(F.col(days) == 0, F.lit(False))
-    again = report.where(~rest).drop(days).unionByName(late.drop(days))
-    return report.where(rest).unionByName(_days_since_last(again).select(*report.columns))
+    return report.where(settled()).unionByName(days_among(report.where(~settled()), late).select(*report.columns))
+
+
+def settled() -> Column:
+    """Whether later rows leave a report's row as it is, and need not know of
+    it.  Of a (customer, date) only the first row has days other than 0, so a
+    row with 0 is not first, and later rows do not make it so; a row without a
+    date has no days."""
+    return F.col("purchase_date").isNull() | F.coalesce(F.col("days_since_last_purchase") == 0, F.lit(False))
+
+
+def days_among(firsts: DataFrame, late: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of both with the days that they have among all, given of the
+    earlier rows those that are not ``settled``.  Columns that follow from
+    others are computed anew, not shuffled."""
+    columns = [*_REPORTED, *keep]
+    return _reported(_days_since_last(firsts.select(*columns).unionByName(late.select(*columns))), keep)
 
 
 def sales_report(customer_orders_df: DataFrame, products: DataFrame, with_days: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -134,6 +146,14 @@ def sales_report(customer_orders_df: DataFrame, products: DataFrame, with_days:
         rows = _days_since_last(rows)
     else:
         rows = rows.withColumn("days_since_last_purchase", F.lit(None).cast("int"))
+    return _reported(rows, keep)
+
+
+# What the other columns of ``sales_report`` are computed from.
+_REPORTED = ("customer_id", "customer_name", "order_id", "product_id", "product_name", "order_total", "quantity", "purchase_date")
+
+
+def _reported(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return rows.select(
         "customer_id",
         "customer_name",

@@ -31,8 +31,9 @@ def sales_orders_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales_orders_from(li, o)
 
 
-def sales_orders_from(li: DataFrame, o: DataFrame) -> DataFrame:
-    """The JSON orders of the given lineitem and orders rows."""
+def sales_orders_from(li: DataFrame, o: DataFrame, *keep: str) -> DataFrame:
+    """The JSON orders of the given lineitem and orders rows, and columns to
+    keep beside them."""
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     # Built straight into a VARIANT object (no JSON text round trip); the
     # value is the same as parse_json of the reference's JSON text.
@@ -48,7 +49,7 @@ def sales_orders_from(li: DataFrame, o: DataFrame) -> DataFrame:
             ).alias("purchase"),
         )
     )
-    return j.select(doc.alias("sales_data"))
+    return j.select(doc.alias("sales_data"), *keep)
 
 
 def sales_customers(spark: SparkSession, sf_dir: str) -> DataFrame:

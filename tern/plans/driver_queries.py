@@ -512,20 +512,21 @@ _BATCH_BOUNDS = ("1997-01-01", "2000-01-01")
 
 def refreshed_tables(spark, sf_dir, table_name, root=None):
     """Land the JSON orders in three batches (by order date, unknown dates
-    first), run the refresh stream after each landing; the job, which maintains
-    the named table and what it is made from."""
+    first; all are written in one pass, and moved in one by one), run the refresh
+    stream after each landing; the job, which maintains the named table and what
+    it is made from."""
     root = root or scratch_path(spark, "refresh")
     landing = f"{root}/landing"
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     a, b = (F.lit(x).cast("timestamp_ntz") for x in _BATCH_BOUNDS)
     day = F.col("o_orderdate")
-    batches = [day.isNull() | (day < a), (day >= a) & (day < b), day >= b]
+    batch = F.when(day.isNull() | (day < a), 0).when(day < b, 1).otherwise(2)
+    datagen.write_json_batch(derived.sales_orders_from(li, o.withColumn("batch", batch), "batch"), f"{root}/written", by=("batch",))
     customers, products = derived.sales_customers(spark, sf_dir), derived.sales_products(spark, sf_dir)
     job = SalesRefresh(spark, f"{root}/tables", landing, customers, products, buckets=8, tables={table_name})
-    for i, cond in enumerate(batches):
-        part = derived.sales_orders_from(li, o.where(cond))
-        datagen.write_json_batch(part, f"{landing}/batch={i}")
+    for i in range(len(_BATCH_BOUNDS) + 1):
+        datagen.land(spark, f"{root}/written/batch={i}", landing)
         job.start({"availableNow": True}).awaitTermination()
     return job
 

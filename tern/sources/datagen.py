@@ -111,10 +111,23 @@ def generate_sales(
     return spark.range(n).select(F.parse_json(F.to_json(order)).alias("sales_data"))
 
 
-def write_json_batch(df: DataFrame, directory: str) -> None:
+def write_json_batch(df: DataFrame, directory: str, by: tuple[str, ...] = ()) -> None:
     """Land a batch of orders as JSON-lines files (what the stream picks up),
-    compressed: their text is mostly the same names."""
-    df.select(F.to_json("sales_data").alias("value")).write.mode("append").text(directory, compression="gzip")
+    compressed: their text is mostly the same names.  ``by``: columns that name
+    a folder for each of several batches."""
+    lines = df.select(F.to_json("sales_data").alias("value"), *by)
+    lines.write.mode("append").partitionBy(*by).text(directory, compression="gzip")
+
+
+def land(spark: SparkSession, written: str, landing: str) -> None:
+    """Moves the folder of a batch that was written elsewhere below the landing
+    folder, where the stream then finds its files whole.  No folder: no orders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(landing).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(landing))
+    to = path(landing, path(written).getName())
+    if system.exists(path(written)) and not system.rename(path(written), to):
+        raise OSError(f"{written} could not be moved to {landing}")
 
 
 # ------------------------------------------------------------------ from SQL

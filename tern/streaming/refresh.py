@@ -14,14 +14,19 @@ modulo ``buckets``, and written with dynamic partition overwrite:
    reads the landing folder, so what is refreshed and what the stream has
    consumed cannot differ.
 2. What a batch's orders give whatever came before goes to partitions of that
-   batch, from its stored orders: customer_orders, and what the two aggregates
+   batch, from its stored orders: customer_orders, ``sales`` (those with their
+   product's name, which sales_report is made from), and what the two aggregates
    add up: daily totals and last purchases of a customer, and units of a product.
-3. sales_report (LAG under late dates changes following rows, so nothing is
-   appended) is computed anew for the buckets that the batch touches.
+3. sales_report: under LAG late rows change the first row of a customer and date
+   (``first``), and no other.  A batch's rows go, with the first rows of the
+   buckets it touches, to partitions of that batch: those that are now first,
+   which take the place of the earlier first rows, and the settled others, which
+   stay.
 
 Each partition is a function of stored orders alone, so a batch that failed
-half-way or comes again gives the same tables, and which batch is the next is
-the stream's own knowledge (its checkpoint).  ``cumulative_purchases`` and
+half-way or comes again gives the same tables (of a batch that the report already
+has, its buckets' rows are computed anew from all stored orders), and which batch
+is the next is the stream's own knowledge (its checkpoint).  ``cumulative_purchases`` and
 ``product_inventory_alert`` are sums over those partial tables when read, so the
 moving six-month bound needs no rewrite: orders that expire are days that are
 left out.
@@ -35,8 +40,9 @@ partitions of a running batch as they are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tern.functions import dialect
@@ -50,7 +56,9 @@ _SCHEMAS = {
                        "order_total decimal(10,2), purchase_date date, bucket int, batch_id bigint",
     "sales_report": "customer_id bigint, customer_name string, order_id bigint, product_id bigint, product_name string, "
                     "order_total decimal(10,2), quantity bigint, unitsalesprice decimal(18,8), purchase_date date, "
-                    "days_since_last_purchase int, customer_sk string, bucket int",
+                    "days_since_last_purchase int, customer_sk string, bucket int, batch_id bigint, first boolean",
+    "sales": "customer_id bigint, customer_name string, order_id bigint, product_id bigint, product_name string, "
+             "order_total decimal(10,2), quantity bigint, purchase_date date, bucket int, batch_id bigint",
     "daily": "customer_id bigint, customer_name string, purchase_date date, rows bigint, orders bigint, total decimal(38,2), "
              "totals bigint, bucket int, batch_id bigint",
     "last": "customer_id bigint, customer_name string, product_id bigint, last_date date, bucket int, batch_id bigint",
@@ -80,21 +88,31 @@ class SalesRefresh:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _folder(self, path: str):
+        """A folder's path and its file system, as Hadoop has them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _stored(self, name: str, touched: list[int] | None = None, batch_id: int | None = None) -> DataFrame:
         """Rows of a table with their bucket; only the touched partitions, or
         those of a batch, are read."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        path, system = self._folder(self.path(name))
+        if not system.exists(path):
             return self.spark.createDataFrame([], _SCHEMAS[name])
         rows = self.spark.read.schema(_SCHEMAS[name]).parquet(self.path(name))
         rows = rows if batch_id is None else rows.where(F.col("batch_id") == batch_id)
         return rows if touched is None else rows.where(F.col("bucket").isin(touched))
 
+    @staticmethod
+    def _columns(name: str) -> list[str]:
+        return [x.split()[0] for x in _SCHEMAS[name].split(", ")]
+
     def _replace(self, name: str, rows: DataFrame, whole: bool, by: tuple[str, ...] = ("bucket",)) -> None:
         """The partitions that ``rows`` has, or the ``whole`` table.  A task has
         a file for each of its partitions; rows are not shuffled to have fewer."""
         mode = "static" if whole else "dynamic"
-        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(*by).parquet(self.path(name))
+        write = rows.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", "zstd")
+        write.partitionBy(*by).parquet(self.path(name))
 
     def read(self, name: str, as_of=None) -> DataFrame:
         """Current contents of a derived table; ``as_of`` is the moment (text,
@@ -109,7 +127,10 @@ class SalesRefresh:
             return sales.cumulative_of(sales.purchases_since(self._stored("daily"), last, since))
         if name == "product_inventory_alert":
             return sales.product_inventory_alert(self._stored("units"), self.products)
-        return self._stored(name).drop(*_PART)
+        rows = self._stored(name)
+        if name == "sales_report":
+            rows = rows.where(~F.col("first") | self._counted(self._report_batches())).drop("first")
+        return rows.drop(*_PART)
 
     def orders(self) -> DataFrame:
         """All orders that the stream has stored."""
@@ -119,17 +140,14 @@ class SalesRefresh:
 
     def _build(self, batch_id: int | None) -> None:
         """The derived tables from the stored orders of a batch (None: of all),
-        ``sales_report`` from all orders of the buckets it touches."""
+        ``sales_report`` with the first rows of the buckets it touches."""
         whole = batch_id is None
         c = self.customers.select(F.col("cust_id").alias("custid"), "customer_name")
         joined = self._stored("orders", None, batch_id).join(c, "custid", "inner").withColumnRenamed("custid", "customer_id")
-        columns = [x.split()[0] for x in _SCHEMAS["customer_orders"].split(", ")]
-        self._replace("customer_orders", joined.select(*columns), whole, _PART)
+        self._replace("customer_orders", joined.select(*self._columns("customer_orders")), whole, _PART)
         mine = self._stored("customer_orders", None, batch_id)
         if "sales_report" in self.tables:
-            touched = None if whole else [r[0] for r in mine.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-            report = sales.sales_report(self._stored("customer_orders", touched), self.products, keep=("bucket",))
-            self._replace("sales_report", report, whole)
+            self._build_report(mine, batch_id)
         report = sales.sales_report(mine, self.products, False, keep=_PART)
         if "cumulative_purchases" in self.tables:
             self._replace("daily", sales.daily_purchases(report, _PART), whole, _PART)
@@ -138,6 +156,43 @@ class SalesRefresh:
             units = report.groupBy(*_PART, "product_id").agg(F.max("purchase_date").alias("purchase_date"), F.sum("quantity").alias("quantity"))
             self._replace("units", units, whole, _PART)
 
+    def _report_batches(self, first_only: bool = True) -> dict[int, int]:
+        """The last batch of which the report of a bucket has rows, or first
+        rows, which are the ones that count (a number per bucket)."""
+        rows = self._stored("sales_report")
+        rows = rows.where("first") if first_only else rows
+        return dict(map(tuple, rows.groupBy("bucket").agg(F.max("batch_id")).collect()))
+
+    @staticmethod
+    def _counted(batches: dict[int, int]) -> Column:
+        last = [(F.col("bucket") == b) & (F.col("batch_id") == n) for b, n in batches.items()]
+        return F.col("first") & reduce(Column.__or__, last, F.lit(False))
+
+    def _build_report(self, mine: DataFrame, batch_id: int | None) -> None:
+        """The report after the batch's customer orders (None: all of them)."""
+        self._replace("sales", sales.sales_report(mine, self.products, False, keep=_PART).select(*self._columns("sales")), batch_id is None, _PART)
+        known = self._report_batches(first_only=False)
+        touched = [r[0] for r in mine.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        anew = batch_id is None or any(known.get(b, -1) >= batch_id for b in touched)
+        number = self._stored("orders").agg(F.max("batch_id")).first()[0] if anew else batch_id
+        late = self._stored("sales", touched, None if anew else batch_id)
+        firsts = self._stored("sales_report", touched).where(F.lit(False) if anew else self._counted(self._report_batches()))
+        rows = sales.days_among(firsts, late, keep=("bucket",))
+        rows = rows.withColumn("batch_id", F.lit(number).cast("bigint")).withColumn("first", ~sales.settled())
+        self._replace("sales_report", rows, batch_id is None, (*_PART, "first"))
+        for b in () if batch_id is None else touched:
+            self._drop_replaced(b, number, anew)
+
+    def _drop_replaced(self, bucket: int, batch_id: int, anew: bool) -> None:
+        """Removes what the batch's partitions of a bucket stand for: earlier
+        first rows, or all others if they are the bucket ``anew``."""
+        path, system = self._folder(f"{self.path('sales_report')}/bucket={bucket}")
+        if not system.exists(path):
+            return
+        for x in system.listStatus(path):
+            if x.getPath().getName() != f"batch_id={batch_id}":
+                system.delete(x.getPath() if anew else self._folder(f"{x.getPath()}/first=true")[0], True)
+
     def refresh_batch(self, batch: DataFrame, batch_id: int) -> None:
         """The ``foreachBatch`` body: one micro-batch through the tables."""
         orders = sales.extract_orders(batch)

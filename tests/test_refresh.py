@@ -205,3 +205,35 @@ def test_a_batch_leaves_the_parts_of_earlier_ones(spark, workdir):
     job.refresh_batch(b0, 0)
     check(job, b0, b0.limit(30))
     assert [f for f in os.listdir(f"{job.landing}/b0") if f.startswith("part-")] and all(f.endswith(".gz") for f in os.listdir(f"{job.landing}/b0") if f.startswith("part-"))
+
+
+def test_a_batch_does_not_rewrite_the_settled_rows(spark, workdir):
+    """Rows that later ones cannot change stay as they were written; the first
+    rows of a customer and date are kept once, with late dates, a repeated batch
+    and orders without a date or a product too."""
+    job = make_job(spark, workdir, buckets=2, tables=["sales_report"])
+    batches = [land(spark, job, 150, 1 + 1000 * i, 51 + i, f"b{i}", DAY - dt.timedelta(days=late)) for i, late in enumerate((2, 4, 1))]
+    undated = spark.sql("""SELECT parse_json('{"order_id": 9, "custid": 1003, "purchase": {"product_id": 102, "quantity": 1, "order_total": 5.0}}') AS sales_data""")
+    batches[0] = batches[0].unionByName(undated)
+    settled = lambda n: {p: sorted(os.listdir(p)) for b in range(2) if os.path.isdir(p := f"{job.path('sales_report')}/bucket={b}/batch_id={n}/first=false")}
+    old = {}
+    for i, b in enumerate(batches):
+        job.refresh_batch(b, i)
+        check(job, *batches[: i + 1], names=["sales_report"])
+        assert all(settled(n) == files for n, files in old.items())
+        old[i] = settled(i)
+        assert old[i]
+        written = job.spark.read.parquet(job.path("sales_report"))
+        assert written.count() == job.read("sales_report").count()
+    for again in (2, 0):
+        job.refresh_batch(batches[again], again)
+        check(job, *batches, names=["sales_report"])
+
+
+def test_batches_written_in_one_pass_land_one_by_one(spark, workdir):
+    orders = datagen.generate_sales(spark, 30, 1, DAY, seed=3, n_customers=14, n_products=7).withColumn("batch", F.expr("variant_get(sales_data, '$.order_id', 'int') % 2"))
+    written, landing = os.path.join(workdir, "written"), os.path.join(workdir, "landing")
+    datagen.write_json_batch(orders, written, by=("batch",))
+    for i, n in enumerate((15, 30, 30)):  # there is no third one
+        datagen.land(spark, f"{written}/batch={i}", landing)
+        assert spark.read.option("recursiveFileLookup", "true").text(landing).count() == n
