@@ -101,3 +101,36 @@ def test_arcs_of_all_lengths(spark):
     left = L.where(F.col("fid") % 3 == 0).select("fid")
     got = [(x.fid_1, x.fid_2) for x in spatial_join.intersects_pairs(L, "fid", "object_id", left=left).collect()]
     assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in expect if i % 3 == 0}
+
+
+def test_arcs_are_written_narrow(spark):
+    """What follows from an arc's ends is neither written nor shuffled."""
+    arcs = spatial_join.arc_table(lines_df(spark, city(20)), ["fid"])
+    written = spark.read.parquet(arcs.inputFiles()[0].rsplit("/", 1)[0])
+    assert set(written.columns) == {"arc", "fid", "lon_a", "lat_a", "lon_b", "lat_b", "lat_lo", "lat_hi", "lon_lo", "lon_width"}
+    rows, hot = spatial_join._quadtree(arcs, ["arc", "fid", "lon_a", "lat_a", "lon_b", "lat_b"], 0.05, 128)
+    assert set(rows.columns) == {"arc", "fid", "lon_a", "lat_a", "lon_b", "lat_b", "cell"} and hot.count() == 0
+
+
+def test_a_hot_leaf_is_many_blocks_with_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(spatial_join, "BLOCK", 20)
+    rows = spark.range(130).select("id", F.when(F.col("id") < 100, 1).otherwise(F.col("id")).alias("cell"))
+    hot = spark.createDataFrame([(100, 1)], "_c long, cell long")
+    r = spatial_join._self_blocks(rows, hot, "id")
+    assert r.groupBy("cell", "_i", "_j").count().agg(F.max("count")).first()[0] < 100
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("cell", "_i", "_j")]
+    once = (F.least("l._part", "r._part") == F.col("l._i")) & (F.greatest("l._part", "r._part") == F.col("l._j"))
+    met = r.alias("l").join(r.alias("r"), on).where(once & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
+    assert met.count() == met.distinct().count() == 100 * 99 / 2
+
+
+def test_pairs_of_a_segment_are_counted_before_its_cities(spark, monkeypatch):
+    """Two places of one name count apart; no pair is joined to a city."""
+    from tern.operators import highways
+
+    lines = [(i, i, [[(10.0 + 0.01 * i, 40.0), (10.0 + 0.01 * i, 40.02)]]) for i in range(4)] + [(9, 9, [[(9.99, 40.01), (10.05, 40.01)]])]
+    cities = spark.createDataFrame([("a", 40.0, 10.0), ("a", 40.01, 10.01), ("b", 40.0, 10.02), ("c", 50.0, 10.0)], "city_name string, latitude double, longitude double")
+    got = highways.city_intersections(lines_df(spark, lines), cities)
+    assert [tuple(r) for r in got.collect()] == [("a", 16), ("b", 8)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sum(_pairs") < plan.index("count(1)")
